@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("features",)
+AREAS = ("features", "scores")
 
 
 def load():

@@ -347,18 +347,13 @@ CUTOFF = "1999-06-01 15:00:00"
 
 @query(
     "p2_matches_before_instant",
-    "i:fixture_id,competition_id,season_id,newest_first t:kickoff",
-    with_sql(
-        MATCHES, FIN,
-        answer=f"""SELECT fixture_id, competition_id, season_id, kickoff, row_number() OVER (PARTITION BY competition_id, season_id
-        ORDER BY kickoff DESC, fixture_id) AS newest_first FROM fin WHERE kickoff < TIMESTAMP '{CUTOFF}'""",
-    ),
+    "i:fixture_id,competition_id,season_id t:kickoff",
+    with_sql(MATCHES, FIN, answer=f"SELECT fixture_id, competition_id, season_id, kickoff FROM fin WHERE kickoff < TIMESTAMP '{CUTOFF}'"),
 )
 def matches_before(spark, folder):
-    """Matches strictly before one instant, numbered newest first inside their league season."""
-    w = Window.partitionBy(*N.LEAGUE).orderBy(F.desc("kickoff"), F.asc("fixture_id"))
+    """Matches strictly before one instant, newest first."""
     rows = played(spark, folder).where(F.col("kickoff") < F.lit(CUTOFF).cast("timestamp"))
-    return rows.withColumn("newest_first", F.row_number().over(w))
+    return rows.orderBy(F.desc("kickoff"), F.asc("fixture_id"))
 
 
 @query(
