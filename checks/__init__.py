@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("features", "scores")
+AREAS = ("features", "scores", "reads_")
 
 
 def load():
