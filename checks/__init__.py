@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("features", "scores", "reads_")
+AREAS = ("features", "scores", "reads_", "training")
 
 
 def load():

@@ -464,7 +464,7 @@ def grouped_feed(spark, folder):
 @query(
     "j16_match_detail",
     "i:fixture_id,meetings,injuries,lineups,prediction_id s:met_ids,summary",
-    with_sql(*FEED_CTES, INJ, FIN.replace("fin AS", "fin2 AS"), answer="""SELECT m.fixture_id, h.meetings, h.met_ids, i.injuries, l.lineups, p.prediction_id,
+    with_sql(*FEED_CTES, INJ, FIN.replace("fin AS", "fin2 AS"), answer="""SELECT m.fixture_id, h.meetings, h.met_ids, coalesce(i.injuries, 0) AS injuries, l.lineups, p.prediction_id,
     CASE WHEN p.p_home_win > 0.5 THEN 'home favoured' END AS summary FROM matches m
     LEFT JOIN (SELECT fixture_id, count(*) AS meetings, string_agg(met_id, ',' ORDER BY rn) AS met_ids FROM
       (SELECT w.fixture_id, f.fixture_id AS met_id, row_number() OVER (PARTITION BY w.fixture_id ORDER BY f.kickoff DESC, f.fixture_id) AS rn
@@ -484,8 +484,8 @@ def match_detail(spark, folder):
     return out.select(
         "fixture_id",
         F.size("h2h").alias("meetings"),
-        F.array_join(F.transform("h2h", lambda x: x["met_id"].cast("string")), ",").alias("met_ids"),
-        "injuries",
+        F.array_join(F.transform("h2h", lambda x: x["fixture_id"].cast("string")), ",").alias("met_ids"),
+        (F.col("home_injuries") + F.col("away_injuries")).alias("injuries"),
         "lineups",
         "prediction_id",
         "summary",
@@ -503,17 +503,7 @@ def kickoff_date(spark, folder):
     return T.matches(spark, folder).select("fixture_id", day.alias("day"), X.end_of_day(day).alias("snapshot_visible_from"))
 
 
-@query(
-    "o1_total_order",
-    "i:fixture_id,total_before",
-    with_sql(MATCHES, FIN, answer="SELECT fixture_id, row_number() OVER (ORDER BY kickoff, fixture_id) - 1 AS total_before FROM fin"),
-)
+@query("o1_total_order", "i:fixture_id t:kickoff", with_sql(MATCHES, FIN, answer="SELECT fixture_id, kickoff FROM fin ORDER BY kickoff, fixture_id"))
 def total_order(spark, folder):
-    """Position of every match in the dataset order, from counts per kickoff and ranks inside a kickoff."""
-    from pyspark.sql import Window
-
-    from touchline.plans import folds as Fo
-
-    p = H.finished(T.matches(spark, folder)).withColumn("at", X.instant("kickoff"))
-    inside = F.row_number().over(Window.partitionBy("at").orderBy("fixture_id")) - 1
-    return p.withColumn("k", inside).join(Fo.timeline(p).select("at", "first"), "at").select("fixture_id", (F.col("first") + F.col("k")).alias("total_before"))
+    """Rows in the dataset order, range-partitioned by (kickoff, id)."""
+    return H.finished(T.matches(spark, folder)).orderBy("kickoff", "fixture_id")

@@ -142,6 +142,21 @@ def recent_states(
     return closing.select(*keys, "at", state.alias(name))
 
 
+def recent_lists(rows: DataFrame, keys: Sequence[str], n: int, fields: Sequence[str], name: str) -> DataFrame:
+    """State after each (key, instant): the last ``n`` rows as an array, newest first.
+
+    ``rows`` carries keys, ``at``, ``fixture_id`` and ``fields``.
+    """
+    base = with_halo(reachable(rows.select(*keys, "at", "fixture_id", *fields), keys, n), keys, n)
+    order = Window.partitionBy(*keys, "_block").orderBy(F.asc("at"), F.desc("fixture_id"))
+    item = F.struct("at", "fixture_id", *fields)
+    run = base.withColumns(
+        {"_list": F.collect_list(item).over(order.rowsBetween(-(n - 1), 0)), "_next": F.lead("at").over(order)}
+    )
+    closing = run.where(~F.col("_halo") & (F.col("_next").isNull() | (F.col("_next") != F.col("at"))))
+    return closing.select(*keys, "at", F.struct(F.reverse("_list").alias("items")).alias(name))
+
+
 # --- running totals -------------------------------------------------------------------------
 
 

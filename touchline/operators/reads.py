@@ -253,37 +253,26 @@ def detail(
 ) -> DataFrame:
     """Detail of the wanted matches: latest meetings of the pair, active injuries, lineups, prediction.
 
-    Each list is read for the wanted matches only; the meetings list keeps the newest ``meetings``
-    because the detail view shows that many.
+    The newest meetings are read from a running list per pair and the injuries are counted per team
+    before the join, so no row of one side meets every row of the other. ``predictions`` holds one
+    row per match.
     """
-    from pyspark.sql import Window
-
-    w = wanted.select("fixture_id", "kickoff", "home_team_id", "away_team_id", *LEAGUE)
-    keyed = w.withColumns({"pair_lo": F.least("home_team_id", "away_team_id"), "pair_hi": F.greatest("home_team_id", "away_team_id")})
-    past = played.select(
-        F.least("home_team_id", "away_team_id").alias("pair_lo"),
-        F.greatest("home_team_id", "away_team_id").alias("pair_hi"),
-        F.col("kickoff").alias("met_at"),
-        F.col("fixture_id").alias("met_id"),
-        F.col("home_goals").alias("met_hg"),
-        F.col("away_goals").alias("met_ag"),
-    )
-    newest = Window.partitionBy("fixture_id").orderBy(F.desc("met_at"), F.asc("met_id"))
-    h2h = (
-        keyed.select("fixture_id", "kickoff", "pair_lo", "pair_hi")
-        .join(past, ["pair_lo", "pair_hi"])
-        .where(F.col("met_at") < F.col("kickoff"))
-        .withColumn("_n", F.row_number().over(newest))
-        .where(F.col("_n") <= meetings)
-        .groupBy("fixture_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_n", "met_id", "met_at", "met_hg", "met_ag"))).alias("h2h"))
-    )
-    sides = w.select("fixture_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
-    hurt = sides.join(active_injuries(injuries), "team_id").groupBy("fixture_id").agg(F.count("*").alias("injuries"))
+    pair = ["pair_lo", "pair_hi"]
+    keyed = {"pair_lo": F.least("home_team_id", "away_team_id"), "pair_hi": F.greatest("home_team_id", "away_team_id")}
+    w = wanted.select("fixture_id", "kickoff", "home_team_id", "away_team_id", *LEAGUE).withColumns(keyed)
+    w = w.withColumn("at", X.instant("kickoff"))
+    past = played.withColumns(keyed).withColumn("at", X.instant("kickoff"))
+    lists = H.recent_lists(past, pair, meetings, ["home_team_id", "home_goals", "away_goals"], "met")
+    met = H.as_of(w.select(*pair, "at").distinct(), [lists], pair, ["met"])
+    out = w.join(met, [*pair, "at"], "left").withColumn("h2h", F.col("met")["items"]).drop("met", "at", *pair)
+    hurt = active_injuries(injuries).groupBy("team_id").agg(F.count("*").alias("n"))
+    for s in SIDES:
+        own = hurt.select(F.col("team_id").alias(f"{s}_team_id"), F.col("n").alias(f"{s}_injuries"))
+        out = out.join(own, f"{s}_team_id", "left").withColumn(f"{s}_injuries", F.coalesce(f"{s}_injuries", F.lit(0)))
     line = lineups.groupBy("fixture_id").agg(F.count("*").alias("lineups"))
     p = predictions.join(explanations, "prediction_id", "left")
-    out = w.join(h2h, "fixture_id", "left").join(hurt, "fixture_id", "left").join(line, "fixture_id", "left")
-    return out.join(p.drop(*[c for c in p.columns if c in w.columns and c != "fixture_id"]), "fixture_id", "left")
+    p = p.drop(*[c for c in p.columns if c in out.columns and c != "fixture_id"])
+    return out.join(line, "fixture_id", "left").join(p, "fixture_id", "left")
 
 
 def evaluate_pending(predictions: DataFrame, played: DataFrame, outcomes: DataFrame) -> DataFrame:
