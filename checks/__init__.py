@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("features", "scores", "reads_", "training")
+AREAS = ("features", "scores", "reads_", "training", "ingest_")
 
 
 def load():

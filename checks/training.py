@@ -338,18 +338,23 @@ _GRID = ", ".join(f"({i}, {h}, {b})" for i, (h, b) in enumerate((h, b) for h in
     "m3_elo_grid_search",
     "i:fold_id,val_n d:hfa,beta_1,val_log_loss",
     with_sql(
-        MATCHES, FIN, ELO_CTE, _LINE, _walk_sql("expanding"), _MEMBERS,
+        MATCHES, FIN, ELO_CTE.replace("elo AS (", "elo AS MATERIALIZED ("), _LINE, _walk_sql("expanding"),
+        _MEMBERS.replace("'train'", "1").replace("'val'", "2").replace("'test'", "3"),
         f"""grid AS (SELECT * FROM (VALUES {_GRID}) AS t(g, hfa, beta)),
-        betas AS (SELECT fold_id, ln(greatest(avg(home_goals), 0.1)) AS bh, ln(greatest(avg(away_goals), 0.1)) AS ba FROM members WHERE block = 'train' GROUP BY 1),
+        betas AS (SELECT fold_id, ln(greatest(avg(home_goals), 0.1)) AS bh, ln(greatest(avg(away_goals), 0.1)) AS ba FROM members WHERE block = 1 GROUP BY 1),
         rates AS (SELECT m.fold_id * 1000000000000 + m.fixture_id * 10 + g AS key, m.fold_id, m.fixture_id, g, hfa, beta, m.home_goals, m.away_goals,
           exp(bh + beta * (CAST(CAST(eh AS FLOAT) AS DOUBLE) + hfa - CAST(CAST(ea AS FLOAT) AS DOUBLE))) AS lh,
           exp(ba - beta * (CAST(CAST(eh AS FLOAT) AS DOUBLE) + hfa - CAST(CAST(ea AS FLOAT) AS DOUBLE))) AS la
-          FROM members m JOIN betas USING (fold_id) JOIN elo USING (fixture_id) CROSS JOIN grid WHERE m.block = 'val')""",
-        _POIS,
-        """losses AS (SELECT fold_id, g, hfa, beta, count(*) AS n, avg(-ln(CASE WHEN home_goals > away_goals THEN ph WHEN home_goals = away_goals THEN pd ELSE pa END)) AS loss
-          FROM rates JOIN probs USING (key) GROUP BY 1, 2, 3, 4)""",
+          FROM members m JOIN betas USING (fold_id) JOIN elo USING (fixture_id) CROSS JOIN grid WHERE m.block = 2)""",
+        """tails AS (SELECT *, list_transform(range(0, 11), lambda i: exp(-lh + i * ln(lh) - lgamma(i + 1))) AS hp,
+          list_transform(range(0, 11), lambda i: exp(-la + i * ln(la) - lgamma(i + 1))) AS ap FROM rates),
+        probs AS (SELECT fold_id, g, hfa, beta, home_goals, away_goals, list_sum(hp) * list_sum(ap) AS total,
+          list_sum(list_transform(range(2, 12), lambda i: hp[i] * list_sum(ap[1:i - 1]))) AS ph,
+          list_sum(list_transform(range(1, 12), lambda i: hp[i] * ap[i])) AS pd FROM tails),
+        losses AS (SELECT fold_id, g, hfa, beta, count(*) AS n, avg(-ln(CASE WHEN home_goals > away_goals THEN ph / total
+          WHEN home_goals = away_goals THEN pd / total ELSE 1 - (ph + pd) / total END)) AS loss FROM probs GROUP BY 1, 2, 3, 4)""",
         recursive=True,
-        answer="SELECT fold_id, arg_min(hfa, loss) AS hfa, arg_min(beta, loss) AS beta_1, min(loss) AS val_log_loss, any_value(n) AS val_n FROM losses GROUP BY fold_id",
+        answer="SELECT fold_id, n AS val_n, hfa, beta AS beta_1, loss AS val_log_loss FROM (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY loss, g) AS rn FROM losses) WHERE rn = 1",
     ),
 )
 def elo_grid(spark, folder):
