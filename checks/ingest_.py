@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import FIN, MATCHES, PREDICTIONS, query, with_sql
+from checks.features import ELO_CTE
 from checks.scores import EVAL_CTES, done_outcomes, fold_metrics, stored_predictions
 from touchline.functions import names as N
 from touchline.functions import scalars as X
@@ -900,16 +901,21 @@ def run_identity(spark, folder):
 # --- streams --------------------------------------------------------------------------------
 
 
-def _land(spark, df, by, name):
-    """Write rows as one folder of files in event order."""
+FILES = 4
+
+
+def _land(spark, df, period, name):
+    """Land rows period by period, FILES files each, so that a trigger of FILES files takes one period."""
     path = scratch_path(spark, name)
-    df.repartitionByRange(6, by).sortWithinPartitions(by).write.parquet(path)
+    periods = sorted(r[0] for r in df.select(period.alias("p")).distinct().collect())
+    for p in periods:
+        df.where(period == p).repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
 def _match_stream(spark, folder):
     updates = match_updates(spark, folder)
-    return SI.landed(spark, _land(spark, updates, "kickoff_time", "landed"), updates.schema, 2)
+    return SI.landed(spark, _land(spark, updates, F.floor(F.year("kickoff_time") / 3), "landed"), updates.schema, FILES)
 
 
 def _newest(spark, table):
@@ -942,7 +948,7 @@ def late_results(spark, folder):
     """Each update sent twice: repeats drop inside the look-back, nothing at or after the cutoff enters."""
     updates = match_updates(spark, folder)
     twice = updates.unionByName(updates)
-    stream = SI.before_cutoff(SI.landed(spark, _land(spark, twice, "kickoff_time", "landed"), twice.schema, 2), "2000-01-01 00:00:00")
+    stream = SI.before_cutoff(SI.landed(spark, _land(spark, twice, F.year("kickoff_time"), "landed"), twice.schema, FILES), "2000-01-01 00:00:00")
     out, mark = scratch_path(spark, "settled"), scratch_path(spark, "checkpoint")
     SI.settle_late(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(updates.schema).parquet(out)
@@ -950,12 +956,14 @@ def late_results(spark, folder):
 
 @query(
     "r4_streaming_ratings",
-    "i:competition_id,season_id b:late i:fixture_id d:home_elo,away_elo",
+    "i:competition_id,season_id,fixture_id b:late d:home_elo,away_elo",
+    with_sql(MATCHES, FIN, ELO_CTE, recursive=True, answer="""SELECT f.competition_id, f.season_id, f.fixture_id, FALSE AS late, e.eh AS home_elo, e.ea AS away_elo
+    FROM fin f JOIN elo e USING (fixture_id) WHERE f.kickoff < (SELECT max(kickoff) FROM fin) - INTERVAL 6 HOUR"""),
 )
 def streaming_ratings(spark, folder):
     """Pre-match ratings of a stream of results in kickoff order."""
     p = H.finished(T.matches(spark, folder)).select("fixture_id", *N.LEAGUE, "home_team_id", "away_team_id", "kickoff", "home_goals", "away_goals")
-    stream = SI.landed(spark, _land(spark, p, "kickoff", "results"), p.schema, 2)
+    stream = SI.landed(spark, _land(spark, p, F.col("season_id"), "results"), p.schema, FILES)
     out, mark = scratch_path(spark, "ratings"), scratch_path(spark, "checkpoint")
     SE.rating_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
@@ -970,7 +978,7 @@ def streaming_ratings(spark, folder):
 def streaming_counters(spark, folder):
     """Events per job and day from a stream, as the watermark closes each day."""
     e = T.table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("job"))
-    stream = SI.landed(spark, _land(spark, e, "ts", "events"), e.schema, 2)
+    stream = SI.landed(spark, _land(spark, e, F.weekofyear("ts"), "events"), e.schema, FILES)
     out, mark = scratch_path(spark, "counts"), scratch_path(spark, "checkpoint")
     SI.tumbling_counts(stream, "ts", "1 day", "job").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)

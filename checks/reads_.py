@@ -271,11 +271,11 @@ def bulk_lookup(spark, folder):
     return rows.join(keys, "custkey", "left_semi")
 
 
-@query("p17_list_key_lookup", "i:nationkey s:name", "SELECT n_nationkey AS nationkey, n_name AS name FROM nation WHERE n_nationkey IN (3, 7, 99)")
+@query("p17_list_key_lookup", "i:custkey s:name", "SELECT c_custkey AS custkey, c_name AS name FROM customer WHERE c_custkey IN (3, 7, 1000000007)")
 def list_lookup(spark, folder):
     """Rows of a short key list; an unknown key gives no row."""
-    rows = T.table(spark, folder, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("name"))
-    return Rd.by_keys(rows, "nationkey", [3, 7, 99])
+    rows = T.table(spark, folder, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"))
+    return Rd.by_keys(rows, "custkey", [3, 7, 1000000007])
 
 
 @query(

@@ -533,10 +533,12 @@ def fold_seed(spark, folder):
 
 @query(
     "o8_feature_partition",
-    "s:feature b:home_head,away_head",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {c.startswith('home_') or c in N.SHARED}, {c.startswith('away_') or c in N.SHARED})" for c in N.FEATURES) + ") AS t(feature, home_head, away_head) WHERE (SELECT count(*) FROM orders) > 0",
+    "s:feature b:home_head,away_head i:present",
+    with_sql(*EXAMPLE_CTES, EXAMPLES, recursive=True, answer=" UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {c.startswith('home_') or c in N.SHARED} AS home_head, {c.startswith('away_') or c in N.SHARED} AS away_head, count({c}) AS present FROM ex" for c in N.FEATURES)),
 )
 def feature_partition(spark, folder):
-    """Which head reads which feature of the stored dataset."""
-    names = rows(spark, folder).select(*N.FEATURES).columns
-    return spark.createDataFrame([(c, c in N.HEAD["home"], c in N.HEAD["away"]) for c in names], "feature string, home_head boolean, away_head boolean")
+    """Which head reads which feature, and how many rows carry it."""
+    counts = rows(spark, folder).agg(*[F.count(c).alias(c) for c in N.FEATURES])
+    entries = [F.struct(F.lit(c).alias("feature"), F.lit(c in N.HEAD["home"]).alias("home_head"), F.lit(c in N.HEAD["away"]).alias("away_head"), F.col(c).alias("present")) for c in N.FEATURES]
+    return counts.select(F.explode(F.array(*entries)).alias("e")).select("e.*")

@@ -175,8 +175,8 @@ def pmf_map(rate: Column, max_goals: int) -> Column:
     return F.map_from_arrays(F.sequence(F.lit(0), F.lit(max_goals)), poisson_pmf(rate, max_goals))
 
 
-def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10) -> Column:
-    """Struct (home, draw, away) from two independent Poisson rates.
+def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10, label: Column | None = None) -> Column:
+    """Struct (home, draw, away) from two independent Poisson rates, or one class's probability.
 
     One pass over the goal counts carries both running tails, so the cost is linear in the number of
     terms. Rates above ``max_goals`` widen the range to five deviations, at most 60 terms.
@@ -206,11 +206,10 @@ def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10
     def finish(s: Column) -> Column:
         total = s["h"] + s["d"] + s["a"]
         scale = F.when((F.abs(total - 1.0) <= 1e-9) | (total <= 1e-12), F.lit(1.0)).otherwise(total)
-        return F.struct(
-            (s["h"] / scale).alias("home"),
-            (s["d"] / scale).alias("draw"),
-            F.when(total <= 1e-12, F.lit(1.0) - s["h"] - s["d"]).otherwise(s["a"] / scale).alias("away"),
-        )
+        away = F.when(total <= 1e-12, F.lit(1.0) - s["h"] - s["d"]).otherwise(s["a"] / scale)
+        if label is not None:
+            return pick3(label, s["h"] / scale, s["d"] / scale, away)
+        return F.struct((s["h"] / scale).alias("home"), (s["d"] / scale).alias("draw"), away.alias("away"))
 
     valid = finite(home_rate) & finite(away_rate) & (home_rate > 0) & (away_rate > 0)
     folded = F.aggregate(F.sequence(F.lit(0), terms.cast("int")), start, step, finish)

@@ -77,7 +77,7 @@ def elo_forecast_folds(rows: DataFrame, folds: list[dict], max_goals: int = 10)
     table = spark.createDataFrame(params, "fold_id long, b_h double, b_a double, hfa double, b_1 double, val_log_loss double")
     home, away = Mo.elo_rates(*[F.col(c) for c in ("b_h", "b_a", "hfa", "b_1")])
     wanted = member.where(F.col("block") != "train").join(F.broadcast(table), "fold_id")
-    return wanted.withColumns(Mo.rate_columns(home, away, max_goals)).select(
+    return Mo.with_rates(wanted, home, away, max_goals).select(
         "fold_id",
         "block",
         *_KEEP,

@@ -35,15 +35,16 @@ def elo_rates(beta_home: Column, beta_away: Column, hfa: Column, beta: Column) -
     return F.exp(F.least(beta_home + beta * edge, cap)), F.exp(F.least(beta_away - beta * edge, cap))
 
 
-def rate_columns(home: Column, away: Column, max_goals: int) -> dict[str, Column]:
-    o = X.outcome_from_rates(home, away, max_goals)
-    return {
-        "expected_home_goals": home,
-        "expected_away_goals": away,
-        "p_home_win": o["home"],
-        "p_draw": o["draw"],
-        "p_away_win": o["away"],
-    }
+def with_rates(df: DataFrame, home: Column, away: Column, max_goals: int) -> DataFrame:
+    """Add expected goals and the outcome probabilities; the goal fold runs once per row."""
+    names = [f"expected_{s}_goals" for s in N.SIDES]
+    rated = df.withColumns(dict(zip(names, (home, away))))
+    o = F.col("_o")
+    return (
+        rated.withColumn("_o", X.outcome_from_rates(*[F.col(n) for n in names], max_goals))
+        .withColumns({"p_home_win": o["home"], "p_draw": o["draw"], "p_away_win": o["away"]})
+        .drop("_o")
+    )
 
 
 def with_valid_elo(df: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def elo_grid_losses(rows: DataFrame, by: list[str], max_goals: int = 10) -> Data
     for i, hfa in enumerate(GRID_HFA):
         for j, beta in enumerate(GRID_BETA):
             home, away = elo_rates(F.col("beta_0_home"), F.col("beta_0_away"), F.lit(float(hfa)), F.lit(beta))
-            o = X.outcome_from_rates(home, away, max_goals)
-            aggs.append(F.avg(-X.clipped_log(X.pick3(label, o["home"], o["draw"], o["away"]))).alias(f"l{i}{j}"))
+            truth = X.outcome_from_rates(home, away, max_goals, label)
+            aggs.append(F.avg(-X.clipped_log(truth)).alias(f"l{i}{j}"))
     return rows.groupBy(*by, "beta_0_home", "beta_0_away").agg(F.count("*").alias("val_n"), *aggs)
 
 
@@ -81,7 +82,7 @@ class EloModel:
     def transform(self, df: DataFrame) -> DataFrame:
         h = self.hyper
         home, away = elo_rates(*[F.lit(float(h[k])) for k in ("beta_0_home", "beta_0_away", "HFA", "beta_1")])
-        return df.withColumns(rate_columns(home, away, h["max_goals"]))
+        return with_rates(df, home, away, h["max_goals"])
 
     def save(self, path: str) -> None:
         """The whole model is its hyperparameters, which the registry row stores."""
@@ -167,7 +168,7 @@ class PoissonModel:
         for s in N.SIDES:
             r = F.col(f"_r_{s}")
             rates.append(F.when(X.finite(r) & (r > 0), F.least(r, F.lit(1e6))).otherwise(F.lit(0.1)))
-        return df.withColumns(rate_columns(*rates, self.max_goals)).drop("_r_home", "_r_away")
+        return with_rates(df, *rates, self.max_goals).drop("_r_home", "_r_away")
 
     def save(self, path: str) -> None:
         for s, m in self.heads.items():
