@@ -48,7 +48,7 @@ def fold_ratings(
 
 
 def _league_fold(k: float, hfa: float):
-    def run(key, games: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, games: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         ratings = dict(zip(start["team_id"], start["rating"]))
         ordered = games.sort_values(["at", "fixture_id"], kind="stable")
         rows = [(t, at, r, False) for t, at, r in fold_ratings(ordered, ratings, k, hfa)]

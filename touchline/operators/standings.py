@@ -42,7 +42,7 @@ def table_as_of(played: DataFrame, cutoff: str) -> DataFrame:
 _POSITION = "competition_id long, season_id long, team_id long, at long, position long, points long, goal_difference long"
 
 
-def _rank_block(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _rank_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Walk one block in time order: answer the probes of an instant, then apply its results.
 
     The table is a sorted list of (-points, -difference, -goals, team); a position is a binary

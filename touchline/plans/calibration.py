@@ -64,11 +64,11 @@ def fit_temperature(val: DataFrame, by: Sequence[str], groups: Sequence[tuple],
         mean = s[0] * lp[0] + s[1] * lp[1] + s[2] * lp[2]
         square = s[0] * lp[0] * lp[0] + s[1] * lp[1] * lp[1] + s[2] * lp[2] * lp[2]
         sums = current.groupBy(*by).agg(
-            F.avg(mean - X.pick3(F.col("label"), *lp)).alias("g"), F.avg(square - mean * mean).alias("h")
+            F.avg(mean - X.pick3(F.col("label"), *lp)).alias("_slope"), F.avg(square - mean * mean).alias("_curve")
         )
         for r in sums.collect():
             key = tuple(r[b] for b in by)
-            u, g, h = inverse[key], r["g"], r["h"]
+            u, g, h = inverse[key], r["_slope"], r["_curve"]
             if g > 0:
                 high[key] = u
             else:
@@ -103,15 +103,15 @@ def fit_dirichlet(
         aggs: dict[str, Column] = {}
         for j in range(3):
             for k in range(4):
-                aggs[f"g{j}{k}"] = F.avg((F.col(f"s{j}") - y[j]) * z[k])
+                aggs[f"_g{j}{k}"] = F.avg((F.col(f"s{j}") - y[j]) * z[k])
         for j in range(3):
             for m in range(j, 3):
                 curve = F.col(f"s{j}") * ((1.0 if j == m else 0.0) - F.col(f"s{m}"))
                 for k in range(4):
                     for n in range(k, 4):
-                        aggs[f"h{j}{m}{k}{n}"] = F.avg(curve * z[k] * z[n])
+                        aggs[f"_h{j}{m}{k}{n}"] = F.avg(curve * z[k] * z[n])
         with_s = current.withColumns({f"s{j}": s[j] for j in range(3)})
-        aggs["loss"] = F.avg(-F.log(F.greatest(X.pick3(F.col("label"), *[F.col(f"s{j}") for j in range(3)]), F.lit(X.EPS))))
+        aggs["_loss"] = F.avg(-F.log(F.greatest(X.pick3(F.col("label"), *[F.col(f"s{j}") for j in range(3)]), F.lit(X.EPS))))
         for r in with_s.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]).collect():
             key = tuple(r[b] for b in by)
             if _newton_step(state[key], r, l2):
@@ -127,7 +127,7 @@ def _newton_step(st: dict, r, l2: float) -> bool:
     """Accept or shorten the tried point, then set the next one; True when converged."""
     x = st["try"]
     penalty = x[:9] - np.eye(3).ravel()
-    loss = r["loss"] + l2 * float(penalty @ penalty)
+    loss = r["_loss"] + l2 * float(penalty @ penalty)
     if loss > st["loss"] + 1e-12 and st["damp"] > 1e-4:
         st["damp"] /= 2
         st["try"] = st["x"] - st["damp"] * st["step"]
@@ -137,13 +137,13 @@ def _newton_step(st: dict, r, l2: float) -> bool:
     grad, hess = np.zeros(12), np.zeros((12, 12))
     for j in range(3):
         for k in range(4):
-            grad[_position(j, k)] = r[f"g{j}{k}"]
+            grad[_position(j, k)] = r[f"_g{j}{k}"]
     for j in range(3):
         for m in range(3):
             for k in range(4):
                 for n in range(4):
                     lo, hi, a, b = min(j, m), max(j, m), min(k, n), max(k, n)
-                    hess[_position(j, k), _position(m, n)] = r[f"h{lo}{hi}{a}{b}"]
+                    hess[_position(j, k), _position(m, n)] = r[f"_h{lo}{hi}{a}{b}"]
     grad[:9] += 2 * l2 * penalty
     hess[:9, :9] += 2 * l2 * np.eye(9)
     st["step"] = np.linalg.pinv(hess, rcond=1e-12) @ grad
