@@ -188,19 +188,23 @@ def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10
         widest > max_goals,
         F.greatest(F.lit(max_goals), F.least(F.ceil(widest + 5 * F.sqrt(widest)), F.lit(MAX_GOAL_TERMS))),
     ).otherwise(F.lit(max_goals))
-    table = _log_factorials(MAX_GOAL_TERMS)
+    h0, a0 = F.exp(-lh), F.exp(-la)
     zero = F.lit(0.0)
-    start = F.struct(*[zero.alias(n) for n in ("h", "d", "a", "ch", "ca")])
+    start = F.struct(
+        zero.alias("h"), (h0 * a0).alias("d"), zero.alias("a"), h0.alias("ch"), a0.alias("ca"), h0.alias("ph"), a0.alias("pa")
+    )
 
     def step(s: Column, k: Column) -> Column:
-        ph = F.exp(-lh + k * F.log(lh) - F.get(table, k))
-        pa = F.exp(-la + k * F.log(la) - F.get(table, k))
+        # P(k) = P(k - 1) * rate / k
+        ph, pa = s["ph"] * lh / k, s["pa"] * la / k
         return F.struct(
             (s["h"] + ph * s["ca"]).alias("h"),
             (s["d"] + ph * pa).alias("d"),
             (s["a"] + pa * s["ch"]).alias("a"),
             (s["ch"] + ph).alias("ch"),
             (s["ca"] + pa).alias("ca"),
+            ph.alias("ph"),
+            pa.alias("pa"),
         )
 
     def finish(s: Column) -> Column:
@@ -212,7 +216,7 @@ def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10
         return F.struct((s["h"] / scale).alias("home"), (s["d"] / scale).alias("draw"), away.alias("away"))
 
     valid = finite(home_rate) & finite(away_rate) & (home_rate > 0) & (away_rate > 0)
-    folded = F.aggregate(F.sequence(F.lit(0), terms.cast("int")), start, step, finish)
+    folded = F.aggregate(F.sequence(F.lit(1), terms.cast("int")), start, step, finish)
     return F.when(valid, folded)
 
 

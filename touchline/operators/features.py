@@ -168,8 +168,9 @@ def team_states(
         ("elo",): lambda: ratings.rating_states(played),
         ("snapshot",): lambda: snapshots(team_stats),
     }
-    chosen = {names: make() for names, make in makers.items() if kinds & set(names)}
-    out = H.as_of(wanted, list(chosen.values()), N.TEAM, [n for names in chosen for n in names]) if chosen else wanted
+    states = [make() for names, make in makers.items() if kinds & set(names)]
+    wanted_kinds = [n for names in makers for n in names if n in kinds]
+    out = H.as_of(wanted, states, N.TEAM, wanted_kinds) if states else wanted
     if "table" in kinds:
         place = standings.positions(played, wanted).select(
             *N.TEAM, "at", F.struct("position", "points", "goal_difference").alias("table")

@@ -104,42 +104,38 @@ def with_halo(rows: DataFrame, keys: Sequence[str], n: int, tie: str = "fixture_
     return blocked.withColumn("_halo", F.lit(False)).unionByName(carried.withColumn("_halo", F.lit(True)))
 
 
-def recent_states(
-    long: DataFrame, keys: Sequence[str], windows: Sequence[int], measures: Sequence[str], name: str
-) -> DataFrame:
-    """State after each (key, instant): sums of ``measures`` over the last n rows for each n.
+def with_recent(rows: DataFrame, keys: Sequence[str], windows: Sequence[int], measures: Sequence[str], name: str) -> DataFrame:
+    """Add the struct ``name`` to the last row of each (key, instant); NULL on all other rows.
 
-    The struct ``name`` holds ``seen`` (rows seen, capped for the caller's purposes at the largest
-    window), ``last_at`` and one struct ``last_<n>`` per window. Running sums and offsets keep the
-    cost per row constant whatever the window length.
+    The struct holds ``seen`` (rows seen, reliable up to the halo size), ``last_at`` and one struct
+    ``last_<n>`` per window with the sums over the last n rows. ``rows`` comes from ``with_halo``. Running
+    sums and offsets keep the cost per row constant whatever the window length.
     """
-    top = max(windows)
-    base = long.select(*keys, "at", "fixture_id", *measures)
-    rows = with_halo(reachable(base, keys, top), keys, top)
     order = Window.partitionBy(*keys, "_block").orderBy(F.asc("at"), F.desc("fixture_id"))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = rows.withColumns(
-        {
-            "_seen": F.row_number().over(order),
-            "_run": F.struct(*[F.sum(m).over(upto).alias(m) for m in measures]),
-            "_next": F.lead("at").over(order),
-        }
-    ).withColumns({f"_lag{n}": F.lag("_run", n).over(order) for n in windows})
-    closing = run.where(~F.col("_halo") & (F.col("_next").isNull() | (F.col("_next") != F.col("at"))))
-    state = F.struct(
-        F.col("_seen").alias("seen"),
-        F.col("at").alias("last_at"),
-        *[
-            F.struct(
-                *[
-                    (F.col("_run")[m] - F.coalesce(F.col(f"_lag{n}")[m], F.lit(0))).alias(m)
-                    for m in measures
-                ]
-            ).alias(f"last_{n}")
-            for n in windows
-        ],
-    )
-    return closing.select(*keys, "at", state.alias(name))
+    own = list(rows.columns)
+    run = rows.select(
+        *own,
+        F.row_number().over(order).alias("_seen"),
+        F.lead("at").over(order).alias("_next"),
+        *[F.sum(m).over(upto).alias(f"_run_{m}") for m in measures],
+    ).select("*", *[F.lag(f"_run_{m}", n, 0).over(order).alias(f"_lag{n}_{m}") for n in windows for m in measures])
+    sums = [
+        F.struct(*[(F.col(f"_run_{m}") - F.col(f"_lag{n}_{m}")).alias(m) for m in measures]).alias(f"last_{n}")
+        for n in windows
+    ]
+    state = F.struct(F.col("_seen").alias("seen"), F.col("at").alias("last_at"), *sums)
+    closing = ~F.col("_halo") & (F.col("_next").isNull() | (F.col("_next") != F.col("at")))
+    return run.select(*own, F.when(closing, state).alias(name))
+
+
+def recent_states(
+    long: DataFrame, keys: Sequence[str], windows: Sequence[int], measures: Sequence[str], name: str
+) -> DataFrame:
+    """State after each (key, instant): sums of ``measures`` over the last n rows for each n."""
+    top = max(windows)
+    rows = with_halo(reachable(long.select(*keys, "at", "fixture_id", *measures), keys, top), keys, top)
+    return with_recent(rows, keys, windows, measures, name).where(F.col(name).isNotNull()).select(*keys, "at", name)
 
 
 def recent_lists(rows: DataFrame, keys: Sequence[str], n: int, fields: Sequence[str], name: str) -> DataFrame:
