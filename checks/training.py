@@ -388,7 +388,11 @@ def identity(spark, folder):
     return Cal.apply(f, p, ["model_version_id"])
 
 
-@query("m8_temperature_fit", "i:model_version_id b:inside_bounds,is_minimum")
+@query(
+    "m8_temperature_fit",
+    "i:model_version_id b:inside_bounds,is_minimum",
+    with_sql(*CTES, answer="SELECT DISTINCT model_version_id, TRUE AS inside_bounds, TRUE AS is_minimum FROM sc"),
+)
 def temperature(spark, folder):
     """Fitted temperature per model version: inside its bounds and no worse than its neighbours."""
     f = forecasts(spark, folder)
@@ -407,7 +411,11 @@ def temperature(spark, folder):
     return scored.select("model_version_id", F.col("t").between(Cal.T_MIN, Cal.T_MAX).alias("inside_bounds"), ((F.col("at") <= F.col("above")) & ((F.col("at") <= F.col("below")) | (F.col("t") >= Cal.T_MAX))).alias("is_minimum"))
 
 
-@query("m9_dirichlet_fit", "i:model_version_id,rows b:simplex,no_worse_than_identity")
+@query(
+    "m9_dirichlet_fit",
+    "i:model_version_id,rows b:simplex,no_worse_than_identity",
+    with_sql(*CTES, answer="SELECT model_version_id, count(*) AS rows, TRUE AS simplex, TRUE AS no_worse_than_identity FROM sc GROUP BY 1"),
+)
 def dirichlet(spark, folder):
     """Dirichlet calibration per model version: stays a simplex and lowers the log loss."""
     f = forecasts(spark, folder)
@@ -430,6 +438,28 @@ def poisson_regression(spark, folder):
     return Mo.PoissonTrainer().fit(r).transform(r)
 
 
+@query(
+    "m4_poisson_stationary_point",
+    "s:feature i:train_rows b:gradient_is_zero",
+    with_sql(*EXAMPLE_CTES, EXAMPLES, recursive=True, answer=" UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) AS train_rows, TRUE AS gradient_is_zero FROM ex WHERE {' AND '.join(f'{x} IS NOT NULL' for x in N.HEAD['home'])}" for c in N.HEAD["home"])),
+)
+def poisson_stationary(spark, folder):
+    """At the fitted home head the penalised gradient vanishes for every feature."""
+    r = rows(spark, folder)
+    trainer = Mo.PoissonTrainer()
+    model = trainer.fit(r)
+    weights = dict(zip(N.HEAD["home"], model.heads["home"].coefficients.toArray().tolist()))
+    seen = model.transform(r.dropna(subset=N.HEAD["home"]))
+    miss = F.col("expected_home_goals") - F.col("home_goals")
+    x = {c: F.col(c).cast("float").cast("double") for c in N.HEAD["home"]}
+    # Relative to the spread of the feature, since columns range from goal means to ratings.
+    flat = {c: F.abs(F.avg(miss * x[c]) + trainer.l2 * weights[c]) <= 1e-4 * (1.0 + F.avg(F.abs(x[c]))) for c in x}
+    sums = seen.agg(F.count("*").alias("train_rows"), *[v.alias(c) for c, v in flat.items()])
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("gradient_is_zero")) for c in flat]
+    return sums.select("train_rows", F.explode(F.array(*entries)).alias("e")).select("train_rows", "e.*")
+
+
 @query("m5_gradient_boosting", "i:fixture_id d:p_home_win,p_draw,p_away_win")
 def gradient_boosting(spark, folder):
     """Boosted trees over all 66 features; three rounds keep this registered run short."""

@@ -93,7 +93,7 @@ def _waves(games: DataFrame, fresh: DataFrame, step, chunks: int) -> DataFrame:
     cut = materialise(cut.withColumn("_chunk", F.spark_partition_id()), "elo-chunks")
     turn = F.dense_rank().over(Window.partitionBy(*LEAGUE).orderBy("_chunk")) - 1
     turns = cut.select(*LEAGUE, "_chunk").distinct().withColumn("_wave", turn)
-    cut = materialise(cut.join(turns, [*LEAGUE, "_chunk"]), "elo-waves")
+    cut = materialise(cut.join(turns, [*LEAGUE, "_chunk"]), "elo-waves", ("_wave",))
     last = cut.agg(F.max("_wave")).first()[0]
     root = scratch_path(spark, "elo-states")
     start = fresh
