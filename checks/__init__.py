@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("features", "scores", "reads_", "training", "ingest_")
+AREAS = ("features", "scores", "read_models", "training", "ingest")
 
 
 def load():
