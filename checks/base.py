@@ -43,6 +43,8 @@ def query(name: str, spec: str, sql: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            # Dates and instants of the derived tables are UTC whatever the session started with.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, folder).select(*[_SPARK[k](c).alias(c) for k, c in cols])
 
         run.__doc__ = fn.__doc__

@@ -913,6 +913,12 @@ def _land(spark, df, period, name):
     return path
 
 
+def _to_parquet(spark, stream, out, mark):
+    """Run a stateful stream over all landed files into a Parquet folder."""
+    with SI.state_partitions(spark):
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+
+
 def _match_stream(spark, folder):
     updates = match_updates(spark, folder)
     return SI.landed(spark, _land(spark, updates, F.floor(F.year("kickoff_time") / 3), "landed"), updates.schema, FILES)
@@ -950,7 +956,7 @@ def late_results(spark, folder):
     twice = updates.unionByName(updates)
     stream = SI.before_cutoff(SI.landed(spark, _land(spark, twice, F.year("kickoff_time"), "landed"), twice.schema, FILES), "2000-01-01 00:00:00")
     out, mark = scratch_path(spark, "settled"), scratch_path(spark, "checkpoint")
-    SI.settle_late(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    _to_parquet(spark, SI.settle_late(stream), out, mark)
     return spark.read.schema(updates.schema).parquet(out)
 
 
@@ -965,7 +971,7 @@ def streaming_ratings(spark, folder):
     p = H.finished(T.matches(spark, folder)).select("fixture_id", *N.LEAGUE, "home_team_id", "away_team_id", "kickoff", "home_goals", "away_goals")
     stream = SI.landed(spark, _land(spark, p, F.col("season_id"), "results"), p.schema, FILES)
     out, mark = scratch_path(spark, "ratings"), scratch_path(spark, "checkpoint")
-    SE.rating_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    _to_parquet(spark, SE.rating_stream(stream), out, mark)
     return spark.read.parquet(out)
 
 
@@ -980,5 +986,5 @@ def streaming_counters(spark, folder):
     e = T.table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("job"))
     stream = SI.landed(spark, _land(spark, e, F.weekofyear("ts"), "events"), e.schema, FILES)
     out, mark = scratch_path(spark, "counts"), scratch_path(spark, "checkpoint")
-    SI.tumbling_counts(stream, "ts", "1 day", "job").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    _to_parquet(spark, SI.tumbling_counts(stream, "ts", "1 day", "job"), out, mark)
     return spark.read.parquet(out)

@@ -6,7 +6,8 @@ the same rows, so a restart after a lost executor or driver changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,22 @@ from touchline.operators import upsert as U
 LOOK_BACK = "6 hours"
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
+    """Number of state partitions for streams started inside: one per core unless given.
+
+    A stateful stream keeps the number it first started with, and adaptive execution does not merge
+    its partitions, so the batch default is rarely right for it.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class VersionedTable:
     """A table whose versions are folders named after the batch that wrote them."""
 
