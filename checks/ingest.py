@@ -54,7 +54,8 @@ def _status_sql(mapping, code):
 
 # --- payloads -------------------------------------------------------------------------------
 
-KEY = F.col("o_orderkey")
+def order_key():
+    return F.col("o_orderkey")
 
 
 def payload_a(spark, folder):
@@ -63,25 +64,25 @@ def payload_a(spark, folder):
     m = T.matches(spark, folder).select("fixture_id", "competition_id", "season_id", "home_team_id", "away_team_id", "kickoff")
     price = F.floor("o_totalprice").cast("long")
     iso = F.date_format("kickoff", "yyyy-MM-dd'T'HH:mm:ss")
-    written = F.when(KEY % 3 == 0, F.concat(iso, F.lit("Z"))).when(KEY % 3 == 1, F.concat(iso, F.lit("+00:00"))).otherwise(iso)
+    written = F.when(order_key() % 3 == 0, F.concat(iso, F.lit("Z"))).when(order_key() % 3 == 1, F.concat(iso, F.lit("+00:00"))).otherwise(iso)
     unset = F.lit(None).cast("string")
     x = o.join(m, o.o_orderkey == m.fixture_id)
     entry = F.struct(
         F.struct(
-            F.when(KEY % 101 != 0, KEY.cast("string")).otherwise(F.lit("n/a")).alias("id"),
-            F.when(KEY % 97 != 0, written).alias("date"),
-            F.struct(_pick(CODES_A, KEY % len(CODES_A)).alias("short")).alias("status"),
+            F.when(order_key() % 101 != 0, order_key().cast("string")).otherwise(F.lit("n/a")).alias("id"),
+            F.when(order_key() % 97 != 0, written).alias("date"),
+            F.struct(_pick(CODES_A, order_key() % len(CODES_A)).alias("short")).alias("status"),
             F.struct(F.concat(F.lit("Ground "), F.col("home_team_id")).alias("name")).alias("venue"),
         ).alias("fixture"),
         F.struct(
             F.col("competition_id").alias("id"),
-            F.when(KEY % 103 != 0, F.col("season_id")).otherwise(F.lit(0)).alias("season"),
-            F.when(KEY % 7 != 0, F.concat(F.lit("Regular Season - "), KEY % 38 + 1)).otherwise(F.lit("Final")).alias("round"),
+            F.when(order_key() % 103 != 0, F.col("season_id")).otherwise(F.lit(0)).alias("season"),
+            F.when(order_key() % 7 != 0, F.concat(F.lit("Regular Season - "), order_key() % 38 + 1)).otherwise(F.lit("Final")).alias("round"),
         ).alias("league"),
         F.struct(F.struct(F.col("home_team_id").alias("id")).alias("home"), F.struct(F.col("away_team_id").alias("id")).alias("away")).alias("teams"),
         F.struct(
             F.when(F.col("o_orderstatus") != "P", price % 5).alias("home"),
-            F.when((F.col("o_orderstatus") != "P") & (KEY % 11 != 0), (price + KEY) % 4).alias("away"),
+            F.when((F.col("o_orderstatus") != "P") & (order_key() % 11 != 0), (price + order_key()) % 4).alias("away"),
         ).alias("goals"),
     )
     return pages(x.select("o_orderkey", entry.alias("e")), "o_orderkey")
@@ -135,19 +136,19 @@ def payload_b(spark, folder):
     """Second match format."""
     o = T.table(spark, folder, "orders")
     m = T.matches(spark, folder)
-    code = _pick(CODES_B, KEY % len(CODES_B))
+    code = _pick(CODES_B, order_key() % len(CODES_B))
     entry = F.struct(
-        KEY.alias("id"),
+        order_key().alias("id"),
         F.col("competition_id").alias("league_id"),
         (F.col("season_id") + 100).alias("season_id"),
         F.date_format("kickoff", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("event_date"),
-        F.when(KEY % 2 == 0, F.upper(code)).otherwise(code).alias("status"),
+        F.when(order_key() % 2 == 0, F.upper(code)).otherwise(code).alias("status"),
         F.col("home_goals").alias("home_score"),
-        F.when(KEY % 13 != 0, F.col("away_goals")).alias("away_score"),
+        F.when(order_key() % 13 != 0, F.col("away_goals")).alias("away_score"),
         F.col("home_team_id"),
         F.col("away_team_id"),
-        (KEY % 38 + 1).alias("round_number"),
-        F.when(KEY % 5 == 0, F.lit("2031")).alias("season_year"),
+        (order_key() % 38 + 1).alias("round_number"),
+        F.when(order_key() % 5 == 0, F.lit("2031")).alias("season_year"),
     )
     x = o.select("o_orderkey").join(m, o.o_orderkey == m.fixture_id)
     return pages(x.select("o_orderkey", entry.alias("e")), "o_orderkey", "results")
@@ -459,9 +460,9 @@ def lineup_rows(spark, folder):
 def safe_parsing(spark, folder):
     """Integers, offset timestamps and date prefixes out of text; anything else is NULL."""
     o = T.table(spark, folder, "orders")
-    text = F.when(KEY % 5 != 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.lit("soon"))
-    number = F.when(KEY % 4 != 0, KEY.cast("string")).otherwise(F.lit("n/a"))
-    return o.select(KEY.alias("order_key"), X.to_long(number).alias("number"), X.iso_timestamp(text).alias("at"), X.iso_date(text).alias("day"))
+    text = F.when(order_key() % 5 != 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.lit("soon"))
+    number = F.when(order_key() % 4 != 0, order_key().cast("string")).otherwise(F.lit("n/a"))
+    return o.select(order_key().alias("order_key"), X.to_long(number).alias("number"), X.iso_timestamp(text).alias("at"), X.iso_date(text).alias("day"))
 
 
 # --- resolution -----------------------------------------------------------------------------
