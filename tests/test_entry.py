@@ -9,3 +9,15 @@ def test_registry_loads_without_a_session():
     """The SQL and the query list must be readable before any Spark session exists."""
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 150"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=60)
+
+
+def test_entry_runs_from_another_folder(tmp_path):
+    """Workers that cannot import the package still run its Python functions."""
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r})\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[4]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+        "assert e.entry(s).count() > 0\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300, stderr=subprocess.DEVNULL)
