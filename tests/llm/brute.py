@@ -47,3 +47,35 @@ def secrets(text):
     count = Counter(x[3] for x in found)
     joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in found)
     return count["assign"], count["access"], count["hex"], hashlib.sha256(joined.encode()).hexdigest()
+
+
+def shingles(text):
+    words = SPACED.findall(lower(text))
+    if not words:
+        return set()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def jaccard_components(docs):
+    """docs: list of (id, text). Returns id -> (set size, smallest linked id), by an inverted index over all tokens."""
+    sets = [shingles(t) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    index = {}
+    for i, s in enumerate(sets):
+        overlap = Counter(j for x in s for j in index.get(x, ()))
+        for j, n in overlap.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                parent[root(i)] = root(j)
+        for x in s:
+            index.setdefault(x, []).append(i)
+    low = {}
+    for i, (d, _) in enumerate(docs):
+        low[root(i)] = min(low.get(root(i), d), d)
+    return {d: (len(sets[i]), low[root(i)]) for i, (d, _) in enumerate(docs)}
