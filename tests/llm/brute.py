@@ -79,3 +79,25 @@ def jaccard_components(docs):
     for i, (d, _) in enumerate(docs):
         low[root(i)] = min(low.get(root(i), d), d)
     return {d: (len(sets[i]), low[root(i)]) for i, (d, _) in enumerate(docs)}
+
+
+def repeats(docs, length=200):
+    """docs: list of (id, text). Returns [(id, n_bytes, n_removed, n_spans, sha256 of the rest)]."""
+    raws = [(d, (t or "").encode()) for d, t in docs]
+    seen = Counter(raw[i : i + length] for _, raw in raws for i in range(len(raw) - length + 1))
+    out = []
+    for d, raw in raws:
+        covered, kept, spans, until = 0, bytearray(), 0, 0
+        inside = False
+        for i in range(len(raw)):
+            if i + length <= len(raw) and seen[raw[i : i + length]] > 1:
+                until = i + length
+            if i < until:
+                covered += 1
+                spans += not inside
+                inside = True
+            else:
+                kept.append(raw[i])
+                inside = False
+        out.append((d, len(raw), covered, spans, hashlib.sha256(bytes(kept)).hexdigest()))
+    return out
