@@ -141,16 +141,15 @@ def phrases(coded: list[np.ndarray], model: dict) -> np.ndarray:
     return np.stack([np.bincount(owner, weights=row, minlength=len(coded)) for row in count])
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score (1 - best / second best cross entropy)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(build(sample(docs, id_col, text_col, lang_col)))
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Every row as a struct ``doc`` with lang_pred and score (1 - best / second best cross entropy)."""
+    shared = docs.sparkSession.sparkContext.broadcast(build(sample(docs, id_col, text_col, lang_col)))
 
     def decide(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
-        coded = [classes(t or "", model["classes"]) for t in texts]
-        lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         if not model["langs"]:
             return [("und", 0.0)] * len(texts)
+        coded = [classes(t or "", model["classes"]) for t in texts]
+        lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         chars = np.maximum(1, [len(c) for c in coded])
         cost = phrases(coded, model) * model["bits"][:, None] / chars
         ranked = np.sort(cost, axis=0)
@@ -161,7 +160,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def predict(batches):
         model = shared.value
         for batch in batches:
-            texts, got, begin = batch.column(1).to_pylist(), [], 0
+            texts, got, begin = batch.column(0).field(0).to_pylist(), [], 0
             while begin < len(texts):
                 end, room = begin, BATCH_CHARS
                 while end < len(texts) and (end == begin or room > 0):
@@ -169,8 +168,15 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     end += 1
                 got += decide(texts[begin:end], model)
                 begin = end
-            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["id", "lang_pred", "score"])
+            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["row", "lang_pred", "score"])
+
+    packed = docs.select(F.struct(F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")).alias("row"))
+    out = packed.mapInArrow(predict, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    fields = [(F.col("row.text") if c == text_col else F.col("row.rest")[c]).alias(c) for c in docs.columns]
+    return out.select(F.struct(*fields).alias("doc"), "lang_pred", "score")
 
-    two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = two.mapInArrow(predict, f"id {two.schema['id'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), F.coalesce(fold_of("id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document: id, held_out, lang_pred, score."""
+    out = with_language(docs.select(id_col, text_col, lang_col), id_col, text_col, lang_col).select(F.col("doc")[id_col].alias(id_col), "lang_pred", "score")
+    return out.select(id_col, F.coalesce(fold_of(id_col) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
