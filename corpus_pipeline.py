@@ -44,9 +44,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = linked.where("key <=> component_id").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.lit(True).alias("stays"))
     verdicts = materialise(lost.unionByName(twice).distinct().select(F.col("key.doc_id").alias("copy_id"), F.col("key.t").alias("copy_t"), "stays"), "copy-verdicts")
     names = docs.columns
-    judged = docs.join(few(verdicts), docs["doc_id"].eqNullSafe(F.col("copy_id")) & (text_key(docs) == F.col("copy_t")), "left")
-    one = judged.where("stays").groupBy("copy_id", "copy_t").agg(F.first(F.struct(*[docs[c].alias(c) for c in names])).alias("doc")).select("doc.*")
-    return judged.where("stays is null").select(*[docs[c] for c in names]).unionByName(one)
+    v = few(verdicts)
+    judged = docs.join(v, docs["doc_id"].eqNullSafe(v["copy_id"]) & (text_key(docs) == v["copy_t"]), "left")
+    one = judged.where(v["stays"]).select(F.struct(v["copy_id"], v["copy_t"]).alias("copy"), F.struct(*[docs[c].alias(c) for c in names]).alias("doc"))
+    one = one.groupBy("copy").agg(F.first("doc").alias("doc")).select("doc.*")
+    return judged.where(v["stays"].isNull()).select(*[docs[c] for c in names]).unionByName(one)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(text_key(docs).alias("leak_t"), "text")
     found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="leak_t")
     verdicts = materialise(found.where("contaminated").select("leak_t").distinct(), "leak-verdicts")
-    return docs.join(few(verdicts), text_key(docs) == F.col("leak_t"), "left_anti")
+    return docs.join(few(verdicts), text_key(docs) == verdicts["leak_t"], "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(text_key(docs).alias("secret_t"), "text")
     found = secret_spans(keyed, id_col="secret_t").where(F.size("all") > 0)
     spans = materialise(found.groupBy(F.col("id").alias("secret_t")).agg(F.first("all").alias("spans")), "secret-verdicts")
-    joined = docs.join(few(spans), text_key(docs) == F.col("secret_t"), "left")
+    v = few(spans)
+    joined = docs.join(v, text_key(docs) == v["secret_t"], "left")
     text, start = docs["text"], F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     piece = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
 
@@ -70,9 +73,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         fresh = F.when(s["start"] >= acc["at"], F.concat(piece(acc["at"], s["start"]), F.lit(MARK))).otherwise("")
         return F.struct(F.concat(acc["out"], fresh).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    masked = F.aggregate("spans", start, cover, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text).cast("long"))))
-    clean = F.when(F.col("secret_t").isNull(), text).otherwise(masked)
-    length = F.when(F.col("secret_t").isNull(), docs["n_chars"]).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
+    masked = F.aggregate(v["spans"], start, cover, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text).cast("long"))))
+    clean = F.when(v["secret_t"].isNull(), text).otherwise(masked)
+    length = F.when(v["secret_t"].isNull(), docs["n_chars"]).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
     changed = {"text": clean, "n_chars": length}
     return joined.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
 

@@ -29,10 +29,12 @@ KINDS = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-IDENTIFIER = r"[A-Za-z0-9+/_=-]{8,}"
+# Ordinary identifiers are whole tokens whose letters and digits come in separate parts.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9/_-]{8})(?:[A-Za-z]{2,}|[0-9]+)(?:[-_/](?:[A-Za-z]{2,}|[0-9]+))*(?![A-Za-z0-9+/_=-])"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 ORDER = [*KINDS, "markov"]
 SAMPLE = 4000
+BACK_OFF = 4.0
 
 
 def cuts(kind: str, pattern: str, group: int, text: Column) -> Column:
@@ -73,14 +75,16 @@ def pair_counts(values: DataFrame, column: str) -> dict[tuple[int, int], int]:
 
 
 def ratio_table(secret: dict, ordinary: dict) -> list[float]:
-    """Log-likelihood ratio of each character pair, both chains smoothed by a half."""
+    """Log-likelihood ratio of each character pair; pairs seldom seen fall back to single characters."""
     n = len(LETTERS) + 1
 
     def chain(counts):
-        total = [0.5 * (n - 1)] * n
-        for (a, _), c in counts.items():
+        single, total = [0.5] * n, [0] * n
+        for (a, b), c in counts.items():
+            single[b] += c
             total[a] += c
-        return [[math.log((counts.get((a, b), 0) + 0.5) / total[a]) for b in range(n)] for a in range(n)]
+        all_singles = sum(single)
+        return [[math.log((counts.get((a, b), 0) + BACK_OFF * single[b] / all_singles) / (total[a] + BACK_OFF)) for b in range(n)] for a in range(n)]
 
     s, o = chain(secret), chain(ordinary)
     return [s[a][b] - o[a][b] for a in range(n) for b in range(n)]
