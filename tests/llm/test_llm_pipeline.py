@@ -46,3 +46,11 @@ def test_awkward_rows_pass_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, FOLDER), "stage")
     assert docs.count() > 0
+
+
+@pytest.mark.parametrize("name", ["op2_license_scan", "op3_quality_rules", "op6_ngram_jaccard_join"])
+def test_query_equals_sql(spark, name):
+    import compare
+
+    ok, note = compare.compare(spark, compare.connect(FOLDER), FOLDER, name, queries()[name], oracle_sql()[name])
+    assert ok, note

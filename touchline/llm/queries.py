@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sql import jaccard_sql, license_sql, quality_sql
+
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,14 +33,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-@register("op2_license_scan")
+@register("op2_license_scan", license_sql())
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_scan
 
     return license_scan(documents(spark, sf_dir)).drop("notices")
 
 
-@register("op3_quality_rules")
+@register("op3_quality_rules", quality_sql())
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -74,7 +76,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@register("op6_ngram_jaccard_join")
+@register("op6_ngram_jaccard_join", jaccard_sql())
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_join
 
