@@ -552,12 +552,12 @@ def stored_players(spark, folder):
 @query(
     "j4_player_statistics_resolution",
     "i:player_external_id,player_id,competition_id,goals,team_id s:skip",
-    with_sql(DIMS.replace("teams AS (SELECT DISTINCT home_team_id AS e, home_team_id + 10000 AS id FROM matches WHERE home_goals = 4),", ""), _PS, answer="""SELECT c.c_custkey AS player_external_id, p.id AS player_id,
+    with_sql(DIMS.replace("teams AS (SELECT DISTINCT home_team_id AS e, home_team_id + 10000 AS id FROM matches WHERE home_goals = 4),", ""), _PS, answer="""SELECT c.c_custkey AS player_external_id, CASE WHEN p.id IS NOT NULL THEN p.id ELSE (SELECT max(id) FROM players) + row_number() OVER (PARTITION BY p.id IS NULL ORDER BY c.c_custkey) END AS player_id,
     CASE WHEN ps.goals IS NOT NULL THEN k.id END AS competition_id, ps.goals, 7 AS team_id, CASE WHEN ps.goals IS NULL THEN 'no statistics' END AS skip FROM customer c LEFT JOIN players p ON p.e = c.c_custkey
     LEFT JOIN ps ON ps.player_external_id = c.c_custkey LEFT JOIN comps k ON k.e = 3"""),
 )
 def player_stat_resolution(spark, folder):
-    """Statistics linked to the internal ids of the upserted players; new players get theirs later."""
+    """Statistics linked to the internal ids of the upserted players, new players' included."""
     comps, seasons, _, _, _ = stored_dims(spark, folder)
     staged = P.split_rejects(P.players(pages(player_payload(spark, folder), "c_custkey")))[0]
     stats = P.player_statistics(player_stat_pages(spark, folder))
@@ -624,7 +624,7 @@ def upsert_overwrite(spark, folder):
     """Teams: every mutable column takes the new value, even NULL."""
     stored = T.table(spark, folder, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("external_id"), F.lit("old name").alias("name"), F.lit("old").alias("country"), F.lit(1900).alias("founded"))
     new = P.split_rejects(P.teams(team_payload(spark, folder)))[0]
-    return U.merge_upsert(stored, new, ["external_id"], U.all_columns(stored, ["external_id"]))
+    return U.merge_upsert(stored, new, ["external_id"], U.all_columns(stored, ["external_id"]), "landing")
 
 
 def stored_matches(spark, folder):
@@ -659,7 +659,7 @@ def match_updates(spark, folder):
     ok = P.split_rejects(staged_a(spark, folder))[0]
     return ok.select(
         "external_id", F.col("competition_external_id").alias("competition_id"), F.col("season_year").alias("season_id"), F.col("home_team_external_id").alias("home_team_id"),
-        F.col("away_team_external_id").alias("away_team_id"), "kickoff_time", "matchday", "venue", "status", "home_goals", "away_goals",
+        F.col("away_team_external_id").alias("away_team_id"), "kickoff_time", "matchday", "venue", "status", "home_goals", "away_goals", "landing",
     )
 
 
@@ -673,17 +673,40 @@ def upsert_matches(spark, folder):
     return U.upsert_matches(stored_matches(spark, folder), match_updates(spark, folder), STAMP)
 
 
+@query(
+    "u2_u3_repeated_keys_in_landing_order",
+    "i:external_id,home_team_id,matchday,home_goals,away_goals s:venue,status t:kickoff_time,finished_at",
+    with_sql(MATCHES, STAGED_A, _UP, answer="""SELECT external_id, home_team_id, kickoff_time, matchday, home_goals, away_goals, finished_at,
+    CASE WHEN external_id % 6 = 0 AND external_id IN (SELECT external_id FROM up) THEN 'late ground' ELSE venue END AS venue,
+    CASE WHEN external_id % 6 = 0 AND external_id IN (SELECT external_id FROM up) THEN 'in_play' ELSE status END AS status FROM res"""),
+)
+def repeated_keys(spark, folder):
+    """Several updates of one match: first a later kickoff without a result, then the update, then another status."""
+    new = match_updates(spark, folder)
+    shifted = lambda pages: F.struct((F.col("landing.page") + pages).alias("page"), F.col("landing.pos").alias("pos"))
+    goals = {c: F.lit(None).cast("long") for c in ("home_goals", "away_goals")}
+    early = new.where("external_id % 4 = 0").withColumns({"landing": shifted(-1_000_000), "kickoff_time": F.expr("kickoff_time + interval 7 days"), "status": F.lit("scheduled"), **goals})
+    late = new.where("external_id % 6 = 0").withColumns({"landing": shifted(1_000_000), "venue": F.lit("late ground"), "status": F.lit("in_play"), **goals})
+    return U.upsert_matches(stored_matches(spark, folder), early.unionByName(new).unionByName(late), STAMP)
+
+
 @query(
     "a20_ingest_counters",
     "s:job i:requested,received,inserted,updated,skipped,failed",
-    with_sql(MATCHES, STAGED_A, _UP, answer="""SELECT 'sync_matches' AS job, 5 AS requested, sum(CASE WHEN _outcome <> 'untouched' THEN 1 ELSE 0 END) + (SELECT count(*) FROM staged WHERE reject IS NOT NULL) AS received,
-    sum(CASE WHEN _outcome = 'inserted' THEN 1 ELSE 0 END) AS inserted, sum(CASE WHEN _outcome = 'updated' THEN 1 ELSE 0 END) AS updated, 0 AS skipped,
-    (SELECT count(*) FROM staged WHERE reject IS NOT NULL) AS failed FROM res"""),
+    with_sql(MATCHES, STAGED_A, _UP, DIMS, """
+    sk AS (SELECT up.*, c.id IS NULL OR season_year >= 2001 OR h.id IS NULL OR a.id IS NULL AS skip, st.fixture_id IS NULL AND up.status <> 'finished' AS fresh FROM up
+      LEFT JOIN comps c ON c.e = competition_external_id LEFT JOIN teams h ON h.e = home_team_external_id LEFT JOIN teams a ON a.e = away_team_external_id
+      LEFT JOIN st ON st.fixture_id = up.external_id)""",
+             answer="""SELECT 'sync_matches' AS job, 5 AS requested, count(*) + (SELECT count(*) FROM staged WHERE reject IS NOT NULL) AS received,
+    sum(CASE WHEN NOT skip AND fresh THEN 1 ELSE 0 END) AS inserted, sum(CASE WHEN NOT skip AND NOT fresh THEN 1 ELSE 0 END) AS updated, sum(CASE WHEN skip THEN 1 ELSE 0 END) AS skipped,
+    (SELECT count(*) FROM staged WHERE reject IS NOT NULL) AS failed FROM sk"""),
 )
 def ingest_counters(spark, folder):
-    """Counters of one match pass."""
-    merged = U.upsert_matches(stored_matches(spark, folder), match_updates(spark, folder), STAMP)
-    return In.counters("sync_matches", merged, 5, P.split_rejects(staged_a(spark, folder))[1])
+    """Counters of one match pass: resolve, upsert, and count what was skipped or failed."""
+    comps, seasons, teams, _, _ = stored_dims(spark, folder)
+    ok, bad = P.split_rejects(staged_a(spark, folder))
+    merged, skipped = In.ingest_matches(ok, stored_matches(spark, folder), teams, comps, seasons, STAMP)
+    return In.counters("sync_matches", merged, 5, bad, skipped)
 
 
 @query(
@@ -697,7 +720,7 @@ def ingest_counters(spark, folder):
 def upsert_fill(spark, folder):
     """Players: the name always, other columns only where the update knows them."""
     staged = P.split_rejects(P.players(pages(player_payload(spark, folder), "c_custkey")))[0]
-    return U.merge_upsert(stored_players(spark, folder), staged, ["external_id"], U.PLAYER_POLICY, order="name")
+    return U.merge_upsert(stored_players(spark, folder), staged, ["external_id"], U.PLAYER_POLICY, "landing")
 
 
 @query(
@@ -715,7 +738,7 @@ def upsert_composite(spark, folder):
     keys = ["team_id", "season_id", "as_of_date"]
     old = x.where("l_returnflag = 'R'").groupBy(*keys).agg(F.count("*").alias("n"))
     new = x.where("l_returnflag = 'A'").groupBy(*keys).agg(F.count("*").alias("n"))
-    return U.merge_upsert(old, new, keys, {"n": "overwrite"})
+    return U.merge_upsert(old, new, keys, {"n": "overwrite"}, "as_of_date")
 
 
 @query(
@@ -826,11 +849,11 @@ def bootstrap(spark, folder):
     """Competitions, teams and matches in order, with the sum of their counters."""
     leagues, _ = P.split_rejects(P.competitions(league_payload(spark, folder)))
     known = T.table(spark, folder, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("external_id"), F.lit("old").alias("name"))
-    one = In.counters("competitions", U.merge_upsert(known, leagues, ["external_id"], {"name": "overwrite"}), 1)
+    one = In.counters("competitions", U.merge_upsert(known, leagues, ["external_id"], {"name": "overwrite"}, "landing"), 1)
     team_ok, team_bad = P.split_rejects(P.teams(team_payload(spark, folder)))
     stored = T.table(spark, folder, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("external_id"), F.lit("old").alias("name"))
     stored = stored.join(team_ok.select("external_id"), "external_id", "left_semi")
-    two = In.counters("teams", U.merge_upsert(stored, team_ok, ["external_id"], {"name": "overwrite"}), 1, team_bad)
+    two = In.counters("teams", U.merge_upsert(stored, team_ok, ["external_id"], {"name": "overwrite"}, "landing"), 1, team_bad)
     merged = U.upsert_matches(stored_matches(spark, folder), match_updates(spark, folder), STAMP)
     three = In.counters("matches", merged, 1, P.split_rejects(staged_a(spark, folder))[1])
     return In.total_counters(one.unionByName(two).unionByName(three))
@@ -855,12 +878,12 @@ def run_tables(spark, folder):
 
 @query(
     "s19_published_predictions",
-    "i:fixture_id s:model_name d:p_home_win",
-    with_sql(MATCHES, FIN, PREDICTIONS, answer="SELECT fixture_id, 'weights' AS model_name, p_home_win FROM predictions WHERE model_version_id = 0"),
+    "i:fixture_id s:model_name,model_version d:p_home_win",
+    with_sql(MATCHES, FIN, PREDICTIONS, answer="SELECT fixture_id, 'weights' AS model_name, 'v' || model_version_id AS model_version, p_home_win FROM predictions"),
 )
 def published(spark, folder):
     """Published predictions: a second write with other values changes nothing."""
-    p = T.predictions(spark, folder).where("model_version_id = 0").select(F.lit("weights").alias("model_name"), F.lit("v1").alias("model_version"), "fixture_id", "p_home_win")
+    p = T.predictions(spark, folder).select(F.lit("weights").alias("model_name"), F.concat(F.lit("v"), F.col("model_version_id")).alias("model_version"), "fixture_id", "p_home_win")
     path = scratch_path(spark, "published")
     R.publish_predictions(p, path)
     R.publish_predictions(p.withColumn("p_home_win", F.lit(0.0)), path)

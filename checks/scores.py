@@ -256,9 +256,9 @@ def poisson_pmf(spark, folder):
     with_sql(
         *CTES,
         """pairs AS (SELECT DISTINCT w_h, w_d, w_a, w_h * w_d AS lh, w_a * 0.5 AS la FROM sc),
-        sized AS (SELECT *, CASE WHEN greatest(lh, la) > 10 THEN greatest(10, least(CAST(ceil(greatest(lh, la) + 5 * sqrt(greatest(lh, la))) AS INT), 60)) ELSE 10 END AS m FROM pairs),
+        sized AS (SELECT *, CASE WHEN greatest(lh, la) > 10 THEN greatest(10, CAST(ceil(greatest(lh, la) + 5 * sqrt(greatest(lh, la))) AS INT)) ELSE 10 END AS m FROM pairs),
         cells AS (SELECT s.w_h, s.w_d, s.w_a, i, j, exp(-lh + i * ln(lh) - lgamma(i + 1)) * exp(-la + j * ln(la) - lgamma(j + 1)) AS p
-          FROM sized s, range(0, 61) AS a(i), range(0, 61) AS b(j) WHERE i <= s.m AND j <= s.m),
+          FROM sized s, range(0, 100) AS a(i), range(0, 100) AS b(j) WHERE i <= s.m AND j <= s.m),
         sums AS (SELECT w_h, w_d, w_a, sum(CASE WHEN i > j THEN p ELSE 0 END) AS h, sum(CASE WHEN i = j THEN p ELSE 0 END) AS d,
           sum(CASE WHEN i < j THEN p ELSE 0 END) AS a FROM cells GROUP BY 1, 2, 3)""",
         answer="""SELECT fixture_id, model_version_id, CASE WHEN abs(h + d + a - 1) <= 1e-9 THEN h ELSE h / (h + d + a) END AS p_h,

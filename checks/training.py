@@ -46,7 +46,8 @@ def stored(spark, folder):
     if key not in _STORED:
         path = scratch_path(spark, "dataset")
         m = T.matches(spark, folder)
-        Ds.build_dataset(m, T.team_stats(spark, folder), path, "d1", range(5), range(1995, 2002), cutoff="2100-01-01 00:00:00")
+        leagues, seasons = ([r[0] for r in m.select(c).distinct().orderBy(c).collect()] for c in N.LEAGUE)
+        Ds.build_dataset(m, T.team_stats(spark, folder), path, "d1", leagues, seasons, cutoff="2100-01-01 00:00:00")
         _STORED[key] = path
     return _STORED[key]
 

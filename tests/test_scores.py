@@ -114,3 +114,16 @@ def test_runs_of_different_data_are_not_compared(spark):
     assert r["1"]["std_accuracy"] == 0.0 and r["2"]["n_folds"] == 0 and math.isnan(r["2"]["mean_accuracy"])
     with pytest.raises(ValueError):
         Mx.compare_runs(folds, ok.withColumn("dataset_version", F.col("run_id")))
+
+
+def test_uneven_and_impossible_rates(spark):
+    df = spark.createDataFrame([(200.0, 1.0), (1.0, 200.0), (900.0, 1.0), (1.2, 0.9)], "h double, a double")
+    r = [x["o"] for x in df.select(X.outcome_from_rates(F.col("h"), F.col("a")).alias("o")).collect()]
+    assert r[0]["home"] == pytest.approx(1.0) and r[1]["away"] == pytest.approx(1.0) and r[2] is None
+    assert r[3]["home"] + r[3]["draw"] + r[3]["away"] == pytest.approx(1.0)
+
+
+def test_summary_refuses_rows_that_are_no_probabilities(spark):
+    df = spark.createDataFrame([(0.5, 0.5, 0.5, 0)], "p_home_win double, p_draw double, p_away_win double, label int")
+    with pytest.raises(Exception, match="no probability simplex"):
+        Mx.summary(df, []).collect()

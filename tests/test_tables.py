@@ -54,7 +54,7 @@ def test_strict_csv_rejects_bad_cells(spark, tmp_path):
 def test_upsert_is_idempotent_and_keeps_results(spark):
     cols = "external_id long, home_team_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, finished_at timestamp, synced_at timestamp"
     old = spark.createDataFrame([(1, 7, START, "scheduled", None, None, None, None), (2, 7, START, "finished", 1, 1, START, None)], cols)
-    new = spark.createDataFrame([(1, 8, START, "finished", 3, None), (2, 8, START, "finished", 9, 9), (3, 8, START, "scheduled", None, None)], "external_id long, home_team_id long, kickoff_time timestamp, status string, home_goals long, away_goals long")
+    new = spark.createDataFrame([(1, 8, START, "finished", 3, None, 1), (2, 8, START, "finished", 9, 9, 2), (3, 8, START, "scheduled", None, None, 3)], "external_id long, home_team_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, landing long")
     now = "2021-01-01 00:00:00"
     once = U.upsert_matches(old, new, now).drop("_outcome")
     twice = U.upsert_matches(once, new, now).drop("_outcome")
@@ -97,7 +97,7 @@ def test_stream_batches_replay_to_the_same_version(spark, tmp_path):
     first = spark.createDataFrame([(1, START, "scheduled", None, None, None, None)], cols)
     t = SI.VersionedTable(spark, str(tmp_path / "t"), first.schema)
     t.create(first)
-    batch = spark.createDataFrame([(1, START, "finished", 2, 1), (2, START, "scheduled", None, None)], "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long")
+    batch = spark.createDataFrame([(1, START, "finished", 2, 1, 1), (2, START, "scheduled", None, None, 2)], "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, landing long")
     apply = SI.apply_matches("2021-01-01 00:00:00")
     for _ in range(2):
         t.write(0, apply(t.read(-1), batch).select(*first.columns))
@@ -176,3 +176,60 @@ def test_unknown_trainer_is_refused():
 def test_finished_needs_both_goals(spark):
     rows = [(1, 1, 2020, 1, 2, START, "finished", 1, None), (2, 1, 2020, 1, 2, START, "scheduled", 1, 1), (3, 1, 2020, 1, 2, START, "finished", 1, 1)]
     assert [r["fixture_id"] for r in H.finished(frame(spark, rows)).collect()] == [3]
+
+
+def test_updates_of_one_match_apply_in_landing_order(spark):
+    cols = "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long"
+    old = spark.createDataFrame([(1, START, "scheduled", None, None, None, None)], cols + ", finished_at timestamp, synced_at timestamp")
+    moved = START - timedelta(days=7)
+    new = spark.createDataFrame([(1, START, "scheduled", None, None, 1), (1, moved, "finished", 2, 1, 2), (1, moved, "finished", 5, 5, 3)], cols + ", landing long")
+    r = U.upsert_matches(old, new, "2021-01-01 00:00:00").first()
+    assert (r["status"], r["home_goals"], r["away_goals"]) == ("finished", 2, 1)
+
+
+def test_filled_columns_keep_the_last_known_value(spark):
+    old = spark.createDataFrame([(1, "a", 10)], "external_id long, name string, size long")
+    new = spark.createDataFrame([(1, "b", 20, 1), (1, "a", None, 2), (2, "z", 5, 3), (2, "y", None, 4)], "external_id long, name string, size long, landing long")
+    got = {r["external_id"]: (r["name"], r["size"]) for r in U.merge_upsert(old, new, ["external_id"], {"name": "overwrite", "size": "fill"}, "landing").collect()}
+    assert got == {1: ("a", 20), 2: ("y", 5)}
+
+
+def test_new_rows_get_the_next_ids_in_key_order(spark):
+    rows = [(k, k if k < 50 else None) for k in range(200)]
+    got = {r["external_id"]: r["id"] for r in U.assign_ids(spark.createDataFrame(rows, "external_id long, id long").repartition(7)).collect()}
+    assert got == {k: k for k in range(200)}
+    assert U.assign_ids(spark.createDataFrame([(1, 1)], "external_id long, id long")).count() == 1
+
+
+def test_only_a_missing_table_reads_as_empty(spark, tmp_path):
+    like = spark.createDataFrame([(1,)], "id long")
+    assert R.read_or_empty(spark, str(tmp_path / "none"), like).count() == 0
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        R.read_or_empty(spark, str(tmp_path / "empty"), like)
+
+
+def test_registered_models_load_and_score_as_before(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = [(i, *[float(r.normal()) for _ in N.FEATURES], int(r.poisson(1.4)), int(r.poisson(1.1))) for i in range(120)]
+    df = spark.createDataFrame(rows, "fixture_id long, " + ", ".join(f"{c} double" for c in N.FEATURES) + ", home_goals long, away_goals long")
+    df = df.withColumns({"home_win": (F.col("home_goals") > F.col("away_goals")).cast("int"), "draw": (F.col("home_goals") == F.col("away_goals")).cast("int"), "away_win": (F.col("home_goals") < F.col("away_goals")).cast("int")})
+    gappy = df.withColumn("home_rest_days", F.lit(None).cast("double"))
+    reg = R.ModelRegistry(spark, str(tmp_path / "r"))
+    for trainer in (Mo.trainer("poisson"), Mo.trainer("gradient_boosting", rounds=2, leaves=4), Mo.trainer("elo_baseline", HFA=70.0, beta_1=0.002, K=25)):
+        model = trainer.fit(df)
+        reg.save(model, "1", "d", "c", "n", 1, N.FEATURES)
+        again = reg.load_model(model.name, "1")
+        pick = lambda m: [v for x in sorted(m.transform(gappy).collect(), key=lambda x: x["fixture_id"]) for v in (x["p_home_win"], x["p_draw"])]  # noqa: E731, B023
+        assert pick(model) == pytest.approx(pick(again))
+    assert reg.load("elo_baseline", "1")["hyper"]["HFA"] == 70.0
+
+
+def test_unknown_keys_are_counted_in_the_error(spark):
+    from touchline.operators.reads import require_keys
+
+    wanted, known = (spark.range(n).withColumnRenamed("id", "k") for n in (40, 5))
+    with pytest.raises(ValueError, match="and 15 more"):
+        require_keys(wanted, known, "k")

@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-15
-MAX_GOAL_TERMS = 60
+FACTORIAL_TABLE = 60  # beyond it Stirling's series is exact to double precision
+MAX_RATE = 700.0  # exp(-rate) of a larger rate is no double
 DAY_MICROS = 86_400_000_000
 
 
@@ -160,7 +161,7 @@ def log_factorial(k: Column) -> Column:
         + F.lit(1.0) / (x * 12.0)
         - F.lit(1.0) / (F.pow(x, F.lit(3.0)) * 360.0)
     )
-    return F.when(n <= MAX_GOAL_TERMS, F.get(_log_factorials(MAX_GOAL_TERMS), n)).otherwise(stirling)
+    return F.when(n <= FACTORIAL_TABLE, F.get(_log_factorials(FACTORIAL_TABLE), n)).otherwise(stirling)
 
 
 def poisson_pmf(rate: Column, max_goals: int) -> Column:
@@ -179,15 +180,12 @@ def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10
     """Struct (home, draw, away) from two independent Poisson rates, or one class's probability.
 
     One pass over the goal counts carries both running tails, so the cost is linear in the number of
-    terms. Rates above ``max_goals`` widen the range to five deviations, at most 60 terms.
+    terms. A rate above ``max_goals`` widens the range to five deviations above it. Rates beyond ``MAX_RATE``
+    have no probabilities in double precision and give NULL.
     """
-    top = F.lit(math.exp(30.0))
-    lh, la = F.least(home_rate, top), F.least(away_rate, top)
+    lh, la = home_rate, away_rate
     widest = F.greatest(lh, la)
-    terms = F.when(
-        widest > max_goals,
-        F.greatest(F.lit(max_goals), F.least(F.ceil(widest + 5 * F.sqrt(widest)), F.lit(MAX_GOAL_TERMS))),
-    ).otherwise(F.lit(max_goals))
+    terms = F.when(widest > max_goals, F.greatest(F.lit(max_goals), F.ceil(widest + 5 * F.sqrt(widest)))).otherwise(F.lit(max_goals))
     h0, a0 = F.exp(-lh), F.exp(-la)
     zero = F.lit(0.0)
     start = F.struct(
@@ -209,13 +207,13 @@ def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10
 
     def finish(s: Column) -> Column:
         total = s["h"] + s["d"] + s["a"]
-        scale = F.when((F.abs(total - 1.0) <= 1e-9) | (total <= 1e-12), F.lit(1.0)).otherwise(total)
-        away = F.when(total <= 1e-12, F.lit(1.0) - s["h"] - s["d"]).otherwise(s["a"] / scale)
+        scale = F.when(F.abs(total - 1.0) <= 1e-9, F.lit(1.0)).otherwise(total)
+        away = s["a"] / scale
         if label is not None:
             return pick3(label, s["h"] / scale, s["d"] / scale, away)
         return F.struct((s["h"] / scale).alias("home"), (s["d"] / scale).alias("draw"), away.alias("away"))
 
-    valid = finite(home_rate) & finite(away_rate) & (home_rate > 0) & (away_rate > 0)
+    valid = _usable(home_rate, away_rate) & (home_rate <= MAX_RATE) & (away_rate <= MAX_RATE)
     folded = F.aggregate(F.sequence(F.lit(1), terms.cast("int")), start, step, finish)
     return F.when(valid, folded)
 

@@ -61,6 +61,13 @@ def bad_rows(rows: DataFrame) -> DataFrame:
     return rows.where(~ok)
 
 
+def validated(rows: DataFrame) -> DataFrame:
+    """The same rows; one that ``bad_rows`` would list raises when it is read."""
+    ok = X.is_simplex(*[F.col(c) for c in P]) & F.coalesce(F.col("label").isin(0, 1, 2), F.lit(False))
+    wrong = F.raise_error(F.lit("row is no probability simplex or has no valid class"))
+    return rows.withColumn(P[0], F.when(ok, F.col(P[0])).otherwise(wrong.cast("double")))
+
+
 def goal_terms(home_rate: str, away_rate: str) -> dict[str, Column]:
     """Per-row goal errors against expected goals, and the Poisson log-likelihood of the score."""
     yh, ya = F.col("home_goals").cast("double"), F.col("away_goals").cast("double")
@@ -102,7 +109,7 @@ def goal_metrics(rows: DataFrame, by: Sequence[str], home_rate: str, away_rate:
 
 
 def _per_bin(rows: DataFrame, by: Sequence[str], edges: Sequence[float]) -> DataFrame:
-    s = scored(rows).withColumn("bin_id", bucket(F.col("confidence"), edges))
+    s = scored(validated(rows)).withColumn("bin_id", bucket(F.col("confidence"), edges))
     cells = [
         F.count_if((F.col("label") == i) & (F.col("predicted") == j)).alias(f"cm_{i}{j}")
         for i in range(3)

@@ -102,9 +102,12 @@ def missing_keys(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def require_keys(wanted: DataFrame, known: DataFrame, key: str) -> None:
-    lost = [r[0] for r in missing_keys(wanted, known, key).limit(20).collect()]
-    if lost:
-        raise ValueError(f"unknown {key}: {sorted(lost)}")
+    """Raise when a wanted key is unknown; the message has their number and, of many, the twenty smallest."""
+    lost = missing_keys(wanted, known, key)
+    n = lost.count()
+    if n:
+        first = [r[0] for r in lost.orderBy(key).limit(20).collect()]
+        raise ValueError(f"unknown {key}: {first}" + (f" and {n - len(first)} more" if n > len(first) else ""))
 
 
 def eligible(matches: DataFrame, predictions: DataFrame, version: int, now: str, min_hours: int = 1) -> DataFrame:

@@ -7,31 +7,40 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.session import materialise
+
 Policy = str | Callable[[Column, Column], Column]
 
 
-def latest_per_key(updates: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
-    """One row per key: the last in ``order``, found by a partial aggregate before the shuffle."""
-    if order is None:
-        return updates.dropDuplicates(list(keys))
+def combined(updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str) -> DataFrame:
+    """One row per key that has the effect of all its updates one after the other in ``order``.
+
+    The first update fixes kept columns, the last value wins for overwritten ones and the last value that
+    is not NULL for filled ones. Partial aggregates run before the shuffle.
+    """
+    at = F.col(order)
+
+    def value(c: str) -> Column:
+        rule = policy.get(c, "keep")
+        if rule == "keep":
+            return F.min_by(F.col(c), at)
+        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at) if rule == "fill" else at)
+
     rest = [c for c in updates.columns if c not in keys]
-    best = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_b"))
-    return best.select(*keys, *[F.col("_b")[c].alias(c) for c in rest])
+    return updates.groupBy(*keys).agg(*[(F.max(at) if c == order else value(c)).alias(c) for c in rest])
 
 
-def merge_upsert(
-    target: DataFrame, updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str | None = None
-) -> DataFrame:
+def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str) -> DataFrame:
     """Insert unknown keys and update known ones column by column.
 
     ``policy`` maps a column to ``"overwrite"``, ``"keep"`` (fixed at insert), ``"fill"`` (new value unless
-    NULL) or a function of (old, new). A column without an entry is kept. The result carries
-    ``_outcome``: inserted, updated or untouched.
+    NULL) or a function of (old, new). A column without an entry is kept. ``order`` names the column that
+    puts several updates of one key in sequence. The result carries ``_outcome``: inserted, updated or untouched.
     """
-    new = latest_per_key(updates, keys, order)
+    new = combined(updates, keys, policy, order)
     t, u = target.alias("t"), new.alias("u")
     on = [F.col(f"t.{k}") == F.col(f"u.{k}") for k in keys]
     joined = t.withColumn("_t", F.lit(True)).alias("t").join(u.withColumn("_u", F.lit(True)).alias("u"), on, "full")
@@ -68,20 +77,20 @@ INJURY_POLICY: dict[str, Policy] = {
 }
 
 
-def upsert_matches(target: DataFrame, updates: DataFrame, now: str) -> DataFrame:
-    """Upsert matches, then mark those finished whose update carries a result and whose goals are unset.
+def upsert_matches(target: DataFrame, updates: DataFrame, now: str, order: str = "landing") -> DataFrame:
+    """Upsert matches, then mark those finished whose updates carry a result and whose goals are unset.
 
-    ``updates`` are resolved match rows with ``home_goals``/``away_goals`` as reported. A missing goal of a
-    finished match counts as 0; goals that are already stored never change.
+    ``updates`` are resolved match rows with ``home_goals``/``away_goals`` as reported, several per match
+    applied in ``order``. The first finished update sets the goals, a missing one as 0; goals that are stored
+    never change. Later updates still overwrite the other columns, the status among them.
     """
     stamp = F.lit(now).cast("timestamp")
-    new = latest_per_key(updates, ["external_id"], "kickoff_time").withColumn("synced_at", stamp)
-    reported = new.select(
-        "external_id", F.col("home_goals").alias("_h"), F.col("away_goals").alias("_a"), (F.col("status") == "finished").alias("_fin")
-    )
-    blank = new.withColumns({c: F.lit(None).cast("long") for c in ("home_goals", "away_goals")})
+    finished = F.when(F.col("status") == "finished", F.col(order))
+    reported = updates.groupBy("external_id").agg(F.min_by(F.struct("home_goals", "away_goals"), finished).alias("_r"), F.min(finished).isNotNull().alias("_fin"))
+    reported = reported.select("external_id", F.col("_r.home_goals").alias("_h"), F.col("_r.away_goals").alias("_a"), "_fin")
+    blank = updates.withColumn("synced_at", stamp).withColumns({c: F.lit(None).cast("long") for c in ("home_goals", "away_goals")})
     blank = blank.withColumn("finished_at", F.lit(None).cast("timestamp"))
-    merged = merge_upsert(target, blank, ["external_id"], MATCH_POLICY)
+    merged = merge_upsert(target, blank, ["external_id"], MATCH_POLICY, order)
     j = merged.join(reported, "external_id", "left")
     marks = F.coalesce(F.col("_fin"), F.lit(False)) & (F.col("home_goals").isNull() | F.col("away_goals").isNull())
     zero = F.lit(0).cast("long")
@@ -90,7 +99,6 @@ def upsert_matches(target: DataFrame, updates: DataFrame, now: str) -> DataFrame
             "home_goals": F.when(marks, F.coalesce(F.col("_h"), zero)).otherwise(F.col("home_goals")),
             "away_goals": F.when(marks, F.coalesce(F.col("_a"), zero)).otherwise(F.col("away_goals")),
             "finished_at": F.when(marks, stamp).otherwise(F.col("finished_at")),
-            "status": F.when(marks, "finished").otherwise(F.col("status")),
             "_outcome": F.when(marks, "updated").otherwise(F.col("_outcome")),
         }
     ).drop("_h", "_a", "_fin")
@@ -111,9 +119,37 @@ def insert_only(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> Data
     return rows
 
 
-def append_new(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not stored yet; a repeated write appends nothing."""
-    return rows.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
+def append_new(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows whose key is not stored yet; a repeated write appends nothing.
+
+    Of several rows with one key the first in ``order`` is taken, without an order the one with the least values.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    if rest:
+        whole = F.struct(*rest)
+        first = F.min_by(whole, F.col(order)) if order else F.min(whole)
+        rows = rows.groupBy(*keys).agg(first.alias("_b")).select(*[c if c in keys else F.col("_b")[c].alias(c) for c in rows.columns])
+    else:
+        rows = rows.distinct()
+    return rows.join(target.select(*keys), list(keys), "left_anti")
+
+
+def assign_ids(merged: DataFrame, key: str = "external_id", id_col: str = "id") -> DataFrame:
+    """Give rows without an id the numbers after the largest one, in the order of ``key``.
+
+    The new keys are range-partitioned and sorted; a row's number is its place in its partition plus the rows of
+    the partitions before, of which there is one small row each. No window spans the table.
+    """
+    fresh = merged.where(F.col(id_col).isNull()).select(key).repartitionByRange(key).sortWithinPartitions(key)
+    fresh = materialise(fresh.select(key, F.monotonically_increasing_id().alias("_n")), "new-ids")
+    part = F.shiftright("_n", 33)
+    sizes = fresh.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    top = merged.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    numbered = fresh.join(shifts, part == F.col("_part")).select(key, (F.lit(top) + 1 + F.col("_shift") + F.col("_n") - F.shiftleft("_part", 33)).alias("_id"))
+    kind = merged.schema[id_col].dataType
+    return merged.join(numbered, key, "left").withColumn(id_col, F.coalesce(id_col, F.col("_id").cast(kind))).drop("_id")
 
 
 def activate(versions: DataFrame, version_id: int) -> DataFrame:

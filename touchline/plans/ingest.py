@@ -72,8 +72,8 @@ def resolve_lineups(
 def resolve_player_statistics(
     staged_players: DataFrame, staged_stats: DataFrame, players: DataFrame, team_id: Column, competitions: DataFrame, seasons: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Upsert the players first, then link their statistics to the internal ids of that result."""
-    merged = U.merge_upsert(players, staged_players, ["external_id"], U.PLAYER_POLICY, order="name")
+    """Upsert the players first, new ones with new ids, then link their statistics to the ids of that result."""
+    merged = U.assign_ids(U.merge_upsert(players, staged_players, ["external_id"], U.PLAYER_POLICY, "landing"))
     stats = (
         staged_players.select(F.col("external_id").alias("player_external_id"))
         .distinct()
@@ -124,11 +124,32 @@ def season_year(listed: DataFrame, known: DataFrame, configured_year: int) -> Da
     return listed.groupBy("competition_external_id").agg(F.max(F.lit(1)).alias("_n"), pick.alias("season_year")).drop("_n")
 
 
-def counters(job: str, outcomes: DataFrame, requested: int, rejected: DataFrame | None = None) -> DataFrame:
-    """One row of counters from rows that carry ``_outcome``."""
+def ingest_matches(staged: DataFrame, target: DataFrame, teams: DataFrame, competitions: DataFrame, seasons: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Resolve, then upsert what has all its keys: (table with ``_outcome``, skipped rows with their reason)."""
+    resolved = resolve_matches(staged, teams, competitions, seasons)
+    merged = U.upsert_matches(target, resolved.where(F.col("skip").isNull()), now)
+    return merged, resolved.where(F.col("skip").isNotNull())
+
+
+def ingest_teams(staged: DataFrame, target: DataFrame, competitions: DataFrame, seasons: DataFrame, policy: dict[str, U.Policy]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Teams listed per league season: (table with ``_outcome``, skipped rows, failed rows).
+
+    A row of an unknown league fails, one of a season that is not stored is skipped, and a team of several
+    leagues is one row.
+    """
+    years = seasons.select("competition_id", F.col("external_id").alias("season_external_id"), F.col("id").alias("season_id"))
+    found = staged.join(_ids(competitions, "competition"), "competition_external_id", "left").join(years, ["competition_id", "season_external_id"], "left")
+    known = found.where(F.col("competition_id").isNotNull() & F.col("season_id").isNotNull())
+    merged = U.assign_ids(U.merge_upsert(target, known, ["external_id"], policy, "landing"))
+    return merged, found.where(F.col("competition_id").isNotNull() & F.col("season_id").isNull()), found.where(F.col("competition_id").isNull())
+
+
+def counters(job: str, outcomes: DataFrame, requested: int, rejected: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """One row of counters from rows that carry ``_outcome``; rejected rows failed, skipped rows had unknown keys."""
     o = F.col("_outcome")
-    if rejected is not None:
-        outcomes = outcomes.select("_outcome").unionByName(rejected.select(F.lit("failed").alias("_outcome")))
+    for rows, name in ((rejected, "failed"), (skipped, "skipped")):
+        if rows is not None:
+            outcomes = outcomes.select("_outcome").unionByName(rows.select(F.lit(name).alias("_outcome")))
     return outcomes.agg(
         F.lit(job).alias("job"),
         F.lit(requested).cast("long").alias("requested"),

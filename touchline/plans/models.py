@@ -84,13 +84,21 @@ class EloModel:
         home, away = elo_rates(*[F.lit(float(h[k])) for k in ("beta_0_home", "beta_0_away", "HFA", "beta_1")])
         return with_rates(df, home, away, h["max_goals"])
 
+    def state(self) -> dict:
+        return {}
+
     def save(self, path: str) -> None:
         """The whole model is its hyperparameters, which the registry row stores."""
 
 
 @dataclass
 class EloTrainer:
+    """Means from the training rows; advantage and slope as given, else from the grid on validation rows."""
+
     max_goals: int = 10
+    K: float | None = None
+    HFA: float | None = None
+    beta_1: float | None = None
     name: str = "elo_baseline"
 
     def fit(self, train: DataFrame, val: DataFrame | None = None, seed: int | None = None) -> EloModel:
@@ -99,7 +107,7 @@ class EloTrainer:
             raise ValueError("no training rows with ratings")
         best = (GRID_HFA[0], GRID_BETA[1])
         loss = None
-        if val is not None:
+        if val is not None and (self.HFA is None or self.beta_1 is None):
             rows = with_valid_elo(val).withColumns({k: F.lit(b[k]) for k in ("beta_0_home", "beta_0_away")})
             r = elo_grid_losses(rows, [], self.max_goals).first()
             if r is None:
@@ -107,11 +115,11 @@ class EloTrainer:
             best, loss = pick_grid_point(r)
         return EloModel(
             {
-                "K": GRID_K[0],
-                "HFA": float(best[0]),
+                "K": GRID_K[0] if self.K is None else self.K,
+                "HFA": float(best[0] if self.HFA is None else self.HFA),
                 "beta_0_home": b["beta_0_home"],
                 "beta_0_away": b["beta_0_away"],
-                "beta_1": best[1],
+                "beta_1": best[1] if self.beta_1 is None else self.beta_1,
                 "max_goals": self.max_goals,
                 "val_log_loss": loss,
             }
@@ -170,6 +178,9 @@ class PoissonModel:
             rates.append(F.when(X.finite(r) & (r > 0), F.least(r, F.lit(1e6))).otherwise(F.lit(0.1)))
         return with_rates(df, *rates, self.max_goals).drop("_r_home", "_r_away")
 
+    def state(self) -> dict:
+        return {"means": self.means, "max_goals": self.max_goals}
+
     def save(self, path: str) -> None:
         for s, m in self.heads.items():
             m.write().overwrite().save(f"{path}/{s}")
@@ -241,6 +252,9 @@ class BoostedModel:
         p = X.normalise3(*[F.col(f"_p{i}") for i in range(3)])
         return df.withColumns({"p_home_win": p[0], "p_draw": p[1], "p_away_win": p[2]}).drop("_x", "_p0", "_p1", "_p2")
 
+    def state(self) -> dict:
+        return {"constants": {str(i): m for i, m in self.parts.items() if isinstance(m, float)}}
+
     def save(self, path: str) -> None:
         for i, m in self.parts.items():
             if not isinstance(m, float):
@@ -280,6 +294,19 @@ class BoostedTrainer:
         return BoostedModel(parts, h, self.name)
 
 
+def load_model(name: str, hyper: dict, state: dict, path: str):
+    """A model from what ``save`` and the registry row hold."""
+    if name == "elo_baseline":
+        return EloModel(hyper)
+    if name == "poisson":
+        return PoissonModel({s: GeneralizedLinearRegressionModel.load(f"{path}/{s}") for s in N.SIDES}, state["means"], state["max_goals"], hyper)
+    if name not in BOOSTING:
+        raise ValueError(f"unknown model {name!r}")
+    constants = state["constants"]
+    parts = {i: constants[str(i)] if str(i) in constants else GBTClassificationModel.load(f"{path}/{i}") for i in range(3)}
+    return BoostedModel(parts, hyper, name)
+
+
 TRAINERS = {
     "elo_baseline": EloTrainer,
     "poisson": PoissonTrainer,

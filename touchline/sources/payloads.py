@@ -45,9 +45,15 @@ _LINEUP = f"""struct<team: struct<id: string>, coach: struct<name: string>, form
 
 
 def _entries(pages: DataFrame, item: str, field: str = "response", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per list entry of every page body."""
+    """One row per list entry of every page body, with its place in the landing order.
+
+    Pages are ordered by their ``page`` column, or as they are read when there is none.
+    """
     parsed = F.from_json("body", f"struct<{field}: array<{item}>>")[field]
-    return pages.select(*keep, F.explode(parsed).alias("e"))
+    page = F.col("page").cast("long") if "page" in pages.columns else F.monotonically_increasing_id()
+    listed = pages.select(*keep, page.alias("_page"), parsed.alias("_items"))
+    found = listed.select(*keep, "_page", F.posexplode("_items").alias("_pos", "e"))
+    return found.select(*keep, F.struct(F.col("_page").alias("page"), F.col("_pos").alias("pos")).alias("landing"), "e")
 
 
 def _reason(required: dict[str, Column]) -> Column:
@@ -93,6 +99,7 @@ def matches_a(pages: DataFrame) -> DataFrame:
     season = F.nullif(X.to_long(lg["season"]), F.lit(0))
     short = fx["status"]["short"]
     rows = _entries(pages, _MATCH).select(
+        "landing",
         X.to_long(fx["id"]).alias("external_id"),
         X.to_long(lg["id"]).alias("competition_external_id"),
         season.alias("season_external_id"),
@@ -120,6 +127,7 @@ def matches_b(pages: DataFrame, statuses: tuple[str, ...] = ()) -> DataFrame:
     raw = F.coalesce(F.nullif(e["status"], F.lit("")), F.lit("scheduled"))
     zero = F.lit(0).cast("long")
     rows = _entries(pages, _EVENT, "results").select(
+        "landing",
         X.to_long(e["id"]).alias("external_id"),
         F.coalesce(X.to_long(e["league_id"]), zero).alias("competition_external_id"),
         F.coalesce(X.to_long(e["season_id"]), zero).alias("season_external_id"),
@@ -153,6 +161,7 @@ def competitions(pages: DataFrame) -> DataFrame:
     lg = F.col("e")["league"]
     kind = F.lower(F.coalesce(F.nullif(lg["type"], F.lit("")), F.lit("league")))
     rows = _entries(pages, _LEAGUE).select(
+        "landing",
         X.to_long(lg["id"]).alias("external_id"),
         F.coalesce(lg["name"], F.lit("")).alias("name"),
         F.when(kind.isin(*N.COMPETITION_TYPES), kind).otherwise("league").alias("type"),
@@ -164,10 +173,11 @@ def competitions(pages: DataFrame) -> DataFrame:
 
 def seasons(pages: DataFrame) -> DataFrame:
     rows = _entries(pages, _LEAGUE).select(
-        X.to_long(F.col("e")["league"]["id"]).alias("competition_external_id"), F.explode(F.col("e")["seasons"]).alias("s")
+        "landing", X.to_long(F.col("e")["league"]["id"]).alias("competition_external_id"), F.explode(F.col("e")["seasons"]).alias("s")
     )
     year = X.to_long(F.col("s")["year"])
     return rows.select(
+        "landing",
         "competition_external_id",
         year.alias("external_id"),
         year.alias("year"),
@@ -180,6 +190,7 @@ def seasons(pages: DataFrame) -> DataFrame:
 def teams(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     t = F.col("e")["team"]
     return _entries(pages, _TEAM, keep=keep).select(
+        "landing",
         *keep,
         X.to_long(t["id"]).alias("external_id"),
         F.coalesce(t["name"], F.lit("")).alias("name"),
@@ -228,6 +239,7 @@ def team_statistics(pages: DataFrame) -> DataFrame:
 def players(pages: DataFrame) -> DataFrame:
     e = F.col("e")
     return _entries(pages, _PLAYER).select(
+        "landing",
         X.to_long(e["id"]).alias("external_id"),
         F.coalesce(e["name"], F.lit("")).alias("name"),
         e["photo"].alias("photo"),
@@ -277,6 +289,7 @@ def injuries(pages: DataFrame) -> DataFrame:
     e = F.col("e")
     status = F.lower(F.coalesce(F.nullif(e["status"], F.lit("")), F.lit("active")))
     rows = _entries(pages, _INJURY).select(
+        "landing",
         X.to_long(e["id"]).alias("external_id"),
         X.to_long(e["player"]["id"]).alias("player_external_id"),
         X.to_long(e["team"]["id"]).alias("team_external_id"),
@@ -314,6 +327,7 @@ def lineups(pages: DataFrame) -> DataFrame:
         return F.transform(F.coalesce(listed, empty), one)
 
     return _entries(pages, _LINEUP, keep=("fixture_external_id",)).select(
+        "landing",
         "fixture_external_id",
         X.to_long(e["team"]["id"]).alias("team_external_id"),
         e["formation"].alias("formation"),

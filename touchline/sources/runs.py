@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.upsert import append_new
+from touchline.plans.models import load_model
 
 RUN_TABLES = {
     "configs": ["run_id"],
@@ -51,9 +52,12 @@ def run_id(dataset_version: str, iterator_params: dict, model_name: str, model_v
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The stored table, or an empty one where nothing has been written yet; any other fault is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], like.schema)
 
 
@@ -85,7 +89,7 @@ class ModelRegistry:
         self.spark, self.root = spark, root.rstrip("/")
 
     def save(self, model, version: str, training_version: str, cutoff: str, now: str, seed: int | None, features: list[str]) -> DataFrame:
-        payload = json.dumps({"hyper": model.hyper, "features": features, "model": model.name}, sort_keys=True)
+        payload = json.dumps({"hyper": model.hyper, "features": features, "model": model.name, "state": model.state()}, sort_keys=True)
         path = f"{self.root}/payloads/{model.name}/{version}"
         row = self.spark.createDataFrame(
             [(model.name, version, training_version, cutoff, now, seed, payload, hashlib.sha256(payload.encode()).hexdigest(), path)],
@@ -109,6 +113,11 @@ class ModelRegistry:
             raise ValueError(f"payload of {name} {version} does not match its digest")
         return {**r.asDict(), **json.loads(r["payload"])}
 
+    def load_model(self, name: str, version: str):
+        """The registered model, ready to transform rows."""
+        r = self.load(name, version)
+        return load_model(name, r["hyper"], r["state"], r["payload_ref"])
+
 
 def publish_predictions(df: DataFrame, path: str) -> int:
     """Append predictions once per (model, version, match); returns the number of repeats ignored."""
