@@ -266,8 +266,8 @@ def order_keys(spark, folder):
 )
 def train_intercepts(spark, folder):
     """Log mean goals per side and fold, from train blocks."""
-    m = Fo.membership(played(spark, folder), Fo.fold_table(spark, folds(spark, folder)), ("train",))
-    return m.groupBy("fold_id").agg(*Mo.intercepts())
+    bounds = Fo.fold_table(spark, folds(spark, folder))
+    return Mo.fold_intercepts(Fo.train_sums(played(spark, folder), bounds, [f"{s}_goals" for s in N.SIDES]))
 
 
 @query(
@@ -361,9 +361,9 @@ _GRID = ", ".join(f"({i}, {h}, {b})" for i, (h, b) in enumerate((h, b) for h in
 def elo_grid(spark, folder):
     """Best grid point of every fold on its validation block."""
     r = family("elo")(spark, folder)
-    m = Fo.membership(r, Fo.fold_table(spark, folds(spark, folder)), ("train", "val"))
-    betas = m.where("block = 'train'").groupBy("fold_id").agg(*Mo.intercepts())
-    losses = Mo.elo_grid_losses(m.where("block = 'val'").join(F.broadcast(betas), "fold_id"), ["fold_id"]).collect()
+    bounds = Fo.fold_table(spark, folds(spark, folder))
+    betas = Mo.fold_intercepts(Fo.train_sums(r, bounds, [f"{s}_goals" for s in N.SIDES]))
+    losses = Mo.elo_grid_losses(Fo.membership(r, bounds, ("val",)).join(betas, "fold_id"), ["fold_id"]).collect()
     out = [(x["fold_id"], x["val_n"], *map(float, Mo.pick_grid_point(x)[0]), Mo.pick_grid_point(x)[1]) for x in losses]
     return spark.createDataFrame(out, "fold_id long, val_n long, hfa double, beta_1 double, val_log_loss double")
 

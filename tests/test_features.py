@@ -51,12 +51,17 @@ def test_table_positions_match_brute_force(spark, case):
         assert got[fid]["table_points_difference"] == (t[h][1] - t[a][1] if both else None)
 
 
-@pytest.mark.parametrize("chunk", [10_000, 37, 5])
+@pytest.mark.parametrize("batch", ["10000", "7"])
 @pytest.mark.parametrize("case", CASES[:2])
-def test_elo_waves_equal_one_pass(spark, case, chunk):
+def test_elo_carries_ratings_over_batches(spark, case, batch):
     rows = season(**case)
     p = frame(spark, rows)
-    states = R.rating_states(p, chunk_rows=chunk)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    states = R.rating_states(p).cache()
+    states.count()
+    spark.conf.set(key, before)
     found = H.as_of(H.probes(p), [states], N.TEAM, ["elo"])
     got = {(r["team_id"], r["at"]): r["elo"]["rating"] if r["elo"] else 1500.0 for r in found.collect()}
     for fid, (eh, ea) in elo(rows).items():

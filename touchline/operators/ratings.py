@@ -1,9 +1,8 @@
 """Elo ratings as states after each (team, instant).
 
-A rating couples two teams at every step, so the fold inside one league season is sequential. Each
-call of the fold sees at most ``CHUNK_ROWS`` matches of one league season: larger seasons are cut
-into consecutive chunks by range partitioning on their own order, and the chunks run in waves that
-hand the ratings on through the shared folder.
+A rating couples two teams at every step, so the fold inside one league season is sequential. Rows come
+sorted in Arrow batches and only the current ratings are carried on, so a season of any size needs the memory
+of its teams.
 """
 
 from __future__ import annotations
@@ -11,19 +10,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as X
 from touchline.functions.names import LEAGUE, TEAM
-from touchline.session import materialise, scratch_path
 
 K_FACTOR = 20.0
 HOME_ADVANTAGE = 65.0
 BASE_RATING = 1500.0
-CHUNK_ROWS = 2_000_000
 
-_STATE = "competition_id long, season_id long, team_id long, at long, rating double, closing boolean"
+_STATE = "competition_id long, season_id long, team_id long, at long, rating double"
+_NAMES = [c.split()[0] for c in _STATE.split(", ")]
+_TYPES = [pa.int64()] * 4 + [pa.float64()]
+
+
+def rate(ratings: dict[int, float], home: int, away: int, hg: int, ag: int, k: float, hfa: float) -> None:
+    """Fold one result into ``ratings``."""
+    rh, ra = ratings.get(home, BASE_RATING), ratings.get(away, BASE_RATING)
+    expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + hfa)) / 400.0))
+    actual = 1.0 if hg > ag else 0.0 if hg < ag else 0.5
+    ratings[home] = rh + k * (actual - expected)
+    ratings[away] = ra + k * ((1.0 - actual) - (1.0 - expected))
 
 
 def fold_ratings(
@@ -39,68 +48,49 @@ def fold_ratings(
             yield from ((t, now, r) for t, r in touched.items())
             touched = {}
         now = at
-        rh, ra = ratings.get(home, BASE_RATING), ratings.get(away, BASE_RATING)
-        expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + hfa)) / 400.0))
-        actual = 1.0 if hg > ag else 0.0 if hg < ag else 0.5
-        ratings[home] = touched[home] = rh + k * (actual - expected)
-        ratings[away] = touched[away] = ra + k * ((1.0 - actual) - (1.0 - expected))
+        rate(ratings, home, away, hg, ag, k, hfa)
+        touched[home], touched[away] = ratings[home], ratings[away]
     yield from ((t, now, r) for t, r in touched.items())
 
 
-def _league_fold(k: float, hfa: float):
-    def run(key: tuple, games: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        ratings = dict(zip(start["team_id"], start["rating"]))
-        ordered = games.sort_values(["at", "fixture_id"], kind="stable")
-        rows = [(t, at, r, False) for t, at, r in fold_ratings(ordered, ratings, k, hfa)]
-        rows += [(t, 0, r, True) for t, r in ratings.items()]
-        out = pd.DataFrame(rows, columns=["team_id", "at", "rating", "closing"])
-        out.insert(0, "season_id", key[1])
-        out.insert(0, "competition_id", key[0])
-        return out
-
-    return run
+def stream_ratings(batches, k: float = K_FACTOR, hfa: float = HOME_ADVANTAGE) -> Iterator[pa.RecordBatch]:
+    """Ratings after each instant of rows sorted by league season, instant and id.
 
-
-def rating_states(
-    played: DataFrame, k: float = K_FACTOR, hfa: float = HOME_ADVANTAGE, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+    The ratings of one league season are all that is carried from batch to batch.
+    """
+    league, now = None, None
+    ratings: dict[int, float] = {}
+    touched: dict[int, float] = {}
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        made = pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(_TYPES)], names=_NAMES)
+        out.clear()
+        return made
+
+    for batch in batches:
+        for comp, season, at, _, home, away, hg, ag in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if at != now or (comp, season) != league:
+                out.extend((*league, t, now, r) for t, r in touched.items())
+                touched = {}
+                if (comp, season) != league:
+                    league, ratings = (comp, season), {}
+                now = at
+            rate(ratings, home, away, hg, ag, k, hfa)
+            touched[home], touched[away] = ratings[home], ratings[away]
+        yield flush()
+    out.extend((*league, t, now, r) for t, r in touched.items())
+    yield flush()
+
+
+def rating_states(played: DataFrame, k: float = K_FACTOR, hfa: float = HOME_ADVANTAGE) -> DataFrame:
     """(league, team, at, struct elo(rating)): the rating after each instant a team played."""
-    spark = played.sparkSession
     games = played.select(
         *[F.col(c).cast("long") for c in LEAGUE],
         X.instant("kickoff").alias("at"),
         F.col("fixture_id").cast("long"),
         *[F.col(c).cast("long") for c in ("home_team_id", "away_team_id", "home_goals", "away_goals")],
     )
-    fold = _league_fold(k, hfa)
-    fresh = spark.createDataFrame([], "competition_id long, season_id long, team_id long, rating double")
-    sizes = games.groupBy(*LEAGUE).count().agg(F.max("count"), F.sum("count")).first()
-    largest, total = sizes[0] or 0, sizes[1] or 0
-
-    def step(part: DataFrame, start: DataFrame) -> DataFrame:
-        return part.groupBy(*LEAGUE).cogroup(start.groupBy(*LEAGUE)).applyInPandas(fold, _STATE)
-
-    if largest <= chunk_rows:
-        out = step(games, fresh).where(~F.col("closing"))
-    else:
-        out = _waves(games, fresh, step, -(-total // chunk_rows))
-    return out.select(*TEAM, "at", F.struct(F.col("rating")).alias("elo"))
-
-
-def _waves(games: DataFrame, fresh: DataFrame, step, chunks: int) -> DataFrame:
-    spark = games.sparkSession
-    cut = games.repartitionByRange(chunks, *LEAGUE, "at", "fixture_id")
-    cut = materialise(cut.withColumn("_chunk", F.spark_partition_id()), "elo-chunks")
-    turn = F.dense_rank().over(Window.partitionBy(*LEAGUE).orderBy("_chunk")) - 1
-    turns = cut.select(*LEAGUE, "_chunk").distinct().withColumn("_wave", turn)
-    cut = materialise(cut.join(turns, [*LEAGUE, "_chunk"]), "elo-waves", ("_wave",))
-    last = cut.agg(F.max("_wave")).first()[0]
-    root = scratch_path(spark, "elo-states")
-    start = fresh
-    for wave in range(last + 1):
-        part = cut.where(F.col("_wave") == wave).drop("_wave", "_chunk")
-        path = f"{root}/wave={wave}"
-        step(part, start).write.parquet(path)
-        start = spark.read.schema(_STATE).parquet(path).where("closing").select(*TEAM, "rating")
-    states = spark.read.schema(f"{_STATE}, wave int").parquet(root).where(~F.col("closing"))
-    return states.groupBy(*TEAM, "at").agg(F.max_by("rating", "wave").alias("rating"))
+    ordered = games.repartition(*LEAGUE).sortWithinPartitions(*LEAGUE, "at", "fixture_id")
+    states = ordered.mapInArrow(lambda batches: stream_ratings(batches, k, hfa), _STATE)
+    return states.select(*TEAM, "at", F.struct(F.col("rating")).alias("elo"))

@@ -63,20 +63,23 @@ def _seed(base: int, fold: int) -> int:
 
 
 def elo_forecast_folds(rows: DataFrame, folds: list[dict], max_goals: int = 10) -> DataFrame:
-    """All folds of the rating baseline in three passes: intercepts, grid losses, forecasts."""
+    """All folds of the rating baseline in three passes: intercepts, grid losses, forecasts.
+
+    One row per fold goes to and fro; Spark broadcasts those tables when their size allows it.
+    """
     spark = rows.sparkSession
     bounds = Fo.fold_table(spark, folds)
     valid = Mo.with_valid_elo(rows)
-    member = Fo.membership(valid, bounds)
-    betas = member.where(F.col("block") == "train").groupBy("fold_id").agg(*Mo.intercepts())
-    val = member.where(F.col("block") == "val").join(F.broadcast(betas), "fold_id")
+    betas = Mo.fold_intercepts(Fo.train_sums(valid, bounds, [f"{s}_goals" for s in N.SIDES]))
+    member = Fo.membership(valid, bounds, ("val", "test"))
+    val = member.where(F.col("block") == "val").join(betas, "fold_id")
     params = []
     for r in Mo.elo_grid_losses(val, ["fold_id"], max_goals).collect():
         (hfa, beta), loss = Mo.pick_grid_point(r)
         params.append((r["fold_id"], r["beta_0_home"], r["beta_0_away"], float(hfa), beta, loss))
     table = spark.createDataFrame(params, "fold_id long, b_h double, b_a double, hfa double, b_1 double, val_log_loss double")
     home, away = Mo.elo_rates(*[F.col(c) for c in ("b_h", "b_a", "hfa", "b_1")])
-    wanted = member.where(F.col("block") != "train").join(F.broadcast(table), "fold_id")
+    wanted = member.join(table, "fold_id")
     return Mo.with_rates(wanted, home, away, max_goals).select(
         "fold_id",
         "block",

@@ -49,8 +49,11 @@ def _with_params(rows: DataFrame, by: Sequence[str], params: dict[tuple, list[fl
     return rows.join(F.broadcast(table), list(by))
 
 
-def fit_temperature(val: DataFrame, by: Sequence[str], groups: Sequence[tuple], steps: int = 30) -> dict[tuple, float]:
-    """Temperature per group: Newton on the inverse temperature, in which the loss is convex."""
+def fit_temperature(val: DataFrame, by: Sequence[str], groups: Sequence[tuple], steps: int = 30, report: dict | None = None) -> dict[tuple, float]:
+    """Temperature per group: Newton on the inverse temperature, in which the loss is convex.
+
+    ``report`` receives (converged, size of the gradient) per group.
+    """
     rows = _logs(val)
     inverse = {g: 1.0 for g in groups}
     low, high = {g: 1.0 / T_MAX for g in groups}, {g: 1.0 / T_MIN for g in groups}
@@ -79,11 +82,13 @@ def fit_temperature(val: DataFrame, by: Sequence[str], groups: Sequence[tuple],
             if abs(nxt - u) < TOLERANCE or high[key] - low[key] < TOLERANCE:
                 open_groups.discard(key)
             inverse[key] = nxt
+            if report is not None:
+                report[key] = (key not in open_groups, abs(g))
     return {g: min(max(1.0 / u, T_MIN), T_MAX) for g, u in inverse.items()}
 
 
 def fit_dirichlet(
-    val: DataFrame, by: Sequence[str], groups: Sequence[tuple], l2: float = L2, steps: int = 40
+    val: DataFrame, by: Sequence[str], groups: Sequence[tuple], l2: float = L2, steps: int = 40, report: dict | None = None
 ) -> dict[tuple, np.ndarray]:
     """Twelve parameters per group (3x3 map and 3 offsets) by damped Newton steps.
 
@@ -91,7 +96,7 @@ def fit_dirichlet(
     """
     rows = _logs(val)
     start = np.concatenate([np.eye(3).ravel(), np.zeros(3)])
-    state = {g: {"x": start.copy(), "try": start.copy(), "loss": np.inf, "step": None, "damp": 1.0} for g in groups}
+    state = {g: {"x": start.copy(), "try": start.copy(), "loss": np.inf, "step": None, "damp": 1.0, "gradient": np.inf} for g in groups}
     open_groups = set(groups)
     for _ in range(steps):
         if not open_groups:
@@ -116,6 +121,8 @@ def fit_dirichlet(
             key = tuple(r[b] for b in by)
             if _newton_step(state[key], r, l2):
                 open_groups.discard(key)
+            if report is not None:
+                report[key] = (key not in open_groups, state[key]["gradient"])
     return {g: st["x"] for g, st in state.items()}
 
 
@@ -146,6 +153,7 @@ def _newton_step(st: dict, r, l2: float) -> bool:
                     hess[_position(j, k), _position(m, n)] = r[f"_h{lo}{hi}{a}{b}"]
     grad[:9] += 2 * l2 * penalty
     hess[:9, :9] += 2 * l2 * np.eye(9)
+    st["gradient"] = float(np.abs(grad).max())
     st["step"] = np.linalg.pinv(hess, rcond=1e-12) @ grad
     st["try"] = x - st["step"]
     return np.abs(grad).max() < 1e-8 or (0 <= improved < 1e-13)
@@ -163,20 +171,24 @@ def calibrated_columns() -> list[Column]:
 
 
 def fit(val: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Choose and fit one calibrator per group; returns the parameter table."""
+    """Choose and fit one calibrator per group; returns the parameter table.
+
+    ``converged`` and ``gradient`` (largest component at the last accepted point) tell how each fit ended.
+    """
     spark = val.sparkSession
     chosen = choose(val, by).collect()
     keys = {k: [tuple(r[b] for b in by) for r in chosen if r["kind"] == k] for k in ("identity", "temperature", "dirichlet")}
-    temps = fit_temperature(val, by, keys["temperature"]) if keys["temperature"] else {}
-    dirs = fit_dirichlet(val, by, keys["dirichlet"]) if keys["dirichlet"] else {}
+    report: dict[tuple, tuple[bool, float]] = {}
+    temps = fit_temperature(val, by, keys["temperature"], report=report) if keys["temperature"] else {}
+    dirs = fit_dirichlet(val, by, keys["dirichlet"], report=report) if keys["dirichlet"] else {}
     out = []
     for r in chosen:
         key = tuple(r[b] for b in by)
         t = temps.get(key, 1.0)
         p = dirs.get(key, np.concatenate([(np.eye(3) / t).ravel(), np.zeros(3)]))
-        out.append((*key, r["kind"], float(r["val_ece"]), int(r["val_n"]), float(t), *map(float, p)))
+        out.append((*key, r["kind"], float(r["val_ece"]), int(r["val_n"]), float(t), *map(float, p), *report.get(key, (True, 0.0))))
     groups = ", ".join(f"{b} {val.schema[b].dataType.simpleString()}" for b in by)
-    schema = f"{groups}, kind string, val_ece double, val_n long, temperature double, " + ", ".join(f"{p} double" for p in PARAMS)
+    schema = f"{groups}, kind string, val_ece double, val_n long, temperature double, " + ", ".join(f"{p} double" for p in PARAMS) + ", converged boolean, gradient double"
     return spark.createDataFrame(out, schema)
 
 

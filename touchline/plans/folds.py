@@ -1,8 +1,8 @@
 """Walk-forward folds as closed kickoff intervals.
 
-Only the number of matches per distinct kickoff decides the bounds. Those counts are aggregated in
-Spark; the walk over them reads a few positions per fold, from memory while the time line is short
-and from the written time line otherwise.
+Only the number of matches per distinct kickoff decides the bounds. Those counts are aggregated and
+written in time order; the driver holds one total per calendar day, and the walk reads the kickoffs of
+the few days in which a fold's blocks begin or end.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from touchline.functions import scalars as X
 from touchline.session import materialise
 
-TIMELINE_IN_MEMORY = 1_000_000
-BROADCAST_FOLDS = 10_000
+DAYS_HELD = 64
 
 
 @dataclass(frozen=True)
@@ -69,43 +68,46 @@ def timeline(rows: DataFrame) -> DataFrame:
     )
 
 
-class _MemoryLine:
-    def __init__(self, line: DataFrame):
-        t = line.orderBy("at").toArrow()
-        self.at, self.first, self.last = (t[c].to_numpy() for c in ("at", "first", "last"))
-        self.size = int(self.last[-1]) + 1 if len(self.at) else 0
-
-    def _row(self, i: int) -> tuple[int, int, int]:
-        return int(self.at[i]), int(self.first[i]), int(self.last[i])
-
-    def holding(self, position: int):
-        return self._row(int(np.searchsorted(self.first, position, side="right")) - 1)
-
-    def from_instant(self, at: int):
-        i = int(np.searchsorted(self.at, at, side="left"))
-        return self._row(i) if i < len(self.at) else None
-
-
-class _StoredLine:
-    def __init__(self, line: DataFrame):
-        self.line = materialise(line.repartitionByRange("at").sortWithinPartitions("at"), "timeline")
-        top = self.line.agg(F.max("last")).first()[0]
-        self.size = 0 if top is None else top + 1
-
-    def holding(self, position: int):
-        return tuple(self.line.where((F.col("first") <= position) & (F.col("last") >= position)).first())
-
-    def from_instant(self, at: int):
-        found = self.line.where(F.col("at") >= at).agg(F.min(F.struct("at", "first", "last"))).first()[0]
-        return tuple(found) if found else None
-
-
-def walk_forward(rows: DataFrame, params: FoldParams, in_memory: int = TIMELINE_IN_MEMORY) -> list[dict]:
+class _Line:
+    """Positions of kickoffs: day totals on the driver (as many as the calendar has days), kickoffs per day on demand."""
+
+    def __init__(self, rows: DataFrame):
+        per = rows.groupBy(X.instant("kickoff").alias("at")).agg(F.count("*").alias("n"))
+        per = per.withColumn("day", F.floor(F.col("at") / F.lit(X.DAY_MICROS)))
+        self.per = materialise(per.repartitionByRange("at").sortWithinPartitions("at"), "timeline")
+        days = self.per.groupBy("day").agg(F.sum("n").alias("n")).orderBy("day").collect()
+        self.days = np.array([r["day"] for r in days], np.int64)
+        self.base = np.concatenate([[0], np.cumsum([r["n"] for r in days])]).astype(np.int64)
+        self.size = int(self.base[-1])
+        self.held: dict[int, list[tuple[int, int, int]]] = {}
+
+    def _day(self, i: int) -> list[tuple[int, int, int]]:
+        """(at, first, last) of every kickoff of the i-th day; the scan skips files by their bounds."""
+        if i not in self.held:
+            if len(self.held) >= DAYS_HELD:
+                self.held.pop(next(iter(self.held)))
+            low = int(self.days[i]) * X.DAY_MICROS
+            rows = self.per.where(F.col("at").between(low, low + X.DAY_MICROS - 1)).select("at", "n").orderBy("at").collect()
+            last = self.base[i] - 1 + np.cumsum([r["n"] for r in rows])
+            self.held[i] = [(r["at"], int(e) - r["n"] + 1, int(e)) for r, e in zip(rows, last, strict=True)]
+        return self.held[i]
+
+    def holding(self, position: int) -> tuple[int, int, int]:
+        day = self._day(int(np.searchsorted(self.base, position, side="right")) - 1)
+        return next(x for x in day if x[1] <= position <= x[2])
+
+    def from_instant(self, at: int) -> tuple[int, int, int] | None:
+        i = int(np.searchsorted(self.days, at // X.DAY_MICROS, side="left"))
+        if i < len(self.days) and (found := next((x for x in self._day(i) if x[0] >= at), None)):
+            return found
+        later = int(np.searchsorted(self.days, at // X.DAY_MICROS, side="right"))
+        return self._day(later)[0] if later < len(self.days) else None
+
+
+def walk_forward(rows: DataFrame, params: FoldParams) -> list[dict]:
     """Fold bounds; a kickoff group is never split between blocks and partial blocks end the walk."""
     params.check()
-    line_df = timeline(rows)
-    size = rows.agg(F.approx_count_distinct("kickoff")).first()[0]
-    line = _MemoryLine(line_df) if size <= in_memory else _StoredLine(line_df)
+    line = _Line(rows)
     gap = params.gap_days * X.DAY_MICROS
     folds: list[dict] = []
     if line.size < params.min_train_size:
@@ -184,16 +186,37 @@ def block_name() -> Column:
 def membership(rows: DataFrame, bounds: DataFrame, blocks: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
     """Rows joined to every fold block that holds their kickoff.
 
-    The fold list is broadcast while it is short. A longer one is cut at the days it covers, so the
-    interval join becomes an equality join on the day.
+    Block intervals are cut at the days they cover, so the interval join is an equality join on the day. In
+    expanding mode a row is in the train block of every later fold; ``train_sums`` needs no such copies.
     """
     cols = [f"{b}_{e}" for b in blocks for e in ("start", "end")]
     k = F.col("kickoff")
     spans = F.array(*[F.struct(F.lit(b).alias("block"), F.col(f"{b}_start").alias("lo"), F.col(f"{b}_end").alias("hi")) for b in blocks])
     parts = bounds.select("fold_id", *cols).select("fold_id", F.explode(spans).alias("s")).select("fold_id", "s.*")
-    inside = k.between(F.col("lo"), F.col("hi"))
-    if bounds.count() <= BROADCAST_FOLDS:
-        return rows.join(F.broadcast(parts), inside).drop("lo", "hi")
     days = F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("interval 1 day"))
     dated = parts.withColumn("_day", F.explode(days))
-    return rows.withColumn("_day", F.to_date(k)).join(dated, "_day").where(inside).drop("_day", "lo", "hi")
+    return rows.withColumn("_day", F.to_date(k)).join(dated, "_day").where(k.between(F.col("lo"), F.col("hi"))).drop("_day", "lo", "hi")
+
+
+def train_sums(rows: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:
+    """Per fold the number of train rows (``n``) and the sums of ``columns`` over them.
+
+    A train block is the rows up to its end less the rows before its start. Sums up to an instant are those of
+    the days before, from one running sum over calendar days, plus its own day's; no row is copied.
+    """
+    names = ["n", *columns]
+    per = rows.groupBy(X.instant("kickoff").alias("at")).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns])
+    per = per.withColumn("day", F.floor(F.col("at") / F.lit(X.DAY_MICROS)))
+    ends = F.array(
+        F.struct(X.instant("train_end").alias("upto"), F.lit(1).alias("sign")),
+        F.struct((X.instant("train_start") - 1).alias("upto"), F.lit(-1).alias("sign")),
+    )
+    asked = bounds.select("fold_id", F.explode(ends).alias("x")).select("fold_id", "x.*").withColumn("day", F.floor(F.col("upto") / F.lit(X.DAY_MICROS)))
+    zero = [F.lit(0).alias(c) for c in names]
+    days = per.select("day", *names).unionByName(asked.select("day", *zero)).groupBy("day").agg(*[F.sum(c).alias(c) for c in names])
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    base = days.select("day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"base_{c}") for c in names])
+    inside = asked.join(per, "day", "left").where(F.col("at").isNull() | (F.col("at") <= F.col("upto")))
+    own = inside.groupBy("fold_id", "sign").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    upto = asked.join(base, "day").join(own, ["fold_id", "sign"], "left")
+    return upto.groupBy("fold_id").agg(*[F.sum(F.col("sign") * (F.col(f"base_{c}") + F.coalesce(c, F.lit(0)))).alias(c) for c in names])

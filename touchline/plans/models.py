@@ -58,6 +58,11 @@ def intercepts() -> list[Column]:
     ]
 
 
+def fold_intercepts(sums: DataFrame) -> DataFrame:
+    """The same per fold, from the sums of train goals."""
+    return sums.where("n > 0").select("fold_id", *[F.log(F.greatest(F.col(f"{s}_goals") / F.col("n"), F.lit(0.1))).alias(f"beta_0_{s}") for s in N.SIDES])
+
+
 def elo_grid_losses(rows: DataFrame, by: list[str], max_goals: int = 10) -> DataFrame:
     """Validation log loss of every grid point per group, all points in one pass over the rows.
 
