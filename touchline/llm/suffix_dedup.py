@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = text_rows(docs, id_col, text_col).withColumn("t", F.unhex(F.md5("text")))
     long = rows.where(F.octet_length("text") >= LENGTH).select("t", "text")
     found = anchor_rows(long)
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    twice = materialise(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeat-anchors")  # a written side lets a hot anchor's rows be split in the join
     wanted = found.join(twice, "h").groupBy("t").agg(F.collect_set("h").alias("wanted"))
     texts = long.groupBy("t").agg(F.first("text").alias("text")).join(wanted, "t")
     texts = materialise(texts.withColumn("own", F.monotonically_increasing_id()), "repeat-texts")
