@@ -754,6 +754,94 @@ def replace_children(spark, folder):
     return U.replace_children(old, fresh, fresh, ["fixture_id"])
 
 
+_LINES = """lines AS (SELECT l_orderkey AS fixture_id, l_linenumber AS shirt_number, l_partkey AS player_id FROM lineitem)"""
+
+
+def _lineups(spark, folder):
+    """Stored lineups of orders not divisible by 5, and updates: no list for a third, an empty one for some, else other players."""
+    li = T.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("fixture_id"), F.col("l_linenumber").alias("shirt_number"), F.col("l_partkey").alias("player_id"))
+    slots = li.where("fixture_id % 5 <> 0")
+    parents = slots.select("fixture_id").distinct().withColumn("formation", F.lit("old"))
+    listed = li.groupBy("fixture_id").agg(F.collect_list(F.struct("shirt_number", (F.col("player_id") + 1).alias("player_id"))).alias("p"))
+    none = F.lit(None).cast("array<struct<shirt_number:bigint,player_id:bigint>>")
+    players = F.when(F.col("fixture_id") % 3 == 0, none).when(F.col("fixture_id") % 7 == 0, F.array().cast("array<struct<shirt_number:bigint,player_id:bigint>>")).otherwise(F.col("p").cast("array<struct<shirt_number:bigint,player_id:bigint>>"))
+    updates = listed.where("fixture_id % 2 = 0").select("fixture_id", F.lit("4-4-2").alias("formation"), players.alias("players"), F.lit(1).alias("landing"))
+    return U.upsert_lineups(parents, slots.select("fixture_id", F.col("shirt_number").cast("long"), "player_id"), updates, ["fixture_id"], "landing")
+
+
+@query(
+    "u6_lineup_rows",
+    "i:fixture_id s:formation,_outcome",
+    """SELECT DISTINCT l_orderkey AS fixture_id, CASE WHEN l_orderkey % 2 = 0 THEN '4-4-2' ELSE 'old' END AS formation,
+    CASE WHEN l_orderkey % 2 = 0 AND l_orderkey % 5 <> 0 THEN 'updated' WHEN l_orderkey % 2 = 0 THEN 'inserted' ELSE 'untouched' END AS _outcome FROM lineitem WHERE l_orderkey % 2 = 0 OR l_orderkey % 5 <> 0""",
+)
+def lineup_parents(spark, folder):
+    """Lineups inserted and overwritten."""
+    return _lineups(spark, folder)[0]
+
+
+@query(
+    "u6_lineup_slots",
+    "i:fixture_id,shirt_number,player_id",
+    with_sql(_LINES, answer="""SELECT fixture_id, shirt_number, CASE WHEN fixture_id % 2 = 0 AND fixture_id % 3 <> 0 THEN player_id + 1 ELSE player_id END AS player_id FROM lines
+    WHERE CASE WHEN fixture_id % 2 <> 0 OR fixture_id % 3 = 0 THEN fixture_id % 5 <> 0 ELSE fixture_id % 7 <> 0 END"""),
+)
+def lineup_slots(spark, folder):
+    """Slots replaced by the update's list, removed by an empty one, and kept where the list is missing."""
+    return _lineups(spark, folder)[1]
+
+
+@query(
+    "u5_upsert_injuries",
+    "i:external_id,fixture_id s:type,status,_outcome D:start_date",
+    with_sql(_IN, answer="""SELECT external_id, CASE WHEN external_id % 2 = 0 THEN -1 ELSE fixture_external_id END AS fixture_id, type, status, CASE WHEN external_id % 2 = 0 THEN DATE '1999-09-09' ELSE start_date END AS start_date,
+    CASE WHEN external_id % 2 = 0 THEN 'updated' ELSE 'inserted' END AS _outcome FROM ip""".replace("CASE WHEN external_id % 2 = 0 THEN -1 ELSE fixture_external_id END", "fixture_external_id")),
+)
+def upsert_injuries(spark, folder):
+    """Injuries: the policy's columns are overwritten, even by NULL, and the start date stays as first stored."""
+    new = P.split_rejects(P.injuries(injury_payload(spark, folder)))[0].withColumn("fixture_id", F.col("fixture_external_id"))
+    old = new.where("external_id % 2 = 0").select("external_id", F.lit(-1).cast("long").alias("fixture_id"), F.lit("old").alias("type"), F.lit("old").alias("status"), F.lit("1999-09-09").cast("date").alias("start_date"))
+    return U.merge_upsert(old, new, ["external_id"], U.INJURY_POLICY, "landing")
+
+
+@query(
+    "j6_team_ingest",
+    "i:external_id,id s:name,_outcome",
+    with_sql(DIMS.replace("teams AS (SELECT DISTINCT home_team_id AS e, home_team_id + 10000 AS id FROM matches WHERE home_goals = 4),", ""), """
+    known AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 50 <> 7 AND c_custkey % 7 IN (SELECT e FROM comps) AND 1995 + c_custkey % 9 < 2001),
+    old AS (SELECT c_custkey AS k, c_custkey + 10000 AS id FROM customer WHERE c_acctbal >= 0)""",
+             answer="""SELECT coalesce(old.k, known.k) AS external_id, coalesce(id, (SELECT max(id) FROM old) + row_number() OVER (PARTITION BY id IS NULL ORDER BY known.k)) AS id,
+    coalesce(c_name, 'old') AS name, CASE WHEN old.k IS NULL THEN 'inserted' WHEN known.k IS NULL THEN 'untouched' ELSE 'updated' END AS _outcome FROM old FULL JOIN known ON known.k = old.k"""),
+)
+def team_ingest(spark, folder):
+    """Teams of league seasons: listed twice they are one row, new ones get ids."""
+    return _team_ingest(spark, folder)[0]
+
+
+def _team_ingest(spark, folder):
+    comps, _, _, players, _ = stored_dims(spark, folder)
+    seasons = comps.select(F.col("id").alias("competition_id")).crossJoin(spark.range(1995, 2001).select(F.col("id").alias("external_id"), (F.col("id") * 10).alias("id")))
+    rows = P.split_rejects(P.teams(team_payload(spark, folder)))[0]
+    listed = rows.withColumns({"competition_external_id": F.col("external_id") % 7, "season_external_id": 1995 + F.col("external_id") % 9})
+    again = listed.withColumns({"name": F.lit("earlier name"), "landing": F.struct((F.col("landing.page") - 1_000_000).alias("page"), F.col("landing.pos").alias("pos"))})
+    old = players.select("external_id", "id", F.lit("old").alias("name"))
+    return In.ingest_teams(listed.unionByName(again), old, comps, seasons, {"name": "overwrite"})
+
+
+@query(
+    "j6_team_ingest_counters",
+    "i:inserted,updated,skipped,failed",
+    with_sql(DIMS.replace("teams AS (SELECT DISTINCT home_team_id AS e, home_team_id + 10000 AS id FROM matches WHERE home_goals = 4),", ""), """
+    t AS (SELECT c_custkey, c_acctbal >= 0 AS stored, c_custkey % 7 IN (SELECT e FROM comps) AS league, 1995 + c_custkey % 9 < 2001 AS season FROM customer WHERE c_custkey % 50 <> 7)""",
+             answer="""SELECT count(*) FILTER (league AND season AND NOT stored) AS inserted, count(*) FILTER (league AND season AND stored) AS updated,
+    2 * count(*) FILTER (league AND NOT season) AS skipped, 2 * count(*) FILTER (NOT league) AS failed FROM t"""),
+)
+def team_ingest_counters(spark, folder):
+    """An unknown league fails its rows, a season that is not stored skips them; every listing counts."""
+    merged, skipped, failed = _team_ingest(spark, folder)
+    return In.counters("sync_teams", merged, 1, failed, skipped)
+
+
 @query(
     "u7_s19_append_new_only",
     "i:prediction_id",

@@ -278,6 +278,39 @@ def list_lookup(spark, folder):
     return Rd.by_keys(rows, "custkey", [3, 7, 1000000007])
 
 
+_SEASON_ROWS = """seasons AS (SELECT DISTINCT competition_id, season_id AS year, season_id * 10 + competition_id AS id, season_id IN (1996, 1997) AS is_current FROM matches)"""
+
+
+@query(
+    "p17_season_lookups",
+    "i:id,year s:asked",
+    with_sql(MATCHES, _SEASON_ROWS, answer="""SELECT id, year, 'current' AS asked FROM seasons WHERE competition_id = 3 AND is_current AND year = 1997
+    UNION ALL SELECT id, year, 'by year' FROM seasons WHERE competition_id = 2 AND year = 1995 UNION ALL SELECT id, year, 'by year' FROM seasons WHERE competition_id = 2 AND year = 1900"""),
+)
+def season_lookups(spark, folder):
+    """The current season of a competition, and a season by its year; an unknown year gives no row."""
+    m = T.matches(spark, folder)
+    s = m.select("competition_id", F.col("season_id").alias("year")).distinct().withColumn("id", F.col("year") * 10 + F.col("competition_id")).withColumn("is_current", F.col("year").isin(1996, 1997))
+    parts = [(Rd.current_season(s, 3), "current"), (Rd.season_of_year(s, 2, 1995), "by year"), (Rd.season_of_year(s, 2, 1900), "by year")]
+    first, *rest = [df.select("id", "year", F.lit(asked).alias("asked")) for df, asked in parts]
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+@query(
+    "p17_active_version_and_match_rows",
+    "i:id s:asked",
+    """SELECT max(c_custkey) AS id, 'active' AS asked FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0
+    UNION ALL SELECT l_linenumber, 'match' FROM lineitem WHERE l_orderkey = 7""",
+)
+def version_and_match(spark, folder):
+    """The active version of a model name, and all rows of one match."""
+    v = T.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), (F.col("c_acctbal") > 0).alias("is_active"))
+    li = T.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("fixture_id"), F.col("l_linenumber").alias("id"))
+    return Rd.active_version(v, "BUILDING").select("id", F.lit("active").alias("asked")).unionByName(Rd.of_match(li, 7).select("id", F.lit("match").alias("asked")))
+
+
 @query(
     "p26_per_match_averages",
     "i:team_id,season_id D:as_of_date d:corners_avg,yellow_cards_avg,red_cards_avg",

@@ -409,19 +409,21 @@ def temperature(spark, folder):
     scored = out.join(F.broadcast(table), "model_version_id").groupBy("model_version_id", "t").agg(
         loss(F.col("t")).alias("at"), loss(F.col("t") * 1.01).alias("above"), loss(F.col("t") / 1.01).alias("below")
     )
-    return scored.select("model_version_id", F.col("t").between(Cal.T_MIN, Cal.T_MAX).alias("inside_bounds"), ((F.col("at") <= F.col("above")) & ((F.col("at") <= F.col("below")) | (F.col("t") >= Cal.T_MAX))).alias("is_minimum"))
+    return scored.select("model_version_id", F.col("t").between(Cal.T_MIN, Cal.T_MAX).alias("inside_bounds"), (((F.col("at") <= F.col("above")) | (F.col("t") >= Cal.T_MAX)) & ((F.col("at") <= F.col("below")) | (F.col("t") <= Cal.T_MIN))).alias("is_minimum"))
 
 
 @query(
     "m9_dirichlet_fit",
-    "i:model_version_id,rows b:simplex,no_worse_than_identity",
-    with_sql(*CTES, answer="SELECT model_version_id, count(*) AS rows, TRUE AS simplex, TRUE AS no_worse_than_identity FROM sc GROUP BY 1"),
+    "i:model_version_id,rows b:simplex,no_worse_than_identity,converged,stationary",
+    with_sql(*CTES, answer="SELECT model_version_id, count(*) AS rows, TRUE AS simplex, TRUE AS no_worse_than_identity, TRUE AS converged, TRUE AS stationary FROM sc GROUP BY 1"),
 )
 def dirichlet(spark, folder):
-    """Dirichlet calibration per model version: stays a simplex and lowers the log loss."""
+    """Dirichlet calibration per model version: a simplex, a lower log loss, and a zero gradient in all twelve parameters."""
     f = forecasts(spark, folder)
     groups = [(i,) for i in range(3)]
-    fitted = Cal.fit_dirichlet(f, ["model_version_id"], groups)
+    report = {}
+    fitted = Cal.fit_dirichlet(f, ["model_version_id"], groups, report=report)
+    ended = spark.createDataFrame([(g[0], *report[g]) for g in groups], "model_version_id long, converged boolean, gradient double")
     table = spark.createDataFrame([(g[0], "dirichlet", *map(float, fitted[g])) for g in groups], "model_version_id long, kind string, " + ", ".join(f"{p} double" for p in Cal.PARAMS))
     both = Cal.apply(f.withColumn("raw_loss", -F.log(X.pick3(F.col("label"), *[F.col(c) for c in Mx.P]))), table, ["model_version_id"])
     p = [F.col(c) for c in Mx.P]
@@ -429,7 +431,7 @@ def dirichlet(spark, folder):
         F.count("*").alias("rows"),
         F.bool_and(X.is_simplex(*p)).alias("simplex"),
         (F.avg(-F.log(X.pick3(F.col("label"), *p))) <= F.avg("raw_loss")).alias("no_worse_than_identity"),
-    )
+    ).join(ended, "model_version_id").withColumn("stationary", F.col("gradient") < 1e-6)
 
 
 @query("m4_poisson_regression", "i:fixture_id d:expected_home_goals,expected_away_goals,p_home_win,p_draw,p_away_win")
@@ -521,6 +523,25 @@ def final_fit(spark, folder):
     return spark.read.parquet(f"{registry.root}/registry").withColumn("digest_matches", F.sha2("payload", 256) == F.col("payload_sha256"))
 
 
+@query(
+    "m14_s20_loaded_model_scores",
+    "i:fixture_id d:expected_home_goals,expected_away_goals,p_home_win,p_draw,p_away_win",
+    with_sql(
+        MATCHES, FIN, ELO_CTE,
+        """means AS (SELECT ln(greatest(avg(home_goals), 0.1)) AS bh, ln(greatest(avg(away_goals), 0.1)) AS ba FROM fin),
+        rates AS (SELECT fixture_id AS key, exp(bh + 0.002 * (CAST(CAST(eh AS FLOAT) AS DOUBLE) + 70 - CAST(CAST(ea AS FLOAT) AS DOUBLE))) AS lh,
+        exp(ba - 0.002 * (CAST(CAST(eh AS FLOAT) AS DOUBLE) + 70 - CAST(CAST(ea AS FLOAT) AS DOUBLE))) AS la FROM elo, means)""",
+        _POIS, recursive=True,
+        answer="SELECT r.key AS fixture_id, lh AS expected_home_goals, la AS expected_away_goals, ph AS p_home_win, pd AS p_draw, pa AS p_away_win FROM rates r JOIN probs USING (key)",
+    ),
+)
+def loaded_scores(spark, folder):
+    """A final fit with given rating parameters, registered, loaded again and applied to every row."""
+    registry = R.ModelRegistry(spark, scratch_path(spark, "registry"))
+    Bt.train_final(rows(spark, folder), "elo_baseline", "v1", "d1", registry, "2024-01-01 00:00:00", HFA=70.0, beta_1=0.002)
+    return registry.load_model("elo_baseline", "v1").transform(rows(spark, folder))
+
+
 _OPEN = """
 open AS (SELECT fixture_id, competition_id, season_id, home_team_id, away_team_id, kickoff FROM matches WHERE status <> 'finished'),
 seen AS (SELECT o.fixture_id, (SELECT count(*) FROM fin f WHERE f.competition_id = o.competition_id AND f.season_id = o.season_id AND f.kickoff < o.kickoff

@@ -96,6 +96,25 @@ def by_keys(df: DataFrame, column: str, keys: Sequence) -> DataFrame:
     return df.where(F.col(column).isin(list(keys))) if keys else df.where(F.lit(False))
 
 
+def current_season(seasons: DataFrame, competition_id: int) -> DataFrame:
+    """The season of a competition that is marked current, the latest of several."""
+    return _equal(seasons.where("is_current"), competition_id=competition_id).orderBy(F.desc("year")).limit(1)
+
+
+def season_of_year(seasons: DataFrame, competition_id: int, year: int) -> DataFrame:
+    return _equal(seasons, competition_id=competition_id, year=year)
+
+
+def active_version(versions: DataFrame, name: str) -> DataFrame:
+    """The active version of a model, the newest of several."""
+    return _equal(versions.where("is_active"), name=name).orderBy(F.desc("id")).limit(1)
+
+
+def of_match(rows: DataFrame, fixture_id: int) -> DataFrame:
+    """Rows of any table that belong to one match."""
+    return _equal(rows, fixture_id=fixture_id)
+
+
 def missing_keys(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Wanted keys that are not known."""
     return wanted.select(key).distinct().join(known.select(key), key, "left_anti")

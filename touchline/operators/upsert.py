@@ -110,6 +110,18 @@ def replace_children(children: DataFrame, parents_touched: DataFrame, fresh: Dat
     return kept.unionByName(fresh)
 
 
+def upsert_lineups(parents: DataFrame, slots: DataFrame, updates: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(lineups with ``_outcome``, slots): the last update of a lineup overwrites its row and replaces its slots.
+
+    ``updates`` carry ``players``, an array of slot structs; a NULL list leaves the stored slots as they are, an empty one removes them.
+    """
+    whole = combined(updates, keys, {**all_columns(updates, keys), "players": "fill"}, order)
+    merged = merge_upsert(parents, whole.drop("players"), keys, all_columns(parents, keys), order)
+    given = whole.where(F.col("players").isNotNull())
+    fresh = given.select(*keys, F.explode("players").alias("p")).select(*keys, "p.*")
+    return merged, replace_children(slots, given, fresh.select(*slots.columns), keys)
+
+
 def insert_only(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows to append; a key that already exists, or occurs twice, is a conflict and raises."""
     clash = rows.join(target.select(*keys), list(keys), "left_semi").limit(1).count()

@@ -81,6 +81,8 @@ def fit_temperature(val: DataFrame, by: Sequence[str], groups: Sequence[tuple],
                 nxt = (low[key] + high[key]) / 2
             if abs(nxt - u) < TOLERANCE or high[key] - low[key] < TOLERANCE:
                 open_groups.discard(key)
+                # The search closes in on a bound without reaching it.
+                nxt = next((edge for edge in (1.0 / T_MAX, 1.0 / T_MIN) if abs(nxt - edge) < 10 * TOLERANCE), nxt)
             inverse[key] = nxt
             if report is not None:
                 report[key] = (key not in open_groups, abs(g))
