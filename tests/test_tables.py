@@ -233,3 +233,23 @@ def test_unknown_keys_are_counted_in_the_error(spark):
     wanted, known = (spark.range(n).withColumnRenamed("id", "k") for n in (40, 5))
     with pytest.raises(ValueError, match="and 15 more"):
         require_keys(wanted, known, "k")
+
+
+def test_a_scope_removes_what_was_written_inside(spark):
+    import glob
+
+    with Se.scratch_scope(spark) as root:
+        assert Se.materialise(spark.range(5), "x").count() == 5
+        assert glob.glob(root.removeprefix("file:") + "/x-*")
+    assert not glob.glob(root.removeprefix("file:")) and not Se.scratch_path(spark, "y").startswith(root)
+
+
+def test_another_session_zone_is_refused(spark):
+    key = "spark.sql.session.timeZone"
+    spark.conf.set(key, "Asia/Tokyo")
+    try:
+        with pytest.raises(RuntimeError, match="time zone"):
+            Se.require_utc(spark)
+    finally:
+        spark.conf.set(key, "UTC")
+    Se.require_utc(spark)

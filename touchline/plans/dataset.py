@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline.operators import features as Fe
 from touchline.operators import history as H
 from touchline.operators.reads import require_keys
+from touchline.session import require_utc
 from touchline.sources import datasets as D
 
 
@@ -62,8 +63,9 @@ def dataset_rows(
     Team features read the target leagues only. Meetings of a pair come from every league and season,
     and from finished matches whatever the cutoff, each strictly before its own kickoff.
     """
-    targets, before = build_window(matches, competitions, seasons, start, end, resolve_cutoff(cutoff, end))
     spark = matches.sparkSession
+    require_utc(spark)
+    targets, before = build_window(matches, competitions, seasons, start, end, resolve_cutoff(cutoff, end))
     require_keys(spark.createDataFrame([(c,) for c in competitions], "competition_id long"), matches, "competition_id")
     require_keys(spark.createDataFrame([(s,) for s in seasons], "season_id long"), matches, "season_id")
     return Fe.build_examples(targets, before, team_stats)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as X
-from touchline.session import materialise
+from touchline.session import materialise, require_utc
 
 DAYS_HELD = 64
 
@@ -107,6 +107,7 @@ class _Line:
 def walk_forward(rows: DataFrame, params: FoldParams) -> list[dict]:
     """Fold bounds; a kickoff group is never split between blocks and partial blocks end the walk."""
     params.check()
+    require_utc(rows.sparkSession)
     line = _Line(rows)
     gap = params.gap_days * X.DAY_MICROS
     folds: list[dict] = []

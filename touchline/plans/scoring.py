@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from touchline.functions import names as N
 from touchline.operators import features as Fe
 from touchline.operators import history as H
+from touchline.session import require_utc
 
 
-def scoring_features(matches: DataFrame, team_stats: DataFrame) -> DataFrame:
-    """Features of every match that is not finished, from finished matches strictly before it."""
-    played = H.finished(matches)
-    return Fe.build_examples(matches.where(F.col("status") != "finished"), played, team_stats)
+def scoring_features(matches: DataFrame, team_stats: DataFrame, requested: DataFrame | None = None) -> DataFrame:
+    """Features of the requested, else all, matches that are not finished, from finished matches strictly before them."""
+    require_utc(matches.sparkSession)
+    targets = matches.where(F.col("status") != "finished")
+    if requested is not None:
+        targets = targets.join(requested.select("fixture_id").distinct(), "fixture_id", "left_semi")
+    return Fe.build_examples(targets, H.finished(matches), team_stats)
 
 
 def outcome_column(df: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def outcome_column(df: DataFrame) -> DataFrame:
 
 def score(requested: DataFrame, matches: DataFrame, team_stats: DataFrame, model) -> DataFrame:
     """One row per requested id: probabilities, or why there are none."""
-    rows = scoring_features(matches, team_stats).join(requested.select("fixture_id").distinct(), "fixture_id", "left_semi")
+    rows = scoring_features(matches, team_stats, requested)
     scored = model.transform(outcome_column(rows)).select("fixture_id", "outcome", "p_home_win", "p_draw", "p_away_win")
     out = requested.select("fixture_id").distinct().join(scored, "fixture_id", "left")
     ok = F.col("outcome") == "scored"

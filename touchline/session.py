@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+UTC_NAMES = ("UTC", "Etc/UTC", "Z", "GMT", "+00:00")
 
 
 def build_session(app: str = "touchline", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,9 +42,35 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scope: ContextVar[str | None] = ContextVar("touchline_scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Everything written to the scratch folder inside goes below one new folder, removed at the end.
+
+    Results that read those tables must be stored elsewhere before the scope ends.
+    """
+    root = f"{scratch_root(spark)}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(root)
+    try:
+        yield root
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the scratch folder, or below the scope's folder inside a scope."""
+    return f"{_scope.get() or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def require_utc(spark: SparkSession) -> None:
+    """Dates become instants in the session's zone; in any other zone snapshots would show hours early or late."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise RuntimeError(f"the session's time zone is {zone}; set spark.sql.session.timeZone to UTC")
 
 
 def materialise(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
