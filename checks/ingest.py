@@ -1036,13 +1036,6 @@ def _match_stream(spark, folder):
     return SI.landed(spark, _land(spark, updates, F.floor(F.year("kickoff_time") / 3), "landed"), updates.schema, FILES)
 
 
-def _newest(spark, table):
-    """Newest version folder of a versioned table."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return max(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path))
-
-
 @query(
     "r1_streaming_upsert",
     "i:external_id,home_goals,away_goals,matchday s:status,venue",
@@ -1051,10 +1044,10 @@ def _newest(spark, table):
 def streaming_upsert(spark, folder):
     """Landed updates in several micro-batches give the table that one batch gives."""
     first = stored_matches(spark, folder)
-    table = SI.VersionedTable(spark, scratch_path(spark, "matches"), first.schema)
+    table = SI.VersionedTable(spark, scratch_path(spark, "matches"), first.schema, "external_id", 8)
     table.create(first)
     SI.upsert_stream(_match_stream(spark, folder), table, None, scratch_path(spark, "checkpoint"), SI.apply_matches(STAMP)).awaitTermination()
-    return table.read(_newest(spark, table))
+    return table.read(table.newest())
 
 
 @query(

@@ -104,6 +104,21 @@ def test_stream_batches_replay_to_the_same_version(spark, tmp_path):
     assert {(r["external_id"], r["status"]) for r in t.read(0).collect()} == {(1, "finished"), (2, "scheduled")}
 
 
+def test_a_batch_writes_only_the_buckets_of_its_keys(spark, tmp_path):
+    cols = "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, finished_at timestamp, synced_at timestamp"
+    first = spark.createDataFrame([(i, START, "scheduled", None, None, None, None) for i in range(100)], cols)
+    t = SI.VersionedTable(spark, str(tmp_path / "t"), first.schema, "external_id", 16)
+    t.create(first)
+    batch = spark.createDataFrame([(7, START, "finished", 2, 1, 1), (1000, START, "scheduled", None, None, 2)], "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, landing long")
+    src = str(tmp_path / "in")
+    batch.coalesce(1).write.parquet(src)
+    SI.upsert_stream(SI.landed(spark, src, batch.schema), t, None, str(tmp_path / "c"), SI.apply_matches("2021-01-01 00:00:00")).awaitTermination()
+    assert t.newest() == 0 and len(list((tmp_path / "t/data/version=0").glob("_bucket=*"))) == len(t.touched(batch)) <= 2
+    now = {r["external_id"]: r["status"] for r in t.read(0).collect()}
+    assert len(now) == 101 and now[7] == "finished" and now[8] == "scheduled"
+    assert t.read(-1).count() == 100
+
+
 def test_rating_stream_equals_batch_and_reports_late_rows(spark, tmp_path):
     rows = sorted(season(13, 60, leagues=1), key=lambda x: x[5])
     cols = ["fixture_id", *N.LEAGUE, "home_team_id", "away_team_id", "kickoff", "home_goals", "away_goals"]

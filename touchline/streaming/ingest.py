@@ -1,7 +1,7 @@
 """Continuous ingest of match updates into versioned tables.
 
-Batch ``n`` reads version ``n - 1`` and writes version ``n``. A replayed batch overwrites its own version with
-the same rows, so a restart after a lost executor or driver changes nothing.
+Batch ``n`` reads the buckets of its keys in version ``n - 1`` and writes them as version ``n``; all other
+buckets stay where they are. A replayed batch overwrites its own version with the same rows, so a restart after a lost executor or driver changes nothing.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from touchline.operators import upsert as U
 
@@ -36,22 +36,54 @@ def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None
 
 
 class VersionedTable:
-    """A table whose versions are folders named after the batch that wrote them."""
+    """A table in key buckets; a version writes only the buckets it touches.
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    ``data/version=n`` holds the buckets that version n wrote, ``manifest/version=n`` one row per bucket with
+    the version that wrote it last. Without a key the table is one bucket.
+    """
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/version={version}"
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: str | None = None, buckets: int = 32):
+        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
+        self.buckets = buckets if key else 1
 
-    def create(self, first: DataFrame) -> None:
-        first.write.mode("overwrite").parquet(self.path(-1))
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """Buckets of the rows, at most as many as the table has."""
+        return sorted(r[0] for r in rows.select(self.bucket().alias("_bucket")).distinct().collect())
 
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path(version))
+    def manifest(self, version: int) -> dict[int, int]:
+        rows = self.spark.read.schema("bucket int, written int").parquet(f"{self.root}/manifest/version={version}").collect()
+        return {r["bucket"]: r["written"] for r in rows}
 
-    def write(self, version: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self.path(version))
+    def newest(self) -> int:
+        return self.spark.read.parquet(f"{self.root}/manifest").agg(F.max("version")).first()[0]
+
+    def create(self, first: DataFrame) -> None:
+        self.write(-1, first)
+
+    def read(self, version: int, only: list[int] | None = None) -> DataFrame:
+        """The table as of a version, or just some of its buckets; other files are not opened."""
+        by_version: dict[int, list[int]] = {}
+        for b, v in self.manifest(version).items():
+            if only is None or b in only:
+                by_version.setdefault(v, []).append(b)
+        out = self.spark.createDataFrame([], self.schema)
+        for v, own in sorted(by_version.items()):
+            part = self.spark.read.schema(StructType([*self.schema.fields, StructField("_bucket", IntegerType())])).parquet(f"{self.root}/data/version={v}")
+            out = out.unionByName(part.where(F.col("_bucket").isin(own)).drop("_bucket"))
+        return out
+
+    def write(self, version: int, df: DataFrame, touched: list[int] | None = None, base: int | None = None) -> None:
+        """Write a version in full, or the ``touched`` buckets on top of version ``base``."""
+        df.withColumn("_bucket", self.bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/data/version={version}")
+        if touched is None:
+            entries = {b: version for b in self.touched(df)}
+        else:
+            entries = {**self.manifest(base), **{b: version for b in touched}}
+        listed = self.spark.createDataFrame(sorted(entries.items()), "bucket int, written int")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/version={version}")
 
 
 def landed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 4) -> DataFrame:
@@ -76,16 +108,17 @@ def upsert_stream(
     checkpoint: str,
     apply: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> StreamingQuery:
-    """Apply every micro-batch to the table; count its outcomes beside it."""
+    """Apply every micro-batch to the buckets that its keys fall into; count its outcomes beside it."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        merged = apply(table.read(batch_id - 1), batch)
+        touched = table.touched(batch)
+        merged = apply(table.read(batch_id - 1, touched), batch)
         stored_cols = [f.name for f in table.schema.fields]
         if counters is None:
-            table.write(batch_id, merged.select(*stored_cols))
+            table.write(batch_id, merged.select(*stored_cols), touched, batch_id - 1)
             return
         merged = merged.cache()
-        table.write(batch_id, merged.select(*stored_cols))
+        table.write(batch_id, merged.select(*stored_cols), touched, batch_id - 1)
         o = F.col("_outcome")
         counts = merged.agg(
             F.lit(batch_id).cast("long").alias("batch_id"),
