@@ -180,3 +180,22 @@ def test_co_training_beats_the_prior_with_few_labels():
     odds = sum(cal.logit(m.logit(v[1000:])[:, None]) for (m, cal), v in zip(models, views, strict=True))
     assert ((odds > 0) == (y[1000:] > 0)).mean() > 0.9
     assert np.allclose(Logistic(views[0], y).logit(views[0][:1]).shape, (1,))
+
+
+def test_families_of_several_blocks_lose_no_link(spark, monkeypatch):
+    from touchline.llm import jaccard_join as J
+
+    for name, value in (("BLOCK", 3), ("SHORT_LIST", 2), ("ROUNDS", 2)):
+        monkeypatch.setattr(J, name, value)
+    r = random.Random(4)
+    base = [words(r, 100).split() for _ in range(3)]
+    rows = []
+    for i in range(45):
+        own = list(r.choice(base))
+        for _ in range(r.randint(0, 4)):
+            own[r.randrange(len(own))] = f"w{i}x{r.random()}"
+        rows.append((i, " ".join(own), "aa", "s"))
+    want = brute.jaccard_components([(d, t) for d, t, *_ in rows])
+    assert len({low for _, low in want.values()}) > 3
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_join(frame(spark, rows)).collect()}
+    assert got == want

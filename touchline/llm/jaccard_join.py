@@ -2,16 +2,22 @@
 
 Documents with one shingle set form a class; all later work is on classes. Two sets that reach the threshold
 share a token among the first ``n - ceil(t n) + 1`` of either, in any fixed order of tokens. The order here is
-by hash, with frequent tokens (many classes share them; at most ``FREQUENT`` of them are kept) put last. So a
-class meets few others, and which tokens count as frequent changes the work but never the result.
-
-Every list of classes that share such a token sends its members to its smallest class, the query of a
-T-occurrence search: inverted lists of the query's tokens over a block of candidates, the short lists merged
-by a heap, the long ones probed by binary search for what the merge left over (DivideSkip), and candidates
-kept that reach the overlap their size needs. Linked classes join components. A list whose members are not
-yet in one component goes into the next round with another query; small lists and, after ``ROUNDS`` rounds,
-all that is left are compared in full across components. So all links between components are found
-without listing the pairs inside a group of copies.
+by hash, with frequent tokens put last: those that a task sees several times and ``SHARED_BY`` classes share, and
+those in more than ``COMMON`` prefixes of a first count (at most ``FREQUENT`` of each). So a class meets few
+others, and which tokens count as frequent changes the work but never the result.
+
+Classes that meet in short lists (at most ``SHORT_LIST`` members) are counted pair by pair and go on when they
+share as many prefix tokens as linked sets must. Every longer list, cut into bands of similar sizes, pairs its
+members with its most central class (the one whose lists hold the most members; among edited copies that is
+their source). Classes that such pairs connect are a family, and a family of at most ``BLOCK`` classes is
+joined in one block by T-occurrence search: inverted lists of the block's tokens, for each query the short
+lists merged by a heap, the long ones probed by binary search for what the merge left over (DivideSkip), and
+candidates kept that reach the overlap their size needs. The central class asks first; then only classes
+outside the largest component found so far need to ask, and those with too few tokens that anyone in the
+block shares are done at once. A larger family is dealt out to several blocks around each central class; a list
+that is then not yet in one component goes on with its next central class, and after ``ROUNDS`` rounds what is
+left is compared in full across components. So all links between components are found without listing the
+pairs inside a large group of copies.
 
 Sets are compared by 64-bit hashes of shingles. Null and empty texts have no shingles and are linked with
 nothing; fewer than five words form one shingle; repeated rows share a class; an empty table gives an empty
@@ -21,7 +27,7 @@ result; a null id is nobody's smallest id; other columns are not read.
 from __future__ import annotations
 
 import heapq
-from math import ceil, log2
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +37,13 @@ from pyspark.sql import functions as F
 from touchline.session import materialise
 
 from .components import components
-from .textops import Poly, chain, lower_ascii, mix, owners, runs, slices, space_bytes
+from .textops import Poly, chain, in_words, lower_ascii, mix, owners, runs, slices
 
 SEED = 6
 WORDS = 5
 FREQUENT, SHARED_BY, SEEN_IN_TASK = 1_000_000, 64, 3
-SMALL_LIST, ROUNDS = 24, 4
-BLOCK = 512
+SHORT_LIST, ROUNDS, BLOCK = 16, 4, 4096
+COMMON = 4
 BROADCAST_KEYS = 2_000_000
 MU = 0.0085  # weight of probing against merging
 
@@ -46,28 +52,27 @@ class Shingler:
     """Sorted distinct shingle hashes of every text of a column."""
 
     def __init__(self, k: int = WORDS):
-        self.k, self.poly, self.space = k, Poly(SEED, lower_ascii()), space_bytes()
+        self.k, self.poly = k, Poly(SEED, lower_ascii())
 
     def __call__(self, column: pa.Array):
         """Yield (text number, set) in order."""
         for row, data, offsets in slices(column):
-            starts, ends = runs(~self.space[data], offsets)
+            starts, ends = runs(in_words(data), offsets)
             hashes = self.poly.ranges(self.poly.sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
             owner = owners(starts, offsets)
             shingles, at = chain(hashes, owner, self.k)
-            own = owner[at]
-            first = np.searchsorted(owner, np.arange(len(offsets)), "left")
-            for j in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < self.k)):  # short texts: the whole sequence
-                h, _ = chain(hashes[first[j] : first[j + 1]], owner[first[j] : first[j + 1]], int(first[j + 1] - first[j]))
-                shingles, own = np.concatenate([shingles, mix(h + np.uint64(first[j + 1] - first[j]))]), np.concatenate([own, [j]])
-            order = np.lexsort((shingles, own))
-            shingles, own = shingles[order], own[order]
-            new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (shingles[1:] != shingles[:-1])
-            shingles, own = shingles[new], own[new]
-            edges = np.searchsorted(own, np.arange(len(offsets)), "left")
+            first = np.searchsorted(starts, offsets, "left")
+            edges = np.searchsorted(at, first, "left")
             for j in range(len(offsets) - 1):
-                yield row + j, shingles[edges[j] : edges[j + 1]]
+                n = int(first[j + 1] - first[j])
+                if n >= self.k:
+                    own = np.sort(shingles[edges[j] : edges[j + 1]])
+                    yield row + j, own[np.concatenate([[True], own[1:] != own[:-1]])]
+                elif n:  # the whole sequence is one shingle
+                    h, _ = chain(hashes[first[j] : first[j + 1]], owner[first[j] : first[j + 1]], n)
+                    yield row + j, mix(h + np.uint64(n))
+                else:
+                    yield row + j, np.zeros(0, np.uint64)
 
 
 def class_key(tokens: np.ndarray) -> int:
@@ -133,6 +138,11 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
             yield flush()
 
     counted = docs.select("text").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= SHARED_BY)
+    return most_frequent(counted)
+
+
+def most_frequent(counted: DataFrame) -> np.ndarray:
+    """The tokens with the largest counts, at most ``FREQUENT``, sorted."""
     rows = counted.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -166,120 +176,178 @@ def postings(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "token long, k long")
 
 
-def t_occurrence(query: np.ndarray, candidates: list[np.ndarray], percent: int) -> list[int]:
-    """Numbers of the candidates whose overlap with the query reaches the threshold."""
-    sizes = np.array([len(c) for c in candidates])
-    need = -(-percent * (len(query) + sizes) // (100 + percent))
-    fits = (100 * sizes >= percent * len(query)) & (100 * len(query) >= percent * sizes)
-    if not fits.any():
-        return []
-    least = int(need[fits].min())
-    at = np.concatenate([np.searchsorted(query, c) for c in candidates])
-    doc = np.repeat(np.arange(len(candidates)), sizes)
-    hit = query[np.minimum(at, len(query) - 1)] == np.concatenate(candidates)
-    at, doc = at[hit], doc[hit]
-    order = np.lexsort((doc, at))
-    at, doc = at[order], doc[order]  # the inverted lists of the query's tokens, one after the other
-    begin = np.searchsorted(at, np.arange(len(query) + 1), "left")
-    length = np.diff(begin)
-    by_length = np.argsort(length, kind="stable")
-    n_long = min(least - 1, int(least / (MU * log2(max(2, int(length.max()))) + 1)))
-    short, long = by_length[: len(query) - n_long], by_length[len(query) - n_long :]
-    seen = np.zeros(len(candidates), np.int64)
-    for d in heapq.merge(*[doc[begin[s] : begin[s + 1]].tolist() for s in short if length[s]]):
-        seen[d] += 1
-    left = np.flatnonzero(fits & (seen >= need - n_long))
-    if len(left) and n_long:
-        keys = at * len(candidates) + doc  # sorted, so one search probes every long list
-        probes = (long[:, None] * len(candidates) + left[None, :]).ravel()
-        place = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
-        found = (keys[place] == probes).reshape(n_long, len(left)) if len(keys) else np.zeros((n_long, len(left)), bool)
-        seen[left] += found.sum(axis=0)
-    return [int(x) for x in left if seen[x] >= need[x]]
-
-
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that reach the threshold; blocks of at most about ``BLOCK`` candidates meet a query."""
-    sized = texts.select(F.col("k").alias("a"), F.col("n").alias("na"))
-    pairs = pairs.join(sized, "a").join(sized.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
-    pairs = pairs.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    spread = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), F.col("b").alias("k"))
-    queries = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("k"))
-    rows = spread.unionByName(queries).join(texts.select("k", "text"), "k")
+class Block:
+    """Inverted lists over a block of sets, and T-occurrence searches in them."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.n = percent, len(sets)
+        self.sizes = np.array([len(x) for x in sets])
+        _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(self.n), self.sizes)
+        order = np.argsort(ids, kind="stable")
+        self.doc = owner[order]
+        self.begin = np.concatenate([[0], np.cumsum(counts)])
+        self.keys = ids[order] * self.n + self.doc  # sorted, so one search probes any lists
+        self.tokens = np.split(ids, np.cumsum(self.sizes)[:-1])
+        self.counts = counts
+
+    def search(self, i: int, among: np.ndarray) -> list[int]:
+        """Members of ``among`` (a mask) that reach the threshold with set ``i``."""
+        size, tokens = int(self.sizes[i]), self.tokens[i]
+        fits = among & (100 * self.sizes >= self.percent * size) & (100 * size >= self.percent * self.sizes)
+        fits[i] = False
+        if not fits.any():
+            return []
+        need = -(-self.percent * (size + self.sizes) // (100 + self.percent))
+        least = int(need[fits].min())
+        tokens = tokens[self.counts[tokens] > 1]
+        if len(tokens) < least:
+            return []
+        length = self.counts[tokens]
+        by_length = tokens[np.argsort(length, kind="stable")]
+        n_long = min(least - 1, int(least / (MU * log2(max(2, int(length.max()))) + 1)))
+        short, long = by_length[: len(tokens) - n_long], by_length[len(tokens) - n_long :]
+        seen = np.zeros(self.n, np.int64)
+        for d in heapq.merge(*[self.doc[self.begin[t] : self.begin[t + 1]].tolist() for t in short]):
+            seen[d] += 1
+        left = np.flatnonzero(fits & (seen >= need - n_long))
+        if len(left) and n_long:
+            probes = (long[:, None] * self.n + left[None, :]).ravel()
+            place = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            seen[left] += (self.keys[place] == probes).reshape(n_long, len(left)).sum(axis=0)
+        return [int(x) for x in left if seen[x] >= need[x]]
+
+
+def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all components of the sets; the first set asks first."""
+    block, comp = Block(sets, percent), np.arange(len(sets))
+    links = []
+
+    def ask(i):
+        for j in block.search(i, comp != comp[i]):
+            links.append((i, j))
+            comp[comp == comp[j]] = comp[i]
+
+    ask(0)
+    values, counts = np.unique(comp, return_counts=True)
+    for i in np.flatnonzero(comp != values[np.argmax(counts)]).tolist():
+        ask(i)
+    return links
+
+
+def spread(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Block rows (a, block, place, k): every class ``a`` first in each of its blocks, the classes paired with it dealt out."""
+    dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).cast("long").alias("place"), F.col("b").alias("k"))
+    queries = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).cast("long").alias("place"), F.col("a").alias("k"))
+    return dealt.unionByName(queries)
+
+
+def verified(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all linked classes of each block."""
+    rows = rows.join(texts.select("k", "text"), "k")
 
     def search(batches):
-        shingler, query, held = Shingler(), None, None
-        for batch in batches:
-            a, block, role, k = (batch.column(i).to_pylist() for i in range(4))
-            names, sets, out = [], [], []
+        shingler, held, names, sets = Shingler(), None, [], []
 
-            def finish():
-                if sets:
-                    out.extend((held[0], names[i]) for i in t_occurrence(query, sets, percent))
+        def finish():
+            found = block_links(sets, percent) if len(sets) > 1 else []
+            return [(names[i], names[j]) for i, j in found]
 
+        for batch in batches:
+            a, block, k = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            out = []
             for i, tokens in shingler(batch.column(4)):
-                if held != (a[i], block[i]) or len(sets) >= BLOCK:
-                    finish()
-                    names, sets = [], []
-                    held = (a[i], block[i])
-                if role[i] == 0:
-                    query = tokens
-                else:
-                    names.append(k[i])
-                    sets.append(tokens)
-            finish()
+                if held != (a[i], block[i]):
+                    out += finish()
+                    held, names, sets = (a[i], block[i]), [], []
+                names.append(k[i])
+                sets.append(tokens)
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        out = finish()
+        yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    return rows.select("a", "block", "place", "k", "text").repartition("a", "block").sortWithinPartitions("a", "block", "place", "k").mapInArrow(search, "a long, b long")
+
+
+def paired(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of short lists that share enough prefix tokens.
 
-    return rows.select("a", "block", "role", "k", "text").repartition("a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(search, "a long, b long")
+    Of two linked sets, the one whose prefix ends first has at most ``n - overlap`` prefix tokens that the other
+    lacks, and all the others are in both prefixes. Pairs that also share a longer list meet there.
+    """
+    both = lists.select("token", F.col("k").alias("a")).join(lists.select("token", F.col("k").alias("b")), "token").where("a < b")
+    counted = both.groupBy("a", "b").agg(F.count("*").alias("c"))
+    counted = counted.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
+    overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    spare = lambda n: (n - F.ceil(percent * n / 100) + 1) - (n - overlap)
+    similar = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    return counted.where(similar & (F.col("c") >= F.least(spare(F.col("na")), spare(F.col("nb"))))).select("a", "b")
 
 
-def class_links(docs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links between classes that connect every component, and each linked class with its component."""
+def class_links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each linked class (node) with its component."""
     spark = docs.sparkSession
-    posted = postings(docs, frequent_tokens(docs), percent)
+    often = frequent_tokens(docs)
+    met = postings(docs, often, percent).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
+    posted = postings(docs, np.union1d(often, most_frequent(met)), percent)
     shared = posted.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("token")
-    rest = materialise(posted.join(shared, "token").distinct(), "shared-tokens")
-    wanted = rest.select("k").distinct().join(sets.groupBy("k").agg(F.min("t").alias("t"), F.first("n").alias("n")), "k")
-    wanted = materialise(wanted, "wanted-classes")
-    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    texts = materialise(docs.select("t", "text").join(keys, "t").groupBy("k").agg(F.first("n").alias("n"), F.first("text").alias("text")), "class-texts")
-    links = spark.createDataFrame([], "a long, b long")
-    tested, labels = links, spark.createDataFrame([], "node long, comp long")
-    step = 0
+    shared = materialise(shared, "tokens-met")  # a written side lets a hot token's postings be split in the join
+    met = materialise(posted.join(shared, "token").distinct(), "shared-tokens")
+    counts = met.groupBy("token").agg(F.count("*").alias("c"))
+    members = met.join(counts, "token")
+    known = sets.join(met.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"), F.first("n").alias("n"))
+    known = materialise(known.join(members.groupBy("k").agg(F.sum("c").alias("weight")), "k"), "classes-met")
+    near = paired(members.where(F.col("c") <= SHORT_LIST).select("token", "k"), known, percent)
+    # Longer lists are cut into overlapping bands of sizes, so only sets of similar size stand in one.
+    band = F.floor(F.log(F.col("n")) / log(100 / percent) + 1e-9)
+    banded = members.where(F.col("c") > SHORT_LIST).select("token", "k").join(known.select("k", "n"), "k")
+    banded = banded.select(F.explode(F.array(band, band + 1)).alias("band"), "token", "k").select(F.xxhash64("token", "band").alias("token"), "k")
+    rest = materialise(banded, "long-lists")
+    links, step, family = spark.createDataFrame([], "a long, b long"), 0, None
     while True:
-        lists = rest.groupBy("token").agg(F.count("*").alias("members"), F.min("k").alias("query"))
-        small = F.col("members") <= SMALL_LIST if 0 < step < ROUNDS else F.lit(step >= ROUNDS)
-        known = rest.join(labels, F.col("k") == F.col("node"), "left").select("token", "k", F.coalesce("comp", "k").alias("comp")).join(lists, "token").withColumn("small", small)
-        known = materialise(known, "lists") if step else known
-        star = known.where("not small and k <> query").select(F.col("query").alias("a"), F.col("k").alias("b"))
-        left = known.where("small").select("token", F.col("k").alias("a"), F.col("comp").alias("ca"))
-        right = known.where("small").select("token", F.col("k").alias("b"), F.col("comp").alias("cb"))
-        full = left.join(right, "token").where("a < b and ca <> cb").select("a", "b")
-        pairs = star.unionByName(full).distinct() if step else star.distinct()
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = materialise(links.unionByName(verified(pairs, texts, percent)), "class-links")
-        tested = materialise(tested.unionByName(pairs), "tested-pairs")
+        weighed = rest.join(known.select("k", "weight"), "k")
+        queries = weighed.groupBy("token").agg(F.max(F.struct("weight", "k"))["k"].alias("a"))
+        if step < ROUNDS:
+            pairs = weighed.join(queries, "token").where("k <> a").select("a", F.col("k").alias("b"))
+        else:
+            left = weighed.select("token", F.col("k").alias("a"), F.col("comp").alias("ca"))
+            right = weighed.select("token", F.col("k").alias("b"), F.col("comp").alias("cb"))
+            pairs = left.join(right, "token").where("a < b and ca <> cb").select("a", "b")
+        pairs = materialise((pairs if step else pairs.unionByName(near)).distinct(), "class-pairs")
+        if family is None:
+            # Classes that candidate pairs connect form a family; one that fits a block is joined there in full.
+            family = components(pairs)
+            sizes = family.groupBy("comp").agg(F.count("*").alias("size"))
+            family = materialise(family.join(sizes, "comp").join(known.select(F.col("k").alias("node"), "t", "weight"), "node"), "families")
+            wanted = family.select("t", F.col("node").alias("k"))
+            keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+            texts = materialise(docs.select("t", "text").join(keys, "t").groupBy("k").agg(F.first("text").alias("text")), "class-texts")
+            whole = family.where(F.col("size") <= BLOCK).select(F.col("comp").alias("a"), F.lit(0).cast("long").alias("block"), (-F.col("weight")).alias("place"), F.col("node").alias("k"))
+            pairs = pairs.join(family.where(F.col("size") > BLOCK).select(F.col("node").alias("a")), "a", "left_semi")
+        blocks = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "class-blocks")
+        rows = spread(pairs, blocks) if step else spread(pairs, blocks).unionByName(whole)
+        links = materialise(links.unionByName(verified(rows, texts, percent)), "class-links")
         labels = components(links)
-        # What is left: members other than the query, of lists that still reach over several components.
-        comp = F.coalesce("comp", "k")
-        open_lists = known.where("not small and k <> query").select("token", "k").join(labels, F.col("k") == F.col("node"), "left").select("token", "k", comp.alias("comp"))
-        several = open_lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        rest = materialise(open_lists.join(several, "token").select("token", "k"), "shared-tokens")
+        wide = blocks.where("blocks > 1").select("a")
+        if step >= ROUNDS or wide.isEmpty():
+            return labels
+        # What is left: members other than the query of lists that fill several blocks and several components.
+        others = rest.select("token", "k").join(queries.join(wide, "a").select("token", "a"), "token").where("k <> a")
+        others = others.join(labels, F.col("k") == F.col("node"), "left").select("token", "k", F.coalesce("comp", "k").alias("comp"))
+        several = others.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+        rest = materialise(others.join(several, "token"), "long-lists")
         step += 1
         if rest.isEmpty():
-            return links, labels
+            return labels
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_shingles, component_id (smallest linked id), n_links of its class to others."""
+    """One row per document: n_shingles, component_id (smallest linked id)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     sets = materialise(set_rows(rows), "shingle-sets")
-    links, labels = class_links(rows, sets.where("n > 0"), percent)
-    degree = links.select(F.col("a").alias("k")).unionByName(links.select(F.col("b").alias("k"))).groupBy("k").agg(F.count("*").alias("n_links"))
+    labels = class_links(rows, sets.where("n > 0"), percent)
     classes = sets.where("n > 0").groupBy("k").agg(F.min("id").alias("low")).join(labels, F.col("k") == F.col("node"), "left").select("k", F.coalesce("comp", "k").alias("comp"), "low")
     least = classes.groupBy("comp").agg(F.min("low").alias("component"))
-    classes = classes.join(least, "comp").join(degree, "k", "left").select("k", "component", "n_links")
-    out = sets.join(classes, "k", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = sets.join(classes.join(least, "comp").select("k", "component"), "k", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
