@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textops import Poly, chain, lower_ascii, owners, runs, slices
+from .textops import Poly, chain, lower_ascii, owners, runs, slices, text_batches
 
 WINDOW, LITERALS, SHORTEST = 8, 4, 4
 COVER, RUN = 0.5, 6
@@ -126,6 +126,7 @@ def alignments(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, it
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: contaminated, n_items (items found), item (the best covered), coverage, windows."""
+    text_batches(docs.sparkSession)
     pairs = alignments(docs, bench, id_col, text_col, item_col, item_text_col)
     align = ["row", "item", (F.col("pos") - F.col("item_pos")).alias("offset")]
     slots = F.when(F.size("slots") == F.size("item_slots"), F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("b")))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from touchline.session import materialise
 
 from .components import components
-from .textops import Poly, chain, in_words, lower_ascii, mix, owners, runs, slices
+from .textops import Poly, chain, in_words, lower_ascii, mix, owners, runs, slices, text_batches
 
 SEED = 6
 WORDS = 5
@@ -131,7 +131,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
         for _, tokens in distinct_sets(batches, shingler, 0):
             held.append(tokens)
             room += len(tokens)
-            if room > 4_000_000:
+            if room > 2_000_000:
                 yield flush()
                 held, room = [], 0
         if held:
@@ -343,6 +343,7 @@ def class_links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_shingles, component_id (smallest linked id)."""
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     sets = materialise(set_rows(rows), "shingle-sets")

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textops import text_batches
+
 TEXTS, TEXT_CHARS = 24, 20_000
 CHARS, ALL_CHARS = 20_000, 400_000
 SEGMENT = 256
 OWN, CLASSES = 64, 96  # classes 1..63 are frequent letters, the rest is shared by all others
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 
 def fold_of(id_col: str) -> Column:
@@ -143,6 +145,7 @@ def phrases(coded: list[np.ndarray], model: dict) -> np.ndarray:
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Every row as a struct ``doc`` with lang_pred and score (1 - best / second best cross entropy)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(build(sample(docs, id_col, text_col, lang_col)))
 
     def decide(texts: list[str | None], model: dict) -> list[tuple[str, float]]:

@@ -33,7 +33,7 @@ from touchline.session import materialise
 
 from .columns import text_rows
 from .suffix_merge import LoserTree, front_code, read_run
-from .textops import Poly, slices
+from .textops import Poly, slices, text_batches
 
 LENGTH, K = 200, 32
 SPAN = LENGTH - K + 1  # anchor positions of a window
@@ -314,6 +314,7 @@ def cut_out(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans, kept_sha256, spans (begin, end in bytes)."""
+    text_batches(docs.sparkSession)
     rows = text_rows(docs, id_col, text_col).withColumn("t", F.unhex(F.md5("text")))
     long = rows.where(F.octet_length("text") >= LENGTH).select("t", "text")
     found = anchor_rows(long)

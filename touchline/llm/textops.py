@@ -9,12 +9,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE = 1 << 18
+TEXT_ROWS = 1_000
 U64 = np.uint64
 NOT_SPACE = bytes(b not in (32, 9, 10, 11, 12, 13) for b in range(256))
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in batches of at most ``TEXT_ROWS`` rows.
+
+    Spark's default of 10,000 rows suits numbers; of whole texts it makes tens of megabytes, several times over
+    on either side. A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (a fixed bijection)."""
     with np.errstate(over="ignore"):

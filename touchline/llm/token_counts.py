@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .textops import text_batches
+
 # The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 600_000
@@ -102,6 +104,7 @@ class Memo(dict):
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
     spark = docs.sparkSession
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(load_ranks(tokenizer_path))
 
     def count(batches):
