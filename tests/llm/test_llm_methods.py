@@ -172,6 +172,27 @@ def test_slots_must_stand_for_one_value_each(spark):
     assert got == {1: True, 2: False, 3: False}
 
 
+def test_items_of_numbers_names_and_units_are_found(spark):
+    items = [
+        "John Smith met Mary Jones in Paris on 4 May 2020. How old was Mary Jones on 1 June 2021?", "What is 12 + 47 - 3 + 8 + 15 - 2 + 9?",
+        "A train travels 120 km in 2 hours and 90 km in 1 hour. What is its speed in km h?", "WHO WAS THE FIRST KING OF THE OLD NORTHERN LANDS AND WHEN DID HE LIVE THERE",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"some words before it. {x} and some after", "aa", "s") for i, x in enumerate(items)]
+    rows += [(10 + i, x.lower(), "aa", "s") for i, x in enumerate(items)]
+    rows += [(20, items[2].replace("120", "240").replace("90", "70"), "aa", "s"), (30, "What is 1 + 2 - 3 + 4?", "aa", "s"), (31, "Anna Bell met Carl Dorn in Rome on 5 May 2021 and that was all", "aa", "s")]
+    got = {x.doc_id: (x.contaminated, x.item) for x in decontaminate(frame(spark, rows), bench).collect()}
+    assert got == {**{i: (True, i) for i in range(4)}, **{10 + i: (True, i) for i in range(4)}, 20: (True, 2), 30: (False, None), 31: (False, None)}
+
+
+def test_one_inconsistent_slot_does_not_hide_the_rest(spark):
+    long = "we ask how many red boxes are left on the old table after the boy takes 12 boxes and"
+    item = f"{long} gives 12 of them to the girl who waits at the door of the house"
+    rows = [(1, item.replace("gives 12", "gives 15"), "aa", "s")]
+    got = decontaminate(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(x.contaminated, x.windows) for x in got] == [(True, 15)]
+
+
 def test_co_training_beats_the_prior_with_few_labels():
     r = np.random.default_rng(0)
     y = (r.random(1200) < 0.6).astype(float)
