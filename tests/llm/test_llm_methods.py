@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from touchline.llm.components import components
 from touchline.llm.decontamination import decontaminate
 from touchline.llm.jaccard_join import Block, block_links, least_overlap, prefix_length
-from touchline.llm.language_id import CLASSES, language_id, phrases, suffix_automaton
+from touchline.llm.language_id import CLASSES, class_table, classes, language_id, phrases, suffix_automaton
 from touchline.llm.license_scan import license_scan
 from touchline.llm.packing import optimal_bounds
 from touchline.llm.quality_classifier import Logistic, co_train
@@ -105,6 +105,30 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert len(got) > 30 and sum(truth[x.doc_id] == x.lang_pred for x in got) >= 0.95 * len(got)
 
 
+def test_languages_of_long_or_mostly_empty_texts_are_learned(spark):
+    r = random.Random(6)
+    alphabets = {"aa": "abcdefgh", "long": "klmnopqr", "gaps": "stuvwxyz"}
+    rows = [(i, words(r, 40, alphabets["aa"]), "aa", "s") for i in range(60)]
+    rows += [(100 + i, "7 " * 11_000 + words(r, 6_000, alphabets["long"]), "long", "s") for i in range(30)]
+    rows += [(1000 + i, words(r, 40, alphabets["gaps"]) if i % 20 == 0 else ["", None, "12 ..."][i % 3], "gaps", "s") for i in range(600)]
+    truth = {d: (t, lang) for d, t, lang, _ in rows}
+    for x in language_id(frame(spark, rows)).collect():
+        text, lang = truth[x.doc_id]
+        assert x.lang_pred == (lang if any(map(str.isalpha, text or "")) else "und")
+
+
+def test_letters_of_many_scripts_stay_apart(spark):
+    r = random.Random(7)
+    first = "".join(chr(0x4E00 + 32 * i) for i in range(40))
+    alphabets = {"latin": "abcdefghijklmnopqrstuvwxyz", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "cyril": "абвгдежзийклмнопрстуфхцчш", "one": first, "two": "".join(chr(ord(c) + 32 * 40) for c in first)}
+    rows = [(i, words(r, 40, alphabets[lang]), lang, "s") for i in range(400) for lang in [r.choice(list(alphabets))]]
+    truth = {d: lang for d, _, lang, _ in rows}
+    table = class_table({lang: [a * 3] for lang, a in alphabets.items()})
+    letters = "".join(alphabets.values())
+    assert len({classes(c, table).tobytes() for c in letters}) == len(letters)
+    assert all(x.lang_pred == truth[x.doc_id] for x in language_id(frame(spark, rows)).collect())
+
+
 def test_counts_equal_the_tokenizer_library():
     tokenizers = pytest.importorskip("tokenizers")
     vocabulary = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")

@@ -1,8 +1,10 @@
 """Language identification by cross-parsing.
 
 For each language a suffix automaton is built over a bounded sample of labelled texts: at most ``TEXTS``
-texts of at most ``TEXT_CHARS`` characters, chosen by hash, together at most ``CHARS`` characters (shared
-out when there are many languages). A text is parsed greedily into the longest pieces that the automaton
+texts with a letter, chosen by hash, of longer ones ``TEXT_CHARS`` characters from the first letter on, together at
+most ``CHARS`` symbols (shared out when there are many languages, and evenly among the texts when they hold more). The
+most frequent letters are one symbol each, any other is four symbols that spell its code point, so no two letters of
+any script run into each other. A text is parsed greedily into the longest pieces that the automaton
 knows; phrases times the bits to name a place in the sample, per character, estimate the cross entropy, and
 the least one wins (ties: first in order). Whole texts are parsed, in segments of ``SEGMENT`` characters that run
 side by side; a phrase ends at a segment's end. The tables have a fixed size and go to the tasks once.
@@ -27,7 +29,9 @@ from .textops import text_batches
 TEXTS, TEXT_CHARS = 24, 20_000
 CHARS, ALL_CHARS = 20_000, 400_000
 SEGMENT = 256
-OWN, CLASSES = 64, 96  # classes 1..63 are frequent letters, the rest is shared by all others
+OWN, CLASSES = 64, 96  # classes 1..63 are frequent letters, the rest are the digits that spell all others
+DIGITS = np.array([15, 10, 5, 0])  # 20 bits of a code point, 5 a digit
+LETTER = r"\p{L}"
 BATCH_CHARS = 1 << 19
 
 
@@ -36,11 +40,13 @@ def fold_of(id_col: str) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Labelled texts by language, in an order fixed by hash. Ids and labels are scanned first, texts once."""
+    """Labelled texts by language, in an order fixed by hash. Rows are picked first, among those with a letter."""
     key = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    key = key.where(F.col("lang").isNotNull() & (fold_of("id") != 0)).withColumn("h", F.xxhash64("id")).withColumn("bucket", F.pmod("h", F.lit(TEXTS)))
+    key = key.where(F.col("lang").isNotNull() & (fold_of("id") != 0) & F.col("text").rlike(LETTER)).withColumn("h", F.xxhash64("id")).withColumn("bucket", F.pmod("h", F.lit(TEXTS)))
     picked = key.groupBy("lang", "bucket").agg(F.min("h").alias("h"))  # a few rows per language
-    texts = key.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"]).where(F.length("text").between(1, TEXT_CHARS))
+    texts = key.join(F.broadcast(picked.select("lang", "h")), ["lang", "h"])
+    stretch = F.regexp_extract("text", f"(?s){LETTER}.{{0,{TEXT_CHARS - 1}}}", 0)
+    texts = texts.withColumn("text", F.when(F.length("text") <= TEXT_CHARS, F.col("text")).otherwise(stretch))
     rows = texts.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
@@ -49,9 +55,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[s
 
 
 def class_table(texts: dict[str, list[str]]) -> np.ndarray:
-    """Class of each code point: 0 for what is not a letter."""
+    """Class of each code point: 0 for what is not a letter, ``OWN`` for a letter that is spelled."""
     seen = Counter(c for own in texts.values() for t in own for c in t.lower() if c.isalpha())
-    table = np.array([OWN + i % (CLASSES - OWN) if chr(i).isalpha() else 0 for i in range(0x110000)], np.uint8)
+    table = np.array([OWN if chr(i).isalpha() else 0 for i in range(0x110000)], np.uint8)
     for n, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: OWN - 1], 1):
         table[ord(c)] = n
     return table
@@ -59,10 +65,27 @@ def class_table(texts: dict[str, list[str]]) -> np.ndarray:
 
 def classes(text: str, table: np.ndarray) -> np.ndarray:
     """Classes of the lower-cased text, with single separators between words."""
-    codes = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = table[points]
     keep = codes > 0
     keep[1:] |= codes[:-1] > 0
-    return codes[keep]
+    codes, points = codes[keep], points[keep]
+    spelled = codes == OWN
+    if not spelled.any():
+        return codes
+    size = np.where(spelled, len(DIGITS), 1)
+    out = np.repeat(codes, size)
+    out[np.repeat(spelled, size)] = (OWN + (points[spelled][:, None] >> DIGITS & 31)).ravel()
+    return out
+
+
+def share(sizes: list[int], room: int) -> list[int]:
+    """Parts of the sizes that fit the room together: small ones whole, the others cut to one length."""
+    out, left = [0] * len(sizes), room
+    for n, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], left // (len(sizes) - n))
+        left -= out[i]
+    return out
 
 
 def suffix_automaton(codes: np.ndarray) -> np.ndarray:
@@ -105,7 +128,8 @@ def build(texts: dict[str, list[str]]) -> dict:
     room = min(CHARS, ALL_CHARS // max(1, len(texts)))
     langs, parts, bits = [], [], []
     for lang, own in sorted(texts.items()):
-        codes = np.concatenate([classes(t + " ", table) for t in own])[:room]
+        coded = [classes(t + " ", table) for t in own]
+        codes = np.concatenate([c[:n] for c, n in zip(coded, share([len(c) for c in coded], room), strict=True)])
         if len(codes):
             langs.append(lang)
             parts.append(suffix_automaton(codes))
