@@ -244,3 +244,23 @@ def test_families_of_several_blocks_lose_no_link(spark, monkeypatch):
     assert len({low for _, low in want.values()}) > 3
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.jaccard_join(frame(spark, rows)).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_every_document_counts_its_links(spark, monkeypatch, block):
+    from touchline.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "BLOCK", block)
+    r = random.Random(11)
+    base, rows = words(r, 90).split(), []
+    for i in range(60):
+        own = list(base)
+        for _ in range(r.randint(0, 4)):
+            own[r.randrange(len(own))] = f"w{i}x{r.random()}"
+        rows.append((i, " ".join(own), "aa", "s"))
+    rows += [(100, rows[5][1], "aa", "s"), (101, rows[5][1].upper(), "aa", "s"), (102, "alone in here", "aa", "s"), (103, "", "aa", "s"), (104, None, "aa", "s")]
+    sets = [brute.shingles(t) for _, t, *_ in rows]
+    similar = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {d: (sum(similar(sets[i], o) for j, o in enumerate(sets) if j != i), min(rows[j][0] for j, o in enumerate(sets) if j == i or (o and o == sets[i]))) for i, (d, *_) in enumerate(rows)}
+    assert sum(n for n, _ in want.values()) > 200
+    assert {x.doc_id: (x.n_links, x.class_id) for x in J.jaccard_join(frame(spark, rows)).collect()} == want

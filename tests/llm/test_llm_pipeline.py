@@ -54,3 +54,11 @@ def test_query_equals_sql(spark, name):
 
     ok, note = compare.compare(spark, compare.connect(FOLDER), FOLDER, name, queries()[name], oracle_sql()[name])
     assert ok, note
+
+
+def test_links_equal_sql(spark):
+    import compare
+
+    name = "op6_ngram_jaccard_links"
+    ok, note = compare.compare(spark, compare.connect(FOLDER), FOLDER, name, queries()[name], oracle_sql()[name])
+    assert ok, note

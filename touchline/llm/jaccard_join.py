@@ -9,16 +9,15 @@ others, and which tokens count as frequent changes the work but never the result
 Classes that meet in short lists (at most ``SHORT_LIST`` members) are counted pair by pair and go on when they
 share as many prefix tokens as linked sets must. Every longer list, cut into bands of similar sizes, pairs its
 members with its most central class (the one whose lists hold the most members; among edited copies that is
-their source). Classes that such pairs connect are a family, and a family of at most ``BLOCK`` classes is
-joined in one block by T-occurrence search: inverted lists of the block's tokens, for each query the short
-lists merged by a heap, the long ones probed by binary search for what the merge left over (DivideSkip), and
-candidates kept that reach the overlap their size needs. The central class asks first; then only classes
-outside the largest component found so far need to ask, and those with too few tokens that anyone in the
-block shares are done at once. A larger family is dealt out to several blocks around each central class; a list
-that is then not yet in one component goes on with its next central class, and after ``ROUNDS`` rounds what is
-left is compared in full across components. So all links between components are found without listing the
-pairs inside a large group of copies.
-
+their source). Classes that such pairs connect are a family, so both ends of every link are in one. A family of at most ``BLOCK``
+classes is joined in one block; a larger one is dealt into parts of half a block, and every two parts meet in a block
+of their own, so the work splits. In a block every class asks once by T-occurrence search: inverted lists of the
+block's tokens, for each query the short lists counted, the long ones probed by binary search for what the count left
+over (DivideSkip), or counted as well where that is less, and candidates kept that reach the overlap their size needs.
+A block returns links that connect its components, and for each class the documents it is linked to; pairs inside a
+large group of copies are counted but never listed.
+
+``n_links`` of a document are the other documents that reach the threshold with it, its copies among them.
 Sets are compared by 64-bit hashes of shingles. Null and empty texts have no shingles and are linked with
 nothing; fewer than five words form one shingle; repeated rows share a class; an empty table gives an empty
 result; a null id is nobody's smallest id; other columns are not read.
@@ -26,7 +25,6 @@ result; a null id is nobody's smallest id; other columns are not read.
 
 from __future__ import annotations
 
-import heapq
 from math import log, log2
 
 import numpy as np
@@ -42,7 +40,9 @@ from .textops import Poly, chain, in_words, lower_ascii, mix, owners, runs, slic
 SEED = 6
 WORDS = 5
 FREQUENT, SHARED_BY, SEEN_IN_TASK = 1_000_000, 64, 3
-SHORT_LIST, ROUNDS, BLOCK = 16, 4, 4096
+SHORT_LIST, BLOCK = 16, 4096
+ROUNDS = 4  # not read any more: parts of large families meet in blocks, without rounds
+SCAN, PROBE = 1 << 20, 8  # entries counted at a time, cost of a probe against counting an entry
 COMMON = 4
 BROADCAST_KEYS = 2_000_000
 MU = 0.0085  # weight of probing against merging
@@ -191,82 +191,122 @@ class Block:
         self.tokens = np.split(ids, np.cumsum(self.sizes)[:-1])
         self.counts = counts
 
+    def tally(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens' lists hold each set."""
+        seen, sizes = np.zeros(self.n, np.int64), self.counts[tokens]
+        total = np.cumsum(sizes)
+        at = 0
+        while at < len(tokens):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SCAN, "right")))
+            own = sizes[at:end]
+            first = np.repeat(self.begin[tokens[at:end]] - (np.cumsum(own) - own), own)
+            seen += np.bincount(self.doc[first + np.arange(len(first))], minlength=self.n)
+            at = end
+        return seen
+
+    def probe(self, tokens: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """How many of the tokens each of the sets ``left`` holds."""
+        seen, step = np.zeros(len(left), np.int64), max(1, SCAN // len(left))
+        for at in range(0, len(tokens), step):
+            probes = (tokens[at : at + step, None] * self.n + left[None, :]).ravel()
+            place = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            seen += (self.keys[place] == probes).reshape(-1, len(left)).sum(axis=0)
+        return seen
+
     def search(self, i: int, among: np.ndarray) -> list[int]:
         """Members of ``among`` (a mask) that reach the threshold with set ``i``."""
+        return self.linked(i, among).tolist()
+
+    def linked(self, i: int, among: np.ndarray) -> np.ndarray:
         size, tokens = int(self.sizes[i]), self.tokens[i]
         fits = among & (100 * self.sizes >= self.percent * size) & (100 * size >= self.percent * self.sizes)
         fits[i] = False
+        none = np.zeros(0, np.int64)
         if not fits.any():
-            return []
+            return none
         need = -(-self.percent * (size + self.sizes) // (100 + self.percent))
         least = int(need[fits].min())
         tokens = tokens[self.counts[tokens] > 1]
         if len(tokens) < least:
-            return []
+            return none
         length = self.counts[tokens]
         by_length = tokens[np.argsort(length, kind="stable")]
         n_long = min(least - 1, int(least / (MU * log2(max(2, int(length.max()))) + 1)))
         short, long = by_length[: len(tokens) - n_long], by_length[len(tokens) - n_long :]
-        seen = np.zeros(self.n, np.int64)
-        for d in heapq.merge(*[self.doc[self.begin[t] : self.begin[t + 1]].tolist() for t in short]):
-            seen[d] += 1
+        seen = self.tally(short)
         left = np.flatnonzero(fits & (seen >= need - n_long))
         if len(left) and n_long:
-            probes = (long[:, None] * self.n + left[None, :]).ravel()
-            place = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
-            seen[left] += (self.keys[place] == probes).reshape(n_long, len(left)).sum(axis=0)
-        return [int(x) for x in left if seen[x] >= need[x]]
+            if int(self.counts[long].sum()) <= PROBE * n_long * len(left):
+                seen += self.tally(long)
+            else:
+                seen[left] += self.probe(long, left)
+        return left[seen[left] >= need[left]]
 
 
-def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all components of the sets; the first set asks first."""
-    block, comp = Block(sets, percent), np.arange(len(sets))
-    links = []
+def block_answers(sets: list[np.ndarray], copies: np.ndarray, percent: int, first: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect all components, and for each set the documents (``copies``) of the sets it is linked to.
 
-    def ask(i):
-        for j in block.search(i, comp != comp[i]):
+    Every set asks those behind it; with ``first``, the first so many ask all others, and these nobody.
+    """
+    block, comp, place = Block(sets, percent), np.arange(len(sets)), np.arange(len(sets))
+    links, counts = [], np.zeros(len(sets), np.int64)
+    for i in range(len(sets) if first is None else first):
+        found = block.linked(i, place > i if first is None else place >= first)
+        counts[i] += copies[found].sum()
+        counts[found] += copies[i]
+        while len(found := found[comp[found] != comp[i]]):
+            j = int(found[0])
             links.append((i, j))
             comp[comp == comp[j]] = comp[i]
+    return links, counts
 
-    ask(0)
-    values, counts = np.unique(comp, return_counts=True)
-    for i in np.flatnonzero(comp != values[np.argmax(counts)]).tolist():
-        ask(i)
-    return links
 
+def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all components of the sets."""
+    return block_answers(sets, np.ones(len(sets), np.int64), percent)[0]
 
-def spread(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Block rows (a, block, place, k): every class ``a`` first in each of its blocks, the classes paired with it dealt out."""
-    dealt = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).cast("long").alias("place"), F.col("b").alias("k"))
-    queries = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).cast("long").alias("place"), F.col("a").alias("k"))
-    return dealt.unionByName(queries)
+
+def dealt(family: DataFrame) -> DataFrame:
+    """Block rows (a, low, high, part, k, copies): every two parts of a family in a block."""
+    parts = F.when(F.col("size") <= BLOCK, 1).otherwise(F.ceil(2 * F.col("size") / BLOCK)).cast("long")
+    rows = family.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.select(F.col("comp").alias("a"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", F.col("node").alias("k"), "copies")
 
 
 def verified(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all linked classes of each block."""
+    """Links (a, b) that connect all linked classes of each block; rows without b count a's linked documents in it."""
     rows = rows.join(texts.select("k", "text"), "k")
 
     def search(batches):
-        shingler, held, names, sets = Shingler(), None, [], []
+        shingler, held, names, sets, copies, parts = Shingler(), None, [], [], [], []
 
         def finish():
-            found = block_links(sets, percent) if len(sets) > 1 else []
-            return [(names[i], names[j]) for i, j in found]
+            if len(sets) < 2:
+                return []
+            first = None if held[1] == held[2] else sum(p == held[1] for p in parts)
+            found, counts = block_answers(sets, np.array(copies, np.int64), percent, first)
+            return [(names[i], names[j], 0) for i, j in found] + [(k, None, c) for k, c in zip(names, counts.tolist(), strict=True) if c]
+
+        def answer(out):
+            return pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "c"])
 
         for batch in batches:
-            a, block, k = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            a, low, high, part, k, c = (batch.column(i).to_pylist() for i in range(6))
             out = []
-            for i, tokens in shingler(batch.column(4)):
-                if held != (a[i], block[i]):
+            for i, tokens in shingler(batch.column(6)):
+                if held != (a[i], low[i], high[i]):
                     out += finish()
-                    held, names, sets = (a[i], block[i]), [], []
+                    held, names, sets, copies, parts = (a[i], low[i], high[i]), [], [], [], []
                 names.append(k[i])
                 sets.append(tokens)
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        out = finish()
-        yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                copies.append(c[i])
+                parts.append(part[i])
+            yield answer(out)
+        yield answer(finish())
 
-    return rows.select("a", "block", "place", "k", "text").repartition("a", "block").sortWithinPartitions("a", "block", "place", "k").mapInArrow(search, "a long, b long")
+    by = ("a", "low", "high")
+    return rows.select(*by, "part", "k", "copies", "text").repartition(*by).sortWithinPartitions(*by, "part", "k").mapInArrow(search, "a long, b long, c long")
 
 
 def paired(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -285,8 +325,7 @@ def paired(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def class_links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Each linked class (node) with its component."""
-    spark = docs.sparkSession
+    """Each linked class (node) with its component and the documents of other classes it is linked to."""
     often = frequent_tokens(docs)
     met = postings(docs, often, percent).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > COMMON)
     posted = postings(docs, np.union1d(often, most_frequent(met)), percent)
@@ -295,7 +334,7 @@ def class_links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = materialise(posted.join(shared, "token").distinct(), "shared-tokens")
     counts = met.groupBy("token").agg(F.count("*").alias("c"))
     members = met.join(counts, "token")
-    known = sets.join(met.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"), F.first("n").alias("n"))
+    known = sets.join(met.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.count("*").alias("copies"))
     known = materialise(known.join(members.groupBy("k").agg(F.sum("c").alias("weight")), "k"), "classes-met")
     near = paired(members.where(F.col("c") <= SHORT_LIST).select("token", "k"), known, percent)
     # Longer lists are cut into overlapping bands of sizes, so only sets of similar size stand in one.
@@ -303,52 +342,33 @@ def class_links(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     banded = members.where(F.col("c") > SHORT_LIST).select("token", "k").join(known.select("k", "n"), "k")
     banded = banded.select(F.explode(F.array(band, band + 1)).alias("band"), "token", "k").select(F.xxhash64("token", "band").alias("token"), "k")
     rest = materialise(banded, "long-lists")
-    links, step, family = spark.createDataFrame([], "a long, b long"), 0, None
-    while True:
-        weighed = rest.join(known.select("k", "weight"), "k")
-        queries = weighed.groupBy("token").agg(F.max(F.struct("weight", "k"))["k"].alias("a"))
-        if step < ROUNDS:
-            pairs = weighed.join(queries, "token").where("k <> a").select("a", F.col("k").alias("b"))
-        else:
-            left = weighed.select("token", F.col("k").alias("a"), F.col("comp").alias("ca"))
-            right = weighed.select("token", F.col("k").alias("b"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "token").where("a < b and ca <> cb").select("a", "b")
-        pairs = materialise((pairs if step else pairs.unionByName(near)).distinct(), "class-pairs")
-        if family is None:
-            # Classes that candidate pairs connect form a family; one that fits a block is joined there in full.
-            family = components(pairs)
-            sizes = family.groupBy("comp").agg(F.count("*").alias("size"))
-            family = materialise(family.join(sizes, "comp").join(known.select(F.col("k").alias("node"), "t", "weight"), "node"), "families")
-            wanted = family.select("t", F.col("node").alias("k"))
-            keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-            texts = materialise(docs.select("t", "text").join(keys, "t").groupBy("k").agg(F.first("text").alias("text")), "class-texts")
-            whole = family.where(F.col("size") <= BLOCK).select(F.col("comp").alias("a"), F.lit(0).cast("long").alias("block"), (-F.col("weight")).alias("place"), F.col("node").alias("k"))
-            pairs = pairs.join(family.where(F.col("size") > BLOCK).select(F.col("node").alias("a")), "a", "left_semi")
-        blocks = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "class-blocks")
-        rows = spread(pairs, blocks) if step else spread(pairs, blocks).unionByName(whole)
-        links = materialise(links.unionByName(verified(rows, texts, percent)), "class-links")
-        labels = components(links)
-        wide = blocks.where("blocks > 1").select("a")
-        if step >= ROUNDS or wide.isEmpty():
-            return labels
-        # What is left: members other than the query of lists that fill several blocks and several components.
-        others = rest.select("token", "k").join(queries.join(wide, "a").select("token", "a"), "token").where("k <> a")
-        others = others.join(labels, F.col("k") == F.col("node"), "left").select("token", "k", F.coalesce("comp", "k").alias("comp"))
-        several = others.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        rest = materialise(others.join(several, "token"), "long-lists")
-        step += 1
-        if rest.isEmpty():
-            return labels
+    weighed = rest.join(known.select("k", "weight"), "k")
+    queries = weighed.groupBy("token").agg(F.max(F.struct("weight", "k"))["k"].alias("a"))
+    pairs = weighed.join(queries, "token").where("k <> a").select("a", F.col("k").alias("b"))
+    family = components(materialise(pairs.unionByName(near).distinct(), "class-pairs"))
+    sizes = family.groupBy("comp").agg(F.count("*").alias("size"))
+    family = materialise(family.join(sizes, "comp").join(known.select(F.col("k").alias("node"), "t", "copies"), "node"), "families")
+    wanted = family.select("t", F.col("node").alias("k"))
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts = materialise(docs.select("t", "text").join(keys, "t").groupBy("k").agg(F.first("text").alias("text")), "class-texts")
+    found = materialise(verified(dealt(family), texts, percent), "class-links")
+    counts = found.where("b is null").groupBy(F.col("a").alias("of")).agg(F.sum("c").alias("others"))
+    labels = components(found.where("b is not null"))
+    return labels.join(counts, F.col("node") == F.col("of")).select("node", "comp", "others")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_shingles, component_id (smallest linked id)."""
+    """One row per document: n_shingles, component_id (smallest linked id), class_id (smallest id of an equal set), n_links."""
     text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     sets = materialise(set_rows(rows), "shingle-sets")
     labels = class_links(rows, sets.where("n > 0"), percent)
-    classes = sets.where("n > 0").groupBy("k").agg(F.min("id").alias("low")).join(labels, F.col("k") == F.col("node"), "left").select("k", F.coalesce("comp", "k").alias("comp"), "low")
+    classes = sets.where("n > 0").groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("copies")).join(labels, F.col("k") == F.col("node"), "left")
+    classes = classes.select("k", F.coalesce("comp", "k").alias("comp"), "low", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     least = classes.groupBy("comp").agg(F.min("low").alias("component"))
-    out = sets.join(classes.join(least, "comp").select("k", "component"), "k", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = sets.join(classes.join(least, "comp").select("k", "component", "low", "links"), "k", "left")
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("low", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+    )

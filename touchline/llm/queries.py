@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .sql import jaccard_sql, license_sql, quality_sql
+from .sql import jaccard_links_sql, jaccard_sql, license_sql, quality_sql
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_join
 
+    return jaccard_join(documents(spark, sf_dir)).drop("class_id", "n_links")
+
+
+@register("op6_ngram_jaccard_links", jaccard_links_sql())
+def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_join
+
     return jaccard_join(documents(spark, sf_dir))
 
 

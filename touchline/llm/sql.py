@@ -62,3 +62,13 @@ links AS (SELECT a.rid AS a, b.rid AS b FROM tokens a JOIN tokens b ON a.x = b.x
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 least_id AS (SELECT a, min(doc_id) AS low FROM reach JOIN docs ON docs.rid = reach.b GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM sets LEFT JOIN least_id ON least_id.a = sets.rid"""
+
+
+def jaccard_links_sql() -> str:
+    """The groups of ``jaccard_sql`` with the smallest id of equal sets and the number of linked documents."""
+    head, tail = jaccard_sql().split("SELECT doc_id, len(s)::BIGINT")
+    return rf"""{head.rstrip()},
+classes AS (SELECT rid, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class_id FROM sets WHERE len(s) > 0),
+counted AS (SELECT a AS rid, count(*) AS c FROM links GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(c, 0)::BIGINT AS n_links, len(s)::BIGINT{tail}
+LEFT JOIN classes USING (rid) LEFT JOIN counted USING (rid)"""
