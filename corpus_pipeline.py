@@ -7,18 +7,22 @@ by a join that broadcasts them only when they are counted to be few.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.decontamination import decontaminate
 from touchline.llm.jaccard_join import jaccard_join
-from touchline.llm.language_id import with_language
+from touchline.llm.language_id import CLASSES, with_language
 from touchline.llm.packing import pack
 from touchline.llm.secret_scan import secret_spans
 from touchline.session import materialise
 
 FEW = 1_000_000
 MARK = "[SECRET]"
+# A text is rejected when the best language costs more bits than writing its symbols one by one; shorter ones say too little.
+UNEXPLAINED, EVIDENCE = log2(CLASSES), 64
 
 
 def text_key(docs: DataFrame) -> Column:
@@ -31,8 +35,12 @@ def few(verdicts: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language (no letters or no text)."""
-    return with_language(docs).where("lang_pred <> 'und'").select("doc.*")
+    """Drop documents without a letter and those that no learned language explains; a missing language is filled in."""
+    judged = with_language(docs)
+    unexplained = F.coalesce((F.col("symbols") >= EVIDENCE) & (F.col("bits") > UNEXPLAINED), F.lit(False))
+    found = F.when(F.col("lang_pred") != "und", F.col("lang_pred"))
+    lang = F.coalesce(F.col("doc.lang"), found.cast(docs.schema["lang"].dataType))
+    return judged.where((F.col("symbols") > 0) & ~unexplained).select(*[lang.alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline on the smallest table, stage by stage, and the registered queries."""
 
 import os
+import random
 
 import brute
 import pytest
@@ -62,3 +63,17 @@ def test_links_equal_sql(spark):
     name = "op6_ngram_jaccard_links"
     ok, note = compare.compare(spark, compare.connect(FOLDER), FOLDER, name, queries()[name], oracle_sql()[name])
     assert ok, note
+
+
+def test_language_stage_follows_its_scores(spark):
+    r = random.Random(12)
+    usual = lambda a: " ".join(r.choice([a[i : i + 4] for i in range(9)]) for _ in range(60))
+    rows = [(i, usual("abcdefghijkl"), "aa", "s") for i in range(60)] + [(100 + i, usual("mnopqrstuvwx"), "bb", "s") for i in range(60)]
+    rows += [(200, usual("mnopqrstuvwx"), None, "s"), (201, "漢字仮名交じり文" * 20, "aa", "s"), (202, "ok", None, "s"), (203, "12 ...", "aa", "s")]
+    got = {x.doc_id: x.lang for x in corpus_pipeline.language(spark, frame(spark, rows), FOLDER).collect()}
+    assert set(got) == {d for d, *_ in rows} - {201, 203} and got[200] == "bb" and got[202] in ("aa", "bb")
+
+
+def test_nothing_learned_keeps_texts_with_a_letter(spark):
+    rows = [(1, "some words", None, "s"), (2, "...", None, "s"), (3, None, None, "s"), (4, "é", None, "s")]
+    assert {(x.doc_id, x.lang) for x in corpus_pipeline.language(spark, frame(spark, rows), FOLDER).collect()} == {(1, None), (4, None)}

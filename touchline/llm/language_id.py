@@ -168,21 +168,26 @@ def phrases(coded: list[np.ndarray], model: dict) -> np.ndarray:
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Every row as a struct ``doc`` with lang_pred and score (1 - best / second best cross entropy)."""
+    """Every row as a struct ``doc`` with lang_pred, score (1 - best / second best cross entropy), bits and symbols.
+
+    ``bits`` is the best cross entropy per symbol, null where nothing was compared; ``symbols`` counts what the text
+    is parsed as, 0 for a text without a letter.
+    """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(build(sample(docs, id_col, text_col, lang_col)))
 
-    def decide(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
-        if not model["langs"]:
-            return [("und", 0.0)] * len(texts)
+    def decide(texts: list[str | None], model: dict) -> list[tuple[str, float, float | None, int]]:
         coded = [classes(t or "", model["classes"]) for t in texts]
         lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+        if not model["langs"]:
+            return [("und", 0.0, None, len(c) if ok else 0) for c, ok in zip(coded, lettered, strict=True)]
         chars = np.maximum(1, [len(c) for c in coded])
         cost = phrases(coded, model) * model["bits"][:, None] / chars
         ranked = np.sort(cost, axis=0)
         best, pick = ranked[0], np.argmin(cost, axis=0)
         margin = 1.0 - best / np.maximum(ranked[1], 1e-12) if len(cost) > 1 else np.ones(len(texts))
-        return [(model["langs"][p], round(float(m), 6)) if ok else ("und", 0.0) for ok, p, m in zip(lettered, pick, margin, strict=True)]
+        scored = zip(lettered, pick, margin, best, coded, strict=True)
+        return [(model["langs"][p], round(float(m), 6), round(float(b), 6), len(c)) if ok else ("und", 0.0, None, 0) for ok, p, m, b, c in scored]
 
     def predict(batches):
         model = shared.value
@@ -195,12 +200,13 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     end += 1
                 got += decide(texts[begin:end], model)
                 begin = end
-            yield pa.record_batch([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["row", "lang_pred", "score"])
+            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.record_batch([batch.column(0), *columns], names=["row", "lang_pred", "score", "bits", "symbols"])
 
     packed = docs.select(F.struct(F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")).alias("row"))
-    out = packed.mapInArrow(predict, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    out = packed.mapInArrow(predict, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits double, symbols long")
     fields = [(F.col("row.text") if c == text_col else F.col("row.rest")[c]).alias(c) for c in docs.columns]
-    return out.select(F.struct(*fields).alias("doc"), "lang_pred", "score")
+    return out.select(F.struct(*fields).alias("doc"), "lang_pred", "score", "bits", "symbols")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
