@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .sql import jaccard_links_sql, jaccard_sql, license_sql, quality_sql
 
@@ -102,3 +103,22 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_classifier
 
     return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@register("op11_sentencepiece")
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_codec import encode
+
+    coded = encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op13_centroid_clusters")
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .orchard import cluster_vectors, inertia
+
+    assigned, centroids = cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, dims=64, scale=256, salt="2:")
+    return inertia(assigned, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
