@@ -18,6 +18,8 @@ hash are taken in the order of their components. Other columns of the input are
 from __future__ import annotations
 
 import hashlib
+import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,11 @@ LONG = (1 << 63) - 1
 STEP = 4096  # vectors that walk together
 
 
-def kept_vectors(df: DataFrame, dims: int, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """Id and vector (array of double, scaled and floored) of the rows that can be clustered."""
+def kept_vectors(df: DataFrame, dims: int, id_col: str, vector_col: str) -> DataFrame:
+    """Id and vector (array of double) of the rows that can be clustered."""
     x = F.transform(df[vector_col], lambda v: v.cast("double"))
     whole = F.coalesce((F.size(x) == dims) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
-    return df.where(whole).select(df[id_col].alias("id"), x.alias("x"), F.lit(scale).alias("scale"))
+    return df.where(whole).select(df[id_col].alias("id"), x.alias("x"))
 
 
 def integers(x: np.ndarray, scale: int) -> np.ndarray:
@@ -44,9 +46,8 @@ def integers(x: np.ndarray, scale: int) -> np.ndarray:
         scaled = np.floor(x * scale)
     if not len(x) or np.abs(scaled).max() < SAFE:
         return scaled.astype(np.int64)
-    flat = [int(v // 1) if np.isfinite(v := a * scale) else (n := (a := float(a)).as_integer_ratio())[0] * scale // n[1] for a in x.ravel().tolist()]
     out = np.empty(x.size, object)
-    out[:] = flat
+    out[:] = [math.floor(Fraction(v) * scale) for v in x.ravel().tolist()]
     return out.reshape(x.shape)
 
 
@@ -95,22 +96,22 @@ class Orchard:
         return now, near
 
 
-def batches_of(batches, orchard: Orchard):
+def batches_of(batches, orchard: Orchard, scale: int):
     """(ids, vectors, cluster, distance) of blocks of vectors."""
     for batch in batches:
         for low in range(0, batch.num_rows, STEP):
             part = batch.slice(low, STEP)
             flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-            vectors = integers(flat.reshape(part.num_rows, -1), part.column(2)[0].as_py())
+            vectors = integers(flat.reshape(part.num_rows, -1), scale)
             yield part.column(0), vectors, *orchard.nearest(vectors)
 
 
-def sums(vectors: DataFrame, centroids: list[list[int]]) -> dict[int, tuple[int, list[int]]]:
+def sums(vectors: DataFrame, centroids: list[list[int]], scale: int) -> dict[int, tuple[int, list[int]]]:
     """Count and componentwise sums of every non-empty cluster; at most one row per centroid reaches the driver."""
 
     def run(batches):
         orchard, count, total = Orchard(centroids), {}, {}
-        for _, x, cluster, _ in batches_of(batches, orchard):
+        for _, x, cluster, _ in batches_of(batches, orchard, scale):
             for c in np.unique(cluster).tolist():
                 rows = x[cluster == c]
                 count[c] = count.get(c, 0) + len(rows)
@@ -142,11 +143,11 @@ def sums(vectors: DataFrame, centroids: list[list[int]]) -> dict[int, tuple[int,
     return out
 
 
-def first_centroids(vectors: DataFrame, k: int, salt: str) -> list[list[int]]:
+def first_centroids(vectors: DataFrame, k: int, salt: str, scale: int) -> list[list[int]]:
     """Vectors of the ``k`` least hashes of salt and id."""
     order = F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
-    rows = vectors.where("id is not null").select(order.alias("order"), "x", "scale").orderBy("order", "x").limit(k).collect()
-    return [integers(np.array([r["x"]], float), r["scale"])[0].tolist() for r in rows]
+    rows = vectors.where("id is not null").select(order.alias("order"), "x").orderBy("order", "x").limit(k).collect()
+    return [integers(np.array([r["x"]], float), scale)[0].tolist() for r in rows]
 
 
 def as_long(value: int) -> int | None:
@@ -158,10 +159,10 @@ def cluster_vectors(
 ) -> tuple[DataFrame, list[list[int]]]:
     """Id, ``cluster`` and ``distance`` (squared) of every kept vector, as a written table, and the final centroids."""
     spark = df.sparkSession
-    vectors = materialise(kept_vectors(df, dims, scale, id_col, vector_col), "vectors")
-    centroids = first_centroids(vectors, k, salt)
+    vectors = materialise(kept_vectors(df, dims, id_col, vector_col), "vectors")
+    centroids = first_centroids(vectors, k, salt, scale)
     for _ in range(rounds if centroids else 0):
-        for c, (n, total) in sums(vectors, centroids).items():
+        for c, (n, total) in sums(vectors, centroids, scale).items():
             centroids[c] = [t // n for t in total]
     schema = f"id {vectors.schema['id'].dataType.simpleString()}, cluster int, distance long"
     if not centroids:
@@ -169,7 +170,7 @@ def cluster_vectors(
 
     def run(batches):
         orchard = Orchard(centroids)
-        for ids, _, cluster, distance in batches_of(batches, orchard):
+        for ids, _, cluster, distance in batches_of(batches, orchard, scale):
             yield pa.record_batch([ids, pa.array(cluster, pa.int32()), pa.array([as_long(int(d)) for d in distance], pa.int64())], names=["id", "cluster", "distance"])
 
     return materialise(vectors.mapInArrow(run, schema), "clusters").withColumnRenamed("id", id_col), centroids

@@ -122,3 +122,11 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     assigned, centroids = cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, dims=64, scale=256, salt="2:")
     return inertia(assigned, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@register("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie, share_beginnings, turn_rows
+
+    turns, convs = share_beginnings(turn_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet")), group=5, modulus=9)
+    return prefix_trie(turns, convs).drop("hi", "lo")
