@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sql import jaccard_links_sql, jaccard_sql, license_sql, quality_sql
+from .sql import clusters_sql, jaccard_links_sql, jaccard_sql, license_sql, quality_sql, trie_sql
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -116,7 +116,7 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@register("op13_centroid_clusters")
+@register("op13_centroid_clusters", clusters_sql())
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orchard import cluster_vectors, inertia
 
@@ -124,7 +124,7 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inertia(assigned, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
-@register("op12_prefix_trie")
+@register("op12_prefix_trie", trie_sql())
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import prefix_trie, share_beginnings, turn_rows
 

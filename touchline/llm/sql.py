@@ -72,3 +72,65 @@ classes AS (SELECT rid, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class_id
 counted AS (SELECT a AS rid, count(*) AS c FROM links GROUP BY a)
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(c, 0)::BIGINT AS n_links, len(s)::BIGINT{tail}
 LEFT JOIN classes USING (rid) LEFT JOIN counted USING (rid)"""
+
+
+def trie_sql(group: int = 5, modulus: int = 9) -> str:
+    """Nodes as groups of equal lists of turn digests; subtree sums by joining every node with all its prefixes."""
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, z: xor(p >> 1, 3988292384 * (p & 1)))"
+    codes = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: {step}), 4294967295)"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS bytes,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), seqs AS (
+  SELECT conv_id, list({{'k': digest, 'b': bytes}} ORDER BY turn NULLS FIRST, digest) AS own, CAST({crc} % {modulus} AS BIGINT) AS h FROM turns GROUP BY conv_id
+), built AS (
+  SELECT s.conv_id, list_concat(coalesce(list_slice(b.own, 1, s.h), []), list_slice(s.own, s.h + 1, len(s.own))) AS seq
+  FROM seqs s LEFT JOIN seqs b ON b.conv_id = s.conv_id - s.conv_id % {group}
+), rows AS (
+  SELECT conv_id, CAST(d AS BIGINT) AS depth, list_transform(list_slice(seq, 1, d), lambda x: x.k) AS path, CASE WHEN d = 0 THEN 0 ELSE seq[d].b END AS bytes, d = len(seq) AS last
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM rows GROUP BY path, depth
+), links AS (
+  SELECT p.path, count(*) AS n_children FROM nodes c JOIN nodes p ON c.depth > 0 AND p.path = list_slice(c.path, 1, c.depth - 1) GROUP BY p.path
+), flat AS (
+  SELECT n.*, coalesce(l.n_children, 0) AS n_children FROM nodes n LEFT JOIN links l USING (path)
+), up AS (
+  SELECT list_slice(path, 1, d) AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS d FROM flat) GROUP BY 1
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM flat f JOIN up u ON u.path = f.path LEFT JOIN nodes p ON f.depth > 0 AND p.path = list_slice(f.path, 1, f.depth - 1)
+"""
+
+
+def clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, salt: str = "2:") -> str:
+    """Rounds as a chain of tables; distances by inner products of whole numbers, exact in double precision."""
+    near = "min({'d': v.sq - 2 * list_inner_product(v.x, c.x) + c.sq, 'c': c.c})"
+    out = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, x, list_inner_product(x, x) AS sq
+  FROM (SELECT vec_id, list_transform(embedding, lambda a: floor({scale} * CAST(a AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda a: a IS NOT NULL AND isfinite(a))) = {dims})
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id), x) - 1 AS c, x, sq FROM (SELECT * FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('{salt}' || vec_id), x LIMIT {k})
+)"""
+    ]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT v.rid, {near} AS m FROM v, c{r} c GROUP BY v.rid)")
+        if r < rounds:
+            out.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(g.x, c.x) AS x, list_inner_product(coalesce(g.x, c.x), coalesce(g.x, c.x)) AS sq FROM c{r} c LEFT JOIN (
+    SELECT c, list(floor(s / n) ORDER BY j) AS x FROM (
+      SELECT a.m.c AS c, j, sum(v.x[j]) AS s, count(*) AS n FROM a{r} a JOIN v USING (rid), range(1, {dims + 1}) t(j) GROUP BY a.m.c, j) GROUP BY c) g ON g.c = c.c
+)""")
+    return "WITH " + ", ".join(out) + f"""
+SELECT v.vec_id, CAST(a.m.c AS INTEGER) AS cluster, CAST(a.m.d AS BIGINT) AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.x, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON c.c = a.m.c
+"""
