@@ -1,14 +1,14 @@
 """SentencePiece encoding and decoding of merge-type (BPE) models, exact, by backtracking.
 
 A list of pieces is the encoding of a text exactly if every two neighbours are the encoding of their own
-concatenation. So the encoder takes the longest piece at a place (Aho-Corasick over the reversed pieces and the
-reversed text), checks it against the piece before it by merging the two anew (remembered per pair), goes to the
+concatenation. So the encoder takes the longest piece at a place (an Aho-Corasick automaton of the reversed pieces
+reads the text backwards), checks it against the piece before it by merging the two anew (remembered per pair), goes to the
 next shorter piece where they do not fit, and steps back where none does. A bitfield keeps the places from which
 the text cannot be finished, so no place is left twice. Only pieces that the merges can make take part.
 
 No piece has a space sign behind another sign, and none has a line feed, so words (with the spaces before them)
 and line feeds are encoded one by one; where a model has such pieces, whole texts are. Ids of short words are
-remembered within a task, up to ``MEMO`` words, then forgotten and begun anew. A sign without a piece becomes the
+remembered within a worker process, up to ``MEMO`` words, then forgotten and begun anew. A sign without a piece becomes the
 pieces of its UTF-8 bytes.
 
 Null and empty texts have the end id only (none without ``end``) and decode to an empty text. A null list of ids
@@ -20,18 +20,17 @@ cannot clash. Models with a text normaliser, user-defined or unused pieces are r
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .textops import text_batches
 
 SPACE = "▁"
-MEMO, MEMO_LENGTH = 400_000, 48
+MEMO, MEMO_LENGTH = 1_000_000, 48
 # The kinds of pieces in a model file, and the sign of bytes that are no UTF-8.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 REPLACEMENT = "�"
@@ -68,14 +67,15 @@ class Model:
     def __init__(self, path: str):
         pieces, trainer, normaliser = [], {}, {}
         with open(path, "rb") as f:
-            for field, value in message(f.read()):
-                if field == 1:
-                    entry = dict(message(value))
-                    pieces.append((entry[1].decode(), struct.unpack("<f", entry.get(2, b"\0\0\0\0"))[0], entry.get(3, NORMAL)))
-                elif field == 2:
-                    trainer = dict(message(value))
-                elif field == 3:
-                    normaliser = dict(message(value))
+            raw = f.read()
+        for field, value in message(raw):
+            if field == 1:
+                entry = dict(message(value))
+                pieces.append((entry[1].decode(), struct.unpack("<f", entry.get(2, b"\0\0\0\0"))[0], entry.get(3, NORMAL)))
+            elif field == 2:
+                trainer = dict(message(value))
+            elif field == 3:
+                normaliser = dict(message(value))
         if trainer.get(3, 1) != 2 or normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1) or trainer.get(24, 0):
             raise ValueError("only merge-type models with spaces before words and without a text normaliser are read")
         if any(kind not in (NORMAL, UNKNOWN, CONTROL, BYTE) for _, _, kind in pieces):
@@ -92,6 +92,13 @@ class Model:
         self.controls = {i for i, (_, _, kind) in enumerate(pieces) if kind == CONTROL}
         self.atoms = [p for p in self.ids if remerge(p, self.scores) == [p]]
         self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
+        self.seen: Words | None = None
+
+    def words(self) -> Words:
+        """The words seen so far; a broadcast model keeps them from task to task of a worker process."""
+        if self.seen is None:
+            self.seen = Words(self)
+        return self.seen
 
 
 def remerge(text: str, scores: dict[str, float]) -> list[str]:
@@ -118,17 +125,76 @@ def remerge(text: str, scores: dict[str, float]) -> list[str]:
 
 
 class Pairs(dict):
-    """Whether two pieces may stand side by side; found by merging them anew when first asked for."""
+    """By piece the pieces that have been tried behind it, and whether they may stand there; found by merging the two anew."""
 
     def __init__(self, scores):
         super().__init__()
-        self.scores = scores
+        self.scores, self.n = scores, 0
 
-    def __missing__(self, pair):
-        if len(self) >= MEMO:
-            self.clear()
-        fits = self[pair] = remerge(pair[0] + pair[1], self.scores) == list(pair)
-        return fits
+    def __missing__(self, piece: str) -> dict[str, bool]:
+        self[piece] = after = {}
+        return after
+
+    def fits(self, before: str, piece: str) -> bool:
+        after = self[before]
+        if (known := after.get(piece)) is None:
+            if self.n >= MEMO:
+                self.clear()
+                self.n, after = 0, self[before]
+            self.n += 1
+            known = after[piece] = remerge(before + piece, self.scores) == [before, piece]
+        return known
+
+
+class Longest:
+    """Aho-Corasick automaton of the reversed pieces: read backwards, a text gives the longest piece from every place.
+
+    A state maps signs to next states; under ``PIECE`` it has the longest piece that ends here, under ``FALL`` the state
+    of its longest proper suffix. Steps by way of suffixes are added when they are first taken, up to ``MEMO`` of them.
+    """
+
+    PIECE, FALL = "piece", "fall"  # keys longer than a sign
+
+    def __init__(self, pieces):
+        self.root: dict = {}
+        for piece in pieces:
+            state = self.root
+            for sign in reversed(piece):
+                state = state.setdefault(sign, {})
+            state[self.PIECE] = piece
+        wave: list[tuple[dict, dict | None]] = [(self.root, None)]
+        while wave:
+            deeper = []
+            for state, fall in wave:
+                children = [(sign, child) for sign, child in state.items() if len(sign) == 1]
+                for sign, child in children:
+                    low = fall
+                    while low is not None and sign not in low:
+                        low = low[self.FALL]
+                    deeper.append((child, self.root if low is None else low[sign]))
+                state[self.FALL] = fall
+                state.setdefault(self.PIECE, fall and fall[self.PIECE])
+            wave = deeper
+        self.added = 0
+
+    def step(self, state: dict, sign: str) -> dict:
+        low = state
+        while low is not None and sign not in low:
+            low = low[self.FALL]
+        to = self.root if low is None else low[sign]
+        if self.added < MEMO:
+            state[sign] = to
+            self.added += 1
+        return to
+
+    def __call__(self, text: str) -> list[str]:
+        """The longest piece that starts at each place; a sign without a piece stands for itself."""
+        state, out = self.root, []
+        for sign in reversed(text):
+            state = state.get(sign) or self.step(state, sign)
+            out.append(state["piece"] or sign)
+        out.reverse()
+        return out
 
 
 class Words(dict):
@@ -137,50 +203,46 @@ class Words(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.pairs = model, Pairs(model.scores)
-        self.finder = ahocorasick.Automaton()
-        for piece in model.atoms:
-            self.finder.add_word(piece[::-1], piece)
-        if model.atoms:
-            self.finder.make_automaton()
-        known = set(model.atoms)
-        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in known), None) for p in known}
-
-    def longest(self, text: str) -> list[str]:
-        """The longest piece that starts at each place; a sign without a piece stands for itself."""
-        out, last = list(text), len(text) - 1
-        if self.model.atoms:
-            for at, piece in self.finder.iter(text[::-1]):
-                if len(piece) > len(out[last - at]):
-                    out[last - at] = piece
-        return out
+        self.known = set(model.atoms)
+        self.longest = Longest(model.atoms)
+        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.known), None) for p in self.known}
 
     def split(self, text: str) -> list[str]:
         """Pieces of a text by longest matches, pair checks and steps back."""
+        if text in self.known:
+            return [text]
         n, longest, pairs, shorter = len(text), self.longest(text), self.pairs, self.shorter
-        failed = bytearray((n >> 3) + 1)
+        after: dict[str, bool] = {}  # known neighbours of the piece before
+        failed: bytearray | None = None  # a bit per place, made when the first place fails
         done: list[str] = []
-        at, piece = 0, longest[0] if n else None
+        before, at, piece = None, 0, longest[0] if n else None
         while at < n:
             while piece is not None:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (not done or pairs[done[-1], piece]):
-                    break
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    fits = after.get(piece)
+                    if fits or before is None or (fits is None and pairs.fits(before, piece)):
+                        break
                 piece = shorter.get(piece)
-            if piece is None:
-                failed[at >> 3] |= 1 << (at & 7)
-                piece = done.pop()
-                at -= len(piece)
+            if piece is not None:
+                done.append(piece)
+                before, after, at = piece, pairs[piece], end
+                piece = longest[at] if at < n else None
                 continue
-            done.append(piece)
-            at += len(piece)
-            piece = longest[at] if at < n else None
+            if failed is None:
+                failed = bytearray((n >> 3) + 1)
+            failed[at >> 3] |= 1 << (at & 7)
+            piece = done.pop()
+            at -= len(piece)
+            before = done[-1] if done else None
+            after = pairs[before] if done else {}
         return done
 
-    def __missing__(self, word: str) -> list[int]:
-        ids, raw, unknown = [], self.model.bytes, self.model.unknown
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids, raw, unknown, known = [], self.model.bytes, self.model.unknown, self.model.ids
         for piece in self.split(word):
-            if piece in self.model.ids:
-                ids.append(self.model.ids[piece])
+            if (number := known.get(piece)) is not None:
+                ids.append(number)
             elif raw:
                 ids.extend(raw[b] for b in piece.encode())
             else:
@@ -188,11 +250,11 @@ class Words(dict):
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = tuple(ids)
+        return tuple(ids)
 
 
-CUT = regex.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+CUT = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
 def encode_text(text: str | None, words: Words, end: bool = True) -> list[int]:
@@ -259,7 +321,7 @@ def encode(docs: DataFrame, model_path: str, end: bool = True, decoded: bool = F
     model = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
     def run(batches):
-        words = Words(model.value)
+        words = model.value.words()
         for batch in batches:
             ids = [encode_text(t, words, end) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
