@@ -670,7 +670,8 @@ def match_updates(spark, folder):
 )
 def upsert_matches(spark, folder):
     """Mutable columns overwritten, identity kept, results stamped once, stored goals never changed."""
-    return U.upsert_matches(stored_matches(spark, folder), match_updates(spark, folder), STAMP)
+    target = U.bucketed(stored_matches(spark, folder), ["external_id"], 8, scratch_path(spark, "bucketed"))
+    return U.upsert_matches(target, match_updates(spark, folder), STAMP)
 
 
 @query(
@@ -923,28 +924,59 @@ def explanations(spark, folder):
     return U.append_new(have, late, ["prediction_id"])
 
 
+_BOOT = f"""
+lg AS (SELECT s_suppkey AS k, s_acctbal >= 0 AS old FROM supplier),
+sn AS (SELECT k, k % 10 + 2000 + i AS year, old AND i = 0 AS old FROM lg CROSS JOIN range(0, 3) r(i)),
+tm AS (SELECT c_custkey AS k, c_acctbal >= 0 AS old, c_custkey % 50 = 7 AS bad, 1 + c_custkey % 13 IN (SELECT k FROM lg) AS league, c_custkey % 4 < 3 AS season FROM customer),
+known AS (SELECT k FROM tm WHERE old OR (NOT bad AND league AND season)),
+boot_up AS (SELECT *, competition_external_id IN (SELECT k FROM lg) AND external_id % 4 < 3 AND home_team_external_id IN (SELECT k FROM known) AND away_team_external_id IN (SELECT k FROM known) AS ok
+  FROM staged WHERE reject IS NULL),
+boot_st AS (SELECT m.fixture_id FROM matches m JOIN orders o ON o.o_orderkey = m.fixture_id WHERE o.o_orderpriority <> '1-URGENT'),
+boot_ts AS (SELECT k IN (SELECT k FROM known) AND k % 5 IN (SELECT k FROM lg) AND k % 4 < 3 AS ok FROM ({_CUST})),
+stages AS (
+  SELECT 1 AS nr, 'competitions_seasons' AS job, (SELECT count(*) FROM lg) + (SELECT count(*) FROM sn) AS received,
+    (SELECT count(*) FROM lg WHERE NOT old) + (SELECT count(*) FROM sn WHERE NOT old) AS inserted, (SELECT count(*) FROM lg WHERE old) + (SELECT count(*) FROM sn WHERE old) AS updated, 0 AS skipped, 0 AS failed
+  UNION ALL SELECT 2, 'teams', count(*), count(*) FILTER (NOT bad AND league AND season AND NOT old), count(*) FILTER (NOT bad AND league AND season AND old),
+    count(*) FILTER (NOT bad AND league AND NOT season), count(*) FILTER (bad OR NOT league) FROM tm
+  UNION ALL SELECT 3, 'matches', (SELECT count(*) FROM staged), count(*) FILTER (ok AND st.fixture_id IS NULL AND status <> 'finished'),
+    count(*) FILTER (ok AND NOT (st.fixture_id IS NULL AND status <> 'finished')), count(*) FILTER (NOT ok), (SELECT count(*) FROM staged WHERE reject IS NOT NULL)
+    FROM boot_up LEFT JOIN boot_st st ON st.fixture_id = boot_up.external_id
+  UNION ALL SELECT 4, 'team_statistics', count(*), count(*) FILTER (ok), 0, count(*) FILTER (NOT ok), 0 FROM boot_ts)"""
+
+
 @query(
     "u11_bootstrap_counters",
     "s:job i:requested,received,inserted,updated,skipped,failed",
-    with_sql(MATCHES, STAGED_A, _UP, """
-    lg AS (SELECT count(*) AS n, (SELECT count(*) FROM supplier WHERE s_acctbal >= 0) AS old FROM supplier),
-    tm AS (SELECT count(*) AS n, sum(CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END) AS old, (SELECT count(*) FROM customer WHERE c_custkey % 50 = 7) AS bad FROM customer WHERE c_custkey % 50 <> 7),
-    mt AS (SELECT sum(CASE WHEN _outcome = 'inserted' THEN 1 ELSE 0 END) AS i, sum(CASE WHEN _outcome = 'updated' THEN 1 ELSE 0 END) AS u, (SELECT count(*) FROM staged WHERE reject IS NOT NULL) AS bad FROM res)""",
-             answer="""SELECT 'full_bootstrap' AS job, 3 AS requested, lg.n + tm.n + tm.bad + mt.i + mt.u + mt.bad AS received, lg.n - lg.old + tm.n - tm.old + mt.i AS inserted,
-             lg.old + tm.old + mt.u AS updated, 0 AS skipped, tm.bad + mt.bad AS failed FROM lg, tm, mt"""),
+    with_sql(MATCHES, STAGED_A, _BOOT, answer="""SELECT job, (SELECT count(*) FROM lg) AS requested, received, inserted, updated, skipped, failed FROM stages
+    UNION ALL SELECT 'full_bootstrap', 4 * (SELECT count(*) FROM lg), sum(received), sum(inserted), sum(updated), sum(skipped), sum(failed) FROM stages"""),
 )
 def bootstrap(spark, folder):
-    """Competitions, teams and matches in order, with the sum of their counters."""
-    leagues, _ = P.split_rejects(P.competitions(league_payload(spark, folder)))
-    known = T.table(spark, folder, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("external_id"), F.lit("old").alias("name"))
-    one = In.counters("competitions", U.merge_upsert(known, leagues, ["external_id"], {"name": "overwrite"}, "landing"), 1)
-    team_ok, team_bad = P.split_rejects(P.teams(team_payload(spark, folder)))
-    stored = T.table(spark, folder, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("external_id"), F.lit("old").alias("name"))
-    stored = stored.join(team_ok.select("external_id"), "external_id", "left_semi")
-    two = In.counters("teams", U.merge_upsert(stored, team_ok, ["external_id"], {"name": "overwrite"}, "landing"), 1, team_bad)
-    merged = U.upsert_matches(stored_matches(spark, folder), match_updates(spark, folder), STAMP)
-    three = In.counters("matches", merged, 1, P.split_rejects(staged_a(spark, folder))[1])
-    return In.total_counters(one.unionByName(two).unionByName(three))
+    """Leagues with their seasons, teams, matches and team statistics in order, each stage on what the earlier ones stored."""
+    page, year = league_payload(spark, folder), F.col("competition_external_id") % 10 + 2000
+    teams_ok, teams_bad = P.split_rejects(P.teams(team_payload(spark, folder)))
+    league = (1 + F.col("external_id") % 13).alias("competition_external_id")
+    listed = teams_ok.select("*", league).withColumn("season_external_id", year + F.col("external_id") % 4)
+    games_ok, games_bad = P.split_rejects(staged_a(spark, folder))
+    games = games_ok.withColumn("season_year", year + F.col("external_id") % 4)
+    totals = P.team_statistics(team_stat_payload(spark, folder)).withColumn("season_external_id", year + F.col("team_external_id") % 4)
+    staged = {
+        "competitions": P.split_rejects(P.competitions(page)),
+        "seasons": P.split_rejects(P.seasons(page)),
+        "teams": (listed, teams_bad),
+        "matches": (games, games_bad),
+        "team_statistics": (totals, totals.limit(0)),
+    }
+    known = T.table(spark, folder, "supplier").where("s_acctbal >= 0")
+    old = T.table(spark, folder, "customer").where("c_acctbal >= 0")
+    key = F.col("s_suppkey")
+    stored = {
+        "competitions": known.select(key.alias("external_id"), (key + OFFSET).alias("id"), F.lit("old").alias("name")),
+        "seasons": known.select((key + OFFSET).alias("competition_id"), (key % 10 + 2000).alias("year"), (key % 10 + 2000).alias("external_id"), (key + 2 * OFFSET).alias("id"), F.lit(False).alias("is_current")),
+        "teams": old.select(F.col("c_custkey").alias("external_id"), (F.col("c_custkey") + OFFSET).alias("id"), F.lit("old").alias("name")),
+        "matches": stored_matches(spark, folder),
+        "team_statistics": spark.createDataFrame([], "team_id long, competition_id long, season_id long, as_of_date date, fixtures_played long, goals_for long"),
+    }
+    return In.bootstrap(staged, stored, T.table(spark, folder, "supplier").count(), 2004, STAMP)[1]
 
 
 # --- run tables -----------------------------------------------------------------------------
@@ -1027,7 +1059,7 @@ def _land(spark, df, period, name):
 
 def _to_parquet(spark, stream, out, mark):
     """Run a stateful stream over all landed files into a Parquet folder."""
-    with SI.state_partitions(spark):
+    with SI.state_settings(spark):
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -1038,16 +1070,16 @@ def _match_stream(spark, folder):
 
 @query(
     "r1_streaming_upsert",
-    "i:external_id,home_goals,away_goals,matchday s:status,venue",
-    with_sql(MATCHES, STAGED_A, _UP, answer="SELECT * FROM res"),
+    "i:external_id,home_goals,away_goals,matchday s:status,venue b:changed",
+    with_sql(MATCHES, STAGED_A, _UP, answer="SELECT *, _outcome <> 'untouched' AS changed FROM res"),
 )
 def streaming_upsert(spark, folder):
-    """Landed updates in several micro-batches give the table that one batch gives."""
+    """Landed updates in several micro-batches give the table that one batch gives; each row tells whether a batch changed it."""
     first = stored_matches(spark, folder)
-    table = SI.VersionedTable(spark, scratch_path(spark, "matches"), first.schema, "external_id", 8)
+    table = SI.BucketedTable(spark, scratch_path(spark, "matches"), first.schema, "external_id", 8)
     table.create(first)
     SI.upsert_stream(_match_stream(spark, folder), table, None, scratch_path(spark, "checkpoint"), SI.apply_matches(STAMP)).awaitTermination()
-    return table.read(table.newest())
+    return table.read().withColumn("changed", F.col("batch_id").isNotNull())
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks.base import FIN, MATCHES, PREDICTIONS, query, with_sql
@@ -12,6 +13,7 @@ from touchline.functions import scalars as X
 from touchline.operators import features as Fe
 from touchline.operators import metrics as Mx
 from touchline.plans import backtest as Bt
+from touchline.plans import boosting as B
 from touchline.plans import calibration as Cal
 from touchline.plans import dataset as Ds
 from touchline.plans import folds as Fo
@@ -239,9 +241,7 @@ def fold_membership(spark, folder):
 )
 def blocks_disjoint(spark, folder):
     """Rows that lie in more than one block of a fold: none."""
-    m = Fo.membership(played(spark, folder), Fo.fold_table(spark, folds(spark, folder)))
-    per = m.groupBy("fold_id", "fixture_id").agg(F.count("*").alias("n"))
-    return per.groupBy("fold_id").agg(F.count_if(F.col("n") > 1).alias("overlap"))
+    return Fo.block_overlaps(played(spark, folder), Fo.fold_table(spark, folds(spark, folder)))
 
 
 @query("w9_position_per_kickoff", "i:at_micros,first,last", with_sql(MATCHES, FIN, _LINE, answer="SELECT k AS at_micros, first, last FROM line"))
@@ -335,28 +335,31 @@ def elo_forecast(spark, folder):
 _GRID = ", ".join(f"({i}, {h}, {b})" for i, (h, b) in enumerate((h, b) for h in Mo.GRID_HFA for b in Mo.GRID_BETA))
 
 
+_TAILS = """SELECT *, list_transform(range(0, 11), lambda i: exp(-lh + i * ln(lh) - lgamma(i + 1))) AS hp,
+  list_transform(range(0, 11), lambda i: exp(-la + i * ln(la) - lgamma(i + 1))) AS ap"""
+_SUMS = """list_sum(hp) * list_sum(ap) AS total, list_sum(list_transform(range(2, 12), lambda i: hp[i] * list_sum(ap[1:i - 1]))) AS ph,
+  list_sum(list_transform(range(1, 12), lambda i: hp[i] * ap[i])) AS pd"""
+_RATES = """exp(bh + beta * (CAST(CAST(eh AS FLOAT) AS DOUBLE) + hfa - CAST(CAST(ea AS FLOAT) AS DOUBLE))) AS lh,
+  exp(ba - beta * (CAST(CAST(eh AS FLOAT) AS DOUBLE) + hfa - CAST(CAST(ea AS FLOAT) AS DOUBLE))) AS la"""
+_GRID_CTES = (
+    MATCHES, FIN, ELO_CTE.replace("elo AS (", "elo AS MATERIALIZED ("), _LINE, _walk_sql("expanding"),
+    _MEMBERS.replace("'train'", "1").replace("'val'", "2").replace("'test'", "3"),
+    f"""grid AS (SELECT * FROM (VALUES {_GRID}) AS t(g, hfa, beta)),
+    betas AS (SELECT fold_id, ln(greatest(avg(home_goals), 0.1)) AS bh, ln(greatest(avg(away_goals), 0.1)) AS ba FROM members WHERE block = 1 GROUP BY 1),
+    rates AS (SELECT m.fold_id, m.fixture_id, g, hfa, beta, m.home_goals, m.away_goals, {_RATES}
+      FROM members m JOIN betas USING (fold_id) JOIN elo USING (fixture_id) CROSS JOIN grid WHERE m.block = 2),
+    tails AS ({_TAILS} FROM rates),
+    probs AS (SELECT fold_id, g, hfa, beta, home_goals, away_goals, {_SUMS} FROM tails),
+    losses AS (SELECT fold_id, g, hfa, beta, count(*) AS n, avg(-ln(CASE WHEN home_goals > away_goals THEN ph / total
+      WHEN home_goals = away_goals THEN pd / total ELSE 1 - (ph + pd) / total END)) AS loss FROM probs GROUP BY 1, 2, 3, 4),
+    best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY loss, g) AS rn FROM losses) WHERE rn = 1)""",
+)
+
+
 @query(
     "m3_elo_grid_search",
     "i:fold_id,val_n d:hfa,beta_1,val_log_loss",
-    with_sql(
-        MATCHES, FIN, ELO_CTE.replace("elo AS (", "elo AS MATERIALIZED ("), _LINE, _walk_sql("expanding"),
-        _MEMBERS.replace("'train'", "1").replace("'val'", "2").replace("'test'", "3"),
-        f"""grid AS (SELECT * FROM (VALUES {_GRID}) AS t(g, hfa, beta)),
-        betas AS (SELECT fold_id, ln(greatest(avg(home_goals), 0.1)) AS bh, ln(greatest(avg(away_goals), 0.1)) AS ba FROM members WHERE block = 1 GROUP BY 1),
-        rates AS (SELECT m.fold_id * 1000000000000 + m.fixture_id * 10 + g AS key, m.fold_id, m.fixture_id, g, hfa, beta, m.home_goals, m.away_goals,
-          exp(bh + beta * (CAST(CAST(eh AS FLOAT) AS DOUBLE) + hfa - CAST(CAST(ea AS FLOAT) AS DOUBLE))) AS lh,
-          exp(ba - beta * (CAST(CAST(eh AS FLOAT) AS DOUBLE) + hfa - CAST(CAST(ea AS FLOAT) AS DOUBLE))) AS la
-          FROM members m JOIN betas USING (fold_id) JOIN elo USING (fixture_id) CROSS JOIN grid WHERE m.block = 2)""",
-        """tails AS (SELECT *, list_transform(range(0, 11), lambda i: exp(-lh + i * ln(lh) - lgamma(i + 1))) AS hp,
-          list_transform(range(0, 11), lambda i: exp(-la + i * ln(la) - lgamma(i + 1))) AS ap FROM rates),
-        probs AS (SELECT fold_id, g, hfa, beta, home_goals, away_goals, list_sum(hp) * list_sum(ap) AS total,
-          list_sum(list_transform(range(2, 12), lambda i: hp[i] * list_sum(ap[1:i - 1]))) AS ph,
-          list_sum(list_transform(range(1, 12), lambda i: hp[i] * ap[i])) AS pd FROM tails),
-        losses AS (SELECT fold_id, g, hfa, beta, count(*) AS n, avg(-ln(CASE WHEN home_goals > away_goals THEN ph / total
-          WHEN home_goals = away_goals THEN pd / total ELSE 1 - (ph + pd) / total END)) AS loss FROM probs GROUP BY 1, 2, 3, 4)""",
-        recursive=True,
-        answer="SELECT fold_id, n AS val_n, hfa, beta AS beta_1, loss AS val_log_loss FROM (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY loss, g) AS rn FROM losses) WHERE rn = 1",
-    ),
+    with_sql(*_GRID_CTES, recursive=True, answer="SELECT fold_id, n AS val_n, hfa, beta AS beta_1, loss AS val_log_loss FROM best"),
 )
 def elo_grid(spark, folder):
     """Best grid point of every fold on its validation block."""
@@ -397,16 +400,14 @@ def identity(spark, folder):
 def temperature(spark, folder):
     """Fitted temperature per model version: inside its bounds and no worse than its neighbours."""
     f = forecasts(spark, folder)
-    groups = [(i,) for i in range(3)]
-    temps = Cal.fit_temperature(f, ["model_version_id"], groups)
+    table = Cal.fit_temperature(f, ["model_version_id"]).withColumnRenamed("temperature", "t")
     out = f.withColumns({f"lp{i}": X.clipped_log(F.col(c), Cal.CLIP) for i, c in enumerate(Mx.P)})
     lp = [F.col(f"lp{i}") for i in range(3)]
 
     def loss(t):
         return F.avg(-F.log(X.pick3(F.col("label"), *X.softmax3(*[x / t for x in lp]))))
 
-    table = spark.createDataFrame([(g[0], temps[g]) for g in groups], "model_version_id long, t double")
-    scored = out.join(F.broadcast(table), "model_version_id").groupBy("model_version_id", "t").agg(
+    scored = out.join(table, "model_version_id").groupBy("model_version_id", "t").agg(
         loss(F.col("t")).alias("at"), loss(F.col("t") * 1.01).alias("above"), loss(F.col("t") / 1.01).alias("below")
     )
     return scored.select("model_version_id", F.col("t").between(Cal.T_MIN, Cal.T_MAX).alias("inside_bounds"), (((F.col("at") <= F.col("above")) | (F.col("t") >= Cal.T_MAX)) & ((F.col("at") <= F.col("below")) | (F.col("t") <= Cal.T_MIN))).alias("is_minimum"))
@@ -420,11 +421,9 @@ def temperature(spark, folder):
 def dirichlet(spark, folder):
     """Dirichlet calibration per model version: a simplex, a lower log loss, and a zero gradient in all twelve parameters."""
     f = forecasts(spark, folder)
-    groups = [(i,) for i in range(3)]
-    report = {}
-    fitted = Cal.fit_dirichlet(f, ["model_version_id"], groups, report=report)
-    ended = spark.createDataFrame([(g[0], *report[g]) for g in groups], "model_version_id long, converged boolean, gradient double")
-    table = spark.createDataFrame([(g[0], "dirichlet", *map(float, fitted[g])) for g in groups], "model_version_id long, kind string, " + ", ".join(f"{p} double" for p in Cal.PARAMS))
+    fitted = Cal.fit_dirichlet(f, ["model_version_id"])
+    ended = fitted.select("model_version_id", "converged", "gradient")
+    table = fitted.select("model_version_id", F.lit("dirichlet").alias("kind"), *[F.col("x")[i].alias(p) for i, p in enumerate(Cal.PARAMS)])
     both = Cal.apply(f.withColumn("raw_loss", -F.log(X.pick3(F.col("label"), *[F.col(c) for c in Mx.P]))), table, ["model_version_id"])
     p = [F.col(c) for c in Mx.P]
     return both.groupBy("model_version_id").agg(
@@ -443,24 +442,29 @@ def poisson_regression(spark, folder):
 
 @query(
     "m4_poisson_stationary_point",
-    "s:feature i:train_rows b:gradient_is_zero",
+    "s:head,feature i:train_rows b:gradient_is_zero",
     with_sql(*EXAMPLE_CTES, EXAMPLES, recursive=True, answer=" UNION ALL ".join(
-        f"SELECT '{c}' AS feature, count(*) AS train_rows, TRUE AS gradient_is_zero FROM ex WHERE {' AND '.join(f'{x} IS NOT NULL' for x in N.HEAD['home'])}" for c in N.HEAD["home"])),
+        f"SELECT '{side}' AS head, f AS feature, n AS train_rows, TRUE AS gradient_is_zero FROM (SELECT count(*) AS n FROM ex WHERE {' AND '.join(f'{x} IS NOT NULL' for x in N.HEAD[side])}), "
+        f"unnest([{', '.join(repr(c) for c in ['intercept', *N.HEAD[side]])}]) t(f)" for side in N.SIDES)),
 )
 def poisson_stationary(spark, folder):
-    """At the fitted home head the penalised gradient vanishes for every feature."""
+    """At both fitted heads the penalised gradient vanishes for the intercept and every feature."""
     r = rows(spark, folder)
     trainer = Mo.PoissonTrainer()
     model = trainer.fit(r)
-    weights = dict(zip(N.HEAD["home"], model.heads["home"].coefficients.toArray().tolist()))
-    seen = model.transform(r.dropna(subset=N.HEAD["home"]))
-    miss = F.col("expected_home_goals") - F.col("home_goals")
-    x = {c: F.col(c).cast("float").cast("double") for c in N.HEAD["home"]}
-    # Relative to the spread of the feature, since columns range from goal means to ratings.
-    flat = {c: F.abs(F.avg(miss * x[c]) + trainer.l2 * weights[c]) <= 1e-4 * (1.0 + F.avg(F.abs(x[c]))) for c in x}
-    sums = seen.agg(F.count("*").alias("train_rows"), *[v.alias(c) for c, v in flat.items()])
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("gradient_is_zero")) for c in flat]
-    return sums.select("train_rows", F.explode(F.array(*entries)).alias("e")).select("train_rows", "e.*")
+    out = None
+    for side in N.SIDES:
+        weights = dict(zip(N.HEAD[side], model.heads[side].coefficients.tolist(), strict=True))
+        seen = model.transform(r.dropna(subset=N.HEAD[side]))
+        miss = F.col(f"expected_{side}_goals") - F.col(f"{side}_goals")
+        x = {c: F.col(c).cast("float").cast("double") for c in N.HEAD[side]}
+        # Relative to the spread of the feature, since columns range from goal means to ratings.
+        flat = {"intercept": F.abs(F.avg(miss)) <= 1e-6} | {c: F.abs(F.avg(miss * x[c]) + trainer.l2 * weights[c]) <= 1e-6 * (1.0 + F.avg(F.abs(x[c]))) for c in x}
+        sums = seen.agg(F.count("*").alias("train_rows"), *[v.alias(c) for c, v in flat.items()])
+        entries = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("gradient_is_zero")) for c in flat]
+        part = sums.select(F.lit(side).alias("head"), "train_rows", F.explode(F.array(*entries)).alias("e")).select("head", "train_rows", "e.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("m5_gradient_boosting", "i:fixture_id d:p_home_win,p_draw,p_away_win")
@@ -477,9 +481,85 @@ def second_booster(spark, folder):
     return Mo.trainer("lightgbm").fit(r, seed=42).transform(r)
 
 
+@query(
+    "m5_m6_boosters_improve",
+    "s:model i:fixture_id,train_rows b:simplex,loss_falls_every_round",
+    with_sql(MATCHES, FIN, answer="""SELECT model, fixture_id, (SELECT count(*) FROM fin) AS train_rows, TRUE AS simplex, TRUE AS loss_falls_every_round
+    FROM fin, unnest(['gradient_boosting', 'lightgbm']) m(model)"""),
+)
+def boosters_improve(spark, folder):
+    """Both boosters with their defaults, fitted side by side: probabilities of every row, and the train loss after each round."""
+    r = rows(spark, folder)
+    models = B.fit(r, [B.Group((name,), B.growth_of(defaults, {})) for name, defaults in Mo.BOOSTING.items()])
+    falls = {k[0]: len(m.losses) == 101 and all(b < a for a, b in zip(m.losses, m.losses[1:], strict=False)) for k, m in models.items()}
+    table = spark.createDataFrame([(name, ok) for name, ok in falls.items()], "model string, loss_falls_every_round boolean")
+    out = B.forecast(r, models, {"model": "string"}, ["fixture_id"]).join(F.broadcast(table), "model")
+    return out.select("model", "fixture_id", F.lit(r.count()).alias("train_rows"), X.is_simplex(*[F.col(c) for c in Mx.P]).alias("simplex"), "loss_falls_every_round")
+
+
+_STUMP = [c for c in N.FORM]
+_STUMP_SQL = f"""
+labelled AS (SELECT CASE WHEN home_win = 1 THEN 0 WHEN draw = 1 THEN 1 ELSE 2 END AS y, * FROM ex),
+shares AS (SELECT k, count(*) FILTER (y = k) / count(*)::DOUBLE AS p FROM labelled, range(3) t(k) GROUP BY k),
+signals AS (SELECT fixture_id, k, CAST(round((p - (y = k)::INT) * 16777216) AS HUGEINT) AS g, CAST(round(p * (1 - p) * 16777216) AS HUGEINT) AS h FROM labelled, shares),
+cells AS ({" UNION ALL ".join(f"SELECT fixture_id, {i} AS j, {c} AS v FROM labelled" for i, c in enumerate(_STUMP))}),
+bars AS (SELECT k, j, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM cells JOIN signals USING (fixture_id) GROUP BY ALL),
+cuts AS (SELECT k, j, c, s, sum(g) FILTER (v <= c OR (v IS NULL AND s = 1)) AS gl, sum(h) FILTER (v <= c OR (v IS NULL AND s = 1)) AS hl,
+  coalesce(sum(n) FILTER (v <= c OR (v IS NULL AND s = 1)), 0) AS nl, sum(g) AS g, sum(h) AS h, sum(n) AS n FROM bars, range(31) a(c), range(2) b(s) GROUP BY k, j, c, s),
+scored AS (SELECT *, (gl::DOUBLE * gl / hl + (g - gl)::DOUBLE * (g - gl) / (h - hl) - g::DOUBLE * g / h) / 16777216 AS gain FROM cuts WHERE nl >= 20 AND n - nl >= 20),
+best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j, c, s) AS r FROM (SELECT *, max(gain) OVER (PARTITION BY k) AS top FROM scored) WHERE gain >= top * (1 - 1e-12))"""
+
+
+@query(
+    "m5_stump_split",
+    "i:class,feature,cut,rows_below,rows_above b:missing_below d:gain,value_below,value_above",
+    with_sql(*EXAMPLE_CTES, EXAMPLES, _STUMP_SQL, recursive=True, answer="""SELECT k AS class, j AS feature, c AS cut, s = 1 AS missing_below, gain, nl AS rows_below, n - nl AS rows_above,
+    -0.1 * gl / hl AS value_below, -0.1 * (g - gl) / (h - hl) AS value_above FROM best WHERE r = 1"""),
+)
+def stump_split(spark, folder):
+    """First split of the booster per class over the form columns: column, cut, side of missing values, gain and leaf values."""
+    growth = B.Growth(rounds=1, leaves=2)
+    edges = [np.arange(31.0) for _ in _STUMP]
+    model = B.fit(rows(spark, folder), [B.Group((0,), growth)], _STUMP, edges)[(0,)]
+    out = []
+    for k, tree, values in model.trees:
+        out.append((k, *[int(tree[c][0]) for c in ("feature", "cut")], bool(tree["missing_left"][0]), float(tree["gain"][0]), *[int(n) for n in tree["rows"][1:3]], *map(float, values[1:3])))
+    return spark.createDataFrame(out, "class int, feature int, cut int, missing_below boolean, gain double, rows_below long, rows_above long, value_below double, value_above double")
+
+
+_LOGS = ", ".join(f"ln(least(greatest({c}, 1e-12), 1.0)) AS l{i}" for i, c in enumerate(("ph / total", "pd / total", "1 - (ph + pd) / total")))
+_SOFT = [f"exp(u * l{i}) / (exp(u * l0) + exp(u * l1) + exp(u * l2))" for i in range(3)]
+_BACKTEST = f"""
+raw AS MATERIALIZED (SELECT *, CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END AS label, {_LOGS}
+  FROM (SELECT *, {_SUMS} FROM ({_TAILS} FROM (SELECT m.fold_id, m.block, m.fixture_id, m.home_goals, m.away_goals, {_RATES}
+    FROM members m JOIN betas USING (fold_id) JOIN elo USING (fixture_id) JOIN best USING (fold_id) WHERE m.block > 1)))),
+val AS (SELECT *, greatest(ph / total, pd / total, 1 - (ph + pd) / total) AS conf, CASE WHEN label = CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END THEN 1.0 ELSE 0.0 END AS hit
+  FROM raw WHERE block = 2),
+val_bins AS (SELECT s.fold_id, e.bin_id, count(*) AS n, avg(hit) AS acc, avg(conf) AS mc FROM val s JOIN edges e ON {IN_BIN} GROUP BY 1, 2),
+kinds AS MATERIALIZED (SELECT fold_id, sum(n * abs(acc - mc)) / sum(n) AS val_ece FROM val_bins GROUP BY 1),
+halving AS (
+  SELECT fold_id, 0 AS it, CAST(0.1 AS DOUBLE) AS lo, CAST(10 AS DOUBLE) AS hi FROM kinds
+  UNION ALL
+  SELECT fold_id, it + 1, CASE WHEN slope > 0 THEN lo ELSE u END, CASE WHEN slope > 0 THEN u ELSE hi END
+  FROM (SELECT fold_id, it, lo, hi, u, avg({' + '.join(f'{x} * l{i}' for i, x in enumerate(_SOFT))} - CASE label WHEN 0 THEN l0 WHEN 1 THEN l1 ELSE l2 END) AS slope
+    FROM (SELECT h.fold_id, h.it, h.lo, h.hi, (h.lo + h.hi) / 2 AS u, v.l0, v.l1, v.l2, v.label FROM halving h JOIN val v ON v.fold_id = h.fold_id WHERE h.it < 45) GROUP BY 1, 2, 3, 4, 5)),
+scale AS (SELECT fold_id, CASE WHEN val_ece < 0.02 THEN NULL ELSE (lo + hi) / 2 END AS u FROM halving JOIN kinds USING (fold_id) WHERE it = 45),
+cal AS (SELECT r.*, CASE WHEN u IS NULL THEN ph / total ELSE {_SOFT[0]} END AS c0, CASE WHEN u IS NULL THEN pd / total ELSE {_SOFT[1]} END AS c1,
+  CASE WHEN u IS NULL THEN 1 - (ph + pd) / total ELSE {_SOFT[2]} END AS c2 FROM raw r JOIN scale USING (fold_id) WHERE block = 3),
+scored AS (SELECT *, greatest(c0, c1, c2) AS conf, CASE label WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END AS p_true,
+  CASE WHEN label = CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN 1 ELSE 2 END THEN 1.0 ELSE 0.0 END AS hit FROM cal),
+test_bins AS (SELECT s.fold_id, e.bin_id, count(*) AS n, avg(hit) AS acc, avg(conf) AS mc FROM scored s JOIN edges e ON {IN_BIN} GROUP BY 1, 2),
+errors AS (SELECT fold_id, sum(n * abs(acc - mc)) / sum(n) AS ece, max(abs(acc - mc)) AS mce FROM test_bins GROUP BY 1)"""
+
+
 @query(
     "m11_m12_backtest_elo_baseline",
     "i:fold_id,n_predictions d:accuracy,log_loss,ece,mce,brier_multiclass,rmse_total_goals,poisson_loglik",
+    with_sql(*_GRID_CTES, BINS, _BACKTEST, recursive=True, answer="""SELECT fold_id, count(*) AS n_predictions, avg(hit) AS accuracy, avg(-ln(p_true)) AS log_loss, max(ece) AS ece, max(mce) AS mce,
+    avg(pow(c0 - (label = 0)::INT, 2) + pow(c1 - (label = 1)::INT, 2) + pow(c2 - (label = 2)::INT, 2)) AS brier_multiclass,
+    sqrt(avg(pow(home_goals + away_goals - lh - la, 2))) AS rmse_total_goals,
+    avg(-lh + home_goals * ln(lh) - lgamma(home_goals + 1) - la + away_goals * ln(la) - lgamma(away_goals + 1)) AS poisson_loglik
+    FROM scored JOIN errors USING (fold_id) GROUP BY fold_id"""),
 )
 def backtest_elo(spark, folder):
     """Walk-forward backtest of the rating baseline: all folds in three passes, calibrated on validation."""

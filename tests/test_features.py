@@ -126,3 +126,43 @@ def test_table_as_of_orders_ties(spark):
     at = START + timedelta(days=150)
     got = {r["team_id"]: r["position"] for r in S.table_as_of(frame(spark, rows), str(at)[:19]).collect()}
     assert got == {t: v[0] for t, v in table(rows, 1, at).items()}
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_crowded_stretches_split_into_blocks_of_rows(spark, size):
+    """Many matches inside one month: blocks follow the rows, and positions stay right in every block."""
+    rows = [(*r[:5], START + timedelta(hours=i // 3), *r[6:]) for i, r in enumerate(season(11, 90, leagues=1))]
+    p = frame(spark, rows)
+    got = {(r["team_id"], r["at"]): (r["position"], r["points"]) for r in S.positions(p, H.probes(p), size).collect()}
+    micro = lambda t: int(t.timestamp() * 1_000_000)
+    for _f, c, _s, h, a, k, *_ in rows:
+        t = table(rows, c, k)
+        for team in (h, a):
+            assert got.get((team, micro(k))) == (t[team][:2] if team in t else None)
+    blocks = S.row_blocks(H.probes(p), size).select("_block").distinct().count()
+    assert blocks > 1 and S.row_blocks(H.probes(p), 10**6).select("_block").distinct().count() == 1
+
+
+def test_builds_and_scores_read_only_what_their_targets_need(spark, tmp_path):
+    from touchline.plans import dataset as Ds
+    from touchline.plans import scoring as Sc
+
+    rows = season(12, 160, leagues=4)
+    after = START + timedelta(days=400)
+    rows += [(9001, 2, 2020, 200, 201, after, "scheduled", None, None), (9002, 3, 2020, 300, 301, after, "scheduled", None, None)]
+    frame(spark, rows).write.partitionBy("competition_id").parquet(str(tmp_path / "m"))
+    m = spark.read.parquet(str(tmp_path / "m")).withColumn("competition_id", F.col("competition_id").cast("long"))
+    stats = spark.createDataFrame([(c * 100, c, 2020, START.date(), 1.5, None) for c in range(1, 5)], "team_id long, competition_id long, season_id long, as_of_date date, xg double, xga double")
+    asked = spark.createDataFrame([(9001,)], "fixture_id long")
+    got = Sc.scoring_features(m, stats, asked)
+    whole = Sc.scoring_features(m, stats).where("fixture_id = 9001")
+    assert got.exceptAll(whole).count() == 0 and got.count() == 1
+    targets = m.where("fixture_id = 9001")
+    kept = Fe.in_leagues(H.finished(m), targets)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert {r["competition_id"] for r in kept.collect()} == {2} and "PartitionFilters: [" in plan and "IN (2)" in plan.replace("= 2", "IN (2)")
+    pairs = {frozenset((r["home_team_id"], r["away_team_id"])) for r in Fe.of_pairs(H.finished(m), targets).collect()}
+    assert pairs <= {frozenset((200, 201))}
+    part = Ds.dataset_rows(m, stats, [1, 2], [2020], cutoff="2100-01-01 00:00:00")
+    every = Ds.dataset_rows(m, stats, [1, 2, 3, 4], [2020], cutoff="2100-01-01 00:00:00").where("competition_id < 3")
+    assert part.exceptAll(every).count() == 0 and part.count() == every.count() > 0

@@ -83,7 +83,7 @@ def nll(q, y, w, b):
 
 def test_temperature_undoes_sharpening(spark):
     df, q, y = sample(spark)
-    t = Cal.fit_temperature(df, ["g"], [(1,)])[(1,)]
+    t = Cal.fit_temperature(df, ["g"]).first()["temperature"]
     assert 1.6 < t < 2.4
     best = min(np.linspace(0.5, 4, 3501), key=lambda x: nll(q, y, np.eye(3) / x, 0))
     assert t == pytest.approx(best, abs=2e-3)
@@ -91,7 +91,9 @@ def test_temperature_undoes_sharpening(spark):
 
 def test_dirichlet_reaches_a_stationary_point(spark):
     df, q, y = sample(spark)
-    x = Cal.fit_dirichlet(df, ["g"], [(1,)])[(1,)]
+    r = Cal.fit_dirichlet(df, ["g"]).first()
+    assert r["converged"]
+    x = np.array(r["x"])
     loss = lambda v: nll(q, y, v[:9].reshape(3, 3), v[9:]) + Cal.L2 * ((v[:9] - np.eye(3).ravel()) ** 2).sum()
     grad = [(loss(x + d) - loss(x - d)) / 2e-5 for d in np.eye(12) * 1e-5]
     assert np.abs(grad).max() < 1e-6
@@ -119,7 +121,7 @@ def test_runs_of_different_data_are_not_compared(spark):
 def test_uneven_and_impossible_rates(spark):
     df = spark.createDataFrame([(200.0, 1.0), (1.0, 200.0), (900.0, 1.0), (1.2, 0.9)], "h double, a double")
     r = [x["o"] for x in df.select(X.outcome_from_rates(F.col("h"), F.col("a")).alias("o")).collect()]
-    assert r[0]["home"] == pytest.approx(1.0) and r[1]["away"] == pytest.approx(1.0) and r[2] is None
+    assert r[0]["home"] == pytest.approx(1.0) and r[1]["away"] == pytest.approx(1.0) and r[2]["home"] == 1.0
     assert r[3]["home"] + r[3]["draw"] + r[3]["away"] == pytest.approx(1.0)
 
 
@@ -127,3 +129,42 @@ def test_summary_refuses_rows_that_are_no_probabilities(spark):
     df = spark.createDataFrame([(0.5, 0.5, 0.5, 0)], "p_home_win double, p_draw double, p_away_win double, label int")
     with pytest.raises(Exception, match="no probability simplex"):
         Mx.summary(df, []).collect()
+
+
+@pytest.mark.parametrize("lam", [(5000.0, 5001.0), (1e6, 1e6), (800.0, 790.0), (701.0, 650.0)])
+def test_large_rates_have_probabilities(spark, lam):
+    df = spark.createDataFrame([lam], "h double, a double").select(X.outcome_from_rates(F.col("h"), F.col("a")).alias("o"))
+    o = df.first()["o"]
+    assert sum(o) == pytest.approx(1.0, abs=1e-9)
+    sd = math.sqrt(sum(lam))
+    phi = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+    assert o["home"] == pytest.approx(1 - phi((0.5 - lam[0] + lam[1]) / sd), abs=2e-3)
+    assert o["draw"] == pytest.approx(math.exp(-((lam[0] - lam[1]) ** 2) / (2 * sd * sd)) / (sd * math.sqrt(2 * math.pi)), rel=0.05)
+
+
+def test_rates_far_beyond_any_match(spark):
+    df = spark.createDataFrame([(1e300, 3.0), (2.0, 1e12), (1e12, 1e12), (10.0, 10.0), (1e-9, 1e-9)], "h double, a double")
+    r = [x["o"] for x in df.select(X.outcome_from_rates(F.col("h"), F.col("a")).alias("o")).collect()]
+    assert tuple(r[0]) == (1.0, 0.0, 0.0) and tuple(r[1]) == (0.0, 0.0, 1.0) and r[2] is None
+    assert r[3]["home"] == pytest.approx(r[3]["away"]) and r[4]["draw"] == pytest.approx(1.0)
+
+
+def test_many_groups_are_fitted_at_once(spark):
+    """Five thousand groups of a few rows; some of them against plain numpy."""
+    n = 5_000
+    df = spark.range(n * 6).selectExpr("id % 5000 as g", "cast(hash(id) as long) as h", "cast(abs(hash(id, 5)) % 3 as int) as label")
+    w = [F.lit(0.2) + F.pmod(F.shiftright("h", 7 * i), F.lit(97)) / 97.0 for i in range(3)]
+    df = df.select("g", "label", *[(x / (w[0] + w[1] + w[2])).alias(c) for x, c in zip(w, Mx.P, strict=True)])
+    from touchline.session import materialise
+
+    df = materialise(df, "groups")
+    t = Cal.fit_temperature(df, ["g"])
+    x = Cal.fit_dirichlet(df, ["g"])
+    assert t.count() == x.count() == n and t.where("not converged").isEmpty()
+    assert x.where("converged").count() > 0.999 * n
+    for g in (0, 7, 4_999):
+        own = df.where(F.col("g") == g).toPandas()
+        q, y = own[list(Mx.P)].to_numpy(), own["label"].to_numpy()
+        v = np.array(x.where(F.col("g") == g).first()["x"])
+        loss = lambda v, q=q, y=y: nll(q, y, v[:9].reshape(3, 3), v[9:]) + Cal.L2 * ((v[:9] - np.eye(3).ravel()) ** 2).sum()
+        assert max(abs(loss(v + d) - loss(v - d)) / 2e-5 for d in np.eye(12) * 1e-5) < 1e-5

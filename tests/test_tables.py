@@ -92,31 +92,59 @@ def test_payload_tolerates_broken_pages(spark):
     assert [r["external_id"] for r in good.collect()] == [9] and bad.count() == 1
 
 
-def test_stream_batches_replay_to_the_same_version(spark, tmp_path):
-    cols = "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, finished_at timestamp, synced_at timestamp"
-    first = spark.createDataFrame([(1, START, "scheduled", None, None, None, None)], cols)
-    t = SI.VersionedTable(spark, str(tmp_path / "t"), first.schema)
+MATCH_COLS = "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, finished_at timestamp, synced_at timestamp"
+UPDATE_COLS = "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, landing long"
+
+
+def test_a_replayed_batch_changes_and_counts_nothing_twice(spark, tmp_path):
+    first = spark.createDataFrame([(1, START, "scheduled", None, None, None, None)], MATCH_COLS)
+    t = SI.BucketedTable(spark, str(tmp_path / "t"), first.schema, "external_id", 4)
     t.create(first)
-    batch = spark.createDataFrame([(1, START, "finished", 2, 1, 1), (2, START, "scheduled", None, None, 2)], "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, landing long")
+    batch = spark.createDataFrame([(1, START, "finished", 2, 1, 1), (2, START, "scheduled", None, None, 2)], UPDATE_COLS)
     apply = SI.apply_matches("2021-01-01 00:00:00")
-    for _ in range(2):
-        t.write(0, apply(t.read(-1), batch).select(*first.columns))
-    assert {(r["external_id"], r["status"]) for r in t.read(0).collect()} == {(1, "finished"), (2, "scheduled")}
+    for _ in range(3):
+        out = {r["external_id"]: r["_outcome"] for r in t.merge(batch, 0, apply).collect()}
+        assert out == {1: "updated", 2: "inserted"}
+    assert {(r["external_id"], r["status"], r["batch_id"]) for r in t.read().collect()} == {(1, "finished", 0), (2, "scheduled", 0)}
+    with pytest.raises(Exception, match="already exists"):
+        t.create(first)
 
 
 def test_a_batch_writes_only_the_buckets_of_its_keys(spark, tmp_path):
-    cols = "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, finished_at timestamp, synced_at timestamp"
-    first = spark.createDataFrame([(i, START, "scheduled", None, None, None, None) for i in range(100)], cols)
-    t = SI.VersionedTable(spark, str(tmp_path / "t"), first.schema, "external_id", 16)
+    first = spark.createDataFrame([(i, START, "scheduled", None, None, None, None) for i in range(100)], MATCH_COLS)
+    t = SI.BucketedTable(spark, str(tmp_path / "t"), first.schema, "external_id", 16)
     t.create(first)
-    batch = spark.createDataFrame([(7, START, "finished", 2, 1, 1), (1000, START, "scheduled", None, None, 2)], "external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, landing long")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t/rows").glob("_bucket=*/*.parquet")}
+    batch = spark.createDataFrame([(7, START, "finished", 2, 1, 1), (1000, START, "scheduled", None, None, 2)], UPDATE_COLS)
     src = str(tmp_path / "in")
     batch.coalesce(1).write.parquet(src)
-    SI.upsert_stream(SI.landed(spark, src, batch.schema), t, None, str(tmp_path / "c"), SI.apply_matches("2021-01-01 00:00:00")).awaitTermination()
-    assert t.newest() == 0 and len(list((tmp_path / "t/data/version=0").glob("_bucket=*"))) == len(t.touched(batch)) <= 2
-    now = {r["external_id"]: r["status"] for r in t.read(0).collect()}
-    assert len(now) == 101 and now[7] == "finished" and now[8] == "scheduled"
-    assert t.read(-1).count() == 100
+    counters = str(tmp_path / "counts")
+    SI.upsert_stream(SI.landed(spark, src, batch.schema), t, counters, str(tmp_path / "c"), SI.apply_matches("2021-01-01 00:00:00")).awaitTermination()
+    same = [f for f, at in before.items() if f.exists() and f.stat().st_mtime_ns == at]
+    touched = {f"_bucket={b}" for b in t.touched(batch)}
+    assert {f.parent.name for f in before} - {f.parent.name for f in same} <= touched and len(touched) <= 2
+    now = {r["external_id"]: r for r in t.read().collect()}
+    assert len(now) == 101 and now[7]["status"] == "finished" and now[8]["status"] == "scheduled"
+    assert [i for i, r in sorted(now.items()) if r["batch_id"] is not None] == [7, 1000]
+    assert [tuple(r) for r in spark.read.parquet(counters).select("batch_id", "inserted", "updated").collect()] == [(0, 1, 1)]
+
+
+def test_many_waiting_results_of_one_season(spark, tmp_path):
+    """All rows arrive before any is due; a second input releases them in order."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("id as fixture_id", "1L as competition_id", "2020L as season_id", "id % 40 as home_team_id", "40 + id % 37 as away_team_id",
+                                     f"timestamp_seconds(1600000000 + (id * 7919 % 500) * 60) as kickoff", "id % 4 as home_goals", "id % 3 as away_goals")
+    src = str(tmp_path / "in")
+    rows.coalesce(1).write.parquet(src)
+    last = rows.limit(1).withColumn("kickoff", F.lit("2022-01-01").cast("timestamp")).withColumn("fixture_id", F.lit(10**9))
+    last.coalesce(1).write.mode("append").parquet(src)
+    stream = SE.rating_stream(SI.landed(spark, src, rows.schema, 1))
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    got = {r["fixture_id"]: (r["home_elo"], r["away_elo"]) for r in spark.read.parquet(str(tmp_path / "o")).where("not late").collect()}
+    games = [(r["fixture_id"], 1, 2020, r["home_team_id"], r["away_team_id"], r["kickoff"], "finished", r["home_goals"], r["away_goals"]) for r in rows.collect()]
+    want = elo(games)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in range(0, n, 997))
 
 
 def test_rating_stream_equals_batch_and_reports_late_rows(spark, tmp_path):
@@ -168,7 +196,7 @@ def test_poisson_heads_have_zero_gradient(spark):
     model = Mo.PoissonTrainer(l2=0.1).fit(df)
     pdf = df.toPandas()
     x = pdf[N.HEAD["home"]].to_numpy(dtype="float32").astype("float64")
-    w = np.array(model.heads["home"].coefficients.toArray())
+    w = model.heads["home"].coefficients
     lam = np.exp(x @ w + model.heads["home"].intercept)
     y = pdf["home_goals"].to_numpy()
     assert np.abs((lam - y) @ x / len(y) + 0.1 * w).max() < 1e-5 and abs((lam - y).mean()) < 1e-5
@@ -268,3 +296,51 @@ def test_another_session_zone_is_refused(spark):
     finally:
         spark.conf.set(key, "UTC")
     Se.require_utc(spark)
+
+
+def test_a_merge_into_a_bucketed_target_moves_only_the_updates(spark, tmp_path):
+    from touchline.operators import upsert as U
+
+    rows = spark.createDataFrame([(i, START, "scheduled", None, None, None, None) for i in range(60)], MATCH_COLS)
+    target = U.bucketed(rows, ["external_id"], 4, str(tmp_path / "b"))
+    batch = spark.createDataFrame([(7, START, "finished", 2, 1, 1), (1000, START, "scheduled", None, None, 2), (7, START, "finished", 5, 5, 2)], UPDATE_COLS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = U.upsert_matches(target, batch, "2021-01-01 00:00:00")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["external_id"]: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Join") == 1, plan
+    assert len(got) == 61 and (got[7]["home_goals"], got[7]["_outcome"], got[1000]["_outcome"], got[3]["_outcome"]) == (2, "updated", "inserted", "untouched")
+
+
+def test_bootstrap_goes_on_after_a_bad_league(spark):
+    """One league's row is broken: its teams, matches and totals fail or are skipped, the other league's come in."""
+    from touchline.plans import ingest as In
+
+    good = spark.createDataFrame([(1, "one", 1)], "external_id long, name string, landing long")
+    listed = spark.createDataFrame([(1, 2020, 2020, True, 1), (2, 2020, 2020, True, 2)], "competition_external_id long, external_id long, year long, is_current boolean, landing long")
+    teams = spark.createDataFrame([(t, f"t{t}", c, 2020, t) for c, t in ((1, 10), (1, 11), (2, 20), (2, 21))], "external_id long, name string, competition_external_id long, season_external_id long, landing long")
+    cols = "external_id long, competition_external_id long, season_year long, home_team_external_id long, away_team_external_id long, kickoff_time timestamp, status string, home_goals long, away_goals long, landing long"
+    games = spark.createDataFrame([(100, 1, 2020, 10, 11, START, "finished", 1, 0, 1), (200, 2, 2020, 20, 21, START, "finished", 1, 0, 2)], cols)
+    totals = spark.createDataFrame([(10, 1, 2020, 5), (20, 2, 2020, 5)], "team_external_id long, competition_external_id long, season_external_id long, fixtures_played long")
+    totals = totals.withColumn("as_of_date", F.lit("2020-01-01").cast("date"))
+    empty = {
+        "competitions": "external_id long, id long, name string", "seasons": "competition_id long, year long, external_id long, id long, is_current boolean",
+        "teams": "external_id long, id long, name string", "team_statistics": "team_id long, competition_id long, season_id long, as_of_date date, fixtures_played long",
+        "matches": "external_id long, competition_id long, season_id long, home_team_id long, away_team_id long, " + MATCH_COLS.replace("external_id long, ", ""),
+    }
+    stored = {k: spark.createDataFrame([], v) for k, v in empty.items()}
+    bad = good.withColumn("external_id", F.lit(None).cast("long"))
+    staged = {"competitions": (good, bad), "seasons": (listed, listed.limit(0)), "teams": (teams, teams.limit(0)), "matches": (games, games.limit(0)), "team_statistics": (totals, totals.limit(0))}
+    tables, report = In.bootstrap(staged, stored, 2, 2020, "2021-05-01 00:00:00")
+    got = {r["job"]: (r["received"], r["inserted"], r["skipped"], r["failed"]) for r in report.collect()}
+    assert got["competitions_seasons"] == (4, 2, 1, 1) and got["teams"] == (4, 2, 0, 2)
+    assert got["matches"][2:] == (1, 0) and got["team_statistics"] == (2, 1, 1, 0)
+    assert {r["external_id"] for r in tables["matches"].collect()} == {100} and tables["team_statistics"].first()["as_of_date"].isoformat() == "2021-05-01"
+    again, second = In.bootstrap(staged, {k: v.drop("_outcome") for k, v in tables.items()}, 2, 2020, "2021-05-01 00:00:00")
+    done = {r["job"]: (r["inserted"], r["updated"]) for r in second.collect()}
+    assert done["full_bootstrap"][0] == 0 and done["team_statistics"] == (0, 1)
+    assert {r["id"] for r in again["teams"].collect()} == {r["id"] for r in tables["teams"].collect()}

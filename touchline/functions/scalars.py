@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 EPS = 1e-15
 FACTORIAL_TABLE = 60  # beyond it Stirling's series is exact to double precision
-MAX_RATE = 700.0  # exp(-rate) of a larger rate is no double
+UNROLLED = 15  # goal counts that are written out term by term
+MAX_RATE = 1e8  # two overlapping distributions of larger rates have hundreds of thousands of terms
 DAY_MICROS = 86_400_000_000
 
 
@@ -176,46 +177,90 @@ def pmf_map(rate: Column, max_goals: int) -> Column:
     return F.map_from_arrays(F.sequence(F.lit(0), F.lit(max_goals)), poisson_pmf(rate, max_goals))
 
 
-def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10, label: Column | None = None) -> Column:
-    """Struct (home, draw, away) from two independent Poisson rates, or one class's probability.
+def _series(x: Column, low: int, high: int) -> Column:
+    """Sum of x^i / i! for i = low..high, by Horner's rule."""
+    out = F.lit(1.0)
+    for i in range(high, low, -1):
+        out = F.lit(1.0) + x / i * out
+    first = F.lit(1.0 / math.factorial(low))
+    for _ in range(low):
+        first = first * x
+    return first * out
+
+
+def _few_goals(lh: Column, la: Column, m: int) -> list[Column]:
+    """Home, draw and away sums over 0..m goals per side as polynomials of the rates."""
+    scale = F.exp(-lh - la)
+    square = F.lit(1.0)
+    for k in range(m, 0, -1):
+        square = F.lit(1.0) + lh * la / (k * k) * square
+
+    def wins(x: Column, y: Column) -> Column:
+        out = F.lit(0.0)
+        for j in range(m - 1, -1, -1):  # the other side scores j
+            out = _series(x, j + 1, m) + (y / (j + 1) * out if j < m - 1 else F.lit(0.0))
+        return scale * out
+
+    return [wins(lh, la), scale * square, wins(la, lh)]
+
+
+def _log_pmf(rate: Column, k: Column) -> Column:
+    return k * F.log(rate) - rate - log_factorial(k)
+
 
-    One pass over the goal counts carries both running tails, so the cost is linear in the number of
-    terms. A rate above ``max_goals`` widens the range to five deviations above it. Rates beyond ``MAX_RATE``
-    have no probabilities in double precision and give NULL.
+def _many_goals(lh: Column, la: Column, m: Column) -> Column:
+    """Struct (h, d, a) of the sums over 0..m goals, over the counts that either side can reach at all.
+
+    Every term comes from its own logarithm, so none depends on exp(-rate). Counts further from a rate than twelve
+    deviations and 30 goals hold less than 1e-30 of its mass.
     """
-    lh, la = home_rate, away_rate
-    widest = F.greatest(lh, la)
-    terms = F.when(widest > max_goals, F.greatest(F.lit(max_goals), F.ceil(widest + 5 * F.sqrt(widest)))).otherwise(F.lit(max_goals))
-    h0, a0 = F.exp(-lh), F.exp(-la)
+    low, high = [], []
+    for rate in (lh, la):
+        reach = 12 * F.sqrt(rate) + 30
+        low.append(F.greatest(F.lit(0.0), F.floor(rate - reach)))
+        high.append(F.least(m.cast("double"), F.ceil(rate + reach)))
     zero = F.lit(0.0)
-    start = F.struct(
-        zero.alias("h"), (h0 * a0).alias("d"), zero.alias("a"), h0.alias("ch"), a0.alias("ca"), h0.alias("ph"), a0.alias("pa")
-    )
+    start = F.struct(*[zero.alias(n) for n in ("h", "d", "a", "ch", "ca")])
 
     def step(s: Column, k: Column) -> Column:
-        # P(k) = P(k - 1) * rate / k
-        ph, pa = s["ph"] * lh / k, s["pa"] * la / k
+        ph, pa = F.exp(_log_pmf(lh, k)), F.exp(_log_pmf(la, k))
         return F.struct(
-            (s["h"] + ph * s["ca"]).alias("h"),
-            (s["d"] + ph * pa).alias("d"),
-            (s["a"] + pa * s["ch"]).alias("a"),
-            (s["ch"] + ph).alias("ch"),
-            (s["ca"] + pa).alias("ca"),
-            ph.alias("ph"),
-            pa.alias("pa"),
+            (s["h"] + ph * s["ca"]).alias("h"), (s["d"] + ph * pa).alias("d"), (s["a"] + pa * s["ch"]).alias("a"), (s["ch"] + ph).alias("ch"), (s["ca"] + pa).alias("ca")
         )
 
-    def finish(s: Column) -> Column:
+    counts = F.sequence(F.least(*low).cast("int"), F.greatest(*high).cast("int"))
+    sums = F.aggregate(counts, start, step, lambda s: F.struct(s["h"].alias("h"), s["d"].alias("d"), s["a"].alias("a")))
+    sure = lambda home: F.struct(F.lit(float(home)).alias("h"), zero.alias("d"), F.lit(float(not home)).alias("a"))
+    fits = (lh <= MAX_RATE) & (la <= MAX_RATE)
+    return F.when(low[0] > high[1], sure(True)).when(low[1] > high[0], sure(False)).when(fits, sums)
+
+
+def outcome_from_rates(home_rate: Column, away_rate: Column, max_goals: int = 10, label: Column | None = None) -> Column:
+    """Struct (home, draw, away) from two independent Poisson rates, or one class's probability.
+
+    Rates up to ``max_goals`` are summed over 0..max_goals, written out as polynomials. A larger rate widens the range
+    to five deviations above it and is summed around the rates. What the range leaves out is divided away. Rates that
+    are not positive and finite give NULL, as do two rates above 1e8 that lie close to each other.
+    """
+    widest = F.greatest(home_rate, away_rate)
+    few = F.lit(False)
+    short = F.struct(*[F.lit(0.0).alias(n) for n in "hda"])
+    if max_goals <= UNROLLED:
+        few = widest <= max_goals
+        short = F.struct(*[c.alias(n) for c, n in zip(_few_goals(home_rate, away_rate, max_goals), "hda", strict=True)])
+    terms = F.when(widest > max_goals, F.greatest(F.lit(float(max_goals)), F.ceil(widest + 5 * F.sqrt(widest)).cast("double"))).otherwise(F.lit(float(max_goals)))
+    sums = F.when(few, short).otherwise(_many_goals(home_rate, away_rate, terms))
+
+    def scaled(s: Column) -> Column:
         total = s["h"] + s["d"] + s["a"]
         scale = F.when(F.abs(total - 1.0) <= 1e-9, F.lit(1.0)).otherwise(total)
-        away = s["a"] / scale
         if label is not None:
-            return pick3(label, s["h"] / scale, s["d"] / scale, away)
-        return F.struct((s["h"] / scale).alias("home"), (s["d"] / scale).alias("draw"), away.alias("away"))
+            return pick3(label, s["h"] / scale, s["d"] / scale, s["a"] / scale)
+        parts = F.struct((s["h"] / scale).alias("home"), (s["d"] / scale).alias("draw"), (s["a"] / scale).alias("away"))
+        return F.when(s.isNotNull(), parts)
 
-    valid = _usable(home_rate, away_rate) & (home_rate <= MAX_RATE) & (away_rate <= MAX_RATE)
-    folded = F.aggregate(F.sequence(F.lit(1), terms.cast("int")), start, step, finish)
-    return F.when(valid, folded)
+    # one evaluation of the sums, whatever reads them
+    return F.when(_usable(home_rate, away_rate), F.transform(F.array(sums), scaled)[0])
 
 
 def over_under_25(home_rate: Column, away_rate: Column) -> Column:

@@ -179,6 +179,27 @@ def team_states(
     return out
 
 
+# --- the part of a history that targets can read -------------------------------------------
+
+LISTED = 200
+
+
+def in_leagues(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows of the targets' league seasons. A short list of leagues is also a filter that reaches the scan."""
+    leagues = targets.select(*N.LEAGUE).distinct()
+    listed = leagues.limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:
+        for c in N.LEAGUE:
+            rows = rows.where(F.col(c).isin(sorted({r[c] for r in listed if r[c] is not None})))
+    return rows.join(leagues, N.LEAGUE, "left_semi")
+
+
+def of_pairs(played: DataFrame, targets: DataFrame) -> DataFrame:
+    """The matches of the pairs of teams that meet in a target."""
+    keys = ["pair_lo", "pair_hi"]
+    return pair_key(played).join(pair_key(targets).select(*keys).distinct(), keys, "left_semi").drop(*keys)
+
+
 # --- assembly -------------------------------------------------------------------------------
 
 
@@ -194,9 +215,13 @@ def _side(states: DataFrame, side: str, families: list[str]) -> DataFrame:
 
 
 def with_families(
-    targets: DataFrame, played: DataFrame, team_stats: DataFrame | None = None, families: tuple[str, ...] = FAMILIES
+    targets: DataFrame,
+    played: DataFrame,
+    team_stats: DataFrame | None = None,
+    families: tuple[str, ...] = FAMILIES,
+    meetings_of: DataFrame | None = None,
 ) -> DataFrame:
-    """``targets`` (match rows) plus the columns of the requested families."""
+    """``targets`` (match rows) plus the columns of the requested families; meetings may come from a history of their own."""
     team_families = [f for f in families if f in _FAMILY]
     out = targets.withColumn("_at", X.instant("kickoff"))
     if team_families:
@@ -216,7 +241,7 @@ def with_families(
                 }
             )
     if "h2h" in families:
-        out = _with_h2h(out, targets, played)
+        out = _with_h2h(out, targets, played if meetings_of is None else meetings_of)
     return out.drop("_at")
 
 
@@ -285,10 +310,10 @@ def _short(name: str, n: int, what: str) -> Column:
 
 
 def build_examples(
-    targets: DataFrame, played: DataFrame, team_stats: DataFrame, with_report: bool = False
+    targets: DataFrame, played: DataFrame, team_stats: DataFrame, with_report: bool = False, meetings_of: DataFrame | None = None
 ) -> DataFrame:
     """One row per target: identity, 66 features, 5 outcome targets."""
-    rows = with_families(targets, played, team_stats).withColumns(target_columns())
+    rows = with_families(targets, played, team_stats, meetings_of=meetings_of).withColumns(target_columns())
     cols = [F.col(c) for c in N.IDENTITY]
     cols += [F.col(c).cast("double" if c in N.DOUBLE_FEATURES else "long").alias(c) for c in N.FEATURES]
     cols += [F.col(c).cast("int").alias(c) for c in N.TARGETS]

@@ -12,6 +12,8 @@ from touchline.functions import scalars as X
 from touchline.functions.names import LEAGUE, TEAM
 from touchline.operators import history as H
 
+BLOCK_ROWS = 5_000
+HOUR_MICROS = 3_600_000_000
 _TOTALS = ["played", "points", "goals_for", "goals_against"]
 
 
@@ -79,7 +81,22 @@ def _rank_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def positions(played: DataFrame, wanted: DataFrame) -> DataFrame:
+def row_blocks(rows: DataFrame, size: int = BLOCK_ROWS) -> DataFrame:
+    """The rows with ``_block``: numbers from 0 per league season, each of about ``size`` rows in time order.
+
+    Rows are counted per league season and hour; the running count over the hours gives the block of an hour, so no
+    window spans rows and a crowded stretch of time is cut into several blocks.
+    """
+    hour = F.floor(F.col("at") / F.lit(HOUR_MICROS))
+    dated = rows.withColumn("_hour", hour)
+    per = dated.groupBy(*LEAGUE, "_hour").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*LEAGUE).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    rough = per.select(*LEAGUE, "_hour", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(size)).alias("_rough"))
+    dense = F.dense_rank().over(Window.partitionBy(*LEAGUE).orderBy("_rough")) - 1
+    return dated.join(rough.select(*LEAGUE, "_hour", dense.alias("_block")), [*LEAGUE, "_hour"]).drop("_hour")
+
+
+def positions(played: DataFrame, wanted: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Position, points and goal difference of each probed team strictly before its instant.
 
     Points and goals are summed per (team, instant) first. Every block of a league season then starts
@@ -87,12 +104,14 @@ def positions(played: DataFrame, wanted: DataFrame) -> DataFrame:
     Probes of teams without an earlier match get no row.
     """
     long = H.team_matches(played).withColumn("played", F.lit(1).cast("long"))
-    totals = H.instant_totals(long, TEAM, _TOTALS).withColumn("_block", H.block_of(F.col("at")))
-    asked = wanted.withColumn("_block", H.block_of(F.col("at")))
+    shape = [*[F.col(c).cast("long").alias(c) for c in TEAM], "at"]
+    zeros = [F.lit(0).cast("long").alias(m) for m in _TOTALS]
+    results = H.instant_totals(long, TEAM, _TOTALS).select(*shape, *_TOTALS, F.lit(False).alias("probe"))
+    rows = row_blocks(results.unionByName(wanted.select(*shape, *zeros, F.lit(True).alias("probe"))), block_rows)
 
-    per_block = totals.groupBy(*TEAM, "_block").agg(*[F.sum(m).alias(m) for m in _TOTALS])
+    per_block = rows.where(~F.col("probe")).groupBy(*TEAM, "_block").agg(*[F.sum(m).alias(m) for m in _TOTALS])
     upto = Window.partitionBy(*TEAM).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = asked.groupBy(*LEAGUE).agg(F.max("_block").alias("_end"))
+    ends = rows.groupBy(*LEAGUE).agg(F.max("_block").alias("_end"))
     following = F.lead("_block").over(Window.partitionBy(*TEAM).orderBy("_block"))
     closing = per_block.select(
         *TEAM, "_block", *[F.sum(m).over(upto).alias(m) for m in _TOTALS], following.alias("_next")
@@ -101,15 +120,8 @@ def positions(played: DataFrame, wanted: DataFrame) -> DataFrame:
     carried = (
         closing.where(until > F.col("_block"))
         .withColumn("_block", F.explode(F.sequence(F.col("_block") + 1, until)))
-        .withColumn("at", F.lit(H.BEFORE_ALL).cast("long"))
-    )
-    shape = [*TEAM, "at", "_block", *_TOTALS]
-    zeros = [F.lit(0).cast("long").alias(m) for m in _TOTALS]
-    rows = (
-        totals.select(*shape)
-        .unionByName(carried.select(*shape))
-        .withColumn("probe", F.lit(False))
-        .unionByName(asked.select(*TEAM, "at", "_block", *zeros, F.lit(True).alias("probe")))
-        .select(*[F.col(c).cast("long") for c in TEAM], "at", "_block", "probe", *_TOTALS)
+        .withColumns({"at": F.lit(H.BEFORE_ALL).cast("long"), "probe": F.lit(False)})
     )
-    return rows.groupBy(*LEAGUE, "_block").applyInPandas(_rank_block, _POSITION)
+    columns = [*TEAM, "at", "_block", "probe", *_TOTALS]
+    walked = rows.select(*columns).unionByName(carried.select(*columns))
+    return walked.groupBy(*LEAGUE, "_block").applyInPandas(_rank_block, _POSITION)

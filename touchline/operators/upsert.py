@@ -5,6 +5,7 @@ A write goes to a new path and readers move over afterwards; no table format wit
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +16,11 @@ from touchline.session import materialise
 Policy = str | Callable[[Column, Column], Column]
 
 
-def combined(updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str) -> DataFrame:
+def combined(updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per key that has the effect of all its updates one after the other in ``order``.
 
     The first update fixes kept columns, the last value wins for overwritten ones and the last value that
-    is not NULL for filled ones. Partial aggregates run before the shuffle.
+    is not NULL for filled ones. Partial aggregates run before the shuffle. ``extra`` adds further aggregates.
     """
     at = F.col(order)
 
@@ -30,17 +31,26 @@ def combined(updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy],
         return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at) if rule == "fill" else at)
 
     rest = [c for c in updates.columns if c not in keys]
-    return updates.groupBy(*keys).agg(*[(F.max(at) if c == order else value(c)).alias(c) for c in rest])
+    more = [c.alias(name) for name, c in (extra or {}).items()]
+    return updates.groupBy(*keys).agg(*[(F.max(at) if c == order else value(c)).alias(c) for c in rest], *more)
 
 
-def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str) -> DataFrame:
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """The rows as a table at ``path`` in sorted buckets of their key. A merge or join on the key moves only the other side."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """Insert unknown keys and update known ones column by column.
 
     ``policy`` maps a column to ``"overwrite"``, ``"keep"`` (fixed at insert), ``"fill"`` (new value unless
     NULL) or a function of (old, new). A column without an entry is kept. ``order`` names the column that
-    puts several updates of one key in sequence. The result carries ``_outcome``: inserted, updated or untouched.
+    puts several updates of one key in sequence. The result carries ``_outcome``: inserted, updated or untouched, and
+    ``extra``, aggregates over all updates of a key. A target in buckets of its key (``bucketed``) is not shuffled.
     """
-    new = combined(updates, keys, policy, order)
+    new = combined(updates, keys, policy, order, extra)
     t, u = target.alias("t"), new.alias("u")
     on = [F.col(f"t.{k}") == F.col(f"u.{k}") for k in keys]
     joined = t.withColumn("_t", F.lit(True)).alias("t").join(u.withColumn("_u", F.lit(True)).alias("u"), on, "full")
@@ -59,7 +69,7 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], pol
         changed = {"overwrite": val, "keep": old, "fill": F.coalesce(val, old)}[rule] if isinstance(rule, str) else rule(old, val)
         cols.append(F.when(known & given, changed).when(known, old).otherwise(val).alias(c))
     outcome = F.when(known & given, "updated").when(known, "untouched").otherwise("inserted")
-    return joined.select(*cols, outcome.alias("_outcome"))
+    return joined.select(*cols, outcome.alias("_outcome"), *[F.col(f"u.{name}") for name in extra or {}])
 
 
 def all_columns(df: DataFrame, keys: Sequence[str], rule: Policy = "overwrite") -> dict[str, Policy]:
@@ -85,13 +95,16 @@ def upsert_matches(target: DataFrame, updates: DataFrame, now: str, order: str =
     never change. Later updates still overwrite the other columns, the status among them.
     """
     stamp = F.lit(now).cast("timestamp")
+    told = ("home_goals", "away_goals")
+    given = updates.withColumns({f"_{c}": F.col(c) for c in told} | {c: F.lit(None).cast("long") for c in told})
+    blank = given.withColumns({"synced_at": stamp, "finished_at": F.lit(None).cast("timestamp")})
     finished = F.when(F.col("status") == "finished", F.col(order))
-    reported = updates.groupBy("external_id").agg(F.min_by(F.struct("home_goals", "away_goals"), finished).alias("_r"), F.min(finished).isNotNull().alias("_fin"))
-    reported = reported.select("external_id", F.col("_r.home_goals").alias("_h"), F.col("_r.away_goals").alias("_a"), "_fin")
-    blank = updates.withColumn("synced_at", stamp).withColumns({c: F.lit(None).cast("long") for c in ("home_goals", "away_goals")})
-    blank = blank.withColumn("finished_at", F.lit(None).cast("timestamp"))
-    merged = merge_upsert(target, blank, ["external_id"], MATCH_POLICY, order)
-    j = merged.join(reported, "external_id", "left")
+    extra = {
+        "_h": F.min_by(F.col("_home_goals"), finished),
+        "_a": F.min_by(F.col("_away_goals"), finished),
+        "_fin": F.min(finished).isNotNull(),
+    }
+    j = merge_upsert(target, blank, ["external_id"], MATCH_POLICY, order, extra)
     marks = F.coalesce(F.col("_fin"), F.lit(False)) & (F.col("home_goals").isNull() | F.col("away_goals").isNull())
     zero = F.lit(0).cast("long")
     return j.withColumns(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from touchline.functions import names as N
 from touchline.functions import scalars as X
 from touchline.operators import metrics as Mx
+from touchline.plans import boosting as B
 from touchline.plans import calibration as Cal
 from touchline.plans import folds as Fo
 from touchline.plans import models as Mo
@@ -20,46 +22,56 @@ from touchline.sources import runs as R
 _KEEP = ["fixture_id", "kickoff", "home_goals", "away_goals", *Mx.P]
 
 
-def fold_rows(rows: DataFrame, fold: dict, block: str) -> DataFrame:
-    """Rows of one block, by its kickoff interval; the filter reaches the scan."""
-    k = F.col("kickoff")
-    return rows.where((k >= F.timestamp_micros(F.lit(fold[f"{block}_start"]))) & (k <= F.timestamp_micros(F.lit(fold[f"{block}_end"]))))
-
-
-def _scored(model, rows: DataFrame, fold_id: int, block: str) -> DataFrame:
-    out = model.transform(rows)
-    rates = [F.col(f"expected_{s}_goals") if f"expected_{s}_goals" in out.columns else F.lit(None).cast("double").alias(f"expected_{s}_goals") for s in N.SIDES]
-    return out.select(
-        F.lit(fold_id).cast("long").alias("fold_id"),
-        F.lit(block).alias("block"),
-        *_KEEP,
-        *rates,
-        X.target_label(*[F.col(c) for c in N.TARGETS]).alias("label"),
-    )
-
-
-def forecast_folds(rows: DataFrame, folds: list[dict], name: str, base_seed: int = 42, **hyper) -> DataFrame:
-    """Raw forecasts of every fold's validation and test block, written once.
-
-    Fits are a loop over folds because each fold is its own model; every fit and every forecast is a
-    distributed job.
-    """
-    parts = None
-    for f in folds:
-        train, val, test = (fold_rows(rows, f, b) for b in ("train", "val", "test"))
-        model = Mo.trainer(name, **hyper).fit(train, val, _seed(base_seed, f["fold_id"]))
-        both = _scored(model, val, f["fold_id"], "val").unionByName(_scored(model, test, f["fold_id"], "test"))
-        both = materialise(both, f"forecast-{name}-{f['fold_id']}")
-        parts = both if parts is None else parts.unionByName(both)
-    if parts is None:
+def _blocks(folds: list[dict]) -> dict[int, list[tuple[str, int, int]]]:
+    """Kickoff intervals of the validation and test block of every fold."""
+    return {f["fold_id"]: [(b, f[f"{b}_start"], f[f"{b}_end"]) for b in ("val", "test")] for f in folds}
+
+
+def boosted_forecasts(rows: DataFrame, folds: list[dict], trials: Sequence[dict], name: str) -> DataFrame:
+    """Raw forecasts of every (trial, fold) of a booster; all are fitted in the same passes."""
+    fits = [B.Group((t, f["fold_id"]), B.growth_of(Mo.BOOSTING[name], hyper), f["train_start"], f["train_end"]) for t, hyper in enumerate(trials) for f in folds]
+    models = B.fit(rows, fits)
+    blocks = _blocks(folds)
+    known = rows.withColumn("label", X.target_label(*[F.col(c) for c in N.TARGETS]))
+    keep = ["fixture_id", "kickoff", "home_goals", "away_goals", "label"]
+    out = B.forecast(known, models, {"trial": "long", "fold_id": "long"}, keep, {key: blocks[key[1]] for key in models})
+    none = [F.lit(None).cast("double").alias(f"expected_{s}_goals") for s in N.SIDES]
+    return out.select("trial", "fold_id", "block", *_KEEP, *none, "label")
+
+
+def poisson_forecasts(rows: DataFrame, folds: list[dict], **hyper) -> DataFrame:
+    """Raw forecasts of the Poisson regressions of all folds: one set of Newton passes, then one pass over the rows."""
+    models = Mo.PoissonTrainer(**hyper).fit_folds(rows, {f["fold_id"]: (f["train_start"], f["train_end"]) for f in folds})
+    lines = []
+    for f, m in models.items():
+        weights = [[m.heads[s].intercept, *m.heads[s].coefficients.tolist()] for s in N.SIDES]
+        lines.append((f, *weights, *[[m.heads[s].means[c] for c in N.HEAD[s]] for s in N.SIDES]))
+    table = rows.sparkSession.createDataFrame(lines, "fold_id long, w_home array<double>, w_away array<double>, m_home array<double>, m_away array<double>")
+    member = Fo.membership(rows, Fo.fold_table(rows.sparkSession, folds), ("val", "test")).join(table, "fold_id")
+    rates = []
+    for s in N.SIDES:
+        eta = F.col(f"w_{s}")[0]
+        for i, c in enumerate(N.HEAD[s]):
+            eta = eta + F.col(f"w_{s}")[i + 1] * F.coalesce(F.col(c).cast("float").cast("double"), F.col(f"m_{s}")[i])
+        rates.append(Mo.usable_rate(F.exp(eta)))
+    scored = Mo.with_rates(member, *rates, next(iter(models.values())).max_goals)
+    label = X.target_label(*[F.col(c) for c in N.TARGETS]).alias("label")
+    return scored.select("fold_id", "block", *_KEEP, "expected_home_goals", "expected_away_goals", label)
+
+
+def forecast_folds(rows: DataFrame, folds: list[dict], name: str, **hyper) -> DataFrame:
+    """Raw forecasts of every fold's validation and test block, written once; all folds are fitted together."""
+    if not folds:
         raise ValueError("the data are too short for one fold")
-    return parts
-
-
-def _seed(base: int, fold: int) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.sha256(f"{base}:{fold}".encode()).digest()[:4], "big")
+    if name == "elo_baseline":
+        made = elo_forecast_folds(rows, folds, **hyper)
+    elif name == "poisson":
+        made = poisson_forecasts(rows, folds, **hyper)
+    elif name in Mo.BOOSTING:
+        made = boosted_forecasts(rows, folds, [hyper], name).drop("trial")
+    else:
+        raise ValueError(f"unknown model {name!r}; known: {sorted(Mo.TRAINERS)}")
+    return materialise(made, f"forecast-{name}")
 
 
 def elo_forecast_folds(rows: DataFrame, folds: list[dict], max_goals: int = 10) -> DataFrame:
@@ -108,9 +120,8 @@ def run_backtest(
     rows: DataFrame, params: Fo.FoldParams, name: str, version: str, dataset_version: str, seed: int = 42, store: R.RunStore | None = None, **hyper
 ) -> dict:
     """One model over all folds: forecasts, calibrators, fold reports, optionally stored."""
-    rows = rows.cache()
     folds = Fo.walk_forward(rows, params)
-    raw = forecast_folds(rows, folds, name, seed, **hyper) if name != "elo_baseline" else materialise(elo_forecast_folds(rows, folds), "elo-forecast")
+    raw = forecast_folds(rows, folds, name, **hyper)
     test, calibrators = calibrate(raw)
     reports = fold_reports(test)
     rid = R.run_id(dataset_version, params.config(), name, version, seed)
@@ -162,17 +173,21 @@ def candidates(trials: int, seed: int = 42, space: dict | None = None) -> list[d
 
 
 def search(rows: DataFrame, params: Fo.FoldParams, name: str, trials: Sequence[dict], metric: str = "weighted_log_loss") -> DataFrame:
-    """Score of every candidate on the same folds, best first."""
+    """Score of every candidate on the same folds, best first. Candidates of a booster share their passes with all folds."""
     folds = Fo.walk_forward(rows, params)
-    scores = None
-    for i, hyper in enumerate(trials):
-        test, _ = calibrate(forecast_folds(rows, folds, name, **hyper))
-        s = Mx.fold_metric(Mx.summary(test, ["fold_id"]), [], metric).select(
-            F.lit(i).alias("trial"), F.lit(json.dumps(hyper, sort_keys=True)).alias("hyperparameters"), metric
-        )
-        scores = s if scores is None else scores.unionByName(s)
+    if not folds:
+        raise ValueError("the data are too short for one fold")
+    if name in Mo.BOOSTING:
+        raw = materialise(boosted_forecasts(rows, folds, trials, name), f"search-{name}")
+    else:
+        parts = [forecast_folds(rows, folds, name, **hyper).select(F.lit(t).cast("long").alias("trial"), "*") for t, hyper in enumerate(trials)]
+        raw = reduce(DataFrame.unionByName, parts)
+    by = ["trial", "fold_id"]
+    test, _ = calibrate(raw, by)
+    scores = Mx.fold_metric(Mx.summary(test, by), ["trial"], metric)
+    names = rows.sparkSession.createDataFrame([(t, json.dumps(h, sort_keys=True)) for t, h in enumerate(trials)], "trial long, hyperparameters string")
     best_first = F.desc(metric) if "accuracy" in metric else F.asc(metric)
-    return scores.orderBy(best_first, "trial")
+    return scores.join(F.broadcast(names), "trial").select("trial", "hyperparameters", metric).orderBy(best_first, "trial")
 
 
 def train_final(rows: DataFrame, name: str, version: str, dataset_version: str, registry: R.ModelRegistry, now: str, seed: int = 42, **hyper):

@@ -1,20 +1,25 @@
 """Calibrators fitted per group on validation rows, all groups together.
 
-Each Newton step is one grouped aggregation that returns loss, gradient and curvature sums per
-group; only those sums reach the driver. Every calibrator ends as one affine map of log-probabilities
-followed by a softmax, so applying them is one column expression over a small parameter table.
+The state of every group's fit is a row of a table. Each Newton step is one grouped aggregation of the rows joined to
+that table, and an update of its rows; the table is written after each step, and only whether any group is still open
+reaches the driver. So the number of groups is free. Every calibrator ends as one affine map of log-probabilities
+followed by a softmax, so applying them is one column expression over the parameter table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from touchline.functions import scalars as X
 from touchline.operators import metrics as Mx
+from touchline.session import materialise
 
 T_MIN, T_MAX = 0.1, 10.0
 L2 = 0.1
@@ -42,123 +47,120 @@ def choose(val: DataFrame, by: Sequence[str]) -> DataFrame:
     return s.withColumn("kind", kind)
 
 
-def _with_params(rows: DataFrame, by: Sequence[str], params: dict[tuple, list[float]], names: list[str]) -> DataFrame:
-    """Join the current parameters of each group; one row per group, so the table is broadcast."""
-    schema = ", ".join([f"{b} {rows.schema[b].dataType.simpleString()}" for b in by] + [f"{n} double" for n in names])
-    table = rows.sparkSession.createDataFrame([(*key, *map(float, v)) for key, v in params.items()], schema)
-    return rows.join(F.broadcast(table), list(by))
+def _groups(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.select(*by).distinct()
 
 
-def fit_temperature(val: DataFrame, by: Sequence[str], groups: Sequence[tuple], steps: int = 30, report: dict | None = None) -> dict[tuple, float]:
-    """Temperature per group: Newton on the inverse temperature, in which the loss is convex.
+def fit_temperature(val: DataFrame, by: Sequence[str], steps: int = 60) -> DataFrame:
+    """Temperature per group: Newton on the inverse temperature u, in which the loss is convex, inside a shrinking bracket.
 
-    ``report`` receives (converged, size of the gradient) per group.
+    Returns the group with ``temperature``, ``converged`` and ``gradient`` (size of the slope at the last point).
     """
     rows = _logs(val)
-    inverse = {g: 1.0 for g in groups}
-    low, high = {g: 1.0 / T_MAX for g in groups}, {g: 1.0 / T_MIN for g in groups}
-    open_groups = set(groups)
+    low, high = 1.0 / T_MAX, 1.0 / T_MIN
+    start = {"_u": 1.0, "_low": low, "_high": high, "_size": float("inf")}
+    state = _groups(val, by).withColumns({c: F.lit(v) for c, v in start.items()} | {"_open": F.lit(True)})
+    state = materialise(state, "temperature")
     lp = [F.col(f"lp{i}") for i in range(3)]
+    u, g, below, above, ahead = (F.col(c) for c in ("_u", "_slope", "_low", "_high", "_next"))
     for _ in range(steps):
-        if not open_groups:
+        if state.where("_open").isEmpty():
             break
-        current = _with_params(rows, by, {g: [inverse[g]] for g in open_groups}, ["u"])
-        s = X.softmax3(*[F.col("u") * x for x in lp])
+        s = X.softmax3(*[u * x for x in lp])
         mean = s[0] * lp[0] + s[1] * lp[1] + s[2] * lp[2]
         square = s[0] * lp[0] * lp[0] + s[1] * lp[1] * lp[1] + s[2] * lp[2] * lp[2]
-        sums = current.groupBy(*by).agg(
-            F.avg(mean - X.pick3(F.col("label"), *lp)).alias("_slope"), F.avg(square - mean * mean).alias("_curve")
+        sums = rows.join(state.where("_open").select(*by, "_u"), list(by)).groupBy(*by)
+        sums = sums.agg(F.avg(mean - X.pick3(F.col("label"), *lp)).alias("_slope"), F.avg(square - mean * mean).alias("_curve"))
+        moved = state.join(sums, list(by), "left")
+        moved = moved.withColumns({"_low": F.when(g <= 0, u).otherwise(below), "_high": F.when(g > 0, u).otherwise(above)})
+        newton = F.when(F.col("_curve") > 1e-14, u - g / F.col("_curve")).when(g > 0, below).otherwise(above)
+        moved = moved.withColumn("_next", F.when(newton.between(below, above), newton).otherwise((below + above) / 2))
+        ends = (F.abs(ahead - u) < TOLERANCE) | (above - below < TOLERANCE)
+        # the search closes in on a bound without reaching it
+        near = [F.when(ends & (F.abs(ahead - edge) < 10 * TOLERANCE), F.lit(edge)) for edge in (low, high)]
+        moved = moved.select(
+            *by,
+            F.when(g.isNull(), u).otherwise(F.coalesce(*near, ahead)).alias("_u"),
+            "_low",
+            "_high",
+            F.coalesce(F.abs(g), F.col("_size")).alias("_size"),
+            (F.col("_open") & g.isNotNull() & ~ends).alias("_open"),
         )
-        for r in sums.collect():
-            key = tuple(r[b] for b in by)
-            u, g, h = inverse[key], r["_slope"], r["_curve"]
-            if g > 0:
-                high[key] = u
-            else:
-                low[key] = u
-            nxt = u - g / h if h > 1e-14 else (low[key] if g > 0 else high[key])
-            if not low[key] <= nxt <= high[key]:
-                nxt = (low[key] + high[key]) / 2
-            if abs(nxt - u) < TOLERANCE or high[key] - low[key] < TOLERANCE:
-                open_groups.discard(key)
-                # The search closes in on a bound without reaching it.
-                nxt = next((edge for edge in (1.0 / T_MAX, 1.0 / T_MIN) if abs(nxt - edge) < 10 * TOLERANCE), nxt)
-            inverse[key] = nxt
-            if report is not None:
-                report[key] = (key not in open_groups, abs(g))
-    return {g: min(max(1.0 / u, T_MIN), T_MAX) for g, u in inverse.items()}
-
-
-def fit_dirichlet(
-    val: DataFrame, by: Sequence[str], groups: Sequence[tuple], l2: float = L2, steps: int = 40, report: dict | None = None
-) -> dict[tuple, np.ndarray]:
+        state = materialise(moved, "temperature")
+    bounded = F.least(F.greatest(1.0 / u, F.lit(T_MIN)), F.lit(T_MAX))
+    return state.select(*by, bounded.alias("temperature"), (~F.col("_open")).alias("converged"), F.col("_size").alias("gradient"))
+
+
+_FIT = "_x array<double>, _try array<double>, _step array<double>, _loss double, _damp double, _gradient double, _open boolean"
+
+
+def fit_dirichlet(val: DataFrame, by: Sequence[str], l2: float = L2, steps: int = 40) -> DataFrame:
     """Twelve parameters per group (3x3 map and 3 offsets) by damped Newton steps.
 
-    Adding a constant to all offsets changes nothing, so the step uses a pseudo-inverse.
+    Adding a constant to all offsets changes nothing, so the step uses a pseudo-inverse. Returns the group with ``x`` (the
+    parameters in the order of ``PARAMS``), ``converged`` and ``gradient``.
     """
     rows = _logs(val)
-    start = np.concatenate([np.eye(3).ravel(), np.zeros(3)])
-    state = {g: {"x": start.copy(), "try": start.copy(), "loss": np.inf, "step": None, "damp": 1.0, "gradient": np.inf} for g in groups}
-    open_groups = set(groups)
+    begin = F.array(*[F.lit(float(v)) for v in np.concatenate([np.eye(3).ravel(), np.zeros(3)])])
+    none = F.array(*[F.lit(0.0)] * 12)
+    first = {"_x": begin, "_try": begin, "_step": none, "_loss": F.lit(float("inf")), "_damp": F.lit(1.0), "_gradient": F.lit(float("inf")), "_open": F.lit(True)}
+    state = materialise(_groups(val, by).withColumns(first), "dirichlet")
+    keys = ", ".join(f"{b} {val.schema[b].dataType.simpleString()}" for b in by)
+    z = [F.col("lp0"), F.col("lp1"), F.col("lp2"), F.lit(1.0)]
+    pairs = [(j, m, k, n) for j in range(3) for m in range(j, 3) for k in range(4) for n in range(k, 4)]
+
+    def update(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                out.append({c: r[c] for c in [*by, "_x", "_try", "_step", "_loss", "_damp", "_gradient", "_open"]} | (_newton_step(r, pairs, l2) if r["_open"] and r["_mean_loss"] is not None else {}))
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    shape = to_arrow_schema(state.schema)
     for _ in range(steps):
-        if not open_groups:
+        if state.where("_open").isEmpty():
             break
-        current = _with_params(rows, by, {g: list(state[g]["try"]) for g in open_groups}, PARAMS)
+        params = state.where("_open").select(*by, *[F.col("_try")[i].alias(p) for i, p in enumerate(PARAMS)])
         s = calibrated_columns()
-        z = [F.col("lp0"), F.col("lp1"), F.col("lp2"), F.lit(1.0)]
+        tried = rows.join(params, list(by)).withColumns({f"s{j}": s[j] for j in range(3)})
         y = [(F.col("label") == j).cast("double") for j in range(3)]
-        aggs: dict[str, Column] = {}
-        for j in range(3):
-            for k in range(4):
-                aggs[f"_g{j}{k}"] = F.avg((F.col(f"s{j}") - y[j]) * z[k])
-        for j in range(3):
-            for m in range(j, 3):
-                curve = F.col(f"s{j}") * ((1.0 if j == m else 0.0) - F.col(f"s{m}"))
-                for k in range(4):
-                    for n in range(k, 4):
-                        aggs[f"_h{j}{m}{k}{n}"] = F.avg(curve * z[k] * z[n])
-        with_s = current.withColumns({f"s{j}": s[j] for j in range(3)})
-        aggs["_loss"] = F.avg(-F.log(F.greatest(X.pick3(F.col("label"), *[F.col(f"s{j}") for j in range(3)]), F.lit(X.EPS))))
-        for r in with_s.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]).collect():
-            key = tuple(r[b] for b in by)
-            if _newton_step(state[key], r, l2):
-                open_groups.discard(key)
-            if report is not None:
-                report[key] = (key not in open_groups, state[key]["gradient"])
-    return {g: st["x"] for g, st in state.items()}
+        grads = [F.avg((F.col(f"s{j}") - y[j]) * z[k]) for j in range(3) for k in range(4)]
+        curve = {(j, m): F.col(f"s{j}") * ((1.0 if j == m else 0.0) - F.col(f"s{m}")) for j in range(3) for m in range(j, 3)}
+        curves = [F.avg(curve[j, m] * z[k] * z[n]) for j, m, k, n in pairs]
+        loss = F.avg(-F.log(F.greatest(X.pick3(F.col("label"), *[F.col(f"s{j}") for j in range(3)]), F.lit(X.EPS))))
+        named = [c.alias(f"_a{i}") for i, c in enumerate([*grads, *curves])]
+        sums = tried.groupBy(*by).agg(loss.alias("_mean_loss"), *named)
+        sums = sums.select(*by, "_mean_loss", F.array(*[f"_a{i}" for i in range(12)]).alias("_g"), F.array(*[f"_a{12 + i}" for i in range(len(pairs))]).alias("_h"))
+        state = materialise(state.join(sums, list(by), "left").mapInArrow(update, f"{keys}, {_FIT}"), "dirichlet")
+    return state.select(*by, F.col("_x").alias("x"), (~F.col("_open")).alias("converged"), F.col("_gradient").alias("gradient"))
 
 
 def _position(j: int, k: int) -> int:
     return j * 3 + k if k < 3 else 9 + j
 
 
-def _newton_step(st: dict, r, l2: float) -> bool:
-    """Accept or shorten the tried point, then set the next one; True when converged."""
-    x = st["try"]
+def _newton_step(r: dict, pairs: list[tuple[int, int, int, int]], l2: float) -> dict:
+    """Accept or shorten the tried point of one group, then set the next one."""
+    x = np.array(r["_try"])
     penalty = x[:9] - np.eye(3).ravel()
-    loss = r["_loss"] + l2 * float(penalty @ penalty)
-    if loss > st["loss"] + 1e-12 and st["damp"] > 1e-4:
-        st["damp"] /= 2
-        st["try"] = st["x"] - st["damp"] * st["step"]
-        return False
-    improved = st["loss"] - loss
-    st["x"], st["loss"], st["damp"] = x, loss, 1.0
+    loss = r["_mean_loss"] + l2 * float(penalty @ penalty)
+    if loss > r["_loss"] + 1e-12 and r["_damp"] > 1e-4:
+        damp = r["_damp"] / 2
+        return {"_damp": damp, "_try": (np.array(r["_x"]) - damp * np.array(r["_step"])).tolist()}
+    improved = r["_loss"] - loss
     grad, hess = np.zeros(12), np.zeros((12, 12))
     for j in range(3):
         for k in range(4):
-            grad[_position(j, k)] = r[f"_g{j}{k}"]
-    for j in range(3):
-        for m in range(3):
-            for k in range(4):
-                for n in range(4):
-                    lo, hi, a, b = min(j, m), max(j, m), min(k, n), max(k, n)
-                    hess[_position(j, k), _position(m, n)] = r[f"_h{lo}{hi}{a}{b}"]
+            grad[_position(j, k)] = r["_g"][4 * j + k]
+    for (j, m, k, n), v in zip(pairs, r["_h"], strict=True):
+        for a, b in ((_position(j, k), _position(m, n)), (_position(j, n), _position(m, k))):
+            hess[a, b] = hess[b, a] = v
     grad[:9] += 2 * l2 * penalty
     hess[:9, :9] += 2 * l2 * np.eye(9)
-    st["gradient"] = float(np.abs(grad).max())
-    st["step"] = np.linalg.pinv(hess, rcond=1e-12) @ grad
-    st["try"] = x - st["step"]
-    return np.abs(grad).max() < 1e-8 or (0 <= improved < 1e-13)
+    step = np.linalg.pinv(hess, rcond=1e-12) @ grad
+    size = float(np.abs(grad).max())
+    ends = size < 1e-8 or 0 <= improved < 1e-13
+    return {"_x": x.tolist(), "_loss": loss, "_damp": 1.0, "_gradient": size, "_step": step.tolist(), "_try": (x - step).tolist(), "_open": not ends}
 
 
 def calibrated_columns() -> list[Column]:
@@ -177,26 +179,34 @@ def fit(val: DataFrame, by: Sequence[str]) -> DataFrame:
 
     ``converged`` and ``gradient`` (largest component at the last accepted point) tell how each fit ended.
     """
-    spark = val.sparkSession
-    chosen = choose(val, by).collect()
-    keys = {k: [tuple(r[b] for b in by) for r in chosen if r["kind"] == k] for k in ("identity", "temperature", "dirichlet")}
-    report: dict[tuple, tuple[bool, float]] = {}
-    temps = fit_temperature(val, by, keys["temperature"], report=report) if keys["temperature"] else {}
-    dirs = fit_dirichlet(val, by, keys["dirichlet"], report=report) if keys["dirichlet"] else {}
-    out = []
-    for r in chosen:
-        key = tuple(r[b] for b in by)
-        t = temps.get(key, 1.0)
-        p = dirs.get(key, np.concatenate([(np.eye(3) / t).ravel(), np.zeros(3)]))
-        out.append((*key, r["kind"], float(r["val_ece"]), int(r["val_n"]), float(t), *map(float, p), *report.get(key, (True, 0.0))))
-    groups = ", ".join(f"{b} {val.schema[b].dataType.simpleString()}" for b in by)
-    schema = f"{groups}, kind string, val_ece double, val_n long, temperature double, " + ", ".join(f"{p} double" for p in PARAMS) + ", converged boolean, gradient double"
-    return spark.createDataFrame(out, schema)
+    by = list(by)
+    chosen = materialise(choose(val, by), "calibrators")
+    identity = np.concatenate([np.eye(3).ravel(), np.zeros(3)])
+    fitted = []
+    for kind in ("identity", "temperature", "dirichlet"):
+        mine = chosen.where(F.col("kind") == kind)
+        if mine.isEmpty():
+            continue
+        one, ends = F.lit(1.0).alias("temperature"), ["converged", "gradient"]
+        plain = F.array(*[F.lit(float(v)) for v in identity])
+        rows = val.join(mine.select(*by), by, "left_semi")
+        if kind == "identity":
+            fitted.append(mine.select(*by, "kind", "val_ece", "val_n", one, plain.alias("x"), F.lit(True).alias("converged"), F.lit(0.0).alias("gradient")))
+        elif kind == "temperature":
+            scaled = F.array(*[F.lit(float(v)) / F.col("temperature") for v in identity[:9]], *[F.lit(0.0)] * 3)
+            fitted.append(mine.join(fit_temperature(rows, by), by).select(*by, "kind", "val_ece", "val_n", "temperature", scaled.alias("x"), *ends))
+        else:
+            fitted.append(mine.join(fit_dirichlet(rows, by), by).select(*by, "kind", "val_ece", "val_n", one, "x", *ends))
+    if not fitted:
+        fitted.append(chosen.select(*by, "kind", "val_ece", "val_n", F.lit(1.0).alias("temperature"), F.array(*[F.lit(0.0)] * 12).alias("x"), F.lit(True).alias("converged"), F.lit(0.0).alias("gradient")))
+    params = reduce(DataFrame.unionByName, fitted)
+    flat = params.select(*by, "kind", "val_ece", F.col("val_n").cast("long").alias("val_n"), "temperature", *[F.col("x")[i].alias(p) for i, p in enumerate(PARAMS)], "converged", "gradient")
+    return materialise(flat, "calibrators")
 
 
 def apply(rows: DataFrame, params: DataFrame, by: Sequence[str]) -> DataFrame:
     """Replace the three probabilities by calibrated ones; identity leaves them as they are."""
-    joined = _logs(rows.join(F.broadcast(params.select(*by, "kind", *PARAMS)), list(by)))
+    joined = _logs(rows.join(params.select(*by, "kind", *PARAMS), list(by)))
     s = calibrated_columns()
     new = {c: F.when(F.col("kind") == "identity", F.col(c)).otherwise(s[i]) for i, c in enumerate(Mx.P)}
     return joined.withColumns(new).drop("lp0", "lp1", "lp2", *PARAMS)

@@ -36,7 +36,7 @@ def build_window(
     end: str | None,
     cutoff: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """(target matches, history they may use): both strictly before the cutoff."""
+    """(target matches, all matches they may use): both strictly before the cutoff."""
     if not competitions or not seasons:
         raise ValueError("competitions and seasons must both be given")
     k = F.col("kickoff")
@@ -60,15 +60,16 @@ def dataset_rows(
 ) -> DataFrame:
     """Examples of one build.
 
-    Team features read the target leagues only. Meetings of a pair come from every league and season,
-    and from finished matches whatever the cutoff, each strictly before its own kickoff.
+    Team features and statistics read the requested leagues and seasons only, by filters that reach the scan. Meetings
+    come from every league and season, of the pairs that a target asks for, strictly before the cutoff and their kickoff.
     """
     spark = matches.sparkSession
     require_utc(spark)
     targets, before = build_window(matches, competitions, seasons, start, end, resolve_cutoff(cutoff, end))
     require_keys(spark.createDataFrame([(c,) for c in competitions], "competition_id long"), matches, "competition_id")
     require_keys(spark.createDataFrame([(s,) for s in seasons], "season_id long"), matches, "season_id")
-    return Fe.build_examples(targets, before, team_stats)
+    asked = F.col("competition_id").isin(list(competitions)) & F.col("season_id").isin(list(seasons))
+    return Fe.build_examples(targets, before.where(asked), team_stats.where(asked), meetings_of=Fe.of_pairs(before, targets))
 
 
 def build_dataset(

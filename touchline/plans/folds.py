@@ -175,28 +175,58 @@ def fold_table(spark, folds: list[dict]) -> DataFrame:
     )
 
 
-def block_name() -> Column:
-    k = F.col("kickoff")
-    out = None
-    for name in ("train", "val", "test"):
-        cond = k.between(F.col(f"{name}_start"), F.col(f"{name}_end"))
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out
+def cells(bounds: DataFrame, blocks: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """The time line cut at every block's begin and end: (cell, lo, hi, block, first_fold, last_fold).
+
+    Cells do not overlap. A cell that lies in the train block of many folds has one row with the range of these folds,
+    not one per fold. The bounds are one row per fold and come from the driver's walk.
+    """
+    micros = [F.unix_micros(f"{b}_{e}").alias(f"{b}_{e}") for b in blocks for e in ("start", "end")]
+    folds = sorted(bounds.select("fold_id", *micros).collect(), key=lambda r: r["fold_id"])
+    cuts = sorted({r[f"{b}_start"] for r in folds for b in blocks} | {r[f"{b}_end"] + 1 for r in folds for b in blocks})
+    out = []
+    for cell, (lo, nxt) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        for b in blocks:
+            ids = [r["fold_id"] for r in folds if r[f"{b}_start"] <= lo and nxt - 1 <= r[f"{b}_end"]]
+            while ids:
+                last = next((x for x, y in zip(ids, ids[1:], strict=False) if y != x + 1), ids[-1])
+                out.append((cell, lo, nxt - 1, b, ids[0], last))
+                ids = [i for i in ids if i > last]
+    return bounds.sparkSession.createDataFrame(out, "cell long, lo long, hi long, block string, first_fold long, last_fold long")
+
+
+def with_cell(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """The rows with the ``cell`` that holds their kickoff, by day and bounds; rows in no cell are left out.
+
+    Cells are disjoint, so their days are as many as the calendar has, plus two per cell, whatever the number of folds.
+    """
+    one = cut.select("cell", "lo", "hi").distinct()
+    first, last = (F.floor(F.col(c) / F.lit(X.DAY_MICROS)) for c in ("lo", "hi"))
+    dated = one.withColumn("_day", F.explode(F.sequence(first, last)))
+    at = X.instant("kickoff")
+    placed = rows.withColumns({"_at": at, "_day": F.floor(at / F.lit(X.DAY_MICROS))}).join(dated, "_day")
+    return placed.where(F.col("_at").between(F.col("lo"), F.col("hi"))).drop("_day", "_at", "lo", "hi")
 
 
 def membership(rows: DataFrame, bounds: DataFrame, blocks: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
     """Rows joined to every fold block that holds their kickoff.
 
-    Block intervals are cut at the days they cover, so the interval join is an equality join on the day. In
-    expanding mode a row is in the train block of every later fold; ``train_sums`` needs no such copies.
+    With "train" the result itself repeats a row for every fold that trains on it; ``train_sums`` and ``block_overlaps``
+    work on cells and repeat nothing.
     """
-    cols = [f"{b}_{e}" for b in blocks for e in ("start", "end")]
-    k = F.col("kickoff")
-    spans = F.array(*[F.struct(F.lit(b).alias("block"), F.col(f"{b}_start").alias("lo"), F.col(f"{b}_end").alias("hi")) for b in blocks])
-    parts = bounds.select("fold_id", *cols).select("fold_id", F.explode(spans).alias("s")).select("fold_id", "s.*")
-    days = F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("interval 1 day"))
-    dated = parts.withColumn("_day", F.explode(days))
-    return rows.withColumn("_day", F.to_date(k)).join(dated, "_day").where(k.between(F.col("lo"), F.col("hi"))).drop("_day", "lo", "hi")
+    cut = cells(bounds, blocks)
+    ranges = cut.select("cell", "block", "first_fold", "last_fold")
+    placed = with_cell(rows, cut).join(ranges, "cell")
+    return placed.withColumn("fold_id", F.explode(F.sequence("first_fold", "last_fold"))).drop("cell", "first_fold", "last_fold")
+
+
+def block_overlaps(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Per fold the rows that lie in more than one of its blocks, from row counts per cell and the blocks' bounds."""
+    cut = cells(bounds)
+    sizes = with_cell(rows.select("kickoff"), cut).groupBy("cell").agg(F.count("*").alias("n"))
+    spread = cut.withColumn("fold_id", F.explode(F.sequence("first_fold", "last_fold"))).groupBy("fold_id", "cell").agg(F.count("*").alias("blocks"))
+    found = bounds.select("fold_id").join(spread.join(sizes, "cell").where("blocks > 1"), "fold_id", "left")
+    return found.groupBy("fold_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("overlap"))
 
 
 def train_sums(rows: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,10 +6,13 @@ equi-joins: Spark broadcasts a side whose measured size allows it and shuffles i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators import upsert as U
+from touchline.session import materialise
 
 COUNTERS = ["received", "inserted", "updated", "skipped", "failed"]
 
@@ -161,3 +164,71 @@ def counters(job: str, outcomes: DataFrame, requested: int, rejected: DataFrame
 def total_counters(parts: DataFrame, job: str = "full_bootstrap") -> DataFrame:
     """Sum of the counters of several jobs."""
     return parts.agg(F.lit(job).alias("job"), *[F.sum(c).cast("long").alias(c) for c in ("requested", *COUNTERS)])
+
+
+# ---------------------------------------------------------------- the whole bootstrap
+
+STAGES = ("competitions_seasons", "teams", "matches", "team_statistics")
+STATISTICS_KEY = ["team_id", "competition_id", "season_id", "as_of_date"]
+Staged = tuple[DataFrame, DataFrame]  # accepted rows, rejected rows
+
+
+def ingest_competitions(staged: DataFrame, listed: DataFrame, competitions: DataFrame, seasons: DataFrame, year: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leagues and their seasons: (competitions, seasons, skipped seasons); both tables carry ``_outcome`` and ids."""
+    leagues = materialise(U.assign_ids(U.merge_upsert(competitions, staged, ["external_id"], U.all_columns(competitions, ["external_id", "id"]), "landing")), "competitions")
+    found = resolve_seasons(listed, leagues, year)
+    key = ["competition_id", "year"]
+    rows = found.where(F.col("skip").isNull())
+    merged = U.merge_upsert(seasons, rows, key, U.all_columns(seasons, [*key, "id"]), "landing")
+    merged = U.assign_ids(merged.withColumn("_key", F.struct(*key)), "_key").drop("_key")
+    return leagues, materialise(merged, "seasons"), found.where(F.col("skip").isNotNull())
+
+
+def ingest_team_statistics(staged: DataFrame, target: DataFrame, teams: DataFrame, competitions: DataFrame, seasons: DataFrame, stamp: str) -> tuple[DataFrame, DataFrame]:
+    """Team totals of one pull date: (table with ``_outcome``, skipped rows). A second pull of a day overwrites the first."""
+    found = resolve_team_statistics(staged, teams, competitions, seasons, stamp)
+    rows = found.where(F.col("skip").isNull()).withColumn("landing", F.monotonically_increasing_id())
+    return U.merge_upsert(target, rows, STATISTICS_KEY, U.all_columns(target, STATISTICS_KEY), "landing"), found.where(F.col("skip").isNotNull())
+
+
+def bootstrap(staged: dict[str, Staged], stored: dict[str, DataFrame], leagues: int, year: int, now: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Competitions and seasons, teams, matches, team statistics, in this order: (tables with ``_outcome``, counters).
+
+    ``staged`` holds (accepted, rejected) rows of ``competitions``, ``seasons``, ``teams``, ``matches`` and
+    ``team_statistics``, ``stored`` the tables of these names. Every stage is written before the next one resolves
+    against it. A bad row fails alone; rows of a league or season that an earlier stage could not bring in are failed
+    or skipped, and all other leagues go on. The counters have one row per stage and their sum.
+    """
+    out: dict[str, DataFrame] = {}
+    report = []
+
+    def done(stage: str, outcomes: DataFrame, failed: list[DataFrame], skipped: list[DataFrame]) -> None:
+        outcomes = outcomes.select("_outcome")
+        for rows, name in ((failed, "failed"), (skipped, "skipped")):
+            for part in rows:
+                outcomes = outcomes.unionByName(part.select(F.lit(name).alias("_outcome")))
+        report.append(counters(stage, outcomes, leagues))
+
+    plain = lambda name: out[name].drop("_outcome")
+    comps, comps_bad = staged["competitions"]
+    listed, listed_bad = staged["seasons"]
+    out["competitions"], out["seasons"], unknown = ingest_competitions(comps, listed, stored["competitions"], stored["seasons"], year)
+    both = out["competitions"].select("_outcome").unionByName(out["seasons"].select("_outcome"))
+    done(STAGES[0], both, [comps_bad, listed_bad], [unknown])
+
+    rows, bad = staged["teams"]
+    merged, skipped, failed = ingest_teams(rows, stored["teams"], plain("competitions"), plain("seasons"), U.all_columns(stored["teams"], ["external_id", "id"]))
+    out["teams"] = materialise(merged, "teams")
+    done(STAGES[1], out["teams"], [bad, failed], [skipped])
+
+    rows, bad = staged["matches"]
+    merged, skipped = ingest_matches(rows, stored["matches"], plain("teams"), plain("competitions"), plain("seasons"), now)
+    out["matches"] = materialise(merged, "matches")
+    done(STAGES[2], out["matches"], [bad], [skipped])
+
+    rows, bad = staged["team_statistics"]
+    merged, skipped = ingest_team_statistics(rows, stored["team_statistics"], plain("teams"), plain("competitions"), plain("seasons"), now[:10])
+    out["team_statistics"] = materialise(merged, "team-statistics")
+    done(STAGES[3], out["team_statistics"], [bad], [skipped])
+    stages = materialise(reduce(DataFrame.unionByName, report), "bootstrap-report")
+    return out, stages.unionByName(total_counters(stages).select(*stages.columns))

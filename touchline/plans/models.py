@@ -9,17 +9,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import names as N
 from touchline.functions import scalars as X
+from touchline.plans.boosting import Group, Growth, Trees, growth_of
+from touchline.plans.boosting import fit as fit_trees
+from touchline.plans.poisson import Head, fit_heads
 
 MAX_LOG_RATE = 30.0
+P = ["p_home_win", "p_draw", "p_away_win"]
 
 
 # --- rating baseline ------------------------------------------------------------------------
@@ -148,17 +150,6 @@ def _single(name: str) -> Column:
     return F.col(name).cast("float").cast("double")
 
 
-def _assemble(df: DataFrame, side: str, means: dict[str, float] | None) -> DataFrame:
-    cols = N.HEAD[side]
-    if means is None:
-        df = df.dropna(subset=cols)
-        filled = {f"_f_{c}": _single(c) for c in cols}
-    else:
-        filled = {f"_f_{c}": F.coalesce(_single(c), F.lit(means[c])) for c in cols}
-    va = VectorAssembler(inputCols=list(filled), outputCol=f"_x_{side}")
-    return va.transform(df.withColumns(filled)).drop(*filled)
-
-
 def head_means(train: DataFrame, side: str) -> dict[str, float]:
     """Mean of each head column over its present values; 0 where the block has none."""
     r = train.agg(*[F.avg(_single(c)).alias(c) for c in N.HEAD[side]]).first()
@@ -167,136 +158,101 @@ def head_means(train: DataFrame, side: str) -> dict[str, float]:
 
 @dataclass
 class PoissonModel:
-    heads: dict[str, GeneralizedLinearRegressionModel]
-    means: dict[str, dict[str, float]]
+    heads: dict[str, Head]
     max_goals: int = 10
     hyper: dict = field(default_factory=dict)
     name: str = "poisson"
 
+    @property
+    def means(self) -> dict[str, dict[str, float]]:
+        return {s: h.means for s, h in self.heads.items()}
+
     def transform(self, df: DataFrame) -> DataFrame:
-        for s in N.SIDES:
-            df = self.heads[s].setPredictionCol(f"_r_{s}").setFeaturesCol(f"_x_{s}").transform(_assemble(df, s, self.means[s]))
-            df = df.drop(f"_x_{s}")
         rates = []
         for s in N.SIDES:
-            r = F.col(f"_r_{s}")
-            rates.append(F.when(X.finite(r) & (r > 0), F.least(r, F.lit(1e6))).otherwise(F.lit(0.1)))
-        return with_rates(df, *rates, self.max_goals).drop("_r_home", "_r_away")
+            h = self.heads[s]
+            eta = F.lit(h.intercept)
+            for c, w in zip(N.HEAD[s], h.coefficients.tolist(), strict=True):
+                eta = eta + F.lit(w) * F.coalesce(_single(c), F.lit(h.means[c]))
+            rates.append(usable_rate(F.exp(eta)))
+        return with_rates(df, *rates, self.max_goals)
 
     def state(self) -> dict:
-        return {"means": self.means, "max_goals": self.max_goals}
+        heads = {s: {"intercept": h.intercept, "coefficients": h.coefficients.tolist(), "means": h.means} for s, h in self.heads.items()}
+        return {"heads": heads, "max_goals": self.max_goals}
 
     def save(self, path: str) -> None:
-        for s, m in self.heads.items():
-            m.write().overwrite().save(f"{path}/{s}")
+        """The registry row holds the whole model."""
+
+
+def usable_rate(r: Column) -> Column:
+    return F.when(X.finite(r) & (r > 0), F.least(r, F.lit(1e6))).otherwise(F.lit(0.1))
 
 
 @dataclass
 class PoissonTrainer:
-    """Ridge Poisson regression per side. The penalty counts per mean weight, so it is divided by the mean label."""
+    """Ridge Poisson regression per side."""
 
     l2: float = 0.01
     max_goals: int = 10
-    max_iter: int = 100
     name: str = "poisson"
 
+    def fit_folds(self, rows: DataFrame, folds: dict[int, tuple[int | None, int | None]]) -> dict[int, PoissonModel]:
+        """A model per fold, all in the same passes; a fold is the kickoff bounds of its train block."""
+        hyper = {"regularization_l2": self.l2, "max_goals": self.max_goals}
+        return {f: PoissonModel(heads, self.max_goals, hyper) for f, heads in fit_heads(rows, folds, self.l2).items()}
+
     def fit(self, train: DataFrame, val: DataFrame | None = None, seed: int | None = None) -> PoissonModel:
-        heads, means = {}, {}
-        for s in N.SIDES:
-            means[s] = head_means(train, s)
-            x = _assemble(train.withColumn("label_goals", F.col(f"{s}_goals").cast("double")), s, None)
-            x = x.select("label_goals", f"_x_{s}").cache()
-            mean = x.agg(F.avg("label_goals")).first()[0]
-            if not mean:
-                raise ValueError(f"no complete training rows with goals for the {s} head")
-            glm = GeneralizedLinearRegression(
-                family="poisson",
-                link="log",
-                labelCol="label_goals",
-                featuresCol=f"_x_{s}",
-                regParam=self.l2 / mean,
-                maxIter=self.max_iter,
-                tol=1e-8,
-            )
-            heads[s] = glm.fit(x)
-            x.unpersist()
-        return PoissonModel(heads, means, self.max_goals, {"regularization_l2": self.l2, "max_goals": self.max_goals})
+        return self.fit_folds(train, {0: (None, None)})[0]
 
 
 # --- boosted trees --------------------------------------------------------------------------
 
+# The two boosters differ in step size and in the scale of the curvature, p (1 - p) times 1 or K / (K - 1).
 BOOSTING = {
-    "gradient_boosting": {"learning_rate": 0.1, "rounds": 100, "leaves": 31},
-    "lightgbm": {"learning_rate": 0.05, "rounds": 100, "leaves": 31},
+    "gradient_boosting": {"learning_rate": 0.1, "rounds": 100, "leaves": 31, "curvature": 1.0},
+    "lightgbm": {"learning_rate": 0.05, "rounds": 100, "leaves": 31, "curvature": 1.5},
 }
-MISSING = -1.0e6
-
-
-def _boost_features(df: DataFrame) -> DataFrame:
-    """All 66 columns plus an indicator each; a missing value sorts below every real one."""
-    values = {f"_f_{c}": F.coalesce(_single(c), F.lit(MISSING)) for c in N.FEATURES}
-    flags = {f"_m_{c}": F.col(c).isNull().cast("double") for c in N.FEATURES}
-    both = {**values, **flags}
-    return VectorAssembler(inputCols=list(both), outputCol="_x").transform(df.withColumns(both)).drop(*both)
 
 
 @dataclass
 class BoostedModel:
-    parts: dict[int, GBTClassificationModel | float]
+    trees: Trees
     hyper: dict
     name: str = "gradient_boosting"
 
     def transform(self, df: DataFrame) -> DataFrame:
-        df = _boost_features(df)
-        for i, m in self.parts.items():
-            if isinstance(m, float):
-                df = df.withColumn(f"_p{i}", F.lit(m))
-                continue
-            m = m.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_v{i}").setFeaturesCol("_x")
-            df = m.transform(df).withColumn(f"_p{i}", vector_to_array(f"_v{i}")[1]).drop(f"_v{i}")
-        p = X.normalise3(*[F.col(f"_p{i}") for i in range(3)])
-        return df.withColumns({"p_home_win": p[0], "p_draw": p[1], "p_away_win": p[2]}).drop("_x", "_p0", "_p1", "_p2")
+        model = df.sparkSession.sparkContext.broadcast(self.trees)
+        columns = self.trees.columns
+
+        @F.pandas_udf(", ".join(f"{c} double" for c in P))
+        def probabilities(values: pd.DataFrame) -> pd.DataFrame:
+            wide = values.to_numpy(dtype=np.float32, na_value=np.nan).astype(np.float64)
+            return pd.DataFrame(model.value.probabilities(wide), columns=P)
+
+        scored = df.withColumn("_p", probabilities(F.struct(*[F.col(c).cast("double").alias(c) for c in columns])))
+        return scored.withColumns({c: F.col("_p")[c] for c in P}).drop("_p")
 
     def state(self) -> dict:
-        return {"constants": {str(i): m for i, m in self.parts.items() if isinstance(m, float)}}
+        return {"trees": self.trees.as_dict()}
 
     def save(self, path: str) -> None:
-        for i, m in self.parts.items():
-            if not isinstance(m, float):
-                m.write().overwrite().save(f"{path}/{i}")
+        """The registry row holds the whole model."""
 
 
 @dataclass
 class BoostedTrainer:
-    """One boosted binary classifier per class, normalised; ``hyper`` overrides the family defaults."""
+    """Softmax boosting over all columns; ``hyper`` overrides the family defaults."""
 
     name: str = "gradient_boosting"
     hyper: dict = field(default_factory=dict)
 
+    def growth(self) -> Growth:
+        return growth_of(BOOSTING[self.name], self.hyper)
+
     def fit(self, train: DataFrame, val: DataFrame | None = None, seed: int | None = None) -> BoostedModel:
-        h = {**BOOSTING[self.name], **self.hyper}
-        label = X.target_label(*[F.col(c) for c in N.TARGETS])
-        rows = _boost_features(train.withColumn("_label", label)).select("_label", "_x").cache()
-        present = {r["_label"] for r in rows.select("_label").distinct().collect()}
-        if len(present) < 2:
-            raise ValueError(f"training rows hold only the classes {sorted(present)}")
-        parts: dict[int, GBTClassificationModel | float] = {}
-        for i in range(3):
-            if i not in present:
-                parts[i] = 0.0
-                continue
-            gbt = GBTClassifier(
-                labelCol="_y",
-                featuresCol="_x",
-                maxIter=h["rounds"],
-                stepSize=h["learning_rate"],
-                maxDepth=max(1, math.ceil(math.log2(h["leaves"]))),
-                seed=42 if seed is None else seed,
-                cacheNodeIds=True,
-            )
-            parts[i] = gbt.fit(rows.withColumn("_y", (F.col("_label") == i).cast("double")))
-        rows.unpersist()
-        return BoostedModel(parts, h, self.name)
+        """Nothing is drawn at random, so ``seed`` has no effect."""
+        return BoostedModel(fit_trees(train, [Group((0,), self.growth())])[(0,)], {**BOOSTING[self.name], **self.hyper}, self.name)
 
 
 def load_model(name: str, hyper: dict, state: dict, path: str):
@@ -304,12 +260,11 @@ def load_model(name: str, hyper: dict, state: dict, path: str):
     if name == "elo_baseline":
         return EloModel(hyper)
     if name == "poisson":
-        return PoissonModel({s: GeneralizedLinearRegressionModel.load(f"{path}/{s}") for s in N.SIDES}, state["means"], state["max_goals"], hyper)
+        heads = {s: Head(h["intercept"], np.array(h["coefficients"]), h["means"]) for s, h in state["heads"].items()}
+        return PoissonModel(heads, state["max_goals"], hyper)
     if name not in BOOSTING:
         raise ValueError(f"unknown model {name!r}")
-    constants = state["constants"]
-    parts = {i: constants[str(i)] if str(i) in constants else GBTClassificationModel.load(f"{path}/{i}") for i in range(3)}
-    return BoostedModel(parts, hyper, name)
+    return BoostedModel(Trees.from_dict(state["trees"]), hyper, name)
 
 
 TRAINERS = {

@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from touchline.functions import names as N
 from touchline.operators import features as Fe
 from touchline.operators import history as H
-from touchline.session import require_utc
+from touchline.session import materialise, require_utc
 
 
 def scoring_features(matches: DataFrame, team_stats: DataFrame, requested: DataFrame | None = None) -> DataFrame:
-    """Features of the requested, else all, matches that are not finished, from finished matches strictly before them."""
+    """Features of the requested, else all, matches that are not finished, from finished matches strictly before them.
+
+    With a request only the league seasons of its matches are read, and the meetings of its pairs.
+    """
     require_utc(matches.sparkSession)
     targets = matches.where(F.col("status") != "finished")
-    if requested is not None:
-        targets = targets.join(requested.select("fixture_id").distinct(), "fixture_id", "left_semi")
-    return Fe.build_examples(targets, H.finished(matches), team_stats)
+    history = H.finished(matches)
+    if requested is None:
+        return Fe.build_examples(targets, history, team_stats)
+    targets = materialise(targets.join(requested.select("fixture_id").distinct(), "fixture_id", "left_semi"), "requested")
+    return Fe.build_examples(targets, Fe.in_leagues(history, targets), Fe.in_leagues(team_stats, targets), meetings_of=Fe.of_pairs(history, targets))
 
 
 def outcome_column(df: DataFrame) -> DataFrame:

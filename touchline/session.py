@@ -11,6 +11,10 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
 UTC_NAMES = ("UTC", "Etc/UTC", "Z", "GMT", "+00:00")
 
 
@@ -24,6 +28,7 @@ def build_session(app: str = "touchline", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        STATE_STORE[0]: STATE_STORE[1],
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():

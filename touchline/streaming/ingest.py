@@ -1,7 +1,9 @@
-"""Continuous ingest of match updates into versioned tables.
+"""Continuous ingest of match updates into a table of key buckets.
 
-Batch ``n`` reads the buckets of its keys in version ``n - 1`` and writes them as version ``n``; all other
-buckets stay where they are. A replayed batch overwrites its own version with the same rows, so a restart after a lost executor or driver changes nothing.
+The table is plain Parquet, partitioned by the bucket of its key. A micro-batch reads the partitions of its keys, merges
+its updates and replaces just these partitions by dynamic partition overwrite. The merged rows are written first, below
+the batch's number; a batch that is replayed after a lost driver finishes from them, so it neither merges twice nor
+counts an insert as an update.
 """
 
 from __future__ import annotations
@@ -12,78 +14,80 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline.operators import upsert as U
+from touchline.session import STATE_STORE
 
 LOOK_BACK = "6 hours"
+BUCKET, BATCH = "_bucket", "batch_id"
 
 
 @contextmanager
-def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None]:
-    """Number of state partitions for streams started inside: one per core unless given.
+def state_settings(spark: SparkSession, n: int | None = None) -> Iterator[None]:
+    """Settings for stateful streams started inside: RocksDB state, and one state partition per core unless given.
 
     A stateful stream keeps the number it first started with, and adaptive execution does not merge
     its partitions, so the batch default is rarely right for it.
     """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    wanted = {"spark.sql.shuffle.partitions": str(n or spark.sparkContext.defaultParallelism), STATE_STORE[0]: STATE_STORE[1]}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-class VersionedTable:
-    """A table in key buckets; a version writes only the buckets it touches.
+class BucketedTable:
+    """A Parquet table partitioned by the hash bucket of ``key``; every row carries the batch that last changed it."""
 
-    ``data/version=n`` holds the buckets that version n wrote, ``manifest/version=n`` one row per bucket with
-    the version that wrote it last. Without a key the table is one bucket.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: str | None = None, buckets: int = 32):
-        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
-        self.buckets = buckets if key else 1
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: str, buckets: int = 32):
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+        self.columns = [f.name for f in schema.fields]
+        kept = StructType([*schema.fields]).add(BATCH, "long")
+        self.schema, self.stored = schema, StructType([*kept.fields]).add(BUCKET, "integer")
+        self.staged = StructType([*kept.fields, StructField("_outcome", StringType())])
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
-
-    def touched(self, rows: DataFrame) -> list[int]:
-        """Buckets of the rows, at most as many as the table has."""
-        return sorted(r[0] for r in rows.select(self.bucket().alias("_bucket")).distinct().collect())
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
 
-    def manifest(self, version: int) -> dict[int, int]:
-        rows = self.spark.read.schema("bucket int, written int").parquet(f"{self.root}/manifest/version={version}").collect()
-        return {r["bucket"]: r["written"] for r in rows}
+    def create(self, first: DataFrame) -> None:
+        rows = first.select(*self.columns, F.lit(None).cast("long").alias(BATCH), self.bucket().alias(BUCKET))
+        rows.write.mode("errorifexists").partitionBy(BUCKET).parquet(f"{self.root}/rows")
 
-    def newest(self) -> int:
-        return self.spark.read.parquet(f"{self.root}/manifest").agg(F.max("version")).first()[0]
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets; other partitions are not opened."""
+        rows = self.spark.read.schema(self.stored).parquet(f"{self.root}/rows")
+        return (rows if only is None else rows.where(F.col(BUCKET).isin(only))).drop(BUCKET)
 
-    def create(self, first: DataFrame) -> None:
-        self.write(-1, first)
-
-    def read(self, version: int, only: list[int] | None = None) -> DataFrame:
-        """The table as of a version, or just some of its buckets; other files are not opened."""
-        by_version: dict[int, list[int]] = {}
-        for b, v in self.manifest(version).items():
-            if only is None or b in only:
-                by_version.setdefault(v, []).append(b)
-        out = self.spark.createDataFrame([], self.schema)
-        for v, own in sorted(by_version.items()):
-            part = self.spark.read.schema(StructType([*self.schema.fields, StructField("_bucket", IntegerType())])).parquet(f"{self.root}/data/version={v}")
-            out = out.unionByName(part.where(F.col("_bucket").isin(own)).drop("_bucket"))
-        return out
-
-    def write(self, version: int, df: DataFrame, touched: list[int] | None = None, base: int | None = None) -> None:
-        """Write a version in full, or the ``touched`` buckets on top of version ``base``."""
-        df.withColumn("_bucket", self.bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/data/version={version}")
-        if touched is None:
-            entries = {b: version for b in self.touched(df)}
-        else:
-            entries = {**self.manifest(base), **{b: version for b in touched}}
-        listed = self.spark.createDataFrame(sorted(entries.items()), "bucket int, written int")
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/version={version}")
+    def touched(self, rows: DataFrame) -> list[int]:
+        """Buckets of the rows, at most as many as the table has."""
+        return sorted(r[0] for r in rows.select(self.bucket().alias(BUCKET)).distinct().collect())
+
+    def _exists(self, path: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def _drop(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def merge(self, batch: DataFrame, batch_id: int, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """Bring a batch into the table; returns the merged rows of its buckets with their ``_outcome``."""
+        staged = f"{self.root}/staged/{batch_id}"
+        if not self._exists(staged):
+            only = self.touched(batch)
+            merged = apply(self.read(only), batch)
+            mine = F.when(F.col("_outcome") == "untouched", F.col(BATCH)).otherwise(F.lit(batch_id).cast("long"))
+            merged.select(*self.columns, mine.alias(BATCH), "_outcome").write.mode("overwrite").parquet(staged)
+        merged = self.spark.read.schema(self.staged).parquet(staged)
+        whole = merged.select(*self.columns, BATCH, self.bucket().alias(BUCKET)).repartition(BUCKET)
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.root}/rows")
+        self._drop(f"{self.root}/staged/{batch_id - 1}")
+        return merged
 
 
 def landed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 4) -> DataFrame:
@@ -103,30 +107,20 @@ def settle_late(stream: DataFrame, column: str = "kickoff_time", delay: str = LO
 
 def upsert_stream(
     stream: DataFrame,
-    table: VersionedTable,
-    counters: VersionedTable | None,
+    table: BucketedTable,
+    counters: str | None,
     checkpoint: str,
     apply: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> StreamingQuery:
-    """Apply every micro-batch to the buckets that its keys fall into; count its outcomes beside it."""
+    """Apply every micro-batch to the buckets that its keys fall into; ``counters`` is a folder for its outcomes, by batch."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        touched = table.touched(batch)
-        merged = apply(table.read(batch_id - 1, touched), batch)
-        stored_cols = [f.name for f in table.schema.fields]
+        merged = table.merge(batch, batch_id, apply)
         if counters is None:
-            table.write(batch_id, merged.select(*stored_cols), touched, batch_id - 1)
             return
-        merged = merged.cache()
-        table.write(batch_id, merged.select(*stored_cols), touched, batch_id - 1)
         o = F.col("_outcome")
-        counts = merged.agg(
-            F.lit(batch_id).cast("long").alias("batch_id"),
-            F.count_if(o == "inserted").alias("inserted"),
-            F.count_if(o == "updated").alias("updated"),
-        )
-        counters.write(batch_id, counts)
-        merged.unpersist()
+        counts = merged.agg(F.count_if(o == "inserted").alias("inserted"), F.count_if(o == "updated").alias("updated")).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(counters)
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
