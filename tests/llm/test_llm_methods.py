@@ -264,3 +264,43 @@ def test_every_document_counts_its_links(spark, monkeypatch, block):
     want = {d: (sum(similar(sets[i], o) for j, o in enumerate(sets) if j != i), min(rows[j][0] for j, o in enumerate(sets) if j == i or (o and o == sets[i]))) for i, (d, *_) in enumerate(rows)}
     assert sum(n for n, _ in want.values()) > 200
     assert {x.doc_id: (x.n_links, x.class_id) for x in J.jaccard_join(frame(spark, rows)).collect()} == want
+
+
+@pytest.mark.parametrize("unit", ["ab-", "a/", "1_", "A1", "k=v;", "# "])
+def test_long_structured_tokens_break_no_operator(spark, unit):
+    """A token of a million signs in many parts; every operator that uses patterns reads it whole."""
+    from touchline.llm.language_id import language_id
+    from touchline.llm.license_scan import license_scan
+    from touchline.llm.packing import pack
+    from touchline.llm.quality_rules import quality_rules
+
+    long = unit * (1_000_000 // len(unit))
+    docs = frame(spark, [(1, 'password = "abcdefgh12" ' + long, "aa", "s"), (2, long, "aa", "s"), (3, "plain words in a text", "aa", "s")])
+    got = {r.doc_id: r for r in secret_scan(docs).collect()}
+    assert got[1].n_assign == 1 and len(got) == 3
+    for fn in (quality_rules, license_scan, language_id, pack):
+        assert fn(docs).select("doc_id").distinct().count() == 3
+
+
+def test_markov_spans_of_planted_tokens(spark):
+    """Random tokens outside the patterns, planted into the given documents; documents without one stay clean."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    r = random.Random(8)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(x.doc_id, x.text, x.lang, x.source) for x in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    planted = {}
+    for i in range(0, len(rows), 10):
+        d, text, lang, source = rows[i]
+        token = "".join(r.choice(signs) for _ in range(r.randint(24, 40)))
+        at = len(text or "")
+        rows[i] = (d, f"{text or ''} {token} end", lang, source)
+        planted[d] = f"markov:{at + 1}:{at + 1 + len(token)}"
+    got = {x.doc_id: x.spans.split(",") if x.spans else [] for x in secret_scan(frame(spark, rows)).collect()}
+    caught = sum(span in got[d] for d, span in planted.items())
+    wrong = sum(s.startswith("markov") for d, spans in got.items() for s in spans if s != planted.get(d))
+    assert caught >= 0.95 * len(planted), (caught, len(planted))
+    assert wrong <= 0.02 * len(planted), wrong

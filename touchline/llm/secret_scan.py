@@ -2,8 +2,8 @@
 
 One pass over the whole texts cuts them at every match of each pattern and writes the few cut pieces to
 the shared folder; positions are running sums of their lengths. The models are chains over character
-pairs: one learns from the secrets that the patterns found in all documents, the other from ordinary
-identifiers of a bounded sample of documents (``SAMPLE`` of them, chosen by hash). A long token becomes a
+pairs: one learns from the secrets that the patterns found, the other from the ordinary identifiers, both of all
+documents; what reaches the driver is a table of character pairs. A long token becomes a
 secret of kind ``markov`` when the mean log-likelihood ratio per character exceeds ``margin`` and it does
 not overlap a pattern's span. Without any labelled secret there is no model and only patterns count.
 
@@ -29,11 +29,12 @@ KINDS = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-# Ordinary identifiers are whole tokens whose letters and digits come in separate parts.
-IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9/_-]{8})(?:[A-Za-z]{2,}|[0-9]+)(?:[-_/](?:[A-Za-z]{2,}|[0-9]+))*(?![A-Za-z0-9+/_=-])"
+# Ordinary identifiers are whole tokens whose letters and digits come in separate parts. The parts are looked at one by
+# one, since a pattern that repeats a group would need the matcher's stack for every part of a long token.
+WHOLE = r"[A-Za-z0-9+/_=-]{8,}"
+SEPARATOR, PART = r"[-_/]", r"^(?:[A-Za-z]{2,}|[0-9]+)$"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 ORDER = [*KINDS, "markov"]
-SAMPLE = 4000
 BACK_OFF = 4.0
 
 
@@ -98,17 +99,20 @@ def mean_ratio(token: str, table: list[float]) -> Column:
     return F.transform(F.array(codes), lambda k: score(k) / F.greatest(F.size(k) - 1, F.lit(1)))[0]
 
 
+def identifiers(text: Column) -> Column:
+    """The ordinary identifiers of a text."""
+    return F.filter(F.regexp_extract_all(text, F.lit(WHOLE), F.lit(0)), lambda w: F.forall(F.split(w, SEPARATOR), lambda p: p.rlike(PART)))
+
+
 def learn(rows: DataFrame, known: DataFrame) -> list[float] | None:
-    """The ratio table from the known secrets of all documents and identifiers of sampled ones."""
+    """The ratio table from the known secrets and the identifiers of all documents."""
     secret = pair_counts(known, "part")
     if not secret:
         return None
-    total = rows.count()
-    share = max(1, total // SAMPLE)
-    sampled = rows.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(share)) == 0)
+    plain = F.col("text")
     for pattern, *_ in KINDS.values():
-        sampled = sampled.withColumn("text", F.regexp_replace("text", pattern, " "))
-    ordinary = pair_counts(sampled.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("w")), "w")
+        plain = F.regexp_replace(plain, pattern, " ")
+    ordinary = pair_counts(rows.select(F.explode(identifiers(plain)).alias("w")), "w")
     return ratio_table(secret, ordinary)
 
 
