@@ -1,8 +1,12 @@
 """From raw documents to packed sequences: language, near copies, benchmark leaks, secrets, packing.
 
-Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. Rows are told apart by id and a
-hash of the text, so null and repeated ids are safe. Verdicts are keyed by text and come back to the documents
-by a join that broadcasts them only when they are counted to be few.
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. Copies are told apart by id and a
+hash of the text, so null and repeated ids are safe; verdicts on leaks and secrets are keyed by 128 bits of the text
+and come back to the documents by a join that broadcasts them only when they are counted to be few.
+
+In every stage a null text counts as empty, texts are read whole whatever their length, repeated rows are judged one
+by one except where the stage is about copies, an empty table gives an empty table, and further columns pass through
+(their names cannot clash). Each stage says what becomes of texts without content and of ties.
 """
 
 from __future__ import annotations
@@ -26,6 +30,11 @@ UNEXPLAINED, EVIDENCE = log2(CLASSES), 64
 
 
 def text_key(docs: DataFrame) -> Column:
+    return F.md5(F.coalesce(docs["text"], F.lit("")))
+
+
+def copy_key(docs: DataFrame) -> Column:
+    """Tells apart the texts of one id."""
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
@@ -35,7 +44,11 @@ def few(verdicts: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those that no learned language explains; a missing language is filled in."""
+    """Drop documents without a letter and those that no learned language explains; a missing language is filled in.
+
+    Null and empty texts have no letter and go. Languages that explain a text equally well: the first by name. With no
+    labelled text there is nothing to judge by, and every text with a letter stays as it is.
+    """
     judged = with_language(docs)
     unexplained = F.coalesce((F.col("symbols") >= EVIDENCE) & (F.col("bits") > UNEXPLAINED), F.lit(False))
     found = F.when(F.col("lang_pred") != "und", F.col("lang_pred"))
@@ -44,8 +57,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of exact and near copies; of equal rows keep one."""
-    keyed = docs.select(F.struct(F.col("doc_id"), text_key(docs).alias("t")).alias("key"), "text")
+    """Keep the document with the smallest id of every group of exact and near copies; of equal rows keep one.
+
+    A null id comes before all others. Texts without a word are nobody's copy and stay. Of rows with the same id and
+    text the one with the smallest further columns stays.
+    """
+    keyed = docs.select(F.struct(F.col("doc_id"), copy_key(docs).alias("t")).alias("key"), "text")
     grouped = materialise(jaccard_join(keyed, id_col="key"), "near-copies")
     linked = grouped.where("n_shingles > 0")
     lost = linked.where("not (key <=> component_id)").select("key", F.lit(False).alias("stays"))
@@ -53,14 +70,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = materialise(lost.unionByName(twice).distinct().select(F.col("key.doc_id").alias("copy_id"), F.col("key.t").alias("copy_t"), "stays"), "copy-verdicts")
     names = docs.columns
     v = few(verdicts)
-    judged = docs.join(v, docs["doc_id"].eqNullSafe(v["copy_id"]) & (text_key(docs) == v["copy_t"]), "left")
+    judged = docs.join(v, docs["doc_id"].eqNullSafe(v["copy_id"]) & (copy_key(docs) == v["copy_t"]), "left")
     one = judged.where(v["stays"]).select(F.struct(v["copy_id"], v["copy_t"]).alias("copy"), F.struct(*[docs[c].alias(c) for c in names]).alias("doc"))
-    one = one.groupBy("copy").agg(F.first("doc").alias("doc")).select("doc.*")
+    one = one.groupBy("copy").agg(F.min("doc").alias("doc")).select("doc.*")
     return judged.where(v["stays"].isNull()).select(*[docs[c] for c in names]).unionByName(one)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a benchmark item."""
+    """Drop documents that contain a benchmark item; equal texts share the verdict, texts without content stay."""
     keyed = docs.select(text_key(docs).alias("leak_t"), "text")
     found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="leak_t")
     verdicts = materialise(found.where("contaminated").select("leak_t").distinct(), "leak-verdicts")
@@ -68,7 +85,10 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in the place of every secret; the stated length follows the text."""
+    """Put a mark in the place of every secret; the stated length follows the text.
+
+    Spans that overlap become one mark; a text without secrets, null among them, stays as it is. All rows stay.
+    """
     keyed = docs.select(text_key(docs).alias("secret_t"), "text")
     found = secret_spans(keyed, id_col="secret_t").where(F.size("all") > 0)
     spans = materialise(found.groupBy(F.col("id").alias("secret_t")).agg(F.first("all").alias("spans")), "secret-verdicts")
@@ -89,7 +109,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the kept texts into pieces and put these into token-budget batches of length buckets."""
+    """Cut the kept texts into pieces and put these into token-budget batches of length buckets.
+
+    A text without words keeps one row without a bucket. Pieces of equal length are dealt in the order of their rows.
+    """
     return pack(docs)
 
 
