@@ -49,6 +49,19 @@ def test_awkward_rows_pass_all_stages(spark):
     assert docs.count() > 0
 
 
+def test_empty_table_passes_all_stages(spark):
+    docs = frame(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, FOLDER), "stage")
+        assert docs.count() == 0 and (name == "packing" or docs.columns == frame(spark).columns)
+
+
+def test_of_rows_that_differ_in_a_label_only_one_stays_always_the_same(spark):
+    rows = [(1, "one two three four five six seven", lang, source) for lang, source in (("bb", "s2"), ("aa", "s9"), ("aa", "s1"))]
+    kept = [corpus_pipeline.near_copies(spark, frame(spark, rows[i:] + rows[:i]).repartition(3), FOLDER).collect() for i in range(3)]
+    assert all(len(k) == 1 and (k[0].lang, k[0].source) == ("aa", "s1") for k in kept)
+
+
 @pytest.mark.parametrize("name", ["op2_license_scan", "op3_quality_rules", "op6_ngram_jaccard_join"])
 def test_query_equals_sql(spark, name):
     import compare
