@@ -304,3 +304,21 @@ def test_markov_spans_of_planted_tokens(spark):
     wrong = sum(s.startswith("markov") for d, spans in got.items() for s in spans if s != planted.get(d))
     assert caught >= 0.95 * len(planted), (caught, len(planted))
     assert wrong <= 0.02 * len(planted), wrong
+
+
+def test_hosts_are_judged_by_every_rule(spark):
+    """Documents that pass the base rule: one host of symbol spam, one of repeated lines, one of single signs, one clean."""
+    r = random.Random(6)
+    text = {
+        "spam": lambda: " ".join(w + "##" for w in words(r, 60).split()),
+        "lines": lambda: "\n".join([words(r, 30)] + [words(r, 30)] * 3 + ["the very same line"] * 6 + [words(r, 5)]),
+        "signs": lambda: " ".join(r.choice("abcdefghijklmnop") for _ in range(70)),
+        "clean": lambda: words(r, 80),
+    }
+    rows = [(i, text[host](), "aa", host) for i, host in enumerate(h for h in text for _ in range(40))]
+    got = {}
+    for x, (_, _, _, host) in zip(sorted(quality_rules(frame(spark, rows)).collect(), key=lambda x: x.doc_id), rows, strict=True):
+        got.setdefault(host, set()).add((x.kept, x.host_rejected, x.worst_rule))
+    assert got["clean"] == {(True, False, next(iter(got["clean"]))[2])}
+    assert got["spam"] == {(False, True, "symbols")} and got["lines"] <= {(False, True, "repeated_lines"), (False, True, "base")}
+    assert {(k, j) for k, j, _ in got["signs"]} == {(False, True)}

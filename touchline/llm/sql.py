@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import BASE, COVER, NOTICES, SLACK, templates
-from .quality_rules import MAX_RATE, SPREADS
+from .quality_rules import MAX_RATE, RULES, SPREADS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -34,6 +34,7 @@ FROM docs LEFT JOIN found USING (rid)"""
 
 
 def quality_sql() -> str:
+    flags = ", ".join(f"({rule}) AS failed_{r}" for r, rule in RULES.items())
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{SPACED}')) AS ls FROM documents),
@@ -41,14 +42,16 @@ tri AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS p, unnest(list_transform(ra
 twice AS (SELECT rid, p FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS c FROM tri) AS x WHERE c > 1),
 covered AS (SELECT rid, count(DISTINCT p + d) AS n FROM twice, (VALUES (0), (1), (2)) AS s(d) GROUP BY rid),
 measured AS (SELECT doc_id, source, md5(t) AS digest, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM docs LEFT JOIN covered USING (rid)),
-failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
-hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(failed)::DOUBLE AS f FROM (SELECT source, digest, max(base_failed::INT) AS failed FROM failing GROUP BY ALL) AS x GROUP BY source),
-prior AS (SELECT m, greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 2.0) AS s FROM (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS m, var_pop(f / n) AS v FROM hosts) AS x),
-fitted AS (SELECT source, f + m * s AS a, n - f + (1 - m) * s AS b FROM hosts, prior),
-verdicts AS (SELECT source, a / (a + b) - {SPREADS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {MAX_RATE} AS rejected FROM fitted)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, FALSE) AS kept
+failing AS (SELECT *, {flags} FROM measured),
+texts AS (SELECT source, digest, {", ".join(f"max({r}::INT) AS {r}" for r in RULES)} FROM (SELECT source, digest, {", ".join(f"failed_{r} AS {r}" for r in RULES)} FROM failing) AS x GROUP BY ALL),
+counted AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"sum({r})::DOUBLE AS {r}" for r in RULES)} FROM texts GROUP BY source),
+hosts AS (UNPIVOT counted ON {", ".join(RULES)} INTO NAME rule VALUE f),
+prior AS (SELECT rule, m, greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 2.0) AS s FROM (SELECT rule, least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS m, var_pop(f / n) AS v FROM hosts GROUP BY rule) AS x),
+fitted AS (SELECT source, f + m * s AS a, n - f + (1 - m) * s AS b FROM hosts JOIN prior USING (rule)),
+verdicts AS (SELECT source, bool_or(a / (a + b) - {SPREADS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {MAX_RATE}) AS rejected FROM fitted GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_base AS base_failed, NOT failed_base AND NOT coalesce(rejected, FALSE) AS kept
 FROM failing LEFT JOIN verdicts ON failing.source IS NOT DISTINCT FROM verdicts.source"""
 
 
