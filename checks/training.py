@@ -273,7 +273,7 @@ def train_intercepts(spark, folder):
 @query(
     "a22_p24_train_means",
     "s:feature d:mean",
-    with_sql(*EXAMPLE_CTES, EXAMPLES, recursive=True, answer=" UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST(CAST({c} AS FLOAT) AS DOUBLE)) AS mean FROM ex" for c in N.HEAD["home"])),
+    with_sql(*EXAMPLE_CTES, EXAMPLES, recursive=True, answer=" UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(avg(CAST(CAST({c} AS FLOAT) AS DOUBLE)), 0) AS mean FROM ex" for c in N.HEAD["home"])),
 )
 def train_means(spark, folder):
     """Mean of each home-head feature over its present values, the fill value outside training."""
