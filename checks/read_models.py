@@ -243,12 +243,14 @@ def predictions_page(spark, folder):
 
 @query(
     "p14_predictions_of_match_and_model",
-    "i:prediction_id,fixture_id t:created_at",
-    with_sql(*EVAL_CTES, answer="SELECT prediction_id, fixture_id, created_at FROM stored WHERE model_version_id = 1"),
+    "i:prediction_id,fixture_id,model_version_id t:created_at",
+    with_sql(*EVAL_CTES, answer="""SELECT prediction_id, fixture_id, model_version_id, created_at FROM stored
+    WHERE (fixture_id, model_version_id) IN (SELECT (l_orderkey, l_linenumber % 3) FROM lineitem)"""),
 )
 def predictions_of_model(spark, folder):
-    """Each match's prediction by one model version."""
-    return stored_predictions(spark, folder).where(F.col("model_version_id") == 1)
+    """The predictions of every asked (match, model version); the pairs come from the line items."""
+    asked = T.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("fixture_id"), (F.col("l_linenumber") % 3).cast("long").alias("model_version_id")).distinct()
+    return stored_predictions(spark, folder).join(asked, ["fixture_id", "model_version_id"], "left_semi")
 
 
 @query(
