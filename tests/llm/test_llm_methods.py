@@ -322,3 +322,16 @@ def test_hosts_are_judged_by_every_rule(spark):
     assert got["clean"] == {(True, False, next(iter(got["clean"]))[2])}
     assert got["spam"] == {(False, True, "symbols")} and got["lines"] <= {(False, True, "repeated_lines"), (False, True, "base")}
     assert {(k, j) for k, j, _ in got["signs"]} == {(False, True)}
+
+
+def test_a_benchmark_too_large_to_broadcast_gives_the_same(spark, monkeypatch):
+    from cases import messy
+
+    from touchline.llm import decontamination
+
+    bench = spark.createDataFrame([(1, messy()[6][1]), (2, "eins zwei drei vier"), (3, None)], "item_id long, text string")
+    docs = frame(spark)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    small = rows(decontaminate(docs, bench))
+    monkeypatch.setattr(decontamination, "SMALL", -1)
+    assert rows(decontaminate(docs, bench)) == small and "contaminated=True" in "".join(small)

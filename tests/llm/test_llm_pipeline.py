@@ -62,6 +62,15 @@ def test_of_rows_that_differ_in_a_label_only_one_stays_always_the_same(spark):
     assert all(len(k) == 1 and (k[0].lang, k[0].source) == ("aa", "s1") for k in kept)
 
 
+def test_verdicts_too_many_to_broadcast_give_the_same(spark, monkeypatch):
+    docs = frame(spark)
+    stages = {name: stage for name, stage in corpus_pipeline.STAGES if name in ("near_copies", "leaks", "secrets")}
+    rows = lambda df: sorted(map(repr, df.collect()))
+    few = {name: rows(stage(spark, docs, FOLDER)) for name, stage in stages.items()}
+    monkeypatch.setattr(corpus_pipeline, "FEW", -1)
+    assert {name: rows(stage(spark, docs, FOLDER)) for name, stage in stages.items()} == few
+
+
 @pytest.mark.parametrize("name", ["op2_license_scan", "op3_quality_rules", "op6_ngram_jaccard_join"])
 def test_query_equals_sql(spark, name):
     import compare

@@ -140,7 +140,12 @@ def alignments(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, it
     small = items.count() <= SMALL
     wanted = np.unique(np.array([r["h"] for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)) if small else None
     found = window_rows(docs, id_col, text_col, lengths, wanted, True)
-    return found.join(F.broadcast(items) if small else items, (found["h"] == items["h"]) & (F.col("size") == F.col("item_size")) & (F.col("literal") == F.col("item_literal")), "left")
+    same = (F.col("size") == F.col("item_size")) & (F.col("literal") == F.col("item_literal"))
+    if small:
+        return found.join(F.broadcast(items), (found["h"] == items["h"]) & same, "left")
+    # rows that only stand for their document have no window; a key of their own spreads them over the partitions
+    spread = F.coalesce(found["h"], F.xxhash64(found["row"]))
+    return found.join(items, (spread == items["h"]) & same, "left")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
