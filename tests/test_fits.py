@@ -158,3 +158,26 @@ def test_search_and_backtests_score_each_fold_on_later_rows(spark):
     direct = {r["fixture_id"]: r["p_draw"] for r in one.transform(df).collect()}
     raw = Bt.forecast_folds(df, folds, "poisson").where("fold_id = 0").collect()
     assert all(direct[r["fixture_id"]] == pytest.approx(r["p_draw"], abs=1e-12) for r in raw)
+
+
+def test_data_without_a_fold_give_empty_results(spark, tmp_path):
+    """The first kickoff group that crosses the wanted train size ends the walk: no fold, which is no error."""
+    from touchline.sources import runs as R
+
+    df = features(spark, 60)
+    params = Fo.FoldParams(min_train_size=20, test_size=6, gap_days=1, val_ratio=0.15)  # kickoffs in threes: row 20 splits a group
+    assert Fo.walk_forward(df, params) == []
+    full = Fo.walk_forward(df, Fo.FoldParams(min_train_size=21, test_size=6, gap_days=1, val_ratio=0.15))
+    for name in ("elo_baseline", "poisson", "gradient_boosting"):
+        got = Bt.run_backtest(df, params, name, "v1", "d1")
+        assert got["folds"] == [] and got["reports"].count() == 0 and got["predictions"].count() == 0
+        assert {"fold_id", "accuracy", "rmse_total_goals"} <= set(got["reports"].columns)
+    whole = Bt.forecast_folds(df, full, "poisson")
+    assert [(f.name, f.dataType) for f in Bt.no_forecasts(df).schema] == [(f.name, f.dataType) for f in whole.schema]
+    both = Bt.run_all(df, params, ["elo_baseline", "poisson"], "v1", "d1", R.RunStore(spark, str(tmp_path / "runs"))).collect()
+    assert [(r["model_name"], r["n_folds"], r["total_n_predictions"]) for r in both] == [("elo_baseline", 0, 0), ("poisson", 0, 0)]
+    assert all(math.isnan(r["mean_accuracy"]) for r in both)
+    trials = [{"rounds": 4}, {"rounds": 8}]
+    assert [(r["trial"], r["weighted_log_loss"]) for r in Bt.search(df, params, "gradient_boosting", trials).collect()] == [(0, math.inf), (1, math.inf)]
+    with pytest.raises(ValueError, match="unknown model"):
+        Bt.forecast_folds(df, [], "nothing")

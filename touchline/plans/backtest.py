@@ -20,6 +20,7 @@ from touchline.session import materialise
 from touchline.sources import runs as R
 
 _KEEP = ["fixture_id", "kickoff", "home_goals", "away_goals", *Mx.P]
+_EXPECTED = [f"expected_{s}_goals" for s in N.SIDES]
 
 
 def _blocks(folds: list[dict]) -> dict[int, list[tuple[str, int, int]]]:
@@ -59,18 +60,29 @@ def poisson_forecasts(rows: DataFrame, folds: list[dict], **hyper) -> DataFrame:
     return scored.select("fold_id", "block", *_KEEP, "expected_home_goals", "expected_away_goals", label)
 
 
+def no_forecasts(rows: DataFrame) -> DataFrame:
+    """Forecasts of no fold: no rows, with the columns of the others."""
+    label = X.target_label(*[F.col(c) for c in N.TARGETS]).alias("label")
+    doubles = [F.lit(0.0).alias(c) for c in (*Mx.P, *_EXPECTED)]
+    wide = rows.select(F.lit(0).cast("long").alias("fold_id"), F.lit("").alias("block"), *[c for c in _KEEP if c not in Mx.P], *doubles, label)
+    return rows.sparkSession.createDataFrame([], wide.select("fold_id", "block", *_KEEP, *_EXPECTED, "label").schema)
+
+
 def forecast_folds(rows: DataFrame, folds: list[dict], name: str, **hyper) -> DataFrame:
-    """Raw forecasts of every fold's validation and test block, written once; all folds are fitted together."""
+    """Raw forecasts of every fold's validation and test block, written once; all folds are fitted together.
+
+    No fold is a valid outcome of the walk: it gives no forecasts.
+    """
+    if name not in Mo.TRAINERS:
+        raise ValueError(f"unknown model {name!r}; known: {sorted(Mo.TRAINERS)}")
     if not folds:
-        raise ValueError("the data are too short for one fold")
+        return no_forecasts(rows)
     if name == "elo_baseline":
         made = elo_forecast_folds(rows, folds, **hyper)
     elif name == "poisson":
         made = poisson_forecasts(rows, folds, **hyper)
-    elif name in Mo.BOOSTING:
-        made = boosted_forecasts(rows, folds, [hyper], name).drop("trial")
     else:
-        raise ValueError(f"unknown model {name!r}; known: {sorted(Mo.TRAINERS)}")
+        made = boosted_forecasts(rows, folds, [hyper], name).drop("trial")
     return materialise(made, f"forecast-{name}")
 
 
@@ -173,10 +185,16 @@ def candidates(trials: int, seed: int = 42, space: dict | None = None) -> list[d
 
 
 def search(rows: DataFrame, params: Fo.FoldParams, name: str, trials: Sequence[dict], metric: str = "weighted_log_loss") -> DataFrame:
-    """Score of every candidate on the same folds, best first. Candidates of a booster share their passes with all folds."""
+    """Score of every candidate on the same folds, best first. Candidates of a booster share their passes with all folds.
+
+    Without a fold every candidate has the worst score, an infinite one.
+    """
     folds = Fo.walk_forward(rows, params)
+    names = rows.sparkSession.createDataFrame([(t, json.dumps(h, sort_keys=True)) for t, h in enumerate(trials)], "trial long, hyperparameters string")
+    best_first = F.desc(metric) if "accuracy" in metric else F.asc(metric)
     if not folds:
-        raise ValueError("the data are too short for one fold")
+        worst = F.lit(float("-inf" if "accuracy" in metric else "inf"))
+        return names.select("trial", "hyperparameters", worst.alias(metric)).orderBy("trial")
     if name in Mo.BOOSTING:
         raw = materialise(boosted_forecasts(rows, folds, trials, name), f"search-{name}")
     else:
@@ -185,8 +203,6 @@ def search(rows: DataFrame, params: Fo.FoldParams, name: str, trials: Sequence[d
     by = ["trial", "fold_id"]
     test, _ = calibrate(raw, by)
     scores = Mx.fold_metric(Mx.summary(test, by), ["trial"], metric)
-    names = rows.sparkSession.createDataFrame([(t, json.dumps(h, sort_keys=True)) for t, h in enumerate(trials)], "trial long, hyperparameters string")
-    best_first = F.desc(metric) if "accuracy" in metric else F.asc(metric)
     return scores.join(F.broadcast(names), "trial").select("trial", "hyperparameters", metric).orderBy(best_first, "trial")
 
 
