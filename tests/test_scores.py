@@ -168,3 +168,20 @@ def test_many_groups_are_fitted_at_once(spark):
         v = np.array(x.where(F.col("g") == g).first()["x"])
         loss = lambda v, q=q, y=y: nll(q, y, v[:9].reshape(3, 3), v[9:]) + Cal.L2 * ((v[:9] - np.eye(3).ravel()) ** 2).sum()
         assert max(abs(loss(v + d) - loss(v - d)) / 2e-5 for d in np.eye(12) * 1e-5) < 1e-5
+
+
+@pytest.mark.parametrize("fit", ["fit_temperature", "fit_dirichlet"])
+def test_fits_make_their_rows_once(spark, fit):
+    """Every Newton step reads stored rows; what made the rows runs once."""
+    rows = sample(spark, 400)[0].repartition(3).cache()
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    counted = rows.mapInArrow(count, rows.schema)
+    got = getattr(Cal, fit)(counted, ["g"]).collect()
+    rows.unpersist()
+    assert made.value == 400 and len(got) == 1 and got[0]["converged"]

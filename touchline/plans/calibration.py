@@ -47,6 +47,11 @@ def choose(val: DataFrame, by: Sequence[str]) -> DataFrame:
     return s.withColumn("kind", kind)
 
 
+def _fit_rows(val: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Group, label and log-probabilities, written once: every step reads these and not what made them."""
+    return materialise(_logs(val).select(*by, "label", "lp0", "lp1", "lp2"), "calibration-rows")
+
+
 def _groups(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.select(*by).distinct()
 
@@ -56,10 +61,10 @@ def fit_temperature(val: DataFrame, by: Sequence[str], steps: int = 60) -> DataF
 
     Returns the group with ``temperature``, ``converged`` and ``gradient`` (size of the slope at the last point).
     """
-    rows = _logs(val)
+    rows = _fit_rows(val, by)
     low, high = 1.0 / T_MAX, 1.0 / T_MIN
     start = {"_u": 1.0, "_low": low, "_high": high, "_size": float("inf")}
-    state = _groups(val, by).withColumns({c: F.lit(v) for c, v in start.items()} | {"_open": F.lit(True)})
+    state = _groups(rows, by).withColumns({c: F.lit(v) for c, v in start.items()} | {"_open": F.lit(True)})
     state = materialise(state, "temperature")
     lp = [F.col(f"lp{i}") for i in range(3)]
     u, g, below, above, ahead = (F.col(c) for c in ("_u", "_slope", "_low", "_high", "_next"))
@@ -100,11 +105,11 @@ def fit_dirichlet(val: DataFrame, by: Sequence[str], l2: float = L2, steps: int
     Adding a constant to all offsets changes nothing, so the step uses a pseudo-inverse. Returns the group with ``x`` (the
     parameters in the order of ``PARAMS``), ``converged`` and ``gradient``.
     """
-    rows = _logs(val)
+    rows = _fit_rows(val, by)
     begin = F.array(*[F.lit(float(v)) for v in np.concatenate([np.eye(3).ravel(), np.zeros(3)])])
     none = F.array(*[F.lit(0.0)] * 12)
     first = {"_x": begin, "_try": begin, "_step": none, "_loss": F.lit(float("inf")), "_damp": F.lit(1.0), "_gradient": F.lit(float("inf")), "_open": F.lit(True)}
-    state = materialise(_groups(val, by).withColumns(first), "dirichlet")
+    state = materialise(_groups(rows, by).withColumns(first), "dirichlet")
     keys = ", ".join(f"{b} {val.schema[b].dataType.simpleString()}" for b in by)
     z = [F.col("lp0"), F.col("lp1"), F.col("lp2"), F.lit(1.0)]
     pairs = [(j, m, k, n) for j in range(3) for m in range(j, 3) for k in range(4) for n in range(k, 4)]
