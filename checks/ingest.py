@@ -17,7 +17,7 @@ from touchline.operators import history as H
 from touchline.operators import metrics as Mx
 from touchline.operators import upsert as U
 from touchline.plans import ingest as In
-from touchline.session import scratch_path
+from touchline.session import materialise, scratch_path
 from touchline.sources import payloads as P
 from touchline.sources import runs as R
 from touchline.sources import tables as T
@@ -1049,11 +1049,15 @@ FILES = 4
 
 
 def _land(spark, df, period, name):
-    """Land rows period by period, FILES files each, so that a trigger of FILES files takes one period."""
+    """Land rows period by period, FILES files each, so that a trigger of FILES files takes one period.
+
+    The rows are made once, written by period; each period then reads its own part only.
+    """
     path = scratch_path(spark, name)
-    periods = sorted(r[0] for r in df.select(period.alias("p")).distinct().collect())
+    made = materialise(df.withColumn("_period", period), f"{name}-by-period", by=("_period",))
+    periods = sorted(r[0] for r in made.select("_period").distinct().collect())
     for p in periods:
-        df.where(period == p).repartition(FILES).write.mode("append").parquet(path)
+        made.where(F.col("_period") == p).select(*df.columns).repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -1089,7 +1093,7 @@ def streaming_upsert(spark, folder):
 )
 def late_results(spark, folder):
     """Each update sent twice: repeats drop inside the look-back, nothing at or after the cutoff enters."""
-    updates = match_updates(spark, folder)
+    updates = materialise(match_updates(spark, folder), "updates")
     twice = updates.unionByName(updates)
     stream = SI.before_cutoff(SI.landed(spark, _land(spark, twice, F.year("kickoff_time"), "landed"), twice.schema, FILES), "2000-01-01 00:00:00")
     out, mark = scratch_path(spark, "settled"), scratch_path(spark, "checkpoint")

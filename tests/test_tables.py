@@ -344,3 +344,19 @@ def test_bootstrap_goes_on_after_a_bad_league(spark):
     done = {r["job"]: (r["inserted"], r["updated"]) for r in second.collect()}
     assert done["full_bootstrap"][0] == 0 and done["team_statistics"] == (0, 1)
     assert {r["id"] for r in again["teams"].collect()} == {r["id"] for r in tables["teams"].collect()}
+
+
+def test_landed_rows_are_made_once(spark):
+    """Rows landed in three periods are made once and not once per period."""
+    from checks.ingest import _land
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(30).mapInArrow(count, "id long")
+    path = _land(spark, rows, F.col("id") % 3, "landed-once")
+    assert made.value == 30 and sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(30))
