@@ -166,3 +166,23 @@ def test_builds_and_scores_read_only_what_their_targets_need(spark, tmp_path):
     part = Ds.dataset_rows(m, stats, [1, 2], [2020], cutoff="2100-01-01 00:00:00")
     every = Ds.dataset_rows(m, stats, [1, 2, 3, 4], [2020], cutoff="2100-01-01 00:00:00").where("competition_id < 3")
     assert part.exceptAll(every).count() == 0 and part.count() == every.count() > 0
+
+
+def test_target_rows_are_dealt_once_for_both_sides(spark):
+    """A build joins both teams' columns where the rows lie: no shuffle by a team."""
+    from touchline.plans import dataset as Ds
+    from touchline.session import co_partitioned
+
+    m = frame(spark, season(12, 60, leagues=2))
+    stats = spark.createDataFrame([(100, 1, 2020, START.date(), 1.5, None)], "team_id long, competition_id long, season_id long, as_of_date date, xg double, xga double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with co_partitioned(spark):
+            rows = Ds.dataset_rows(m, stats, [1, 2], [2020], cutoff="2100-01-01 00:00:00")
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            got = rows.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == H.finished(m).count() and "_team_id" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "_team_id" in x], plan
