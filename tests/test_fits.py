@@ -77,6 +77,35 @@ def test_splits_are_the_best_of_all(spark):
     assert (got["feature"], got["cut"], got["missing_left"]) == (j, cut, missing) and got["gain"] * B.UNIT == pytest.approx(gain)
 
 
+def test_groups_do_not_wait_for_each_other(spark):
+    """Every group has a partition of its own; a hash of the group's number put both boosters into one."""
+    data = spark.range(90).select((F.col("id") % 3).cast("int").alias("label"), F.col("id").alias("at"), F.lit(b"x").alias("bins"))
+    for groups in ([B.Group((i,), B.Growth()) for i in range(2)], [B.Group((i,), B.Growth(), 0, 3 * i) for i in range(30)]):
+        dealt = B.deal(data, groups).groupBy("job", F.spark_partition_id().alias("part")).count().collect()
+        assert sorted((r["job"], r["part"]) for r in dealt) == [(i, i) for i in range(len(groups))]
+        assert all(r["count"] == (90 if groups[r["job"]].high is None else min(90, groups[r["job"]].high + 1)) for r in dealt)
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_histograms_of_several_nodes_are_plain_sums(width):
+    """By pairs of columns (many rows for the bins), column by column (few), and all rows at once."""
+    r = np.random.default_rng(width)
+    for n, bins in ((4000, 8), (300, 64)):
+        codes = r.integers(0, bins, (n, width)).astype(np.uint8)
+        g, h = np.rint(r.normal(size=n) * B.UNIT), np.rint(r.random(n) * B.UNIT)
+        node = r.integers(0, 4, n)
+        for nodes in ([np.arange(n)], [np.flatnonzero(node == k) for k in range(3)], [np.flatnonzero(node == 1), np.arange(0)]):
+            got = B.Cells(codes, bins).add_up(nodes, g, h)
+            want = np.zeros((len(nodes), 3, width, bins))
+            for k, rows in enumerate(nodes):
+                for j in range(width):
+                    for i, w in enumerate((g, h, np.ones(n))):
+                        np.add.at(want[k, i, j], codes[rows, j], w[rows])
+            assert np.array_equal(got, want)
+            both = B.best_splits(got, B.Growth(bins=bins))
+            assert both == [B.best_split(x, B.Growth(bins=bins)) for x in want] and both[0] is not None
+
+
 def test_missing_values_learn_their_side_and_trees_keep_their_budget(spark):
     df, x, y = table(spark)
     m = B.fit(df, [B.Group((0,), B.Growth(rounds=30, leaves=5))], COLS)[(0,)]
