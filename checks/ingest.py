@@ -410,8 +410,13 @@ def injury_payload_rows(spark, folder):
 
 
 def lineup_pages(spark, folder):
-    """One page per order: two teams, line items as player slots (at most seven)."""
-    li = T.table(spark, folder, "lineitem")
+    """One page per order: two teams, line items as player slots (at most seven).
+
+    The line items are dealt by order before they meet the matches, in a merge, so that a task holds the slots and
+    matches of one shuffle partition, not all it scanned and all matches.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    li = T.table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "fixture_id").repartition(parts, "fixture_id")
     m = T.matches(spark, folder).select("fixture_id", "home_team_id", "away_team_id")
     slot = F.struct(
         F.col("l_linenumber").alias("n"),
@@ -422,7 +427,7 @@ def lineup_pages(spark, folder):
         ).alias("s"),
         (F.col("l_returnflag") == "N").alias("sub"),
     )
-    per = li.join(m, li.l_orderkey == m.fixture_id).groupBy("fixture_id", "home_team_id", "away_team_id").agg(F.sort_array(F.collect_list(slot)).alias("all"))
+    per = li.join(m.hint("merge"), "fixture_id").groupBy("fixture_id", "home_team_id", "away_team_id").agg(F.sort_array(F.collect_list(slot)).alias("all"))
 
     def part(sub):
         return F.struct(F.transform(F.filter("all", lambda x: x["sub"] == sub), lambda x: x["s"]).alias("players"))

@@ -1,4 +1,4 @@
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 from helpers import START, elo, frame, season
@@ -360,3 +360,20 @@ def test_landed_rows_are_made_once(spark):
     rows = spark.range(30).mapInArrow(count, "id long")
     path = _land(spark, rows, F.col("id") % 3, "landed-once")
     assert made.value == 30 and sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(30))
+
+
+def test_lineup_pages_gather_slots_of_one_shuffle_partition(spark, tmp_path):
+    """A task that gathered the slots of all the rows it scanned held more the larger the table."""
+    from checks import ingest as Ci
+
+    orders = [(k, 7 * k, datetime(2000, 1, 1 + k), "F", 100.0 * k) for k in (1, 2, 3, 3)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, 10, 1, "N"), (1, 11, 2, "R"), (1, 11, 2, "R"), (2, None, 1, "A"), (3, 12, 1, "A"), (9, 13, 1, "A"), (None, 14, 1, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    pages = Ci.lineup_pages(spark, str(tmp_path))
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.index("partial_collect_list") :] and "BroadcastHashJoin" not in plan
+    rows = P.split_rejects(P.lineups(pages))[0].select("fixture_external_id", F.transform("players", lambda p: F.struct("fixture_external_id", p["player_external_id"], p["is_starter"]))).collect()
+    got = sorted((r[0], [(p[1], p[2]) for p in r[1]]) for r in rows)
+    first, second = [(11, True), (11, True), (10, False)], [(0, True)]
+    assert got == [(1, first)] * 2 + [(2, second)] * 2 + [(3, [(12, True), (12, True)])] * 2

@@ -1,7 +1,8 @@
 """Key resolution and upserts of staged provider rows, with one outcome per row.
 
 Dimension tables (teams, players, competitions, seasons, matches) are joined by external id with plain
-equi-joins: Spark broadcasts a side whose measured size allows it and shuffles it otherwise.
+equi-joins: Spark broadcasts a side whose measured size allows it and shuffles it otherwise. Lineups, of which there
+are as many as matches, always meet the matches in a merge.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def resolve_lineups(
 ) -> tuple[DataFrame, DataFrame]:
     """(parents, slots): a lineup needs its match and team; an unknown player loses only its slot."""
     heads = (
-        staged.join(_ids(matches, "fixture", F.col("home_team_id")), "fixture_external_id", "left")
+        staged.join(_ids(matches, "fixture", F.col("home_team_id")).hint("merge"), "fixture_external_id", "left")
         .join(_ids(teams, "team"), "team_external_id", "left")
         .withColumn("is_home", F.col("team_id") == F.col("home_team_id"))
         .withColumn(
