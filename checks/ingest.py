@@ -30,9 +30,10 @@ CODES_B = [*N.STATUS_FORMAT_B, "later", "WO"]
 
 
 def pages(entries, key, field="response", keep=()):
-    """JSON bodies of at most PER_PAGE entries, grouped by id range."""
+    """JSON bodies of at most PER_PAGE entries, grouped by id range. Entries move to their page before they are listed."""
     body = F.to_json(F.struct(F.collect_list("e").alias(field)))
-    return entries.groupBy(*keep, F.floor(F.col(key) / PER_PAGE).alias("page")).agg(body.alias("body"))
+    dealt = entries.withColumn("page", F.floor(F.col(key) / PER_PAGE)).repartition(*keep, "page")
+    return dealt.groupBy(*keep, "page").agg(body.alias("body"))
 
 
 def _sql_pick(values, index):
@@ -958,15 +959,15 @@ stages AS (
 def bootstrap(spark, folder):
     """Leagues with their seasons, teams, matches and team statistics in order, each stage on what the earlier ones stored."""
     page, year = league_payload(spark, folder), F.col("competition_external_id") % 10 + 2000
-    teams_ok, teams_bad = P.split_rejects(P.teams(team_payload(spark, folder)))
+    teams_ok, teams_bad = In.staged_once(P.teams(team_payload(spark, folder)), "teams")
     league = (1 + F.col("external_id") % 13).alias("competition_external_id")
     listed = teams_ok.select("*", league).withColumn("season_external_id", year + F.col("external_id") % 4)
-    games_ok, games_bad = P.split_rejects(staged_a(spark, folder))
+    games_ok, games_bad = In.staged_once(staged_a(spark, folder), "matches")
     games = games_ok.withColumn("season_year", year + F.col("external_id") % 4)
-    totals = P.team_statistics(team_stat_payload(spark, folder)).withColumn("season_external_id", year + F.col("team_external_id") % 4)
+    totals = materialise(P.team_statistics(team_stat_payload(spark, folder)), "staged-team-statistics").withColumn("season_external_id", year + F.col("team_external_id") % 4)
     staged = {
-        "competitions": P.split_rejects(P.competitions(page)),
-        "seasons": P.split_rejects(P.seasons(page)),
+        "competitions": In.staged_once(P.competitions(page), "competitions"),
+        "seasons": In.staged_once(P.seasons(page), "seasons"),
         "teams": (listed, teams_bad),
         "matches": (games, games_bad),
         "team_statistics": (totals, totals.limit(0)),

@@ -362,6 +362,46 @@ def test_landed_rows_are_made_once(spark):
     assert made.value == 30 and sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(30))
 
 
+def test_bootstrap_parses_and_merges_rows_once(spark):
+    """Pages were parsed for a filter and again for their rows, and the merged rows were made three times to give out ids."""
+    from checks.ingest import pages as listed
+    from touchline.plans import ingest as In
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    landed = spark.createDataFrame([(1, '{"response": [{"fixture": {"id": 5}}, null, {"fixture": {"id": 6}}]}'), (2, '{"response": []}'), (3, "{}"), (4, "no"), (5, None)], "page long, body string")
+    assert plan(P.matches_a(landed)).count("from_json(") == 1
+    assert [tuple(r) for r in P.matches_a(landed).orderBy("landing").select("landing.page", "landing.pos", "external_id").collect()] == [(1, 0, 5), (1, 1, None), (1, 2, 6)]
+    keys = landed.selectExpr("page AS team_external_id", "1L AS competition_external_id", "1L AS season_external_id", "DATE'2020-01-01' AS as_of_date", "IF(page < 3, '{\"response\": {\"form\": \"W\"}}', body) AS body")
+    assert plan(P.team_statistics(keys)).count("from_json(") == 1
+    assert sorted((r["team_external_id"], r["form"]) for r in P.team_statistics(keys).collect()) == [(1, "W"), (2, "W")]
+    entries = spark.range(250).select("id", F.struct("id").alias("e"))
+    assert plan(listed(entries, "id")).count("Exchange") == 1 and "REPARTITION_BY_COL" in plan(listed(entries, "id"))
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, 7), (2, None), (3, None)], "external_id long, id long").mapInArrow(count, "external_id long, id long")
+    assert {tuple(r) for r in U.assign_ids(rows).collect()} == {(1, 7), (2, 8), (3, 9)} and made.value == 3
+    good, bad = In.staged_once(rows.withColumn("reject", F.when(F.col("id").isNull(), "missing id")), "test")
+    assert (good.count(), bad.count(), good.columns) == (1, 2, ["external_id", "id"]) and made.value == 6
+
+
+def test_updates_of_a_key_carry_their_order_once(spark):
+    """The order came with every column; values, missing ones included, are those of the first and the last update."""
+    new = spark.createDataFrame([(1, "a", "x", 1, 1, 1), (1, None, "y", None, 2, 2), (2, "b", None, 3, 3, 1), (2, "c", "z", None, 4, 2)], "k long, name string, town string, size long, other long, at long")
+    out = U.combined(new, ["k"], {"name": "overwrite", "other": lambda old, val: val, "size": "fill"}, "at")
+    assert out.columns == new.columns
+    assert sorted(map(tuple, out.collect())) == [(1, None, "x", 1, 2, 2), (2, "c", None, 3, 4, 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("min_by("), plan.count("max_by(")) == (1, 2)
+    by_order = U.combined(new.select("k", "at", "name"), ["k", "at"], {"name": "overwrite"}, "at")
+    assert by_order.columns == ["k", "at", "name"] and by_order.count() == 4
+
+
 def test_lineup_pages_gather_slots_of_one_shuffle_partition(spark, tmp_path):
     """A task that gathered the slots of all the rows it scanned held more the larger the table."""
     from checks import ingest as Ci

@@ -16,23 +16,26 @@ from touchline.session import materialise
 Policy = str | Callable[[Column, Column], Column]
 
 
-def combined(updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str, extra: dict[str, Column] | None = None) -> DataFrame:
+def combined(updates: DataFrame, keys: Sequence[str], policy: dict[str, Policy], order: str, extra: dict[str, Column] | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """One row per key that has the effect of all its updates one after the other in ``order``.
 
     The first update fixes kept columns, the last value wins for overwritten ones and the last value that
-    is not NULL for filled ones. Partial aggregates run before the shuffle. ``extra`` adds further aggregates.
+    is not NULL for filled ones. Partial aggregates run before the shuffle; kept and overwritten columns travel as one
+    value each, so the order is not repeated per column. ``extra`` adds further aggregates, ``only`` names the columns to return.
     """
     at = F.col(order)
-
-    def value(c: str) -> Column:
-        rule = policy.get(c, "keep")
-        if rule == "keep":
-            return F.min_by(F.col(c), at)
-        return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at) if rule == "fill" else at)
-
-    rest = [c for c in updates.columns if c not in keys]
+    rest = [c for c in updates.columns if c not in keys and (only is None or c in only or c == order)]
+    rule = {c: policy.get(c, "keep") for c in rest if c != order}
+    first = [c for c, r in rule.items() if r == "keep"]
+    last = [c for c, r in rule.items() if r not in ("keep", "fill")]
+    aggregates = [F.max(at).alias(order)] if order in rest else []
+    aggregates += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c, r in rule.items() if r == "fill"]
+    aggregates += [F.min_by(F.struct(*first), at).alias("_first")] if first else []
+    aggregates += [F.max_by(F.struct(*last), at).alias("_last")] if last else []
     more = [c.alias(name) for name, c in (extra or {}).items()]
-    return updates.groupBy(*keys).agg(*[(F.max(at) if c == order else value(c)).alias(c) for c in rest], *more)
+    out = updates.groupBy(*keys).agg(*aggregates, *more)
+    place = {c: F.col("_first")[c] for c in first} | {c: F.col("_last")[c] for c in last}
+    return out.select(*keys, *[place.get(c, F.col(c)).alias(c) for c in rest], *(extra or {}))
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
@@ -50,7 +53,7 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], pol
     puts several updates of one key in sequence. The result carries ``_outcome``: inserted, updated or untouched, and
     ``extra``, aggregates over all updates of a key. A target in buckets of its key (``bucketed``) is not shuffled.
     """
-    new = combined(updates, keys, policy, order, extra)
+    new = combined(updates, keys, policy, order, extra, target.columns)
     t, u = target.alias("t"), new.alias("u")
     on = [F.col(f"t.{k}") == F.col(f"u.{k}") for k in keys]
     joined = t.withColumn("_t", F.lit(True)).alias("t").join(u.withColumn("_u", F.lit(True)).alias("u"), on, "full")
@@ -100,21 +103,20 @@ def upsert_matches(target: DataFrame, updates: DataFrame, now: str, order: str =
     blank = given.withColumns({"synced_at": stamp, "finished_at": F.lit(None).cast("timestamp")})
     finished = F.when(F.col("status") == "finished", F.col(order))
     extra = {
-        "_h": F.min_by(F.col("_home_goals"), finished),
-        "_a": F.min_by(F.col("_away_goals"), finished),
-        "_fin": F.min(finished).isNotNull(),
+        "_told": F.min_by(F.struct(*[f"_{c}" for c in told]), finished),
+        "_fin": F.bool_or(finished.isNotNull()),
     }
     j = merge_upsert(target, blank, ["external_id"], MATCH_POLICY, order, extra)
     marks = F.coalesce(F.col("_fin"), F.lit(False)) & (F.col("home_goals").isNull() | F.col("away_goals").isNull())
     zero = F.lit(0).cast("long")
     return j.withColumns(
         {
-            "home_goals": F.when(marks, F.coalesce(F.col("_h"), zero)).otherwise(F.col("home_goals")),
-            "away_goals": F.when(marks, F.coalesce(F.col("_a"), zero)).otherwise(F.col("away_goals")),
+            "home_goals": F.when(marks, F.coalesce(F.col("_told._home_goals"), zero)).otherwise(F.col("home_goals")),
+            "away_goals": F.when(marks, F.coalesce(F.col("_told._away_goals"), zero)).otherwise(F.col("away_goals")),
             "finished_at": F.when(marks, stamp).otherwise(F.col("finished_at")),
             "_outcome": F.when(marks, "updated").otherwise(F.col("_outcome")),
         }
-    ).drop("_h", "_a", "_fin")
+    ).drop("_told", "_fin")
 
 
 def replace_children(children: DataFrame, parents_touched: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -163,8 +165,10 @@ def assign_ids(merged: DataFrame, key: str = "external_id", id_col: str = "id")
     """Give rows without an id the numbers after the largest one, in the order of ``key``.
 
     The new keys are range-partitioned and sorted; a row's number is its place in its partition plus the rows of
-    the partitions before, of which there is one small row each. No window spans the table.
+    the partitions before, of which there is one small row each. No window spans the table. The rows are written once,
+    since the new keys, the largest id and the result all read them.
     """
+    merged = materialise(merged, "merged")
     fresh = merged.where(F.col(id_col).isNull()).select(key).repartitionByRange(key).sortWithinPartitions(key)
     fresh = materialise(fresh.select(key, F.monotonically_increasing_id().alias("_n")), "new-ids")
     part = F.shiftright("_n", 33)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import upsert as U
 from touchline.session import materialise
+from touchline.sources.payloads import split_rejects
 
 COUNTERS = ["received", "inserted", "updated", "skipped", "failed"]
 
@@ -174,6 +175,11 @@ STATISTICS_KEY = ["team_id", "competition_id", "season_id", "as_of_date"]
 Staged = tuple[DataFrame, DataFrame]  # accepted rows, rejected rows
 
 
+def staged_once(staged: DataFrame, name: str) -> Staged:
+    """(accepted rows, rejected rows) of parsed pages that are written once, so that no later reader parses them again."""
+    return split_rejects(materialise(staged, f"staged-{name}"))
+
+
 def ingest_competitions(staged: DataFrame, listed: DataFrame, competitions: DataFrame, seasons: DataFrame, year: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Leagues and their seasons: (competitions, seasons, skipped seasons); both tables carry ``_outcome`` and ids."""
     leagues = materialise(U.assign_ids(U.merge_upsert(competitions, staged, ["external_id"], U.all_columns(competitions, ["external_id", "id"]), "landing")), "competitions")

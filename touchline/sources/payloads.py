@@ -47,12 +47,14 @@ _LINEUP = f"""struct<team: struct<id: string>, coach: struct<name: string>, form
 def _entries(pages: DataFrame, item: str, field: str = "response", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per list entry of every page body, with its place in the landing order.
 
-    Pages are ordered by their ``page`` column, or as they are read when there is none.
+    Pages are ordered by their ``page`` column, or as they are read when there is none. A plain explode would be given a
+    filter on the parsed list, for which every page is parsed again; the outer one is not, and pages without entries
+    are dropped after it.
     """
     parsed = F.from_json("body", f"struct<{field}: array<{item}>>")[field]
     page = F.col("page").cast("long") if "page" in pages.columns else F.monotonically_increasing_id()
     listed = pages.select(*keep, page.alias("_page"), parsed.alias("_items"))
-    found = listed.select(*keep, "_page", F.posexplode("_items").alias("_pos", "e"))
+    found = listed.select(*keep, "_page", F.posexplode_outer("_items").alias("_pos", "e")).where(F.col("_pos").isNotNull())
     return found.select(*keep, F.struct(F.col("_page").alias("page"), F.col("_pos").alias("pos")).alias("landing"), "e")
 
 
@@ -218,7 +220,8 @@ def team_statistics(pages: DataFrame) -> DataFrame:
         return F.coalesce(X.to_long(value), F.lit(0).cast("long"))
 
     zero = F.lit(0).cast("long")
-    rows = pages.select(*keys, F.from_json("body", f"struct<response: {_TEAM_STATS}>")["response"].alias("r"))
+    body = F.from_json("body", f"struct<response: {_TEAM_STATS}>")["response"]
+    rows = pages.select(*keys, body.alias("r")).select(*keys, F.explode(F.array("r")).alias("r"))  # the filter stays above the parsing
     return rows.where(r.isNotNull()).select(
         *keys,
         total(r["fixtures"]["played"]["total"]).alias("fixtures_played"),
