@@ -106,6 +106,69 @@ def test_histograms_of_several_nodes_are_plain_sums(width):
             assert both == [B.best_split(x, B.Growth(bins=bins)) for x in want] and both[0] is not None
 
 
+def test_columns_of_few_bins_are_counted_together():
+    """Cells hold as many columns as their bins in use allow; sums are those of every column alone."""
+    r = np.random.default_rng(3)
+    bins, sizes = 64, [64, 64, 5, 6, 3, 12, 64, 2]
+    n = 60_000
+    codes = np.stack([r.integers(0, s, n) for s in sizes], axis=1)
+    codes = np.where(codes == np.array(sizes) - 1, bins - 1, codes).astype(np.uint8)
+    cells = B.Cells(codes, bins, sizes)
+    assert sorted(j for pack in cells.layout.packs for j in pack) == list(range(len(sizes))) and len(cells.layout.packs) == 3
+    g, h = np.rint(r.normal(size=n) * B.UNIT), np.rint(r.random(n) * B.UNIT).astype(np.int32)
+    for nodes in ([np.arange(n)], [np.flatnonzero(r.random(n) < share) for share in (0.5, 0.3, 0.2)], [np.arange(9), np.arange(40, 70)]):
+        got = cells.add_up(nodes, g, h)
+        for k, rows in enumerate(nodes):
+            for j in range(len(sizes)):
+                for i, w in enumerate((g, h, None)):
+                    assert np.array_equal(got[k, i, j], np.bincount(codes[rows, j], None if w is None else w[rows], bins))
+    for j in range(len(sizes)):
+        code, gone = cells.code(j, np.arange(n))
+        assert np.array_equal(np.where(code == gone, bins - 1, code), codes[:, j])
+
+
+def test_rows_reach_their_leaves():
+    """All leaves, or only those asked for; a cut above every value still sends missing values to their side."""
+    codes = np.array([[0, 1], [3, 7], [7, 0], [2, 2], [7, 7], [1, 7]], np.uint8)
+    tree = B.Tree()
+    for node, feature, cut, missing in ((0, 0, 1, False), (2, 0, 6, False), (1, 1, 1, True)):
+        tree.split(node, {"feature": feature, "cut": cut, "missing_left": missing, "gain": 1.0, "below": (0.0, 1.0, 1.0), "above": (0.0, 1.0, 1.0)})
+    cells, every = B.Cells(codes, 8), np.arange(6)
+    assert {n: rows.tolist() for n, rows in B.reach(cells.code, every, tree).items()} == {3: [1, 3], 4: [2, 4], 5: [0, 5], 6: []}
+    assert {n: rows.tolist() for n, rows in B.reach(cells.code, every, tree, [4]).items()} == {4: [2, 4]}
+    few = B.Cells(np.minimum(codes, 4), 8, [5, 5])
+    assert [rows.tolist() for _, rows in sorted(B.reach(few.code, every, tree).items())] == [[1, 3], [2, 4], [0, 5], []]
+
+
+def test_a_pass_is_one_job(spark, monkeypatch):
+    """Every pass reads the blocks once, with the slopes of its round; written scores are removed when they are replaced."""
+    import os
+
+    monkeypatch.setattr(B, "HELD", 1)
+    df, *_ = table(spark)
+    sc, group = spark.sparkContext, B.Group((0,), B.Growth(rounds=6, leaves=6))
+    sc.setJobGroup("passes", "passes")
+    try:
+        spread = B.fit(df, [group], COLS, task_rows=0)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    passes, written = 6 * 4, 5
+    assert len(sc.statusTracker().getJobIdsForGroup("passes")) <= passes + written + 15
+    same(B.fit(df, [group], COLS)[(0,)], spread[(0,)])
+    found = [d for _, dirs, _ in os.walk(sc.getCheckpointDir().removeprefix("file:")) for d in dirs if d.startswith("rdd-")]
+    assert not found and not sc._jsc.getPersistentRDDs()
+
+
+def test_rows_without_an_instant_are_in_groups_without_bounds_only(spark):
+    df, *_ = table(spark)
+    df = df.withColumn("kickoff", F.when(F.col("fixture_id") % 7 != 0, F.col("kickoff")))
+    groups = [B.Group((i,), B.Growth(rounds=2, leaves=4), low, high) for i, (low, high) in enumerate([(None, None), (None, 700_000_000), (100_000_000, None)])]
+    here, spread = B.fit(df, groups, COLS), B.fit(df, groups, COLS, task_rows=0)
+    for g in groups:
+        same(here[g.key], spread[g.key])
+    assert here[(0,)].trees[0][1]["rows"][0] == 900 > here[(1,)].trees[0][1]["rows"][0]
+
+
 def test_missing_values_learn_their_side_and_trees_keep_their_budget(spark):
     df, x, y = table(spark)
     m = B.fit(df, [B.Group((0,), B.Growth(rounds=30, leaves=5))], COLS)[(0,)]
